@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Mapping
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sumwise.functions.basics import col
@@ -73,92 +75,110 @@ def parse_timestamp(c: Column | str) -> Column:
     return F.coalesce(parse_date(s).cast("timestamp_ntz"), iso)
 
 
-def _finding(type_=None, num=None, text=None, changed=False, warning=None) -> Column:
-    return F.struct(
-        (F.lit(None).cast("double") if num is None else num).alias("num"),
-        (F.lit(None).cast("string") if text is None else text).alias("text"),
-        F.lit(type_).cast("string").alias("type"),
-        (F.lit(changed) if isinstance(changed, bool) else changed).alias("was_changed"),
-        F.lit(warning is not None).alias("is_ambiguous"),
-        (F.lit(warning) if warning is None or isinstance(warning, str) else warning)
-        .cast("string")
-        .alias("warning"),
-    )
+def read_cells(df: DataFrame, columns: Mapping[str, str]) -> DataFrame:
+    """Adds for each text column a struct of what its cells hold.
 
+    `columns` maps a text column to the name of the new column, a
+    `struct<num, text, type, was_changed, is_ambiguous, warning>`.  Exactly one of `num`
+    and `text` is set for a non-null cell.  A cell that cannot be read with certainty
+    keeps its raw text and says why in `warning`.
 
-def _read_number(s: Column, raw: Column, type_: str, otherwise: Column, scale: float | None = None) -> Column:
-    plain = s.try_cast("double")
-    grouped = F.replace(s, F.lit(","), F.lit("")).try_cast("double")
-    scaled = (lambda n: n / F.lit(scale)) if scale else (lambda n: n)
-    return (
-        F.when(
-            s.rlike(THREE_DECIMALS), _finding(text=raw, warning="ambiguous_decimal_or_thousands")
+    The rules are applied in steps, each a projection over the one before, so every
+    pattern is evaluated once per cell and the generated code stays small.
+    """
+    made = {out: f"__{i}_" for i, out in enumerate(columns.values())}
+    steps = [_trimmed, _marked, _body, _code, _values]
+    names = {step: {out: p + step.__name__ for out, p in made.items()} for step in steps}
+
+    for step in steps:
+        df = df.withColumns(
+            {
+                names[step][out]: step(
+                    F.col(raw), *[F.col(names[done][out]) for done in steps[: steps.index(step)]]
+                )
+                for raw, out in columns.items()
+            }
         )
-        .when(s.rlike(PLAIN_NUMBER), _finding(type_, num=scaled(plain), changed=True))
-        .when(s.rlike(GROUPED_NUMBER), _finding(type_, num=scaled(grouped), changed=True))
-        .when(s.rlike(LOOSE_COMMAS), _finding(text=raw, warning="ambiguous_thousands_separator"))
-        .otherwise(otherwise)
-    )
+    # The generator keeps a filter on the findings from being pushed below the steps,
+    # where every step would be repeated inside the condition.
+    findings = [
+        _finding(F.col(raw), *[F.col(names[step][out]) for step in steps]).alias(out)
+        for raw, out in columns.items()
+    ]
+    kept = [c for c in df.columns if not any(c in by_out.values() for by_out in names.values())]
+    return df.select(*kept, F.inline(F.array(F.struct(*findings))))
 
 
-def classify(c: Column | str) -> Column:
-    """What one text cell holds: `struct<num, text, type, was_changed, is_ambiguous, warning>`.
+def _trimmed(raw: Column) -> Column:
+    return strip(raw)
 
-    Exactly one of `num` and `text` is set for a non-null cell.  A cell that cannot be
-    read with certainty keeps its raw text and says why in `warning`.
-    """
-    raw = col(c)
-    s = strip(raw)
-    as_text = _finding(text=raw)
-
-    percent = F.when(
-        s.rlike("^[^%]*%$"),
-        _read_number(
-            strip(F.replace(s, F.lit("%"), F.lit(""))),
-            raw,
-            "percentage",
-            _finding(text=raw, warning="invalid_percentage_format"),
-            scale=100.0,
-        ),
-    ).otherwise(_finding(text=raw, warning="invalid_percentage_format"))
-
-    currency = (
+
+def _marked(raw: Column, s: Column) -> Column:
+    """`%`, `$` or nothing for the kind of number to look for, `!...` for a misplaced sign."""
+    return (
         F.when(
-            F.regexp_count(s, F.lit(CURRENCY)) > 1,
-            _finding(text=raw, warning="multiple_currency_symbols"),
+            s.contains("%"),
+            F.when(s.rlike("^[^%]*%$"), "%").otherwise("!invalid_percentage_format"),
         )
         .when(
-            ~s.rlike(rf"^{CURRENCY}|{CURRENCY}$"),
-            _finding(text=raw, warning="unsupported_currency_symbol_position"),
+            s.rlike(CURRENCY),
+            F.when(F.regexp_count(s, F.lit(CURRENCY)) > 1, "!multiple_currency_symbols")
+            .when(~s.rlike(rf"^{CURRENCY}|{CURRENCY}$"), "!unsupported_currency_symbol_position")
+            .when(~s.rlike(KNOWN_CURRENCY), "!unrecognized_currency_symbol")
+            .otherwise("$"),
         )
+        .otherwise("")
+    )
+
+
+def _body(raw: Column, s: Column, mark: Column) -> Column:
+    """The text that should be a number; NULL where none is expected."""
+    return (
+        F.when(mark == "%", strip(F.replace(s, F.lit("%"), F.lit(""))))
+        .when(mark == "$", strip(F.regexp_replace(s, KNOWN_CURRENCY, "")))
+        .when((mark == "") & s.rlike("^-?[0-9]"), s)
+    )
+
+
+def _code(raw: Column, s: Column, mark: Column, body: Column) -> Column:
+    """The type of a number, `!...` for a warning, NULL for neither."""
+    return (
+        F.when(body.isNull(), F.when(mark.startswith("!"), mark))
+        .when(body.rlike(THREE_DECIMALS), "!ambiguous_decimal_or_thousands")
         .when(
-            ~s.rlike(KNOWN_CURRENCY), _finding(text=raw, warning="unrecognized_currency_symbol")
-        )
-        .otherwise(
-            _read_number(
-                strip(F.regexp_replace(s, KNOWN_CURRENCY, "")),
-                raw,
-                "currency",
-                _finding(text=raw, warning="invalid_currency_format"),
-            )
+            body.rlike(PLAIN_NUMBER) | body.rlike(GROUPED_NUMBER),
+            F.when(mark == "%", "percentage").when(mark == "$", "currency").otherwise("numeric"),
         )
+        .when(body.rlike(LOOSE_COMMAS), "!ambiguous_thousands_separator")
+        .when(mark == "%", "!invalid_percentage_format")
+        .when(mark == "$", "!invalid_currency_format")
     )
 
-    day = parse_date(s)
-    iso_day = day.cast("string")
-    date = (
-        F.when(day.isNotNull(), _finding("date", text=iso_day, changed=iso_day != raw))
-        .when(s.rlike(UNCLEAR_DATE), _finding(text=raw, warning="ambiguous_date_format"))
-        .otherwise(as_text)
+
+def _values(raw: Column, s: Column, mark: Column, body: Column, code: Column) -> Column:
+    """`struct<num, day>`: the number, or the ISO day of a date."""
+    number = F.replace(body, F.lit(","), F.lit("")).try_cast("double")
+    return F.struct(
+        F.when(code == "percentage", number / F.lit(100.0))
+        .when(code.isin("numeric", "currency"), number)
+        .alias("num"),
+        F.when(code.isNull() & (mark == ""), parse_date(s).cast("string")).alias("day"),
     )
 
-    return (
-        F.when(raw.isNull() | (s == ""), as_text)
-        .when(s.contains("%"), percent)
-        .when(s.rlike(CURRENCY), currency)
-        .when(s.rlike("^-?[0-9]"), _read_number(s, raw, "numeric", date))
-        .when(s.rlike(DATE_SHAPES[2][0]), date)
-        .otherwise(as_text)
+
+def _finding(raw: Column, s: Column, mark: Column, body: Column, code: Column, values: Column) -> Column:
+    num, day = values["num"], values["day"]
+    unclear_date = code.isNull() & (mark == "") & day.isNull() & s.rlike(UNCLEAR_DATE)
+    warning = F.when(code.startswith("!"), F.substring(code, 2, 100)).when(
+        unclear_date, "ambiguous_date_format"
+    )
+    return F.struct(
+        num.alias("num"),
+        F.when(num.isNull(), F.coalesce(day, raw)).alias("text"),
+        F.when(num.isNotNull(), code).when(day.isNotNull(), "date").alias("type"),
+        (num.isNotNull() | F.coalesce(day != raw, F.lit(False))).alias("was_changed"),
+        warning.isNotNull().alias("is_ambiguous"),
+        warning.alias("warning"),
     )
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from sumwise.functions.basics import NUMBERS, by_keys, number_of
 from sumwise.functions.change import change
 from sumwise.functions.periods import STRICT_LABEL, month_label, month_of_label
-from sumwise.functions.text import classify, parse_timestamp
+from sumwise.functions.text import parse_timestamp, read_cells
 
 ROLLING_WINDOW = 3
 MIN_GROWTH_RATES = 2
@@ -35,11 +35,11 @@ def period_date(df: DataFrame, period: str) -> Column:
     return F.col(period).cast("date")
 
 
-def measure_of(df: DataFrame, name: str) -> Column:
-    """Number of a measure column; text cells are cleaned first."""
-    if isinstance(df.schema[name].dataType, T.StringType):
-        return classify(name)["num"]
-    return number_of(df, name)
+def with_measures(df: DataFrame, names: Sequence[str]) -> tuple[DataFrame, list[Column]]:
+    """`df` and the numbers of its measure columns; text cells are cleaned on the way."""
+    texts = [n for n in names if isinstance(df.schema[n].dataType, T.StringType)]
+    numbers = [F.col(f"__{n}.num") if n in texts else number_of(df, n) for n in names]
+    return (read_cells(df, {n: f"__{n}" for n in texts}) if texts else df), numbers
 
 
 def period_series(df: DataFrame, period: str, value: str, keys: Sequence[str] = ()) -> DataFrame:
@@ -57,11 +57,11 @@ def monthly_series(
     no rows here, and so no trend.
     """
     names = [values] if isinstance(values, str) else list(values)
-    rows = df.select(
-        *keys,
-        F.trunc(period_date(df, period), "MM").alias("__month"),
-        *[measure_of(df, n).alias(f"__v{i}") for i, n in enumerate(names)],
-    ).where(F.col("__month").isNotNull())
+    month = F.trunc(period_date(df, period), "MM").alias("__month")
+    df, numbers = with_measures(df.select(*{*keys, *names}, month), names)
+    rows = df.where(F.col("__month").isNotNull()).select(
+        *keys, "__month", *[v.alias(f"__v{i}") for i, v in enumerate(numbers)]
+    )
     sums = rows.groupBy(*keys, "__month").agg(
         *[F.coalesce(F.sum(f"__v{i}"), F.lit(0.0)).alias(f"__s{i}") for i in range(len(names))]
     )

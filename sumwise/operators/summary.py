@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sumwise.functions.basics import NUMBERS, TIMES, join_on, number_of
-from sumwise.functions.text import classify
+from sumwise.operators.clean import text_cells
 from sumwise.operators.quantile import SMALL_INPUT, exact_medians
 
 STATS = ["count", "missing_count", "sum", "mean", "median", "min", "max", "std"]
@@ -40,80 +41,59 @@ def numeric_summary(
     """
     keys = list(keys)
     fields = [f for f in df.schema.fields if f.name not in keys]
-    picked = []
-    for i, f in enumerate(fields):
-        is_text = isinstance(f.dataType, T.StringType)
-        if columns is not None and f.name not in columns:
-            continue
-        if isinstance(f.dataType, NUMBERS) or (clean_text and is_text):
-            picked.append((i, f.name, is_text))
-    if not picked:
+    picked = [(i, f) for i, f in enumerate(fields) if columns is None or f.name in columns]
+    numbers = [(i, f.name) for i, f in picked if isinstance(f.dataType, NUMBERS)]
+    texts = [(i, f.name) for i, f in picked if clean_text and isinstance(f.dataType, T.StringType)]
+    if not numbers and not texts:
         raise ValueError("no numeric columns")
 
-    found = df.select(
-        *keys,
-        *[
-            (classify(name).alias(f"__c{i}") if is_text else number_of(df, name).alias(f"__v{i}"))
-            for i, name, is_text in picked
-        ],
-    )
-    cells = found.select(
-        *keys,
-        *[(F.col(f"__c{i}.num") if is_text else F.col(f"__v{i}")).alias(f"__v{i}") for i, _, is_text in picked],
-        *[F.col(f"__c{i}.text").isNotNull().alias(f"__t{i}") for i, _, is_text in picked if is_text],
-    )
-
-    exprs = [F.count(F.lit(1)).alias("__rows")]
-    for i, _, is_text in picked:
-        v = F.col(f"__v{i}")
-        exprs += [
-            F.struct(
-                F.count(v).alias("count"),
-                F.sum(v).alias("sum"),
-                F.avg(v).alias("mean"),
-                F.min(v).alias("min"),
-                F.max(v).alias("max"),
-                F.stddev_samp(v).alias("std"),
-                (F.percentile_approx(v, 0.5, 10_000) if approx else F.lit(None).cast("double")).alias("median"),
-                (F.count_if(F.col(f"__t{i}")) if is_text else F.lit(0)).cast("long").alias("texts"),
-            ).alias(f"__s{i}")
+    def stats(v: Column) -> list[Column]:
+        median = F.percentile_approx(v, 0.5, 10_000) if approx else F.lit(None).cast("double")
+        return [
+            F.count(v).alias("count"),
+            (F.count(F.lit(1)) - F.count(v)).alias("missing_count"),
+            F.sum(v).alias("sum"),
+            F.avg(v).alias("mean"),
+            median.alias("median"),
+            F.min(v).alias("min"),
+            F.max(v).alias("max"),
+            F.stddev_samp(v).alias("std"),
         ]
-    wide = cells.groupBy(*keys).agg(*exprs)
-    per_column = F.array(
-        *[
-            F.struct(F.lit(i).alias("position"), F.lit(name).alias("name"), F.col(f"__s{i}").alias("s"))
-            for i, name, _ in picked
-        ]
-    )
-    long = (
-        wide.select(*keys, "__rows", F.explode(per_column).alias("c"))
-        .where(F.col("c.s.texts") == 0)
-        .select(
-            *keys,
-            "c.position",
-            "c.name",
-            "c.s.count",
-            (F.col("__rows") - F.col("c.s.count")).alias("missing_count"),
-            *[f"c.s.{x}" for x in ("sum", "mean", "median", "min", "max", "std")],
+
+    parts, values = [], []
+    if numbers:
+        cells = df.select(*keys, *[number_of(df, name).alias(f"__v{i}") for i, name in numbers])
+        wide = cells.groupBy(*keys).agg(*[F.struct(*stats(F.col(f"__v{i}"))).alias(f"__s{i}") for i, _ in numbers])
+        per_column = F.array(
+            *[F.struct(F.lit(i).alias("position"), F.col(f"__s{i}").alias("s")) for i, _ in numbers]
         )
-    )
-    if approx:
-        return long
-    values = cells.select(
-        *keys,
-        F.explode(
-            F.array(
-                *[
-                    F.struct(F.lit(i).alias("position"), F.col(f"__v{i}").alias("value"))
-                    for i, _, _ in picked
-                ]
+        parts.append(
+            wide.select(*keys, F.explode(per_column).alias("c")).select(
+                *keys, "c.position", *[f"c.s.{x}" for x in STATS]
             )
-        ).alias("c"),
-    ).select(*keys, "c.position", "c.value")
-    medians = exact_medians(values, [*keys, "position"], small_input)
-    return join_on(long.drop("median"), medians, [*keys, "position"]).select(
-        *keys, "position", "name", *STATS
+        )
+        long = cells.select(*keys, *[F.col(f"__v{i}").alias(str(i)) for i, _ in numbers]).unpivot(
+            keys, [str(i) for i, _ in numbers], "position", "value"
+        )
+        values.append(long.select(*keys, F.col("position").cast("int").alias("position"), "value"))
+    if texts:
+        cells = text_cells(df, keys, [name for _, name in texts])
+        parts.append(
+            cells.groupBy(*keys, "position")
+            .agg(F.count("found.text").alias("__texts"), *stats(F.col("found.num")))
+            .where(F.col("__texts") == 0)
+            .drop("__texts")
+        )
+        values.append(cells.select(*keys, "position", F.col("found.num").alias("value")))
+
+    header = df.sparkSession.createDataFrame(
+        [(i, name) for i, name in [*numbers, *texts]], "position int, name string"
     )
+    summary = reduce(DataFrame.unionByName, parts).join(F.broadcast(header), "position")
+    if not approx:
+        medians = exact_medians(reduce(DataFrame.unionByName, values), [*keys, "position"], small_input)
+        summary = join_on(summary.drop("median"), medians, [*keys, "position"])
+    return summary.select(*keys, "position", "name", *STATS)
 
 
 def date_summary(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
