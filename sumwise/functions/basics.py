@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Iterable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -56,6 +58,29 @@ def join_on(left: DataFrame, right: DataFrame, keys: Iterable[str], how: str = "
     return joined.drop(*[f"__r_{k}" for k in keys]) if how not in ("left_semi", "left_anti") else joined
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder every executor reaches; a temporary one only where none is set, as in tests."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None:
+        named = spark.sparkContext.getCheckpointDir()
+    if named is None:
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="sumwise-"))
+        named = spark.sparkContext.getCheckpointDir()
+    return named
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """`df` written to the shared folder and read back.
+
+    For small results that many later steps read: their size is known from then on, and
+    a lost executor does not bring back the scans they came from.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/sumwise/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def plan_bytes(df: DataFrame) -> int:
     """Size of `df` as the optimizer estimates it, after column pruning."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

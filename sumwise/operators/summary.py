@@ -15,6 +15,25 @@ from sumwise.operators.quantile import SMALL_INPUT, exact_medians
 
 STATS = ["count", "missing_count", "sum", "mean", "median", "min", "max", "std"]
 
+SUMMARY_TYPES = {"position": "int", "name": "string"} | {
+    s: "bigint" if s.endswith("count") else "double" for s in STATS
+}
+DATE_TYPES = {
+    "position": "int",
+    "name": "string",
+    "count": "bigint",
+    "missing_count": "bigint",
+    "min": "string",
+    "max": "string",
+    "duration_days": "bigint",
+}
+
+
+def nothing(df: DataFrame, keys: Sequence[str], types: dict[str, str]) -> DataFrame:
+    """No rows, with the keys of `df` and columns of the given types."""
+    empty = [F.lit(None).cast(t).alias(c) for c, t in types.items()]
+    return df.select(*keys, *empty).where(F.lit(False))
+
 
 def numeric_columns(df: DataFrame, keys: Sequence[str] = ()) -> list[tuple[int, str]]:
     """(position, name) of the columns of a numeric type."""
@@ -45,7 +64,7 @@ def numeric_summary(
     numbers = [(i, f.name) for i, f in picked if isinstance(f.dataType, NUMBERS)]
     texts = [(i, f.name) for i, f in picked if clean_text and isinstance(f.dataType, T.StringType)]
     if not numbers and not texts:
-        raise ValueError("no numeric columns")
+        return nothing(df, keys, SUMMARY_TYPES)
 
     def stats(v: Column) -> list[Column]:
         median = F.percentile_approx(v, 0.5, 10_000) if approx else F.lit(None).cast("double")
@@ -105,7 +124,7 @@ def date_summary(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     fields = [f for f in df.schema.fields if f.name not in keys]
     dates = [(i, f.name) for i, f in enumerate(fields) if isinstance(f.dataType, TIMES)]
     if not dates:
-        raise ValueError("no date columns")
+        return nothing(df, keys, DATE_TYPES)
     exprs = [F.count(F.lit(1)).alias("__rows")]
     for i, name in dates:
         moment = F.col(name).cast("timestamp_ntz")
