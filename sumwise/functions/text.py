@@ -210,18 +210,13 @@ def double_text(c: Column | str) -> Column:
     """A double written the way the answers write it: `460000.0`, `1e+16`, `1e-05`."""
     d = col(c).cast("double")
     s = d.cast("string")
-    size = F.abs(d)
-    plain = F.regexp_replace(
-        F.regexp_replace(d.try_cast("decimal(38,21)").cast("string"), "0+$", ""), r"\.$", ".0"
-    )
-    mantissa = F.regexp_replace(F.regexp_extract(s, r"^(-?[0-9.]+)E", 1), r"\.0$", "")
-    power = F.regexp_extract(s, r"E(-?[0-9]+)$", 1).try_cast("int")
-    sign = F.when(power < 0, "-").otherwise("+")
-    exponent = F.concat(
-        mantissa, F.lit("e"), sign, F.lpad(F.abs(power).cast("string"), F.greatest(F.length(F.abs(power).cast("string")), F.lit(2)), "0")
-    )
+    digits = d.try_cast("decimal(38,21)").cast("string")
+    plain = F.regexp_replace(digits, r"(\.0|\.[0-9]*[1-9])0*$", "$1")
+    short = F.regexp_replace(s, r"\.0E", "E")
+    padded = F.regexp_replace(short, "E(-?)([0-9])$", "E$10$2")
+    exponent = F.replace(F.regexp_replace(padded, "E([0-9])", "e+$1"), F.lit("E"), F.lit("e"))
     return (
         F.when(~s.contains("E"), s)
-        .when((size >= 1e16) | (size < 1e-4), exponent)
-        .otherwise(F.when(plain.contains("."), plain).otherwise(F.concat(plain, F.lit(".0"))))
+        .when((F.abs(d) >= 1e16) | (F.abs(d) < 1e-4), exponent)
+        .otherwise(plain)
     )

@@ -244,26 +244,31 @@ def counted_anomalies(count: Column, suffix: Column) -> Column:
     )
 
 
-def answer_text() -> Column:
-    """The answer to a grounded result as a sentence; every number comes from the result."""
+def with_answers(results: DataFrame) -> DataFrame:
+    """Grounded results with the answer as a sentence; every number comes from the result."""
     intent, extra = F.col("intent"), F.col("extra")
     column, period = named("column"), named("period")
     metric = extra["metric"]
-    value = F.when(metric == "count", shown_count("value")).otherwise(shown("value"))
+    numbers = {"__value": F.when(metric == "count", shown_count("value")).otherwise(shown("value"))} | {
+        f"__{c}": shown(extra[c]) for c in ("previous", "current", "absolute_change", "percentage_change")
+    }
+    value = F.col("__value")
     extreme = F.when(metric == "min", "lowest").when(metric == "max", "highest").otherwise("extreme")
-    pct = extra["percentage_change"]
     suffix = F.coalesce(F.concat(F.lit(" for "), F.col("column")), F.lit(""))
     sentences = {
-        "period_value": F.concat(column, F.lit(" in "), period, F.lit(" was "), shown("value"), F.lit(".")),
+        "period_value": F.concat(column, F.lit(" in "), period, F.lit(" was "), value, F.lit(".")),
         "period_extremum": F.concat(
-            F.lit("The "), extreme, F.lit(" value of "), column, F.lit(" was "), shown("value"),
+            F.lit("The "), extreme, F.lit(" value of "), column, F.lit(" was "), value,
             F.lit(", in "), period, F.lit("."),
         ),
         "period_change": F.concat(
-            column, F.lit(" changed from "), shown(extra["previous"]), F.lit(" in "), named(extra["from_period"]),
-            F.lit(" to "), shown(extra["current"]), F.lit(" in "), named(extra["to_period"]),
-            F.lit(", a change of "), shown(extra["absolute_change"]),
-            F.when(pct.isNotNull(), F.concat(F.lit(" ("), shown(pct), F.lit("%)"))).otherwise(""),
+            column, F.lit(" changed from "), F.col("__previous"), F.lit(" in "), named(extra["from_period"]),
+            F.lit(" to "), F.col("__current"), F.lit(" in "), named(extra["to_period"]),
+            F.lit(", a change of "), F.col("__absolute_change"),
+            F.when(
+                extra["percentage_change"].isNotNull(),
+                F.concat(F.lit(" ("), F.col("__percentage_change"), F.lit("%)")),
+            ).otherwise(""),
             F.lit("."),
         ),
         "column_stat": F.concat(
@@ -276,8 +281,5 @@ def answer_text() -> Column:
         "missing_values": missing_sentence(extra["columns"]),
     }
     text = F.coalesce(*[F.when(intent == name, s) for name, s in sentences.items()], F.lit(UNKNOWN_FAILURE))
-    return F.when(F.col("found"), text).otherwise(failure_text(F.col("reason"), extra["candidates"]))
-
-
-def with_answers(results: DataFrame) -> DataFrame:
-    return results.withColumn("answer", answer_text())
+    answer = F.when(F.col("found"), text).otherwise(failure_text(F.col("reason"), extra["candidates"]))
+    return results.withColumns(numbers).select(*results.columns, answer.alias("answer"))
