@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterable
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
@@ -81,6 +82,13 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stored_together(*frames: DataFrame) -> list[DataFrame]:
+    """`stored` for several results at once, so that their jobs share the cluster."""
+    shared_dir(frames[0].sparkSession)
+    with ThreadPoolExecutor(len(frames)) as pool:
+        return list(pool.map(stored, frames))
+
+
 def plan_bytes(df: DataFrame) -> int:
     """Size of `df` as the optimizer estimates it, after column pruning."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

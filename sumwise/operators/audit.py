@@ -120,20 +120,32 @@ def audit_evidence_responses(
     that are not among the evidence of the response, and claims of a cause.
     """
     facts = evidence_payload(evidence, keys, json)
-    joined = join_on(responses, facts.select(*keys, F.col("payload").alias("__facts"), "known_ids"), keys)
-    asked = F.struct(F.col(question)) if question else None
-    listed = F.coalesce("__facts", F.lit("[]"))
-    payload = F.concat(listed, F.lit(","), F.to_json(asked)) if asked is not None else listed
-    read = _read(joined.withColumn("__payload", payload), response)
+    joined = join_on(
+        responses, facts.select(*keys, F.col("payload").alias("__facts"), F.col("known_ids").alias("__known")), keys
+    )
+    return audit_cited(joined, response, "__facts", "__known", question).drop("__facts", "__known")
+
+
+def audit_cited(
+    pairs: DataFrame, response: str, payload: str, known_ids: str, question: str | None = None
+) -> DataFrame:
+    """As `audit_evidence_responses`, where each row brings its evidence.
+
+    `payload` is a JSON list, `known_ids` the ids in it; NULL means no evidence.
+    """
+    listed = F.coalesce(payload, F.lit("[]"))
+    if question:
+        listed = F.concat(listed, F.lit(","), F.to_json(F.struct(F.col(question))))
+    read = _read(pairs.withColumn("__payload", listed), response)
     exact = F.array_sort("__keys") == F.array(*[F.lit(k) for k in sorted([*INSIGHT_KEYS, CITED])])
     cited = F.try_variant_get("__v", f"$.{CITED}", "array<string>")
     all_text = _type_of(CITED).isin("ARRAY<STRING>", "ARRAY<VOID>") | (
         F.size(F.try_variant_get("__v", f"$.{CITED}", "array<variant>")) == 0
     )
     no_ids = F.array().cast("array<string>")
-    unknown = F.size(F.array_except(cited, F.coalesce("known_ids", no_ids))) > 0
+    unknown = F.size(F.array_except(cited, F.coalesce(known_ids, no_ids))) > 0
     reason = F.coalesce(
-        provider_error(responses),
+        provider_error(pairs),
         F.when(_blank(response), "empty_response"),
         F.when(~F.coalesce(_has_insight_shape() & exact & all_text, F.lit(False)), "malformed_output"),
         F.when(_invented("__payload"), "hallucinated_numeric_value"),
@@ -143,7 +155,7 @@ def audit_evidence_responses(
     checked = read.withColumn("reason", reason)
     ok = F.col("reason").isNull()
     return checked.select(
-        *responses.columns,
+        *pairs.columns,
         ok.alias("is_valid"),
         "reason",
         _insight(ok, INSIGHT_KEYS),

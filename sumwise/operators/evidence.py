@@ -59,6 +59,15 @@ def evidence_of_answers(
     Every value is read from the result.  `file_label` names the file in the source; it
     must not be an internal id.
     """
+    return answer_facts(results.where("found"), ids, file_label, start_index).where(
+        F.col("evidence_id").isNotNull()
+    )
+
+
+def answer_facts(
+    results: DataFrame, ids: Sequence[str], file_label: Column | str | None = None, start_index: int = 1
+) -> DataFrame:
+    """As `evidence_of_answers`, row by row: a result without evidence has no id."""
     label = F.col(file_label) if isinstance(file_label, str) else file_label
     extra, intent = F.col("extra"), F.col("intent")
     kind = F.when(intent == "anomaly_check", "anomaly_summary").otherwise(intent)
@@ -67,9 +76,9 @@ def evidence_of_answers(
         return F.when(intent.isin(*intents), c)
 
     changed = ["previous", "current", "absolute_change", "percentage_change", "is_valid"]
-    return results.where(F.col("found") & (intent != "unsupported")).select(
+    return results.select(
         *ids,
-        evidence_id(start_index).alias("evidence_id"),
+        F.when(F.col("found") & (intent != "unsupported"), evidence_id(start_index)).alias("evidence_id"),
         kind.alias("type"),
         _source(
             file=F.lit(None) if label is None else label,
@@ -92,15 +101,20 @@ def evidence_of_answers(
 
 def evidence_of_comparisons(comparisons: DataFrame, ids: Sequence[str], start_index: int = 1) -> DataFrame:
     """One piece of evidence per found result of `plans.comparison.compare_datasets`."""
+    return comparison_facts(comparisons.where("found"), ids, start_index)
+
+
+def comparison_facts(comparisons: DataFrame, ids: Sequence[str], start_index: int = 1) -> DataFrame:
+    """As `evidence_of_comparisons`, row by row: a result without evidence has no id."""
 
     def label(side: str) -> Column:
         f = F.col(f"file_{side}")
         return F.coalesce(*[F.when(f[c] != "", f[c]) for c in ("display_name", "role")])
 
     source = _source(column=F.col("column"), period=F.col("period"), file_a=label("a"), file_b=label("b"))
-    return comparisons.where("found").select(
+    return comparisons.select(
         *ids,
-        evidence_id(start_index).alias("evidence_id"),
+        F.when(F.col("found"), evidence_id(start_index)).alias("evidence_id"),
         F.lit("file_comparison").alias("type"),
         source.alias("source"),
         "comparison_type",

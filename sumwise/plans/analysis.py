@@ -8,7 +8,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sumwise.functions.basics import join_on, stored
+from sumwise.functions.basics import join_on, stored_together
 from sumwise.operators.anomaly import iqr_summary
 from sumwise.operators.clean import normalize_table
 from sumwise.operators.profile import column_profile, missing_columns, table_profile
@@ -41,11 +41,11 @@ class Analysis:
 
     def kept(self) -> Analysis:
         """The results later plans look things up in, written once to the shared folder."""
-        series = stored(self.series)
+        profile, numbers, series = stored_together(self.profile, self.numeric_summary, self.series)
         return replace(
             self,
-            profile=stored(self.profile),
-            numeric_summary=stored(self.numeric_summary),
+            profile=profile,
+            numeric_summary=numbers,
             series=series,
             **from_series(series, self.keys),
         )

@@ -17,7 +17,7 @@ from sumwise.plans.grounding import (
     ground,
     missed,
     no_names,
-    one_column_summary,
+    no_series,
     period_reason,
     trend_column,
     trend_reason,
@@ -74,25 +74,24 @@ def chart_specs(intents: DataFrame, analysis: Analysis, ids: Sequence[str] = ("r
     keys = list(analysis.keys)
     own = {k: k for k in keys}
     q = ground(intents, analysis, ["from_period_hint", "to_period_hint"])
-    q = attach(q, trend_points(analysis), own, "t_")
-    q = attach(q, change_points(analysis), own, "d_")
-    q = attach(q, missing_points(analysis), own, "p_")
-    q = attach(q, one_column_summary(analysis, keys), {**own, "name": "c_column"}, "m_")
+    q = attach(q, trend_points(analysis), own, "t")
+    q = attach(q, change_points(analysis), own, "d")
+    q = attach(q, missing_points(analysis), own, "p")
 
     intent = F.col("intent")
     metric = F.coalesce("metric", F.lit("sum"))
-    no_series = F.when(missed("s_"), "trend_not_computed")
+    untrended = F.when(no_series(), "trend_not_computed")
     year = year_of("period_hint")
-    in_year = F.filter("t_points", lambda p: p["x"].startswith(F.concat(year, F.lit("-"))))
+    in_year = F.filter("t.points", lambda p: p["x"].startswith(F.concat(year, F.lit("-"))))
     ranged = given("from_period_hint"), given("to_period_hint")
-    pair_label = F.concat_ws(" → ", "from_period_hint_period", "to_period_hint_period")
-    one_change = F.filter("d_points", lambda p: p["x"] == pair_label)
+    pair_label = F.concat_ws(" → ", "at_from_period_hint.period", "at_to_period_hint.period")
+    one_change = F.filter("d.points", lambda p: p["x"] == pair_label)
 
     reason = (
         F.when(
             intent == "trend_chart",
             F.coalesce(
-                no_series,
+                untrended,
                 trend_reason(),
                 F.when(given("period_hint") & year.isNotNull() & (F.size(in_year) == 0), "period_not_found"),
             ),
@@ -108,7 +107,7 @@ def chart_specs(intents: DataFrame, analysis: Analysis, ids: Sequence[str] = ("r
         .when(
             intent == "period_change_chart",
             F.coalesce(
-                F.when(missed("s_"), "period_comparison_not_computed"),
+                F.when(no_series(), "period_comparison_not_computed"),
                 trend_reason(),
                 F.when(ranged[0] != ranged[1], "period_range_incomplete"),
                 F.when(
@@ -123,7 +122,7 @@ def chart_specs(intents: DataFrame, analysis: Analysis, ids: Sequence[str] = ("r
                 ),
             ),
         )
-        .when(intent == "missing_values_chart", F.when(missed("p_"), "profile_not_available"))
+        .when(intent == "missing_values_chart", F.when(missed("p"), "profile_not_available"))
         .otherwise("unsupported")
     )
     q = q.withColumn("reason", reason)
@@ -132,24 +131,24 @@ def chart_specs(intents: DataFrame, analysis: Analysis, ids: Sequence[str] = ("r
     def on(name: str) -> Column:
         return ok & (intent == name)
 
-    by_metric = F.coalesce(*[F.when(metric == m, F.col(f"m_stats.{m}").cast("double")) for m in SUMMARY_METRICS])
+    by_metric = F.coalesce(*[F.when(metric == m, F.col(f"c.stats.{m}").cast("double")) for m in SUMMARY_METRICS])
     bar = F.array(
-        F.struct(F.col("c_column").alias("x"), by_metric.alias("y"), F.lit(None).cast("string").alias("direction"))
+        F.struct(F.col("c.column").alias("x"), by_metric.alias("y"), F.lit(None).cast("string").alias("direction"))
     )
     points = (
-        F.when(on("trend_chart"), F.when(year.isNotNull(), in_year).otherwise(F.col("t_points")))
+        F.when(on("trend_chart"), F.when(year.isNotNull(), in_year).otherwise(F.col("t.points")))
         .when(on("numeric_summary_chart"), bar)
         .when(
             on("period_change_chart"),
-            F.when(ranged[0], one_change).otherwise(F.coalesce("d_points", F.array().cast(POINTS))),
+            F.when(ranged[0], one_change).otherwise(F.coalesce("d.points", F.array().cast(POINTS))),
         )
-        .when(on("missing_values_chart"), F.col("p_points"))
+        .when(on("missing_values_chart"), F.col("p.points"))
     )
     chart_type = F.coalesce(*[F.when(on(name), t) for name, t in CHARTS.items()])
-    candidates = F.when(F.col("reason") == "ambiguous_column", F.col("c_candidates")).when(
+    candidates = F.when(F.col("reason") == "ambiguous_column", F.col("c.candidates")).when(
         F.col("reason") == "ambiguous_period",
-        F.when(F.col("from_period_hint_reason").isNotNull(), F.col("from_period_hint_candidates")).otherwise(
-            F.col("to_period_hint_candidates")
+        F.when(F.col("at_from_period_hint.reason").isNotNull(), F.col("at_from_period_hint.candidates")).otherwise(
+            F.col("at_to_period_hint.candidates")
         ),
     )
     of_range = on("period_change_chart") & ranged[0]
@@ -160,12 +159,12 @@ def chart_specs(intents: DataFrame, analysis: Analysis, ids: Sequence[str] = ("r
         ok.alias("found"),
         "reason",
         chart_type.alias("chart_type"),
-        F.when(on("numeric_summary_chart"), F.col("c_column"))
+        F.when(on("numeric_summary_chart"), F.col("c.column"))
         .when(on("trend_chart") | on("period_change_chart"), trend_column())
         .alias("column"),
         F.when(on("numeric_summary_chart"), metric).alias("metric"),
-        F.when(of_range, F.col("from_period_hint_period")).alias("from_period"),
-        F.when(of_range, F.col("to_period_hint_period")).alias("to_period"),
+        F.when(of_range, F.col("at_from_period_hint.period")).alias("from_period"),
+        F.when(of_range, F.col("at_to_period_hint.period")).alias("to_period"),
         F.coalesce(points, F.array().cast(POINTS)).alias("points"),
         F.coalesce(candidates, no_names()).alias("candidates"),
     )

@@ -7,19 +7,20 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sumwise.functions.basics import join_on, stored_together
 from sumwise.functions.change import change
 from sumwise.functions.text import strip
-from sumwise.operators.resolve import file_lookup, period_lookup, resolve_hints
+from sumwise.operators.resolve import file_lookup
 from sumwise.operators.summary import STATS
 from sumwise.plans.analysis import Analysis
 from sumwise.plans.grounding import (
     attach,
-    distinct_hints,
+    column_lookup,
+    dataset_facts,
     given,
     missed,
+    month_lookup,
     no_names,
-    one_column_summary,
-    series_facts,
 )
 from sumwise.plans.questions import UNKNOWN_FAILURE, failure_text, named, shown, shown_count
 from sumwise.sources.tables import FILE_ROLES
@@ -36,22 +37,23 @@ SUFFIXED = ["column_not_found", "ambiguous_column", "period_not_found", "ambiguo
 
 
 def _with_datasets(requests: DataFrame, datasets: DataFrame, scope: Sequence[str]) -> DataFrame:
-    """`requests` with the dataset each hint means, or why none, as `fa_*` and `fb_*`."""
+    """`requests` with the datasets their hints match, as `fa` and `fb`, and their number in `n`."""
     own = {k: k for k in scope}
+    identity = datasets.select(F.col("dataset_id"), F.struct("dataset_id", "display_name", "role").alias("file"))
     lookup = file_lookup(datasets, scope)
-    identity = datasets.select(*scope, "dataset_id", "display_name", "role")
-    out = attach(requests, datasets.groupBy(*scope).agg(F.count(F.lit(1)).alias("files")), own, "n_")
+    one = F.when(F.size("__ids") == 1, F.col("__ids")[0])
+    lookup = join_on(lookup.withColumn("dataset_id", one), identity, ["dataset_id"])
+    known, counts = stored_together(lookup, datasets.groupBy(*scope).agg(F.count(F.lit(1)).alias("files")))
+    out = attach(requests, counts, own, "n")
     for side, hint in zip(SIDES, ("from_file_hint", "to_file_hint"), strict=True):
         word = F.lower(strip(hint))
         kind = F.when(word.isin(FILE_ROLES), "role").otherwise("name")
-        out = attach(out, lookup, {**own, "__kind": kind, "__hint": F.when(word != "", word)}, f"f{side}_")
-        one = F.when(F.size(f"f{side}___ids") == 1, F.col(f"f{side}___ids")[0])
-        out = attach(out, identity, {**own, "dataset_id": one}, f"i{side}_")
+        out = attach(out, known, {**own, "__kind": kind, "__hint": F.when(word != "", word)}, f"f{side}")
     return out
 
 
 def _file_reason(side: str, hint: str) -> Column:
-    ids = F.col(f"f{side}___ids")
+    ids = F.col(f"f{side}.__ids")
     return (
         F.when(F.size(ids) > 1, "duplicate_role")
         .when(F.size(ids) == 1, None)
@@ -79,57 +81,43 @@ def compare_datasets(
     """
     if list(analysis.keys) != ["dataset_id"]:
         raise ValueError("the analysis must be keyed by dataset_id")
-    keys = ["dataset_id"]
     q = _with_datasets(requests, datasets, scope)
-    pair = F.array(F.col("ia_dataset_id"), F.col("ib_dataset_id"))
+    pair = F.array(F.col("fa.dataset_id"), F.col("fb.dataset_id"))
     asked = q.select(F.explode(pair).alias("dataset_id"), "column_hint", "period_hint").where(
         F.col("dataset_id").isNotNull()
     )
-    columns = analysis.numeric_summary.select(*keys, "position", "name")
-    by_column = resolve_hints(distinct_hints(asked, keys, ["column_hint"]), columns, keys)
-    by_period = period_lookup(distinct_hints(asked, keys, ["period_hint"]), analysis.series, keys)
-    facts = series_facts(analysis, keys)
-    summary = one_column_summary(analysis, keys)
-    points = analysis.series.select(*keys, "period", "value")
-    trends = analysis.trend.drop("column")
-    trends = trends.select(*keys, "trend", F.struct(*[c for c in trends.columns if c not in keys]).alias("facts"))
-    found_anomalies = analysis.anomalies.drop("column")
-    found_anomalies = found_anomalies.select(
-        *keys, "anomaly_count", F.struct(*[c for c in found_anomalies.columns if c not in keys]).alias("facts")
+    facts, columns, months = stored_together(
+        dataset_facts(analysis), column_lookup(asked, analysis), month_lookup(asked, analysis, ["period_hint"])
     )
     for s in SIDES:
-        own = {"dataset_id": f"i{s}_dataset_id"}
-        q = attach(q, facts, own, f"s{s}_")
-        q = attach(q, by_column, {**own, "__hint": strip("column_hint")}, f"c{s}_")
-        q = attach(q, by_period, {**own, "__hint": strip("period_hint")}, f"p{s}_")
-        q = attach(q, summary, {**own, "name": f"c{s}_column"}, f"m{s}_")
-        q = attach(q, points, {**own, "period": f"p{s}_period"}, f"v{s}_")
-        q = attach(q, trends, own, f"t{s}_")
-        q = attach(q, found_anomalies, own, f"a{s}_")
+        own = {"dataset_id": f"f{s}.dataset_id"}
+        q = attach(q, facts, own, f"d{s}")
+        q = attach(q, columns, {**own, "__hint": strip("column_hint")}, f"c{s}")
+        q = attach(q, months, {**own, "__hint": strip("period_hint")}, f"p{s}")
 
     kind = F.col("intent")
     file_reason = F.coalesce(
         F.when(~F.coalesce(kind.isin(COMPARISONS), F.lit(False)), "unsupported_comparison"),
-        F.when(F.coalesce(F.col("n_files"), F.lit(0)) < 2, "insufficient_files"),
+        F.when(F.coalesce(F.col("n.files"), F.lit(0)) < 2, "insufficient_files"),
         _file_reason("a", "from_file_hint"),
         _file_reason("b", "to_file_hint"),
-        F.when(F.col("ia_dataset_id") == F.col("ib_dataset_id"), "insufficient_files"),
+        F.when(F.col("fa.dataset_id") == F.col("fb.dataset_id"), "insufficient_files"),
     )
 
     def value_reason(s: str) -> Column:
-        own = F.when(missed(f"c{s}_"), "column_not_found").otherwise(F.col(f"c{s}_reason"))
+        own = F.when(missed(f"c{s}"), "column_not_found").otherwise(F.col(f"c{s}.reason"))
         return _in_file(own, s)
 
     def trend_reason(s: str) -> Column:
-        plain = F.when(missed(f"c{s}_"), "column_not_found").otherwise(F.col(f"c{s}_reason"))
-        mismatch = F.when(F.col(f"c{s}_column") != F.col(f"s{s}_column"), "column_series_mismatch")
+        plain = F.when(missed(f"c{s}"), "column_not_found").otherwise(F.col(f"c{s}.reason"))
+        mismatch = F.when(F.col(f"c{s}.column") != F.col(f"d{s}.series.column"), "column_series_mismatch")
         return F.when(given("column_hint"), F.coalesce(_in_file(plain, s), mismatch))
 
     def period_reason(s: str) -> Column:
-        own = F.when(missed(f"p{s}_"), "period_not_found").otherwise(F.col(f"p{s}_reason"))
+        own = F.when(missed(f"p{s}"), "period_not_found").otherwise(F.col(f"p{s}.reason"))
         return _in_file(own, s)
 
-    no_trend = F.coalesce(*[F.when(missed(f"s{s}_"), f"trend_not_computed_in_file_{s}") for s in SIDES])
+    no_trend = F.coalesce(*[F.when(F.col(f"d{s}.series").isNull(), f"trend_not_computed_in_file_{s}") for s in SIDES])
     on_series = F.coalesce(no_trend, trend_reason("a"), trend_reason("b"))
     reason = F.coalesce(
         file_reason,
@@ -140,11 +128,11 @@ def compare_datasets(
     )
 
     def side_value(s: str) -> Column:
-        by_metric = [F.when(F.col("metric") == m, F.col(f"m{s}_stats.{m}").cast("double")) for m in STATS]
+        by_metric = [F.when(F.col("metric") == m, F.col(f"c{s}.stats.{m}").cast("double")) for m in STATS]
         return (
             F.when(kind == "file_value_comparison", F.coalesce(*by_metric))
-            .when(kind == "file_period_comparison", F.col(f"v{s}_value"))
-            .when(kind == "file_anomaly_comparison", F.col(f"a{s}_anomaly_count").cast("double"))
+            .when(kind == "file_period_comparison", F.col(f"p{s}.value"))
+            .when(kind == "file_anomaly_comparison", F.col(f"d{s}.anomalies.anomaly_count").cast("double"))
         )
 
     q = q.withColumns(
@@ -161,35 +149,35 @@ def compare_datasets(
     on_value = F.coalesce(kind == "file_value_comparison", F.lit(False)) & F.col("__files").isNull()
 
     def series_column(s: str) -> Column:
-        return F.when(given("column_hint"), F.col(f"c{s}_column")).otherwise(F.col(f"s{s}_column"))
+        return F.when(given("column_hint"), F.col(f"c{s}.column")).otherwise(F.col(f"d{s}.series.column"))
 
     def identity(s: str) -> Column:
         return F.when(
             F.col("__files").isNull(),
-            F.struct(*[F.col(f"i{s}_{c}").alias(c) for c in ("dataset_id", "display_name", "role")]),
+            F.col(f"f{s}.file"),
         )
 
     def candidates() -> Column:
         r = F.col("__reason")
-        options = [F.when(r.endswith(f"column_in_file_{s}"), F.col(f"c{s}_candidates")) for s in SIDES]
-        options += [F.when(r.endswith(f"period_in_file_{s}"), F.col(f"p{s}_candidates")) for s in SIDES]
+        options = [F.when(r.endswith(f"column_in_file_{s}"), F.col(f"c{s}.candidates")) for s in SIDES]
+        options += [F.when(r.endswith(f"period_in_file_{s}"), F.col(f"p{s}.candidates")) for s in SIDES]
         options += [
-            F.when(F.size("fa___ids") > 1, F.col("fa___ids")),
-            F.when(F.size("fb___ids") > 1, F.col("fb___ids")),
+            F.when(F.size("fa.__ids") > 1, F.col("fa.__ids")),
+            F.when(F.size("fb.__ids") > 1, F.col("fb.__ids")),
         ]
         return F.coalesce(F.when(~ok, F.coalesce(*options)), no_names())
 
-    column = F.when(kind == "file_value_comparison", F.col("ca_column")).otherwise(series_column("a"))
+    column = F.when(kind == "file_value_comparison", F.col("ca.column")).otherwise(series_column("a"))
     extra = F.struct(
         candidates().alias("candidates"),
         F.when(numeric, F.col("__change.reason")).alias("compare_reason"),
-        F.when(ok & on_value & (F.col("ca_column") != F.col("cb_column")), F.col("cb_column")).alias("column_file_b"),
+        F.when(ok & on_value & (F.col("ca.column") != F.col("cb.column")), F.col("cb.column")).alias("column_file_b"),
         F.when(
-            ok & (kind == "file_period_comparison") & (F.col("pa_period") != F.col("pb_period")), F.col("pb_period")
+            ok & (kind == "file_period_comparison") & (F.col("pa.period") != F.col("pb.period")), F.col("pb.period")
         ).alias("period_file_b"),
-        *[F.when(on_trend, F.col(f"t{s}_facts")).alias(f"file_{s}_trend") for s in SIDES],
+        *[F.when(on_trend, F.col(f"d{s}.trend")).alias(f"file_{s}_trend") for s in SIDES],
         *[
-            F.when(ok & (kind == "file_anomaly_comparison"), F.col(f"a{s}_facts")).alias(f"file_{s}_anomalies")
+            F.when(ok & (kind == "file_anomaly_comparison"), F.col(f"d{s}.anomalies")).alias(f"file_{s}_anomalies")
             for s in SIDES
         ],
     )
@@ -201,13 +189,13 @@ def compare_datasets(
         kind.alias("comparison_type"),
         F.when(on_value, F.col("metric")).alias("metric"),
         F.when(ok, column).alias("column"),
-        F.when(ok & (kind == "file_period_comparison"), F.col("pa_period")).alias("period"),
+        F.when(ok & (kind == "file_period_comparison"), F.col("pa.period")).alias("period"),
         identity("a").alias("file_a"),
         identity("b").alias("file_b"),
         F.when(numeric, F.col("__change.previous")).alias("previous_num"),
         F.when(numeric, F.col("__change.current")).alias("current_num"),
-        F.when(on_trend, F.col("ta_trend")).alias("previous_label"),
-        F.when(on_trend, F.col("tb_trend")).alias("current_label"),
+        F.when(on_trend, F.col("da.trend.trend")).alias("previous_label"),
+        F.when(on_trend, F.col("db.trend.trend")).alias("current_label"),
         F.when(numeric, F.col("__change.absolute_change")).alias("absolute_change"),
         F.when(numeric, F.col("__change.percentage_change")).alias("percentage_change"),
         F.when(on_trend, True).when(numeric, F.col("__change.is_valid")).alias("is_valid"),

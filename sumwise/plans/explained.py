@@ -8,27 +8,36 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sumwise.functions.basics import join_on
-from sumwise.operators.audit import audit_evidence_responses
-from sumwise.operators.evidence import (
-    evidence_json,
-    evidence_of_answers,
-    evidence_of_comparisons,
-    with_evidence_text,
-)
-
-
-def _explained(results: DataFrame, evidence: DataFrame, explanations: DataFrame, ids: Sequence[str]) -> DataFrame:
-    ids = list(ids)
-    facts = evidence_json(evidence, ids)
-    texts = with_evidence_text(evidence).select(*ids, "evidence_id", "evidence_text")
-    # Only a result with evidence is explained at all.
-    written = join_on(explanations, facts.select(*ids), ids, "left_semi")
-    audited = audit_evidence_responses(written, facts, ids).select(
+from sumwise.operators.audit import audit_cited
+from sumwise.operators.evidence import answer_facts, comparison_facts, with_evidence_text
+
+ROW = "__result"
+
+
+def _explained(facts: DataFrame, columns: Sequence[str], explanations: DataFrame, ids: Sequence[str]) -> DataFrame:
+    """`facts` holds `ids`, the whole result as a struct, and its evidence, row by row."""
+    found = F.col("evidence_id").isNotNull()
+    own = [c for c in facts.columns if c not in [*ids, ROW]]
+    json = F.when(found, F.to_json(F.struct(*own)))
+    told = with_evidence_text(facts).select(
         *ids,
-        F.struct("is_valid", "reason", "insight", "evidence_ids_used").alias("explanation"),
+        ROW,
+        "evidence_id",
+        F.when(found, F.col("evidence_text")).alias("evidence_text"),
+        json.alias("evidence_json"),
+        F.when(found, F.concat(F.lit("["), json, F.lit("]"))).alias("__payload_json"),
+        F.when(found, F.array("evidence_id")).alias("__ids"),
+    )
+    written = explanations.select(*ids, F.col("response").alias("__response"), F.lit(True).alias("__written"))
+    audited = audit_cited(join_on(told, written, ids), "__response", "__payload_json", "__ids")
+    explanation = F.struct("is_valid", "reason", "insight", "evidence_ids_used")
+    return audited.select(
+        *[F.col(f"{ROW}.{c}") for c in columns],
+        "evidence_id",
+        "evidence_text",
+        "evidence_json",
+        F.when(found & F.col("__written"), explanation).alias("explanation"),
     )
-    with_facts = join_on(join_on(results, texts, ids), facts, ids)
-    return join_on(with_facts, audited, ids)
 
 
 def explain_answers(
@@ -40,11 +49,14 @@ def explain_answers(
     and the written `response`.  The answer stands whatever becomes of the explanation;
     a result that was not found has neither evidence nor explanation.
     """
-    return _explained(answers, evidence_of_answers(answers, ids, file_label), explanations, ids)
+    rows = answers.withColumn(ROW, F.struct(*answers.columns))
+    facts = answer_facts(rows, [*ids, ROW], file_label)
+    return _explained(facts, answers.columns, explanations, ids)
 
 
 def explain_comparisons(
     comparisons: DataFrame, explanations: DataFrame, ids: Sequence[str] = ("request_id",)
 ) -> DataFrame:
     """As `explain_answers`, for `with_comparison_answers(compare_datasets(...))`."""
-    return _explained(comparisons, evidence_of_comparisons(comparisons, ids), explanations, ids)
+    rows = comparisons.withColumn(ROW, F.struct(*comparisons.columns))
+    return _explained(comparison_facts(rows, [*ids, ROW]), comparisons.columns, explanations, ids)

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sumwise.functions.text import double_text
-from sumwise.operators.profile import missing_columns
 from sumwise.operators.series import year_totals
 from sumwise.plans.analysis import Analysis
 from sumwise.plans.grounding import (
@@ -17,7 +16,7 @@ from sumwise.plans.grounding import (
     ground,
     missed,
     no_names,
-    one_column_summary,
+    no_series,
     period_reason,
     trend_column,
     trend_reason,
@@ -79,54 +78,49 @@ def answer_questions(intents: DataFrame, analysis: Analysis, ids: Sequence[str]
     own = {k: k for k in keys}
     q = ground(intents, analysis, ["period_hint", "from_period_hint", "to_period_hint"])
     totals = year_totals(analysis.series, keys).select(*keys, "year", "value")
-    q = attach(q, totals, {**own, "year": year_of("period_hint")}, "y_")
-    points = analysis.series.select(*keys, "period", "value")
-    q = attach(q, points, {**own, "period": "period_hint_period"}, "v_")
+    q = attach(q, totals, {**own, "year": year_of("period_hint")}, "y")
     q = attach(
         q,
         analysis.changes.drop("column"),
-        {**own, "from_period": "from_period_hint_period", "to_period": "to_period_hint_period"},
-        "d_",
+        {**own, "from_period": "at_from_period_hint.period", "to_period": "at_to_period_hint.period"},
+        "d",
     )
-    q = attach(q, one_column_summary(analysis, keys), {**own, "name": "c_column"}, "m_")
-    q = attach(q, analysis.anomalies.drop("column"), own, "a_")
-    q = attach(q, missing_columns(analysis.profile, keys), own, "p_")
 
     intent, metric = F.col("intent"), F.col("metric")
-    no_series = F.when(missed("s_"), "trend_not_computed")
+    untrended = F.when(no_series(), "trend_not_computed")
     stat = F.coalesce(metric.isin(STAT_METRICS), F.lit(False))
     extremum = F.coalesce(metric.isin("min", "max"), F.lit(False))
     by_year = year_of("period_hint").isNotNull()
     year_reason = F.coalesce(
-        no_series,
-        F.when(missed("y_"), "period_not_found"),
+        untrended,
+        F.when(missed("y"), "period_not_found"),
         F.when(metric != "sum", "unsupported"),
         trend_reason(),
     )
     reason = (
         F.when(
-            intent == "period_value", F.coalesce(no_series, trend_reason(), period_reason("period_hint"))
+            intent == "period_value", F.coalesce(untrended, trend_reason(), period_reason("period_hint"))
         )
         .when(
             intent == "period_extremum",
-            F.coalesce(F.when(~extremum, "unsupported"), no_series, trend_reason()),
+            F.coalesce(F.when(~extremum, "unsupported"), untrended, trend_reason()),
         )
         .when(
             intent == "period_change",
             F.coalesce(
-                no_series,
+                untrended,
                 trend_reason(),
                 period_reason("from_period_hint"),
                 period_reason("to_period_hint"),
-                F.when(missed("d_"), "period_not_found"),
+                F.when(missed("d"), "period_not_found"),
             ),
         )
         .when(
             intent == "column_stat",
             F.when(~stat, "unsupported").when(by_year, year_reason).otherwise(column_reason()),
         )
-        .when(intent == "anomaly_check", F.coalesce(no_series, trend_reason()))
-        .when(intent == "missing_values", F.when(missed("p_"), "profile_not_computed"))
+        .when(intent == "anomaly_check", F.coalesce(untrended, trend_reason()))
+        .when(intent == "missing_values", F.when(missed("f"), "profile_not_computed"))
         .otherwise("unsupported")
     )
     q = q.withColumn("reason", reason)
@@ -135,35 +129,35 @@ def answer_questions(intents: DataFrame, analysis: Analysis, ids: Sequence[str]
     def on(*names: str) -> Column:
         return found & intent.isin(*names)
 
-    by_metric = F.coalesce(*[F.when(metric == m, F.col(f"m_stats.{m}").cast("double")) for m in STAT_METRICS])
-    best = F.when(metric == "min", F.col("s_lowest")).when(metric == "max", F.col("s_highest"))
+    by_metric = F.coalesce(*[F.when(metric == m, F.col(f"c.stats.{m}").cast("double")) for m in STAT_METRICS])
+    best = F.when(metric == "min", F.col("f.series.lowest")).when(metric == "max", F.col("f.series.highest"))
     value = (
-        F.when(on("period_value"), F.col("v_value"))
+        F.when(on("period_value"), F.col("at_period_hint.value"))
         .when(on("period_extremum"), best["value"])
-        .when(on("period_change"), F.col("d_absolute_change"))
-        .when(on("column_stat") & by_year, F.col("y_value"))
+        .when(on("period_change"), F.col("d.absolute_change"))
+        .when(on("column_stat") & by_year, F.col("y.value"))
         .when(on("column_stat"), by_metric)
-        .when(on("anomaly_check"), F.col("a_anomaly_count").cast("double"))
-        .when(on("missing_values"), F.col("p_value").cast("double"))
+        .when(on("anomaly_check"), F.col("f.anomalies.anomaly_count").cast("double"))
+        .when(on("missing_values"), F.col("f.missing.value").cast("double"))
     )
-    column = F.when(on("column_stat") & ~by_year, F.col("c_column")).when(
+    column = F.when(on("column_stat") & ~by_year, F.col("c.column")).when(
         on("period_value", "period_extremum", "period_change", "column_stat", "anomaly_check"),
         trend_column(),
     )
-    period = F.when(on("period_value"), F.col("period_hint_period")).when(
+    period = F.when(on("period_value"), F.col("at_period_hint.period")).when(
         on("period_extremum"), best["period"]
     )
-    candidates = F.when(F.col("reason") == "ambiguous_column", F.col("c_candidates")).when(
+    candidates = F.when(F.col("reason") == "ambiguous_column", F.col("c.candidates")).when(
         F.col("reason") == "ambiguous_period",
-        F.when(intent == "period_value", F.col("period_hint_candidates"))
-        .when(F.col("from_period_hint_reason").isNotNull(), F.col("from_period_hint_candidates"))
-        .otherwise(F.col("to_period_hint_candidates")),
+        F.when(intent == "period_value", F.col("at_period_hint.candidates"))
+        .when(F.col("at_from_period_hint.reason").isNotNull(), F.col("at_from_period_hint.candidates"))
+        .otherwise(F.col("at_to_period_hint.candidates")),
     )
     no_pair = (
         (intent == "period_change")
         & (F.col("reason") == "period_not_found")
-        & F.col("from_period_hint_period").isNotNull()
-        & F.col("to_period_hint_period").isNotNull()
+        & F.col("at_from_period_hint.period").isNotNull()
+        & F.col("at_to_period_hint.period").isNotNull()
     )
     with_metric = on("period_extremum", "column_stat") | (
         (intent == "column_stat") & stat & by_year & (F.col("reason") == "unsupported")
@@ -172,17 +166,17 @@ def answer_questions(intents: DataFrame, analysis: Analysis, ids: Sequence[str]
     extra = F.struct(
         F.coalesce(candidates, no_names()).alias("candidates"),
         F.when(with_metric, metric).alias("metric"),
-        F.when(changed | no_pair, F.col("from_period_hint_period")).alias("from_period"),
-        F.when(changed | no_pair, F.col("to_period_hint_period")).alias("to_period"),
+        F.when(changed | no_pair, F.col("at_from_period_hint.period")).alias("from_period"),
+        F.when(changed | no_pair, F.col("at_to_period_hint.period")).alias("to_period"),
         *[
-            F.when(changed, F.col(f"d_{c}")).alias(c)
+            F.when(changed, F.col(f"d.{c}")).alias(c)
             for c in ("previous", "current", "absolute_change", "percentage_change", "is_valid")
         ],
         *[
-            F.when(checked, F.col(f"a_{c}")).alias(c)
+            F.when(checked, F.col(f"f.anomalies.{c}")).alias(c)
             for c in ("insufficient_data", "lower_bound", "upper_bound", "anomalies")
         ],
-        F.when(on("missing_values"), F.col("p_columns")).alias("columns"),
+        F.when(on("missing_values"), F.col("f.missing.columns")).alias("columns"),
     )
     return q.select(
         *ids,

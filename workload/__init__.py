@@ -7,6 +7,6 @@ so they grow with them.
 
 
 def modules():
-    from workload import series, tables
+    from workload import requests, series, tables
 
-    return [tables, series]
+    return [tables, series, requests]
