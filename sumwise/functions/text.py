@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sumwise.functions.basics import col
+from sumwise.functions.basics import col, computed_once
 
 # The characters str.strip() removes.
 WHITESPACE = (
@@ -99,14 +99,12 @@ def read_cells(df: DataFrame, columns: Mapping[str, str]) -> DataFrame:
                 for raw, out in columns.items()
             }
         )
-    # The generator keeps a filter on the findings from being pushed below the steps,
-    # where every step would be repeated inside the condition.
-    findings = [
-        _finding(F.col(raw), *[F.col(names[step][out]) for step in steps]).alias(out)
-        for raw, out in columns.items()
-    ]
     kept = [c for c in df.columns if not any(c in by_out.values() for by_out in names.values())]
-    return df.select(*kept, F.inline(F.array(F.struct(*findings))))
+    findings = {
+        out: _finding(F.col(raw), *[F.col(names[step][out]) for step in steps])
+        for raw, out in columns.items()
+    }
+    return computed_once(df, kept, **findings)
 
 
 def _trimmed(raw: Column) -> Column:

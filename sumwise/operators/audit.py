@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sumwise.functions.basics import join_on
+from sumwise.functions.basics import computed_once, join_on
 from sumwise.functions.jsontext import json_labels, json_numbers, text_numbers, unsupported_numbers
 from sumwise.operators.evidence import claims_cause
 from sumwise.operators.intents import provider_error
@@ -91,7 +91,7 @@ def audit_insights(pairs: DataFrame, response: str = "response", payload: str =
         F.when(~F.coalesce(_has_insight_shape(), F.lit(False)), "malformed_output"),
         F.when(_invented(payload), "hallucinated_numeric_value"),
     )
-    checked = read.withColumn("reason", reason)
+    checked = computed_once(read, [*pairs.columns, "__v"], reason=reason)
     ok = F.col("reason").isNull()
     return checked.select(*pairs.columns, ok.alias("is_valid"), "reason", _insight(ok, INSIGHT_KEYS))
 
@@ -152,7 +152,7 @@ def audit_cited(
         F.when(unknown, "unsupported_evidence"),
         F.when(claims_cause("__prose"), "unsupported_causal_claim"),
     )
-    checked = read.withColumn("reason", reason)
+    checked = computed_once(read, [*pairs.columns, "__v"], reason=reason)
     ok = F.col("reason").isNull()
     return checked.select(
         *pairs.columns,

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sumwise.functions.basics import join_on
+from sumwise.functions.basics import computed_once, join_on
 from sumwise.operators.schema import ROLES, SEMANTIC_TYPES, TIME_ROLES
 
 
@@ -106,7 +106,7 @@ def validate_intents(responses: DataFrame, vocabulary: str | Vocabulary, respons
         F.when(F.col("__v").isNull(), "invalid_json"),
         F.when(~F.coalesce(fits, F.lit(False)), "invalid_schema"),
     )
-    checked = parsed.withColumn("reason", reason)
+    checked = computed_once(parsed, [*responses.columns, "__v"], reason=reason)
     ok = F.col("reason").isNull()
     return checked.select(
         *responses.columns,
@@ -161,7 +161,7 @@ def validate_schema_proposals(
         F.when(F.col("__v").isNull(), "invalid_json"),
         F.when(~F.coalesce(fits, F.lit(False)), "invalid_schema"),
     )
-    checked = joined.withColumn("reason", reason)
+    checked = computed_once(joined, [*responses.columns, "__entries"], reason=reason)
     ok = F.col("reason").isNull()
     return checked.select(
         *responses.columns,

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sumwise.functions.basics import computed_once
 from sumwise.operators.audit import audit_insights
 from sumwise.operators.evidence import claims_cause
 from sumwise.operators.intents import VOCABULARIES, validate_intents
@@ -163,7 +164,8 @@ def evaluate_cases(cases: DataFrame) -> DataFrame:
         .when(F.col("actual").isNull(), "evaluator_error")
         .when(~F.col("passed"), "mismatch")
     )
-    results = reduce(DataFrame.unionByName, parts).withColumn("passed", passed)
+    judged = reduce(DataFrame.unionByName, parts)
+    results = computed_once(judged, judged.columns, passed=passed)
     return results.select(
         "case_id",
         "category",

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sumwise.functions.basics import computed_once
 from sumwise.operators.anomaly import iqr_scores
 from sumwise.plans.analysis import Analysis
 from sumwise.plans.comparison import file_label
@@ -125,7 +126,7 @@ def chart_specs(intents: DataFrame, analysis: Analysis, ids: Sequence[str] = ("r
         .when(intent == "missing_values_chart", F.when(missed("p"), "profile_not_available"))
         .otherwise("unsupported")
     )
-    q = q.withColumn("reason", reason)
+    q = computed_once(q, q.columns, reason=reason)
     ok = F.col("reason").isNull()
 
     def on(name: str) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sumwise.functions.basics import join_on, stored_together
+from sumwise.functions.basics import computed_once, join_on, stored_together
 from sumwise.functions.change import change
 from sumwise.functions.text import strip
 from sumwise.operators.resolve import file_lookup
@@ -135,13 +135,8 @@ def compare_datasets(
             .when(kind == "file_anomaly_comparison", F.col(f"d{s}.anomalies.anomaly_count").cast("double"))
         )
 
-    q = q.withColumns(
-        {
-            "__reason": reason,
-            "__files": file_reason,
-            "__previous": side_value("a"),
-            "__current": side_value("b"),
-        }
+    q = computed_once(
+        q, q.columns, __reason=reason, __files=file_reason, __previous=side_value("a"), __current=side_value("b")
     ).withColumn("__change", change("__previous", "__current"))
     ok = F.col("__reason").isNull()
     on_trend = ok & (kind == "file_trend_comparison")
@@ -181,25 +176,25 @@ def compare_datasets(
             for s in SIDES
         ],
     )
-    return q.select(
-        *ids,
-        *scope,
-        ok.alias("found"),
-        F.col("__reason").alias("reason"),
-        kind.alias("comparison_type"),
-        F.when(on_value, F.col("metric")).alias("metric"),
-        F.when(ok, column).alias("column"),
-        F.when(ok & (kind == "file_period_comparison"), F.col("pa.period")).alias("period"),
-        identity("a").alias("file_a"),
-        identity("b").alias("file_b"),
-        F.when(numeric, F.col("__change.previous")).alias("previous_num"),
-        F.when(numeric, F.col("__change.current")).alias("current_num"),
-        F.when(on_trend, F.col("da.trend.trend")).alias("previous_label"),
-        F.when(on_trend, F.col("db.trend.trend")).alias("current_label"),
-        F.when(numeric, F.col("__change.absolute_change")).alias("absolute_change"),
-        F.when(numeric, F.col("__change.percentage_change")).alias("percentage_change"),
-        F.when(on_trend, True).when(numeric, F.col("__change.is_valid")).alias("is_valid"),
-        extra.alias("extra"),
+    return computed_once(
+        q,
+        [*ids, *scope],
+        found=ok,
+        reason=F.col("__reason"),
+        comparison_type=kind,
+        metric=F.when(on_value, F.col("metric")),
+        column=F.when(ok, column),
+        period=F.when(ok & (kind == "file_period_comparison"), F.col("pa.period")),
+        file_a=identity("a"),
+        file_b=identity("b"),
+        previous_num=F.when(numeric, F.col("__change.previous")),
+        current_num=F.when(numeric, F.col("__change.current")),
+        previous_label=F.when(on_trend, F.col("da.trend.trend")),
+        current_label=F.when(on_trend, F.col("db.trend.trend")),
+        absolute_change=F.when(numeric, F.col("__change.absolute_change")),
+        percentage_change=F.when(numeric, F.col("__change.percentage_change")),
+        is_valid=F.when(on_trend, True).when(numeric, F.col("__change.is_valid")),
+        extra=extra,
     )
 
 

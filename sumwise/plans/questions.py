@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sumwise.functions.basics import computed_once
 from sumwise.functions.text import double_text
 from sumwise.operators.series import year_totals
 from sumwise.plans.analysis import Analysis
@@ -123,7 +124,7 @@ def answer_questions(intents: DataFrame, analysis: Analysis, ids: Sequence[str]
         .when(intent == "missing_values", F.when(missed("f"), "profile_not_computed"))
         .otherwise("unsupported")
     )
-    q = q.withColumn("reason", reason)
+    q = computed_once(q, q.columns, reason=reason)
     found = F.col("reason").isNull()
 
     def on(*names: str) -> Column:
@@ -178,16 +179,16 @@ def answer_questions(intents: DataFrame, analysis: Analysis, ids: Sequence[str]
         ],
         F.when(on("missing_values"), F.col("f.missing.columns")).alias("columns"),
     )
-    return q.select(
-        *ids,
-        *keys,
-        F.when(intent.isin(INTENTS), intent).otherwise("unsupported").alias("intent"),
-        found.alias("found"),
-        "reason",
-        column.alias("column"),
-        period.alias("period"),
-        value.alias("value"),
-        extra.alias("extra"),
+    return computed_once(
+        q,
+        [*ids, *keys],
+        intent=F.when(intent.isin(INTENTS), intent).otherwise("unsupported"),
+        found=found,
+        reason=F.col("reason"),
+        column=column,
+        period=period,
+        value=value,
+        extra=extra,
     )
 
 

@@ -7,6 +7,6 @@ so they grow with them.
 
 
 def modules():
-    from workload import requests, series, tables
+    from workload import audits, requests, series, tables
 
-    return [tables, series, requests]
+    return [tables, series, requests, audits]
