@@ -21,7 +21,7 @@ THREE_DECIMALS = r"^-?[0-9]+\.[0-9]{3}$"
 GROUPED_NUMBER = r"^-?[0-9]{1,3}(,[0-9]{3})+(\.[0-9]+)?$"
 LOOSE_COMMAS = r"^-?[0-9]+(,[0-9]+)+(\.[0-9]+)?$"
 UNCLEAR_DATE = r"^[0-9]{1,2}[/-][0-9]{1,2}[/-][0-9]{2,4}$"
-CURRENCY = r"\p{Sc}"
+CURRENCY = r"[\p{Sc}\x{20C0}]"
 KNOWN_CURRENCY = "[$€£¥]"
 CURRENCY_CODES = {"$": "USD", "€": "EUR", "£": "GBP", "¥": "JPY"}
 
@@ -205,16 +205,23 @@ def expand_synonyms(tokens: Column) -> Column:
 
 
 def double_text(c: Column | str) -> Column:
-    """A double written the way the answers write it: `460000.0`, `1e+16`, `1e-05`."""
+    """A double written the way the answers write it: `460000.0`, `1e+16`, `1e-05`.
+
+    The cast to text may carry one digit too many; sixteen digits replace seventeen where
+    they still name the same number.
+    """
     d = col(c).cast("double")
     s = d.cast("string")
-    digits = d.try_cast("decimal(38,21)").cast("string")
+    sixteen = F.format_string("%.15e", d)
+    too_long = F.length(F.regexp_replace(s, "[-.]|E.*", "")) >= 17
+    best = F.when(too_long & (sixteen.try_cast("double") == d), sixteen).otherwise(s)
+    digits = best.try_cast("decimal(38,21)").cast("string")
     plain = F.regexp_replace(digits, r"(\.0|\.[0-9]*[1-9])0*$", "$1")
-    short = F.regexp_replace(s, r"\.0E", "E")
+    short = F.regexp_replace(best, r"\.0E", "E")
     padded = F.regexp_replace(short, "E(-?)([0-9])$", "E$10$2")
     exponent = F.replace(F.regexp_replace(padded, "E([0-9])", "e+$1"), F.lit("E"), F.lit("e"))
     return (
-        F.when(~s.contains("E"), s)
+        F.when(~s.contains("E") & ~too_long, s)
         .when((F.abs(d) >= 1e16) | (F.abs(d) < 1e-4), exponent)
         .otherwise(plain)
     )
