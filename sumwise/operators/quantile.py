@@ -1,14 +1,15 @@
 """Exact medians of columns of any size.
 
-`percentile` keeps the distinct values of a group in one task.  That is right while the
-whole input is small, and the optimizer's size estimate tells.  Beyond it the quantile is
-found by narrowing, three aggregations that all combine before the shuffle:
+Equal values are counted first, before the shuffle.  While the whole input is small, and
+the optimizer's size estimate tells, the counts of a group are ranked in one task.
+Beyond that the median is found by narrowing, three aggregations that all combine before
+the shuffle:
 
 1. approximate percentiles bracket the wanted rank of every group,
 2. a histogram of the bracket finds the bucket that holds the rank,
 3. the distinct values of that bucket are counted and the rank is read off exactly.
 
-No step gathers a group; what one task sees is a sketch, a histogram or one bucket.
+No step gathers a large group; what one task sees is a sketch, a histogram or one bucket.
 """
 
 from __future__ import annotations
@@ -33,10 +34,35 @@ def exact_medians(
     keys = list(keys)
     present = values.where(F.col("value").isNotNull()).select(*keys, "value")
     if plan_bytes(present) <= small_input:
-        return present.groupBy(*keys).agg(F.percentile("value", F.lit(0.5)).alias("median"))
+        return _counted_medians(present, keys)
     return _narrowed_medians(present, keys, small_group)
 
 
+def _counted_medians(values: DataFrame, keys: list[str]) -> DataFrame:
+    counted = values.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("__rows"))
+    whole = F.sum("__rows").over(by_keys(keys))
+    last = F.sum("__rows").over(by_keys(keys, "value")) - 1
+    ranked = counted.select(
+        *keys,
+        "value",
+        last.alias("__last"),
+        (last - F.col("__rows") + 1).alias("__first"),
+        F.floor((whole - 1) / 2).alias("__r1"),
+        F.floor(whole / 2).alias("__r2"),
+    )
+    return _at_middle(ranked, keys)
+
+
+def _at_middle(ranked: DataFrame, keys: list[str]) -> DataFrame:
+    """The mean of the values that hold the ranks `__r1` and `__r2`."""
+
+    def at(rank: str):
+        holds = (F.col("__first") <= F.col(rank)) & (F.col(rank) <= F.col("__last"))
+        return F.max(F.when(holds, F.col("value")))
+
+    return ranked.groupBy(*keys).agg(((at("__r1") + at("__r2")) / 2).alias("median"))
+
+
 def _narrowed_medians(values: DataFrame, keys: list[str], small_group: int) -> DataFrame:
     margin = 2.0 / ACCURACY
     near = F.percentile_approx("value", [0.5 - margin, 0.5 + margin], ACCURACY)
@@ -86,9 +112,4 @@ def _narrowed_medians(values: DataFrame, keys: list[str], small_group: int) -> D
     )
     last = F.col("__before") + F.sum("__rows").over(by_keys([*keys, "__b"], "value")) - 1
     ranked = counted.withColumn("__last", last).withColumn("__first", last - F.col("__rows") + 1)
-
-    def at(rank: str):
-        holds = (F.col("__first") <= F.col(rank)) & (F.col(rank) <= F.col("__last"))
-        return F.max(F.when(holds, F.col("value")))
-
-    return ranked.groupBy(*keys).agg(((at("__r1") + at("__r2")) / 2).alias("median"))
+    return _at_middle(ranked, keys)

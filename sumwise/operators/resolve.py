@@ -79,11 +79,12 @@ def resolve_hints(hints: DataFrame, columns: DataFrame, keys: Sequence[str]) ->
     unmatched = join_on(wanted, exact.select(*keys, "__hint"), [*keys, "__hint"], "left_anti")
     near = join_on(
         unmatched.select(*keys, "__hint", F.col("__lower").alias("__h"), F.explode(lengths).alias("__len")),
-        names.distinct().withColumn("__len", size),
+        names.select(*keys, "__lower").distinct().withColumn("__len", size),
         [*keys, "__len"],
         "inner",
     )
-    scored = near.withColumn("__score", _similarity("__lower", "__h")).where(F.col("__score") >= SIMILAR)
+    alike = near.withColumn("__score", _similarity("__lower", "__h")).where(F.col("__score") >= SIMILAR)
+    scored = join_on(alike.select(*keys, "__hint", "__lower", "__score"), names, [*keys, "__lower"], "inner")
     # Best first; equal scores in descending order of the name, then by position.
     by_rank = lambda a, b: (
         F.when(a["score"] != b["score"], F.when(a["score"] > b["score"], -1).otherwise(1))

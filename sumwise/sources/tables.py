@@ -12,20 +12,26 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sumwise.functions.basics import FLOATS
+from sumwise.functions.basics import FLOATS, plan_bytes
 from sumwise.operators.summary import iso_text
 
 READERS = {".parquet": "parquet", ".csv": "csv", ".json": "json", ".orc": "orc"}
+SPLIT = 1024 * 1024
 FILE_ROLES = ["previous", "current", "reference", "comparison"]
 DATASET_TYPE = "dataset_id string, path string, display_name string, role string"
 
 
-def load_table(spark: SparkSession, path: str, nan_as_null: bool = True, schema=None) -> DataFrame:
+def load_table(
+    spark: SparkSession, path: str, nan_as_null: bool = True, schema=None, spread: bool = False
+) -> DataFrame:
     """A table from parquet, CSV, JSON or ORC.
 
     Raises FileNotFoundError for a path that does not exist and ValueError for another
     extension.  NaN becomes NULL in floating point columns only, so filters on all other
     columns still reach the scan.
+
+    `spread` is for work that is heavy per row on a table too small to give every core a
+    split: its rows are dealt out once.  A table that fills the cores is left as it is.
     """
     location = spark._jvm.org.apache.hadoop.fs.Path(path)
     if not location.getFileSystem(spark._jsc.hadoopConfiguration()).exists(location):
@@ -39,6 +45,9 @@ def load_table(spark: SparkSession, path: str, nan_as_null: bool = True, schema=
     if schema is not None:
         reader = reader.schema(schema)
     df = reader.load(path)
+    cores = spark.sparkContext.defaultParallelism
+    if spread and SPLIT <= plan_bytes(df) < cores * SPLIT * 32:
+        df = df.repartition(cores)
     return without_nan(df) if nan_as_null else df
 
 

@@ -26,7 +26,7 @@ def text(*parts):
 def _intent_responses(spark, folder, vocabulary):
     """One response per event: right, or wrong in one of seven ways."""
     v = intents.VOCABULARIES[vocabulary]
-    e = table(spark, folder, "events")
+    e = table(spark, folder, "events", spread=True)
     first, k = v.intents[0], F.col("event_id")
     hints = [f'"{h}": null' for h in v.hints[1:]]
 
@@ -110,7 +110,7 @@ def q_accepted_proposals(spark, folder):
 
 def _prose(spark, folder):
     """Whole documents, each followed by a sentence that may claim a cause."""
-    d = table(spark, folder, "documents")
+    d = table(spark, folder, "documents", spread=True)
     k = F.col("doc_id")
     claims = [F.lit(" This rose.")] + [F.lit(f" It {p.upper() if i % 2 else p} it.") for i, p in enumerate(PHRASES)]
     return d.select(k, F.concat("text", pick(k % 16, *claims)).alias("text"))
@@ -122,7 +122,7 @@ def q_claims_cause(spark, folder):
 
 def q_cited_numbers(spark, folder):
     """The numbers in whole documents, each with a period, an amount and a label added."""
-    d = table(spark, folder, "documents")
+    d = table(spark, folder, "documents", spread=True)
     k = F.col("doc_id")
     full = text(F.col("text"), " In 2024-03 Plan_77 of ", k, " cost 1,234,567.5 and ", k + 1000, ".25, 3 of 2024-01-05T10:11:12.")
     labels = F.array(F.lit("Plan_77"))
@@ -134,7 +134,7 @@ def q_cited_numbers(spark, folder):
 
 def _payloads(spark, folder):
     """A nested payload per event around its own JSON properties."""
-    e = table(spark, folder, "events")
+    e = table(spark, folder, "events", spread=True)
     k = F.col("event_id")
     return e.select(
         k,
@@ -228,7 +228,7 @@ def q_evidence_references(spark, folder):
 
 def _cases(spark, folder) -> DataFrame:
     """Cases of every category from orders, parts, events and documents; some expect wrongly."""
-    o, k = table(spark, folder, "orders"), F.col("o_orderkey")
+    o, k = table(spark, folder, "orders", spread=True), F.col("o_orderkey")
     periods = o.select(
         text("p", k).alias("case_id"),
         F.lit("period_resolution").alias("category"),

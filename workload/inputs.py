@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from sumwise.sources.tables import load_table
 
 
-def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return load_table(spark, f"{folder}/{name}.parquet")
+def table(spark: SparkSession, folder: str, name: str, spread: bool = False) -> DataFrame:
+    return load_table(spark, f"{folder}/{name}.parquet", spread=spread)
 
 
 def rounded(df: DataFrame, places: int, *columns: str) -> DataFrame:
@@ -28,7 +28,7 @@ def pick(value, *options):
 
 
 def messy_orders(spark: SparkSession, folder: str) -> DataFrame:
-    o = table(spark, folder, "orders")
+    o = table(spark, folder, "orders", spread=True)
     cents = F.round(F.col("o_totalprice") * 100).cast("bigint")
     whole = F.expr("cast(cast(round(o_totalprice * 100) as bigint) div 100 as string)")
     frac = F.lpad((cents % 100).cast("string"), 2, "0")
@@ -161,7 +161,7 @@ cells AS (SELECT *,
 
 
 def shipments(spark: SparkSession, folder: str) -> DataFrame:
-    lines = table(spark, folder, "lineitem")
+    lines = table(spark, folder, "lineitem", spread=True)
     return lines.select(
         F.concat_ws("-", "l_returnflag", "l_linestatus").alias("dataset_id"),
         F.when(F.col("l_orderkey") % 11 != 0, F.col("l_quantity")).alias("quantity"),

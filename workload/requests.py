@@ -51,7 +51,7 @@ def _event_requests(spark, folder):
 
 def q_resolve_column(spark, folder):
     """Every shipment asks for its part by name, in one spelling or another."""
-    lines = table(spark, folder, "lineitem")
+    lines = table(spark, folder, "lineitem", spread=True)
     named = lines.join(table(spark, folder, "part"), F.col("l_partkey") == F.col("p_partkey"))
     name = F.col("p_name")
     hint = pick(
@@ -95,7 +95,7 @@ def q_resolve_semantic_column(spark, folder):
 
 
 def _order_requests(spark, folder):
-    o = table(spark, folder, "orders")
+    o = table(spark, folder, "orders", spread=True)
     k = F.col("o_orderkey")
     return o.select(
         k.alias("request_id"),
@@ -260,7 +260,7 @@ def _shipment_registry(spark, folder):
 
 
 def _comparison_requests(spark, folder):
-    o = table(spark, folder, "orders")
+    o = table(spark, folder, "orders", spread=True)
     k = F.col("o_orderkey")
     i, j = k % 7, div("o_orderkey", 7) % 8
     none = F.lit(None).cast("string")
