@@ -40,15 +40,11 @@ def by_keys(keys: Iterable[str], *order: Column | str) -> WindowSpec:
     return spec.orderBy(*order) if order else spec
 
 
-def same_keys(left: DataFrame, right: DataFrame, keys: Iterable[str]) -> Column:
-    """Null-safe equality on `keys`: a NULL key is a group of its own, also across a join."""
-    tests = [left[k].eqNullSafe(right[k]) for k in keys]
-    return reduce(lambda a, b: a & b, tests, F.lit(True))
-
-
 def join_on(left: DataFrame, right: DataFrame, keys: Iterable[str], how: str = "left") -> DataFrame:
     """Null-safe equi-join on columns of the same name, which are kept once."""
     keys = list(keys)
+    if not keys:
+        raise ValueError("a join needs a key; give a single table a constant column")
     renamed = right.select(
         *[F.col(k).alias(f"__r_{k}") for k in keys], *[c for c in right.columns if c not in keys]
     )
@@ -65,6 +61,8 @@ def shared_dir(spark: SparkSession) -> str:
     if named is None:
         named = spark.sparkContext.getCheckpointDir()
     if named is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that every executor reaches")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="sumwise-"))
         named = spark.sparkContext.getCheckpointDir()
     return named

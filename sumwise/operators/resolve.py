@@ -258,13 +258,10 @@ def resolve_semantic_column(
     was written can be chosen.  The pairs come from a join on the words themselves.
     """
     keys = list(keys)
-    first = resolve_column(requests, columns, keys, hint)
-    open_hints = (
-        first.where(F.col("reason") == "column_not_found")
-        .select(*keys, strip(hint).alias("__hint"))
-        .where(F.col("__hint") != "")
-        .distinct()
-        .withColumn("__words", label_tokens("__hint"))
+    hints = _column_hints(requests, keys, hint)
+    direct = resolve_hints(hints, columns, keys)
+    open_hints = join_on(hints, direct.select(*keys, "__hint"), [*keys, "__hint"], "left_anti").withColumn(
+        "__words", label_tokens("__hint")
     )
     asked = open_hints.select(
         *keys,
@@ -293,34 +290,45 @@ def resolve_semantic_column(
         F.array_sort(F.collect_list(F.when(F.col("confidence") >= PLAUSIBLE, entry))).alias("__maybe"),
     )
     one = F.size("__sure") == 1
-    words = picked.select(
+    scores = "array<struct<column: string, confidence: double>>"
+    by_words = picked.where((F.size("__sure") == 1) | (F.size("__maybe") > 0)).select(
         *keys,
         "__hint",
-        F.when(one, F.col("__sure")[0]["column"]).alias("__column"),
-        F.when(one, F.col("__sure")[0]["confidence"]).alias("__confidence"),
+        F.when(~one, "ambiguous_column").alias("reason"),
+        F.when(one, F.col("__sure")[0]["column"]).alias("column"),
+        F.when(one, F.col("__sure")[0]["confidence"]).alias("confidence"),
         F.when(
             ~one,
             F.transform(
                 "__maybe",
                 lambda m: F.struct(m["column"].alias("column"), m["confidence"].alias("confidence")),
             ),
-        ).alias("__candidates"),
+        )
+        .cast(scores)
+        .alias("candidates"),
     )
-    joined = join_on(first.withColumn("__hint", strip(hint)), words, [*keys, "__hint"])
-    by_words = F.col("__column").isNotNull() & ~F.col("found")
-    maybe = F.coalesce(F.size("__candidates") > 0, F.lit(False))
-    found = F.col("found") | by_words
-    reason = F.when(~found, F.when(maybe, "ambiguous_column").otherwise(F.col("reason")))
-    plain = F.transform(
-        "candidates", lambda c: F.struct(c.alias("column"), F.lit(None).cast("double").alias("confidence"))
+    by_name = direct.select(
+        *keys,
+        "__hint",
+        "reason",
+        "column",
+        F.when(F.col("reason").isNull(), 1.0).alias("confidence"),
+        F.transform(
+            "candidates", lambda c: F.struct(c.alias("column"), F.lit(None).cast("double").alias("confidence"))
+        )
+        .cast(scores)
+        .alias("candidates"),
     )
+    asked = requests.withColumn("__hint", strip(hint))
+    joined = join_on(asked, _tag(by_name.unionByName(by_words)), [*keys, "__hint"])
+    reason = F.when(F.col("__hit").isNull(), "column_not_found").otherwise(F.col("reason"))
     return joined.select(
         *requests.columns,
-        found.alias("found"),
+        reason.isNull().alias("found"),
         reason.alias("reason"),
-        F.coalesce("column", "__column").alias("column"),
-        F.when(F.col("found"), 1.0).otherwise(F.col("__confidence")).alias("confidence"),
-        F.when(maybe, F.col("__candidates")).otherwise(plain).alias("candidates"),
+        "column",
+        "confidence",
+        F.coalesce("candidates", F.array().cast(scores)).alias("candidates"),
     )
 
 

@@ -58,7 +58,8 @@ def monthly_series(
     """
     names = [values] if isinstance(values, str) else list(values)
     month = F.trunc(period_date(df, period), "MM").alias("__month")
-    df, numbers = with_measures(df.select(*{*keys, *names}, month), names)
+    present = df.where(F.col(period).isNotNull())
+    df, numbers = with_measures(present.select(*{*keys, *names}, month), names)
     rows = df.where(F.col("__month").isNotNull()).select(
         *keys, "__month", *[v.alias(f"__v{i}") for i, v in enumerate(numbers)]
     )

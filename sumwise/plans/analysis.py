@@ -104,6 +104,7 @@ def _listed(df: DataFrame, keys: Sequence[str], fields: Sequence[str], order: st
 def analytics_payload(analysis: Analysis, with_profile: bool = False) -> DataFrame:
     """`keys, payload`: the results of a key as one JSON object, absent parts left out.
 
+    The analysis needs a key; a single table gets one as a constant column.
     The default carries the summaries, trend, changes and anomalies; `with_profile` is
     the variant for questions: summary, profile, changes and anomalies.
     """
@@ -124,7 +125,7 @@ def analytics_payload(analysis: Analysis, with_profile: bool = False) -> DataFra
     parts.append(analysis.anomalies.select(*keys, F.struct(*found).alias("anomalies")))
     joined = parts[0]
     for part in parts[1:]:
-        joined = join_on(joined, part, keys) if keys else joined.join(part, how="left")
+        joined = join_on(joined, part, keys)
     return as_json(joined, keys, "payload")
 
 
