@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import atexit
 import uuid
 from collections.abc import Iterable
 from concurrent.futures import ThreadPoolExecutor
@@ -56,18 +56,35 @@ def join_on(left: DataFrame, right: DataFrame, keys: Iterable[str], how: str = "
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor reaches; a temporary one only where none is set, as in tests."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder every executor reaches, as the session names it."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named is None:
-        named = spark.sparkContext.getCheckpointDir()
-    if named is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that every executor reaches")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="sumwise-"))
-        named = spark.sparkContext.getCheckpointDir()
+        raise RuntimeError("set spark.checkpoint.dir to a folder that every executor reaches")
     return named
 
 
+_STORED: list[str] = []
+
+
+def new_folder(spark: SparkSession) -> str:
+    """A fresh path in the shared folder; `drop_stored` or the end of the program removes it."""
+    if not _STORED:
+        atexit.register(drop_stored, spark)
+    path = f"{shared_dir(spark).rstrip('/')}/sumwise/{uuid.uuid4().hex}"
+    _STORED.append(path)
+    return path
+
+
+def drop_stored(spark: SparkSession) -> None:
+    """Removes every folder that `new_folder` has named; results that still read them end here."""
+    if spark.sparkContext._jsc is None or spark.sparkContext._jsc.sc().isStopped():
+        return
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while _STORED:
+        path = jvm.org.apache.hadoop.fs.Path(_STORED.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """`df` written to the shared folder and read back.
 
@@ -75,7 +92,7 @@ def stored(df: DataFrame) -> DataFrame:
     a lost executor does not bring back the scans they came from.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/sumwise/{uuid.uuid4().hex}"
+    path = new_folder(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

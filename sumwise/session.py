@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -23,6 +25,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **extra:
         "spark.driver.memory": "12g",
         **extra,
     }
+    settings.setdefault("spark.checkpoint.dir", f"{tempfile.gettempdir()}/sumwise-shared")
     for name, value in settings.items():
         builder = builder.config(name, value)
     return builder.getOrCreate()
