@@ -7,14 +7,61 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sumwise.llm.common import table
 from sumwise.llm.token_counts import token_counts
+from sumwise.llm.url_filter import SOFT, STRICT, Rule, url_verdicts
+
+RULES = [
+    Rule("net", "/", "block"),
+    Rule("example.net", "/en/", "allow"),
+    Rule("example.com", "/de/", "block"),
+    Rule("org", "/fr/", "allow"),
+]
 
 
 def op3_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op9_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    return url_verdicts(table(spark, folder, "pages"), RULES)
+
+
 QUERIES = {
     "op3_token_counts": op3_token_counts,
+    "op9_url_filter": op9_url_filter,
 }
 
-SQL: dict[str, str] = {}
+
+def _url_filter_sql() -> str:
+    def hits(terms):
+        found = [f"regexp_matches(low, '(^|[^a-z0-9]){t}([^a-z0-9]|$)', 's')::INT" for t in terms]
+        return f"coalesce({' + '.join(found)}, 0)"
+
+    return f"""
+    WITH parts AS (
+      SELECT page_id, url, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest,
+        translate(url, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low
+      FROM pages
+    ), named AS (
+      SELECT page_id, low,
+        translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+        regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+      FROM parts
+    ), judged AS (
+      SELECT *, CASE
+          WHEN '.' || host LIKE '%.example.net' AND path LIKE '/en/%' THEN 'example.net/en/'
+          WHEN '.' || host LIKE '%.example.com' AND path LIKE '/de/%' THEN 'example.com/de/'
+          WHEN '.' || host LIKE '%.org' AND path LIKE '/fr/%' THEN 'org/fr/'
+          WHEN '.' || host LIKE '%.net' AND path LIKE '/%' THEN 'net/'
+        END AS rule, {hits(STRICT)} AS strict_hits, {hits(SOFT)} AS soft_hits
+      FROM named
+    )
+    SELECT page_id, host, path, rule, strict_hits, soft_hits,
+      CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block'
+        WHEN rule IS NOT NULL THEN 'allow'
+        WHEN strict_hits > 0 OR soft_hits >= 2 THEN 'block' ELSE 'allow' END AS verdict
+    FROM judged"""
+
+
+SQL = {
+    "op9_url_filter": _url_filter_sql(),
+}
