@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from sumwise.llm.common import table
+from sumwise.llm.near_duplicates import near_duplicates
 from sumwise.llm.token_counts import token_counts
 from sumwise.llm.url_filter import SOFT, STRICT, Rule, url_verdicts
 
@@ -21,12 +22,17 @@ def op3_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op4_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates(table(spark, folder, "documents"))
+
+
 def op9_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return url_verdicts(table(spark, folder, "pages"), RULES)
 
 
 QUERIES = {
     "op3_token_counts": op3_token_counts,
+    "op4_near_duplicates": op4_near_duplicates,
     "op9_url_filter": op9_url_filter,
 }
 
@@ -62,6 +68,30 @@ def _url_filter_sql() -> str:
     FROM judged"""
 
 
+#: Exact: all pairs that share a shingle, then the smallest id that links reach.
+_NEAR_DUPLICATES_SQL = r"""
+    WITH RECURSIVE words AS (
+      SELECT doc_id, list_filter(regexp_split_to_array(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'),
+        lambda w: w <> '') AS w
+      FROM documents
+    ), sets AS (
+      SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+        ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s
+      FROM words
+    ), items AS (
+      SELECT doc_id, len(s) AS n, unnest(s) AS item FROM sets
+    ), links AS (
+      SELECT a.doc_id AS a, b.doc_id AS b FROM items a JOIN items b ON a.item = b.item AND a.doc_id <> b.doc_id
+      GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))
+    ), reach AS (
+      SELECT doc_id, doc_id AS other FROM sets UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON l.a = r.other
+    )
+    SELECT s.doc_id, len(s.s) AS n_shingles, min(r.other) AS component_id, s.doc_id = min(r.other) AS kept
+    FROM sets s JOIN reach r USING (doc_id) GROUP BY s.doc_id, s.s"""
+
+
 SQL = {
+    "op4_near_duplicates": _NEAR_DUPLICATES_SQL,
     "op9_url_filter": _url_filter_sql(),
 }
