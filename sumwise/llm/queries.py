@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from sumwise.llm.common import table
 from sumwise.llm.near_duplicates import near_duplicates
 from sumwise.llm.token_counts import token_counts
+from sumwise.llm.warc import archive_digests
 from sumwise.llm.url_filter import SOFT, STRICT, Rule, url_verdicts
 
 RULES = [
@@ -26,6 +27,10 @@ def op4_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents"))
 
 
+def op7_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return archive_digests(table(spark, folder, "pages"))
+
+
 def op9_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return url_verdicts(table(spark, folder, "pages"), RULES)
 
@@ -33,6 +38,7 @@ def op9_url_filter(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op3_token_counts": op3_token_counts,
     "op4_near_duplicates": op4_near_duplicates,
+    "op7_warc": op7_warc,
     "op9_url_filter": op9_url_filter,
 }
 
@@ -91,7 +97,26 @@ _NEAR_DUPLICATES_SQL = r"""
     FROM sets s JOIN reach r USING (doc_id) GROUP BY s.doc_id, s.s"""
 
 
+#: Base32 by fives of hexadecimal digits: 20 bits are four characters.
+_WARC_SQL = """
+    WITH hashed AS (
+      SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages
+    ), coded AS (
+      SELECT page_id, payload_bytes, hex, array_to_string(list_transform(range(8), lambda i:
+        substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (('0x' || substr(hex, 1 + 5 * i, 5))::BIGINT >> 15)::INT, 1) ||
+        substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(hex, 1 + 5 * i, 5))::BIGINT >> 10) & 31)::INT, 1) ||
+        substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(hex, 1 + 5 * i, 5))::BIGINT >> 5) & 31)::INT, 1) ||
+        substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (('0x' || substr(hex, 1 + 5 * i, 5))::BIGINT & 31)::INT, 1)), '')
+        AS payload_digest, max(page_id) OVER (PARTITION BY hex) AS top
+      FROM hashed
+    )
+    SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+      CASE WHEN page_id <> top THEN top END AS refers_to
+    FROM coded"""
+
+
 SQL = {
+    "op7_warc": _WARC_SQL,
     "op4_near_duplicates": _NEAR_DUPLICATES_SQL,
     "op9_url_filter": _url_filter_sql(),
 }
