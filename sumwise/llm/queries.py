@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from sumwise.llm.common import table
+from sumwise.llm.fingerprints import edited_fingerprints
 from sumwise.llm.near_duplicates import near_duplicates
 from sumwise.llm.token_counts import token_counts
 from sumwise.llm.warc import archive_digests
@@ -31,6 +32,10 @@ def op7_warc(spark: SparkSession, folder: str) -> DataFrame:
     return archive_digests(table(spark, folder, "pages"))
 
 
+def op8_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return edited_fingerprints(table(spark, folder, "documents"))
+
+
 def op9_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return url_verdicts(table(spark, folder, "pages"), RULES)
 
@@ -39,6 +44,7 @@ QUERIES = {
     "op3_token_counts": op3_token_counts,
     "op4_near_duplicates": op4_near_duplicates,
     "op7_warc": op7_warc,
+    "op8_fingerprints": op8_fingerprints,
     "op9_url_filter": op9_url_filter,
 }
 
