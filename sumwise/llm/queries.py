@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sumwise.llm.common import table
 from sumwise.llm.fingerprints import edited_fingerprints
+from sumwise.llm.html_text import main_texts
 from sumwise.llm.near_duplicates import near_duplicates
 from sumwise.llm.token_counts import token_counts
 from sumwise.llm.warc import archive_digests
@@ -40,12 +41,17 @@ def op9_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return url_verdicts(table(spark, folder, "pages"), RULES)
 
 
+def op10_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    return main_texts(table(spark, folder, "pages"))
+
+
 QUERIES = {
     "op3_token_counts": op3_token_counts,
     "op4_near_duplicates": op4_near_duplicates,
     "op7_warc": op7_warc,
     "op8_fingerprints": op8_fingerprints,
     "op9_url_filter": op9_url_filter,
+    "op10_html_text": op10_html_text,
 }
 
 
