@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from sumwise.llm.common import table
+from sumwise.llm.decontaminate import benchmark_passages
 from sumwise.llm.fingerprints import edited_fingerprints
 from sumwise.llm.html_text import main_texts
 from sumwise.llm.near_duplicates import near_duplicates
@@ -29,6 +30,10 @@ def op4_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents"))
 
 
+def op5_benchmark_passages(spark: SparkSession, folder: str) -> DataFrame:
+    return benchmark_passages(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def op7_warc(spark: SparkSession, folder: str) -> DataFrame:
     return archive_digests(table(spark, folder, "pages"))
 
@@ -48,6 +53,7 @@ def op10_html_text(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op3_token_counts": op3_token_counts,
     "op4_near_duplicates": op4_near_duplicates,
+    "op5_benchmark_passages": op5_benchmark_passages,
     "op7_warc": op7_warc,
     "op8_fingerprints": op8_fingerprints,
     "op9_url_filter": op9_url_filter,
