@@ -12,6 +12,7 @@ from sumwise.llm.html_text import main_texts
 from sumwise.llm.near_duplicates import near_duplicates
 from sumwise.llm.token_counts import token_counts
 from sumwise.llm.warc import archive_digests
+from sumwise.llm.toxicity import toxicity
 from sumwise.llm.url_filter import SOFT, STRICT, Rule, url_verdicts
 
 RULES = [
@@ -22,6 +23,10 @@ RULES = [
 ]
 
 
+def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op3_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -51,6 +56,7 @@ def op10_html_text(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op3_token_counts": op3_token_counts,
     "op4_near_duplicates": op4_near_duplicates,
     "op5_benchmark_passages": op5_benchmark_passages,
