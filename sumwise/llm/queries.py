@@ -10,6 +10,7 @@ from sumwise.llm.decontaminate import benchmark_passages
 from sumwise.llm.fingerprints import edited_fingerprints
 from sumwise.llm.html_text import main_texts
 from sumwise.llm.near_duplicates import near_duplicates
+from sumwise.llm.packing import packed
 from sumwise.llm.token_counts import token_counts
 from sumwise.llm.warc import archive_digests
 from sumwise.llm.toxicity import toxicity
@@ -27,6 +28,10 @@ def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op2_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packed(table(spark, folder, "documents"))
+
+
 def op3_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -57,6 +62,7 @@ def op10_html_text(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
+    "op2_packing": op2_packing,
     "op3_token_counts": op3_token_counts,
     "op4_near_duplicates": op4_near_duplicates,
     "op5_benchmark_passages": op5_benchmark_passages,
