@@ -9,8 +9,8 @@
 2. Equal sets become one node, counted before the shuffle, so copies never meet as pairs.
 3. ROWS places in a row form a band.  Nodes that agree in a whole band share a bucket.  At a
    similarity of 0.75 two nodes share none of the BANDS buckets once in 400,000 cases.
-4. In each bucket the member with the most company leads.  Members are compared with their
-   leaders only, on full sets: a bucket of m nodes costs m pairs.
+4. In each bucket the member with the most company and the smallest one lead.  Members are
+   compared with their leaders only, on full sets: a bucket of m nodes costs 2 m pairs.
 5. Where a bucket still holds several components, an exact prefix filter over the full sets of
    its members finds all pairs across components that can be similar, and these are compared
    too, so no link is left out.
@@ -128,21 +128,46 @@ def _full_sets(rows: DataFrame, nodes: DataFrame, members: DataFrame) -> DataFra
 
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", percent: int = 75) -> DataFrame:
     """`id`, n_shingles, component_id (smallest id of the group) and kept of every row."""
+    found = _grouped(docs, id, text, percent)
+    return found.select(F.col("id").alias(id), "n_shingles", "component_id", "kept")
+
+
+def without_near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", percent: int = 75) -> DataFrame:
+    """The rows of `docs`, all columns, that stay: those with the smallest id of their group.
+
+    Rows of a group whose ids are all null stay too.
+    """
+    go = _grouped(docs, id, text, percent).where("not kept").select(F.col("id").alias("__id"), F.col("h").alias("__h")).distinct()
+    same = F.col(id).eqNullSafe(F.col("__id")) & (F.xxhash64(F.col(text).cast("string")) == F.col("__h"))
+    return docs.join(go, same, "left_anti")
+
+
+def _grouped(docs: DataFrame, id: str, text: str, percent: int) -> DataFrame:
     kind = docs.schema[id].dataType.simpleString()
     rows = docs.select(F.col(id).alias("id"), F.col(text).cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
     known = stored(rows.mapInArrow(_sketched, f"id {kind}, h long, n_shingles long, set_id binary, bands array<long>"))
     nodes = stored(
         known.where("set_id is not null")
         .groupBy("set_id")
-        .agg(F.min("id").alias("label"), F.min(F.struct("id", "h")).alias("row"), F.first("bands").alias("bands"))
+        .agg(
+            F.min("id").alias("label"),
+            F.min(F.struct("id", "h")).alias("row"),
+            F.first("n_shingles").alias("size"),
+            F.first("bands").alias("bands"),
+        )
         .withColumn("node", F.monotonically_increasing_id())
     )
-    members = nodes.select("node", F.explode("bands").alias("bucket"))
+    members = nodes.select("node", "size", F.explode("bands").alias("bucket"))
     shared = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     members = stored(members.join(shared, "bucket"))
     sets = stored(_full_sets(rows, nodes, members))
     company = members.groupBy("node").agg(F.sum("n").alias("company"))
-    leaders = members.join(company, "node").groupBy("bucket").agg(F.max(F.struct("company", "node")).getField("node").alias("a"))
+    leaders = (
+        members.join(company, "node")
+        .groupBy("bucket")
+        .agg(F.max(F.struct("company", "node")).getField("node").alias("most"), F.min(F.struct("size", "node")).getField("node").alias("least"))
+        .select("bucket", F.explode(F.array_distinct(F.array("most", "least"))).alias("a"))
+    )
     stars = members.join(leaders, "bucket").where("node != a").select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"))
     tried = stored(stars.distinct())
     links = stored(linked(tried, sets, percent))
@@ -150,15 +175,16 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", per
     rest = stored(_rest(members, found, sets, percent).join(tried, ["a", "b"], "left_anti"))
     more = stored(linked(rest, sets, percent))
     found = stored(components(links.union(more)))
-    return _finished(known, nodes, found, id)
+    return _finished(known, nodes, found)
 
 
 def _rest(members: DataFrame, found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) across components that can still be similar, among nodes whose bucket spans components.
 
-    Order the shingles of these nodes from rare to frequent.  Two sets that reach the similarity share one of
-    the first n - ceil(percent * n / 100) + 1 shingles of each, n being its size.  What many nodes
-    share, such as a common passage, comes last, so it makes no pairs.
+    Order the shingles of these nodes from rare to frequent.  Similar sets x and y share at least
+    o = percent * (|x| + |y|) / (100 + percent) shingles, and all of these stand from the first shared
+    one on; so at that place either set has o shingles left.  What many nodes share, such as a
+    common passage, comes last: it leaves enough only where it makes the sets similar.
     """
     parts = members.join(found, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("part"))
     spans = parts.groupBy("bucket").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x < y").select("bucket")
@@ -169,20 +195,19 @@ def _rest(members: DataFrame, found: DataFrame, sets: DataFrame, percent: int) -
     place = F.row_number().over(Window.partitionBy("node").orderBy("often", "s"))
     prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
     first = items.join(often, "s").withColumn("place", place).where((F.col("place") <= prefix) & (F.col("often") > 1))
-    first = stored(first.select("s", "node", "part", "n"))
-    other = first.select("s", F.col("node").alias("b"), F.col("part").alias("part_b"), F.col("n").alias("n_b"))
-    like = (100 * F.least("n", "n_b") >= percent * F.greatest("n", "n_b")) & (F.col("part") != F.col("part_b"))
-    pairs = first.join(other, "s").where((F.col("node") < F.col("b")) & like)
-    return pairs.select(F.col("node").alias("a"), "b").distinct()
+    first = stored(first.select("s", "node", "part", "n", "place"))
+    other = first.select("s", *[F.col(c).alias(f"{c}_b") for c in ("node", "part", "n", "place")])
+    left = 1 + F.least(F.col("n") - F.col("place"), F.col("n_b") - F.col("place_b"))
+    like = (left * (100 + percent) >= percent * (F.col("n") + F.col("n_b"))) & (F.col("part") != F.col("part_b"))
+    pairs = first.join(other, "s").where((F.col("node") < F.col("node_b")) & like)
+    return pairs.select(F.col("node").alias("a"), F.col("node_b").alias("b")).distinct()
 
 
-def _finished(known: DataFrame, nodes: DataFrame, found: DataFrame, id: str) -> DataFrame:
+def _finished(known: DataFrame, nodes: DataFrame, found: DataFrame) -> DataFrame:
     tied = found.join(nodes.select("node", "label"), "node")
     least = tied.groupBy("root").agg(F.min("label").alias("least"))
     group = nodes.join(tied.select("node", "root").join(least, "root").select("node", "least"), "node", "left")
     group = stored(group.select("set_id", F.coalesce("least", "label").alias("component")))
-    rows = known.select("id", "n_shingles", "set_id").join(group, "set_id", "left")
+    rows = known.select("id", "h", "n_shingles", "set_id").join(group, "set_id", "left")
     component = F.when(F.col("set_id").isNull(), F.col("id")).otherwise(F.col("component"))
-    return rows.select(
-        F.col("id").alias(id), "n_shingles", component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept")
-    )
+    return rows.select("id", "h", "n_shingles", component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))

@@ -76,6 +76,13 @@ def test_random_edits_chains_and_common_passages(spark):
     assert result(spark, rows) == brute(rows)
 
 
+def test_filter_tells_rows_with_one_id_apart(spark):
+    a, b = (" ".join(f"{c}{i}" for i in range(20)) for c in "ab")
+    rows = [(1, a), (2, a), (2, b), (None, a), (None, None), (3, b)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, nd.without_near_duplicates(docs).collect()), key=str) == sorted([(1, a), (2, b), (None, None)], key=str)
+
+
 def test_empty_table(spark):
     assert result(spark, []) == []
 
