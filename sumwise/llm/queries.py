@@ -9,6 +9,7 @@ from sumwise.llm.common import table
 from sumwise.llm.decontaminate import benchmark_passages
 from sumwise.llm.fingerprints import edited_fingerprints
 from sumwise.llm.html_text import main_texts
+from sumwise.llm.license_scan import license_paragraphs
 from sumwise.llm.near_duplicates import near_duplicates
 from sumwise.llm.packing import packed
 from sumwise.llm.token_counts import token_counts
@@ -44,6 +45,10 @@ def op5_benchmark_passages(spark: SparkSession, folder: str) -> DataFrame:
     return benchmark_passages(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op6_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return license_paragraphs(table(spark, folder, "documents"))
+
+
 def op7_warc(spark: SparkSession, folder: str) -> DataFrame:
     return archive_digests(table(spark, folder, "pages"))
 
@@ -66,6 +71,7 @@ QUERIES = {
     "op3_token_counts": op3_token_counts,
     "op4_near_duplicates": op4_near_duplicates,
     "op5_benchmark_passages": op5_benchmark_passages,
+    "op6_license_scan": op6_license_scan,
     "op7_warc": op7_warc,
     "op8_fingerprints": op8_fingerprints,
     "op9_url_filter": op9_url_filter,
