@@ -10,6 +10,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from sumwise.functions.basics import col
+from sumwise.functions.text import ascii_digits
+
 
 # Date labels that are not quantities, and the three shapes of a number.
 DATE_LABEL = (
@@ -21,6 +23,18 @@ SMALL_INTEGER = 10
 _JSON_NUMBER = r"-?[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?"
 
 
+def parsed_json(c: Column | str) -> Column:
+    """The value of a JSON text, NULL unless the whole text is one value.
+
+    The parser stops after the first value.  What follows it shows when the text is put into
+    a list, which then has more than one value or none, and into an object, which then is cut off.
+    """
+    t = col(c)
+    listed = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), t, F.lit("]"))), "$", "array<variant>")
+    named = F.try_parse_json(F.concat(F.lit('{"v":'), t, F.lit("}")))
+    return F.when((F.size(listed) == 1) & named.isNotNull(), F.try_parse_json(t))
+
+
 def truncate(c: Column) -> Column:
     """Toward zero, staying a double so that no size overflows."""
     return c - c % F.lit(1.0)
@@ -75,7 +89,7 @@ def text_numbers(text: Column | str, labels: Column | None = None) -> Column:
     t = col(text)
     if labels is not None:
         t = F.when(F.size(labels) > 0, _mask(t, labels)).otherwise(t)
-    t = F.regexp_replace(t, DATE_LABEL, " ")
+    t = F.regexp_replace(ascii_digits(t), DATE_LABEL, " ")
     found = F.regexp_extract_all(t, F.lit(NUMBER), F.lit(0))
     return _meaningful(
         F.transform(found, lambda s: F.replace(s, F.lit(","), F.lit("")).try_cast("double"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from sumwise.functions.basics import col
-from sumwise.functions.text import WHITESPACE, strip
+from sumwise.functions.text import WHITESPACE, ascii_digits, strip
 
 STRICT_LABEL = r"^[0-9]{4}-[0-9]{2}$"
 
@@ -40,7 +40,7 @@ def month_number(token: Column | str) -> Column:
 
 
 def hint_words(hint: Column | str) -> Column:
-    return F.split(strip(hint), f"[{WHITESPACE}]+")
+    return F.split(ascii_digits(strip(hint)), f"[{WHITESPACE}]+")
 
 
 def month_and_year(hint: Column | str) -> Column:
@@ -55,7 +55,7 @@ def month_and_year(hint: Column | str) -> Column:
 def lone_month(hint: Column | str) -> Column:
     """Month number of a one-word hint such as `Mar` or `3`; else NULL."""
     words = hint_words(hint)
-    return F.when(F.size(words) == 1, month_number(strip(hint)))
+    return F.when(F.size(words) == 1, month_number(F.try_element_at(words, F.lit(1))))
 
 
 def month_of_label(label: Column | str) -> Column:

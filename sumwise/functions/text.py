@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+import unicodedata
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
@@ -49,6 +51,26 @@ ISO_TIMESTAMP = (
 )
 
 
+#: Decimal digits of all scripts, and the same digits in ASCII.
+DIGITS = "".join(c for c in map(chr, range(128, sys.maxunicode + 1)) if unicodedata.category(c) == "Nd")
+ASCII_DIGITS = "".join(str(unicodedata.decimal(c)) for c in DIGITS)
+
+# Shapes of months and moments that only a period column may have, and the patterns that read them.
+MONTH_SHAPES = [
+    (r"^[0-9]{4}-[0-9]{1,2}$", "-1", "yyyy-M-d"),
+    (r"^[0-9]{4}/[0-9]{1,2}$", "/1", "yyyy/M/d"),
+]
+NAMED_MONTH = r"^[A-Za-z]+\s+[0-9]{4}$"
+DASHED_DAY = r"^[0-9]{1,2}-[A-Za-z]+-[0-9]{4}$"
+ZONE = r"\s?(Z|[+-][0-9]{2}:?[0-9]{2})$"
+
+
+def ascii_digits(c: Column | str) -> Column:
+    """The text with every decimal digit written in ASCII, so that `[0-9]` means any digit."""
+    t = col(c)
+    return F.when(t.rlike(r"[\p{Nd}&&[^0-9]]"), F.translate(t, DIGITS, ASCII_DIGITS)).otherwise(t)
+
+
 def strip(c: Column | str) -> Column:
     return F.btrim(col(c), F.lit(WHITESPACE))
 
@@ -69,10 +91,20 @@ def parse_date(c: Column | str) -> Column:
 
 
 def parse_timestamp(c: Column | str) -> Column:
-    """Timestamp without zone of a text: the four date shapes, or an ISO date and time."""
-    s = strip(c)
-    iso = F.when(s.rlike(ISO_TIMESTAMP), s.try_cast("timestamp_ntz"))
-    return F.coalesce(parse_date(s).cast("timestamp_ntz"), iso)
+    """Timestamp without zone of a text, as a period column may be written.
+
+    The four date shapes, an ISO date and time (a zone is dropped, the written time stays), a
+    month as `2024-01`, `2024/01`, `Jan 2024`, or a day as `15-Jan-2024`.
+    """
+    s = ascii_digits(strip(c))
+    plain = F.regexp_replace(s, ZONE, "")
+    iso = F.when(plain.rlike(ISO_TIMESTAMP), plain.try_cast("timestamp_ntz"))
+    months = [F.when(s.rlike(shape), F.try_to_date(F.concat(s, F.lit(end)), pattern)) for shape, end, pattern in MONTH_SHAPES]
+    named = F.when(s.rlike(NAMED_MONTH), F.concat(F.lit("1 "), F.initcap(F.regexp_replace(s, r"\s+", " "))))
+    dashed = F.when(s.rlike(DASHED_DAY), F.initcap(F.replace(s, F.lit("-"), F.lit(" "))))
+    written = [F.try_to_date(words, f"d {name} yyyy") for words in (named, dashed) for name in ("MMMM", "MMM")]
+    days = [d.cast("timestamp_ntz") for d in (parse_date(s), *months, *written)]
+    return F.coalesce(days[0], iso, *days[1:])
 
 
 def read_cells(df: DataFrame, columns: Mapping[str, str]) -> DataFrame:
@@ -108,7 +140,7 @@ def read_cells(df: DataFrame, columns: Mapping[str, str]) -> DataFrame:
 
 
 def _trimmed(raw: Column) -> Column:
-    return strip(raw)
+    return ascii_digits(strip(raw))
 
 
 def _marked(raw: Column, s: Column) -> Column:
@@ -167,7 +199,7 @@ def _values(raw: Column, s: Column, mark: Column, body: Column, code: Column) ->
 def _finding(raw: Column, s: Column, mark: Column, body: Column, code: Column, values: Column) -> Column:
     num, day = values["num"], values["day"]
     unclear_date = code.isNull() & (mark == "") & day.isNull() & s.rlike(UNCLEAR_DATE)
-    warning = F.when(code.startswith("!"), F.substring(code, 2, 100)).when(
+    warning = F.when(code.startswith("!"), F.regexp_replace(code, "^!", "")).when(
         unclear_date, "ambiguous_date_format"
     )
     return F.struct(

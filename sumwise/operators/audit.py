@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sumwise.functions.basics import computed_once, join_on
-from sumwise.functions.jsontext import json_labels, json_numbers, text_numbers, unsupported_numbers
+from sumwise.functions.jsontext import json_labels, json_numbers, parsed_json, text_numbers, unsupported_numbers
 from sumwise.operators.evidence import claims_cause
 from sumwise.operators.intents import provider_error
 
@@ -30,7 +30,8 @@ def cited_numbers(texts: DataFrame, text: str = "text", labels: str | None = Non
 
 def _read(df: DataFrame, response: str) -> DataFrame:
     """The parsed response, its keys and its prose, as `__v`, `__keys`, `__prose`."""
-    parsed = df.withColumns({"__v": F.try_parse_json(response), "__keys": F.json_object_keys(response)})
+    parsed = computed_once(df, df.columns, __v=parsed_json(response))
+    parsed = parsed.withColumn("__keys", F.when(F.col("__v").isNotNull(), F.json_object_keys(response)))
     parts = [
         F.array(F.try_variant_get("__v", "$.summary", "string")),
         F.array(F.try_variant_get("__v", "$.trend_interpretation", "string")),
@@ -142,6 +143,7 @@ def audit_cited(
     all_text = _type_of(CITED).isin("ARRAY<STRING>", "ARRAY<VOID>") | (
         F.size(F.try_variant_get("__v", f"$.{CITED}", "array<variant>")) == 0
     )
+    all_text = all_text & F.forall(cited, lambda i: i.isNotNull())
     no_ids = F.array().cast("array<string>")
     unknown = F.size(F.array_except(cited, F.coalesce(known_ids, no_ids))) > 0
     reason = F.coalesce(

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sumwise.functions.basics import computed_once, join_on
+from sumwise.functions.jsontext import parsed_json
 from sumwise.operators.schema import ROLES, SEMANTIC_TYPES, TIME_ROLES
 
 
@@ -91,7 +92,7 @@ def validate_intents(responses: DataFrame, vocabulary: str | Vocabulary, respons
     """
     v = VOCABULARIES[vocabulary] if isinstance(vocabulary, str) else vocabulary
     required = {f: TEXT_OR_NULL for f in v.fields} | {"intent": TEXT}
-    parsed = responses.withColumn("__v", F.try_parse_json(response))
+    parsed = computed_once(responses, responses.columns, __v=parsed_json(response))
 
     def field(name: str) -> Column:
         return F.try_variant_get("__v", f"$.{name}", "string")
@@ -125,7 +126,7 @@ def validate_schema_proposals(
     `columns` (`keys, name`), each at most once.  One bad entry rejects all of them.
     """
     names = columns.groupBy(*keys).agg(F.collect_set("name").alias("__known"))
-    joined = join_on(responses.withColumn("__v", F.try_parse_json(response)), names, keys)
+    joined = join_on(computed_once(responses, responses.columns, __v=parsed_json(response)), names, keys)
     listed = F.try_variant_get("__v", "$.columns", "variant")
     entry_shape = shape_pattern(
         {"name": TEXT, "role": TEXT, "semantic_type": TEXT, "unit": TEXT_OR_NULL, "time_role": TEXT}

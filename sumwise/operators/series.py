@@ -54,30 +54,54 @@ def monthly_series(
 
     Rows whose period cannot be read are left out; months without rows stay absent.  A
     month whose values are all missing sums to 0.  A key without any readable period has
-    no rows here, and so no trend.
+    no rows here, and so no trend.  A text measure with a cell that cannot be read is no
+    measure for that key: it has no rows here, and `unreadable_measures` says why.
     """
     names = [values] if isinstance(values, str) else list(values)
-    month = F.trunc(period_date(df, period), "MM").alias("__month")
-    present = df.where(F.col(period).isNotNull())
-    df, numbers = with_measures(present.select(*{*keys, *names}, month), names)
-    rows = df.where(F.col("__month").isNotNull()).select(
-        *keys, "__month", *[v.alias(f"__v{i}") for i, v in enumerate(numbers)]
-    )
-    sums = rows.groupBy(*keys, "__month").agg(
-        *[F.coalesce(F.sum(f"__v{i}"), F.lit(0.0)).alias(f"__s{i}") for i in range(len(names))]
-    )
-    label = month_label("__month").alias("period")
-    if len(names) == 1:
-        return sums.select(*keys, F.lit(names[0]).alias("column"), label, F.col("__s0").alias("value"))
-    measures = F.array(
-        *[
-            F.struct(F.lit(n).alias("column"), F.col(f"__s{i}").alias("value"))
-            for i, n in enumerate(names)
-        ]
+    months = _month_sums(df, period, names, keys)
+    unread = F.sum("unread").over(by_keys([*keys, "column"]))
+    texts = any(isinstance(df.schema[n].dataType, T.StringType) for n in names)
+    if texts:
+        months = months.withColumn("__unread", unread).where(F.col("__unread") == 0)
+    return months.where(F.col("__month").isNotNull()).select(
+        *keys, "column", month_label("__month").alias("period"), "value"
     )
-    return sums.select(*keys, label, F.explode(measures).alias("m")).select(
-        *keys, "m.column", "period", "m.value"
+
+
+def unreadable_measures(
+    df: DataFrame, period: str, values: str | Sequence[str], keys: Sequence[str] = ()
+) -> DataFrame:
+    """`keys, column, reason, cells` of the measures that have no series because of cells nobody can read."""
+    names = [values] if isinstance(values, str) else list(values)
+    cells = _month_sums(df, period, names, keys).groupBy(*keys, "column").agg(F.sum("unread").alias("cells"))
+    return cells.where(F.col("cells") > 0).select(*keys, "column", F.lit("unreadable_values").alias("reason"), "cells")
+
+
+def _month_sums(df: DataFrame, period: str, names: Sequence[str], keys: Sequence[str]) -> DataFrame:
+    """`keys, column, __month, value, unread`: sums and unreadable cells; the month is NULL without a period."""
+    month = F.trunc(period_date(df, period), "MM").alias("__month")
+    read, numbers = with_measures(df.select(*{*keys, *names}, month), names)
+    texts = [isinstance(df.schema[n].dataType, T.StringType) for n in names]
+    unread = [F.col(f"__{n}.text").isNotNull().cast("long") if t else F.lit(0) for n, t in zip(names, texts)]
+    rows = read.select(
+        *keys,
+        "__month",
+        *[v.alias(f"__v{i}") for i, v in enumerate(numbers)],
+        *[u.alias(f"__u{i}") for i, u in enumerate(unread)],
     )
+    if not any(texts):
+        rows = rows.where(F.col("__month").isNotNull())
+    measures = [
+        F.struct(
+            F.lit(n).alias("column"),
+            F.coalesce(F.sum(f"__v{i}"), F.lit(0.0)).alias("value"),
+            F.sum(f"__u{i}").alias("unread"),
+        ).alias(f"__m{i}")
+        for i, n in enumerate(names)
+    ]
+    sums = rows.groupBy(*keys, "__month").agg(*measures)
+    made = F.explode(F.array(*[f"__m{i}" for i in range(len(names))])).alias("m")
+    return sums.select(*keys, "__month", made).select(*keys, "m.column", "__month", "m.value", "m.unread")
 
 
 def with_changes(series: DataFrame, keys: Sequence[str] = (), order: str = "period") -> DataFrame:

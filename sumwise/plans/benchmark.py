@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sumwise.functions.basics import computed_once
+from sumwise.functions.jsontext import parsed_json
 from sumwise.operators.audit import audit_insights
 from sumwise.operators.evidence import claims_cause
 from sumwise.operators.intents import VOCABULARIES, validate_intents
@@ -116,11 +117,11 @@ def matches_expected(actual: Column | str, expected: Column | str) -> Column:
 
     A field that is absent counts as null; numbers are equal by value.
     """
-    a, e = F.try_parse_json(actual), F.try_parse_json(expected)
+    fields = "map<string, variant>"
+    a, e = (F.try_variant_get(parsed_json(c), "$", fields) for c in (actual, expected))
 
     def same(key: Column) -> Column:
-        path = F.concat(F.lit("$['"), key, F.lit("']"))
-        mine, theirs = F.try_variant_get(a, path, "variant"), F.try_variant_get(e, path, "variant")
+        mine, theirs = F.try_element_at(a, key), F.try_element_at(e, key)
         as_text = F.coalesce(F.to_json(mine), F.lit("null")) == F.coalesce(F.to_json(theirs), F.lit("null"))
         numeric = F.schema_of_variant(mine).rlike("^(BIGINT|DOUBLE|DECIMAL)") & F.schema_of_variant(
             theirs
@@ -128,7 +129,7 @@ def matches_expected(actual: Column | str, expected: Column | str) -> Column:
         as_number = F.try_variant_get(mine, "$", "double") == F.try_variant_get(theirs, "$", "double")
         return as_text | F.coalesce(numeric & as_number, F.lit(False))
 
-    return F.forall(F.coalesce(F.json_object_keys(expected), F.array().cast("array<string>")), same)
+    return F.forall(F.coalesce(F.map_keys(e), F.array().cast("array<string>")), same)
 
 
 def evaluate_cases(cases: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@ from __future__ import annotations
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from sumwise.operators import audit, evidence, intents
 from sumwise.plans import benchmark
@@ -156,3 +157,40 @@ def test_benchmark(spark):
     nothing = benchmark.summarize(results.where("false"))
     assert benchmark.summary_lines(nothing).first()["line"] == "Overall: no cases run"
     assert nothing.first()["accuracy"] is None
+
+
+def test_a_response_is_one_json_value(spark):
+    from sumwise.functions.jsontext import parsed_json
+
+    good = ["{}", ' {"a": 1} ', "[1, 2]", "1", '"x"', "null", "true"]
+    bad = ["", " ", None, "{} thanks", "{}{}", "{}, {}", "1 2", "1] x [2", "{}} x {", "[1", "1}", "{} Hope this helps! 123456"]
+    df = spark.createDataFrame([(t, t in good) for t in good + bad], "t string, ok boolean")
+    assert df.where(parsed_json("t").isNotNull() != F.col("ok")).collect() == []
+
+
+def test_text_after_a_valid_response_rejects_it(spark):
+    from sumwise.operators.audit import audit_cited, audit_insights
+    from sumwise.operators.intents import validate_intents
+
+    said = {"summary": "fine", "key_insights": [], "trend_interpretation": None, "warnings": [], "recommendations": []}
+    texts = [json.dumps(said), json.dumps(said) + " Hope this helps! 123456", json.dumps(said) * 2]
+    pairs = spark.createDataFrame([(t, "{}") for t in texts], "response string, payload string")
+    assert [r.reason for r in audit_insights(pairs).collect()] == [None, "malformed_output", "malformed_output"]
+    digits = [json.dumps({**said, "summary": f"rose to {n}"}, ensure_ascii=False) for n in ("345678", "٣٤٥٦٧٨", "３４５６７８", "12")]
+    pairs = spark.createDataFrame([(t, '{"total": 12}') for t in digits], "response string, payload string")
+    assert [r.reason for r in audit_insights(pairs).collect()] == ["hallucinated_numeric_value"] * 3 + [None]
+    cited = [json.dumps({**said, "evidence_ids_used": ids}) for ids in ([], ["ev_001"], [None], ["ev_001", None], ["ev_9"])]
+    pairs = spark.createDataFrame([(t, "[]", ["ev_001"]) for t in cited], "response string, facts string, known array<string>")
+    reasons = [r.reason for r in audit_cited(pairs, "response", "facts", "known").collect()]
+    assert reasons == [None, None, "malformed_output", "malformed_output", "unsupported_evidence"]
+    intent = '{"intent": "unsupported"}'
+    df = spark.createDataFrame([(intent + " thanks",), (intent * 2,)], "response string")
+    assert {r.reason for r in validate_intents(df, "question").collect()} == {"invalid_json"}
+
+
+def test_expected_keys_with_quotes(spark):
+    from sumwise.plans.benchmark import matches_expected
+
+    rows = [('{"it\'s": 1, "a.b": "x"}', '{"it\'s": 1.0, "a.b": "x"}', True), ("{}", '{"x\'y]": 1}', False), ("{}", '{"q": null}', True)]
+    df = spark.createDataFrame(rows, "a string, e string, ok boolean")
+    assert df.where(matches_expected("a", "e") != F.col("ok")).collect() == []

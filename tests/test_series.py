@@ -27,12 +27,22 @@ def test_monthly_series_sums_and_keeps_gaps(spark):
 
 
 def test_monthly_series_of_text(spark):
-    rows = [("$1,000", "2024-01-05"), ("$500", "January 9, 2024"), ("n/a", "2024-02-01"), ("$7", "some day")]
+    rows = [("$1,000", "2024-01-05"), ("$500", "January 9, 2024"), (None, "2024-02-01"), ("$7", "some day")]
     df = spark.createDataFrame(rows, "amount string, day string")
     got = {r["period"]: r["value"] for r in S.monthly_series(df, "day", "amount").collect()}
     assert got == {"2024-01": 1500.0, "2024-02": 0.0}
 
 
+def test_a_measure_with_unreadable_cells_has_no_series(spark):
+    rows = [("a", "$10", "2024-01"), ("a", "$20", "2024-02"), ("a", "n/a", "2024-02"), ("b", "$10", "2024/3"), ("b", "1.5", "Mar 2024"), ("b", None, "15-April-2024")]
+    rows += [("c", "$3", "2024-05-01T23:30:00+05:30"), ("c", "$4", "2024-05-01T23:30:00Z"), ("d", "1.234", "no day")]
+    df = spark.createDataFrame(rows, "k string, amount string, day string")
+    got = {(r["k"], r["period"]): r["value"] for r in S.monthly_series(df, "day", "amount", ["k"]).collect()}
+    assert got == {("b", "2024-03"): 11.5, ("b", "2024-04"): 0.0, ("c", "2024-05"): 7.0}
+    why = [tuple(r) for r in S.unreadable_measures(df, "day", "amount", ["k"]).orderBy("k").collect()]
+    assert why == [("a", "amount", "unreadable_values", 1), ("d", "amount", "unreadable_values", 1)]
+
+
 def test_with_and_without_keys_agree(series):
     df = series(a=[5.0, 7.0, 6.0, 20.0, 5.0])
     plain = df.select("period", "value")
