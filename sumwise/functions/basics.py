@@ -111,8 +111,3 @@ def computed_once(df: DataFrame, kept: Iterable[Column | str], **made: Column) -
     behind it and evaluates it again.  A generator of one row stands between the two.
     """
     return df.select(*kept, F.inline(F.array(F.struct(*[c.alias(n) for n, c in made.items()]))))
-
-
-def plan_bytes(df: DataFrame) -> int:
-    """Size of `df` as the optimizer estimates it, after column pruning."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

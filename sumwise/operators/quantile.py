@@ -1,115 +1,61 @@
-"""Exact medians of columns of any size.
+"""Exact medians of columns of any size, by one way at every size.
 
-Equal values are counted first, before the shuffle.  While the whole input is small, and
-the optimizer's size estimate tells, the counts of a group are ranked in one task.
-Beyond that the median is found by narrowing, three aggregations that all combine before
-the shuffle:
+1. A sketch per group, made in an aggregation that combines before the shuffle, brackets the
+   wanted rank: of all values at most a `BRACKET` part lies between its two values.
+2. The values are read once more.  Those below the bracket are only counted, those above it
+   are dropped, and the few inside are counted by value, all before the shuffle.
+3. The rank is read off the counts of the group, in the order of the values.
 
-1. approximate percentiles bracket the wanted rank of every group,
-2. a histogram of the bracket finds the bucket that holds the rank,
-3. the distinct values of that bucket are counted and the rank is read off exactly.
-
-No step gathers a large group; what one task sees is a sketch, a histogram or one bucket.
+One task sees one sketch, or the distinct values inside one bracket: 0.1 % of a group at most.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sumwise.functions.basics import by_keys, join_on, plan_bytes
+from sumwise.functions.basics import by_keys, join_on
 
-SMALL_INPUT = 512 * 1024 * 1024
 ACCURACY = 10_000
-BUCKETS = 4096
-SMALL_GROUP = 100_000
+MARGIN = 4.0 / ACCURACY  # four times what the sketch may be off
+BRACKET = 2 * MARGIN + 2.0 / ACCURACY
 
 
-def exact_medians(
-    values: DataFrame, keys: Sequence[str], small_input: int = SMALL_INPUT, small_group: int = SMALL_GROUP
-) -> DataFrame:
-    """`keys, median` over the non-null `value` column of `values`."""
-    keys = list(keys)
-    present = values.where(F.col("value").isNotNull()).select(*keys, "value")
-    if plan_bytes(present) <= small_input:
-        return _counted_medians(present, keys)
-    return _narrowed_medians(present, keys, small_group)
+def near_median(value: Column | str) -> Column:
+    """Aggregate: two values that enclose the median, closely in a large group."""
+    return F.percentile_approx(value, [0.5 - MARGIN, 0.5 + MARGIN], ACCURACY)
 
 
-def _counted_medians(values: DataFrame, keys: list[str]) -> DataFrame:
-    counted = values.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("__rows"))
-    whole = F.sum("__rows").over(by_keys(keys))
-    last = F.sum("__rows").over(by_keys(keys, "value")) - 1
+def exact_medians(values: DataFrame, keys: Sequence[str], near: DataFrame | None = None) -> DataFrame:
+    """`keys, median` over the non-null `value` column of `values`.
+
+    `near` has `keys, count, near` (`near_median`) where an aggregation over the same values
+    has made them already.
+    """
+    keys = list(keys)
+    present = values.where(F.col("value").isNotNull()).select(*keys, "value")
+    if near is None:
+        near = present.groupBy(*keys).agg(F.count(F.lit(1)).alias("count"), near_median("value").alias("near"))
+    near = near.where(F.col("count") > 0).select(*keys, F.col("count").alias("__n"), F.col("near").alias("__near"))
+    placed = join_on(present, near, keys, "inner") if keys else present.crossJoin(F.broadcast(near))
+    inside = placed.where(F.col("value") <= F.col("__near")[1])
+    # Everything below the bracket is one entry without a value, which comes first.
+    entry = F.when(F.col("value") >= F.col("__near")[0], F.col("value")).alias("value")
+    counted = inside.select(*keys, "__n", entry).groupBy(*keys, "__n", "value").agg(F.count(F.lit(1)).alias("__rows"))
+    last = F.sum("__rows").over(by_keys(keys, F.col("value").asc_nulls_first())) - 1
     ranked = counted.select(
         *keys,
         "value",
         last.alias("__last"),
         (last - F.col("__rows") + 1).alias("__first"),
-        F.floor((whole - 1) / 2).alias("__r1"),
-        F.floor(whole / 2).alias("__r2"),
+        F.floor((F.col("__n") - 1) / 2).alias("__r1"),
+        F.floor(F.col("__n") / 2).alias("__r2"),
     )
-    return _at_middle(ranked, keys)
-
 
-def _at_middle(ranked: DataFrame, keys: list[str]) -> DataFrame:
-    """The mean of the values that hold the ranks `__r1` and `__r2`."""
-
-    def at(rank: str):
+    def at(rank: str) -> Column:
         holds = (F.col("__first") <= F.col(rank)) & (F.col(rank) <= F.col("__last"))
         return F.max(F.when(holds, F.col("value")))
 
     return ranked.groupBy(*keys).agg(((at("__r1") + at("__r2")) / 2).alias("median"))
-
-
-def _narrowed_medians(values: DataFrame, keys: list[str], small_group: int) -> DataFrame:
-    margin = 2.0 / ACCURACY
-    near = F.percentile_approx("value", [0.5 - margin, 0.5 + margin], ACCURACY)
-    bracket = values.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("__n"),
-        F.min("value").alias("__min"),
-        F.max("value").alias("__max"),
-        near.alias("__near"),
-    )
-    small = F.col("__n") <= small_group
-    bracket = bracket.select(
-        *keys,
-        F.floor((F.col("__n") - 1) / 2).alias("__r1"),
-        F.floor(F.col("__n") / 2).alias("__r2"),
-        F.when(small, F.col("__min")).otherwise(F.col("__near")[0]).alias("__lo"),
-        F.when(small, F.col("__max")).otherwise(F.col("__near")[1]).alias("__hi"),
-    )
-
-    # Bucket -1 is everything below the bracket; what lies above it is not needed.
-    v, lo, hi = F.col("value"), F.col("__lo"), F.col("__hi")
-    share = F.when(hi > lo, F.try_divide(v - lo, hi - lo)).otherwise(0.0)
-    bucket = F.when(v < lo, F.lit(-1)).otherwise(F.floor(share * BUCKETS).cast("int"))
-    placed = join_on(values, bracket, keys, "inner").where(v <= hi).withColumn("__b", bucket)
-    histogram = placed.groupBy(*keys, "__b").agg(
-        F.count(F.lit(1)).alias("__rows"), F.first("__r1").alias("__r1"), F.first("__r2").alias("__r2")
-    )
-    upto = F.sum("__rows").over(by_keys(keys, "__b"))
-    wanted = (
-        histogram.withColumn("__before", upto - F.col("__rows"))
-        .where(
-            (F.col("__b") >= 0)
-            & (F.col("__before") <= F.col("__r2"))
-            & (F.col("__before") + F.col("__rows") > F.col("__r1"))
-        )
-        .select(*keys, "__b", "__before")
-    )
-
-    counted = (
-        join_on(placed.select(*keys, "__b", "value", "__r1", "__r2"), wanted, [*keys, "__b"], "inner")
-        .groupBy(*keys, "__b", "value")
-        .agg(
-            F.count(F.lit(1)).alias("__rows"),
-            F.first("__before").alias("__before"),
-            F.first("__r1").alias("__r1"),
-            F.first("__r2").alias("__r2"),
-        )
-    )
-    last = F.col("__before") + F.sum("__rows").over(by_keys([*keys, "__b"], "value")) - 1
-    ranked = counted.withColumn("__last", last).withColumn("__first", last - F.col("__rows") + 1)
-    return _at_middle(ranked, keys)

@@ -32,16 +32,14 @@ def _names(c: Column | None = None) -> Column:
 
 @F.pandas_udf(T.DoubleType())
 def _similarity(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """Matching-blocks ratio of name and hint; each distinct pair of a task is compared once."""
-    known: dict[tuple[str, str], float] = {}
+    """Matching-blocks ratio of name and hint; each distinct pair of a batch is compared once."""
     for names, hints in batches:
+        known: dict[tuple[str, str], float] = {}
         out = []
         for pair in zip(names, hints, strict=True):
             if pair not in known:
                 known[pair] = _ratio(*pair)
             out.append(known[pair])
-        if len(known) > 200_000:
-            known.clear()
         yield pd.Series(out, dtype="float64")
 
 
@@ -52,6 +50,16 @@ def _ratio(name: str, hint: str) -> float:
     return matcher.ratio()
 
 
+def _shares_characters(name: str, hint: str) -> Column:
+    """A bound that the ratio cannot pass: the characters of each that occur in the other at all."""
+
+    def shared(a: Column, b: Column) -> Column:
+        return F.length(a) - F.length(F.call_function("translate", a, b, F.lit("")))
+
+    a, b = F.col(name), F.col(hint)
+    return 2 * F.least(shared(a, b), shared(b, a)) + 1e-9 >= SIMILAR * (F.length(a) + F.length(b))
+
+
 def _column_hints(requests: DataFrame, keys: Sequence[str], hint: str) -> DataFrame:
     return requests.select(*keys, strip(hint).alias("__hint")).where(F.col("__hint") != "").distinct()
 
@@ -83,6 +91,7 @@ def resolve_hints(hints: DataFrame, columns: DataFrame, keys: Sequence[str]) ->
         [*keys, "__len"],
         "inner",
     )
+    near = near.where(_shares_characters("__lower", "__h"))
     alike = near.withColumn("__score", _similarity("__lower", "__h")).where(F.col("__score") >= SIMILAR)
     scored = join_on(alike.select(*keys, "__hint", "__lower", "__score"), names, [*keys, "__lower"], "inner")
     # Best first; equal scores in descending order of the name, then by position.

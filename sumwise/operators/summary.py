@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from sumwise.functions.basics import NUMBERS, TIMES, join_on, number_of
 from sumwise.operators.clean import text_cells
-from sumwise.operators.quantile import SMALL_INPUT, exact_medians
+from sumwise.operators.quantile import exact_medians, near_median
 
 STATS = ["count", "missing_count", "sum", "mean", "median", "min", "max", "std"]
 
@@ -50,7 +50,6 @@ def numeric_summary(
     columns: Sequence[str] | None = None,
     clean_text: bool = False,
     approx: bool = False,
-    small_input: int = SMALL_INPUT,
 ) -> DataFrame:
     """Count, missing, sum, mean, median, min, max and sample deviation per numeric column.
 
@@ -68,6 +67,7 @@ def numeric_summary(
 
     def stats(v: Column) -> list[Column]:
         median = F.percentile_approx(v, 0.5, 10_000) if approx else F.lit(None).cast("double")
+        near = F.lit(None).cast("array<double>") if approx else near_median(v)
         return [
             F.count(v).alias("count"),
             (F.count(F.lit(1)) - F.count(v)).alias("missing_count"),
@@ -77,6 +77,7 @@ def numeric_summary(
             F.min(v).alias("min"),
             F.max(v).alias("max"),
             F.stddev_samp(v).alias("std"),
+            near.alias("near"),
         ]
 
     parts, values = [], []
@@ -88,7 +89,7 @@ def numeric_summary(
         )
         parts.append(
             wide.select(*keys, F.explode(per_column).alias("c")).select(
-                *keys, "c.position", *[f"c.s.{x}" for x in STATS]
+                *keys, "c.position", *[f"c.s.{x}" for x in [*STATS, "near"]]
             )
         )
         long = cells.select(*keys, *[F.col(f"__v{i}").alias(str(i)) for i, _ in numbers]).unpivot(
@@ -110,7 +111,8 @@ def numeric_summary(
     )
     summary = reduce(DataFrame.unionByName, parts).join(F.broadcast(header), "position")
     if not approx:
-        medians = exact_medians(reduce(DataFrame.unionByName, values), [*keys, "position"], small_input)
+        near = summary.select(*keys, "position", "count", "near")
+        medians = exact_medians(reduce(DataFrame.unionByName, values), [*keys, "position"], near)
         summary = join_on(summary.drop("median"), medians, [*keys, "position"])
     return summary.select(*keys, "position", "name", *STATS)
 

@@ -156,10 +156,8 @@ def compare_datasets(
         r = F.col("__reason")
         options = [F.when(r.endswith(f"column_in_file_{s}"), F.col(f"c{s}.candidates")) for s in SIDES]
         options += [F.when(r.endswith(f"period_in_file_{s}"), F.col(f"p{s}.candidates")) for s in SIDES]
-        options += [
-            F.when(F.size("fa.__ids") > 1, F.col("fa.__ids")),
-            F.when(F.size("fb.__ids") > 1, F.col("fb.__ids")),
-        ]
+        # The first side whose hint matches several files is the one that failed.
+        options += [F.when((r == "duplicate_role") & (F.size(f"f{s}.__ids") > 1), F.col(f"f{s}.__ids")) for s in SIDES]
         return F.coalesce(F.when(~ok, F.coalesce(*options)), no_names())
 
     column = F.when(kind == "file_value_comparison", F.col("ca.column")).otherwise(series_column("a"))

@@ -12,42 +12,40 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sumwise.functions.basics import FLOATS, plan_bytes
+from sumwise.functions.basics import FLOATS
 from sumwise.operators.summary import iso_text
 
 READERS = {".parquet": "parquet", ".csv": "csv", ".json": "json", ".orc": "orc"}
-SPLIT = 1024 * 1024
 FILE_ROLES = ["previous", "current", "reference", "comparison"]
 DATASET_TYPE = "dataset_id string, path string, display_name string, role string"
 
 
 def load_table(
-    spark: SparkSession, path: str, nan_as_null: bool = True, schema=None, spread: bool = False
+    spark: SparkSession, path: str, nan_as_null: bool = True, schema=None, format: str | None = None
 ) -> DataFrame:
-    """A table from parquet, CSV, JSON or ORC.
+    """A table from parquet, CSV, JSON or ORC: a file, or a folder of files.
 
-    Raises FileNotFoundError for a path that does not exist and ValueError for another
-    extension.  NaN becomes NULL in floating point columns only, so filters on all other
-    columns still reach the scan.
-
-    `spread` is for work that is heavy per row on a table too small to give every core a
-    split: its rows are dealt out once.  A table that fills the cores is left as it is.
+    `format` names the format of a folder, whose name mostly has no extension; else the
+    extension decides.  Raises FileNotFoundError for a path that does not exist and ValueError
+    for another extension or format.  Without a `schema` all columns of a CSV are text, so
+    the data is read once, and the cleaning decides what they hold.  NaN becomes NULL in
+    floating point columns only, so filters on all other columns still reach the scan.
     """
     location = spark._jvm.org.apache.hadoop.fs.Path(path)
     if not location.getFileSystem(spark._jsc.hadoopConfiguration()).exists(location):
         raise FileNotFoundError(f"table not found: {path}")
     suffix = PurePosixPath(path).suffix.lower()
-    if suffix not in READERS:
+    if format is None and suffix not in READERS:
         raise ValueError(f"unsupported file extension: {suffix}")
-    reader = spark.read.format(READERS[suffix])
-    if suffix == ".csv":
-        reader = reader.option("header", True).option("inferSchema", schema is None)
+    kind = format or READERS[suffix]
+    if kind not in READERS.values():
+        raise ValueError(f"unsupported format: {kind}")
+    reader = spark.read.format(kind)
+    if kind == "csv":
+        reader = reader.option("header", True)
     if schema is not None:
         reader = reader.schema(schema)
     df = reader.load(path)
-    cores = spark.sparkContext.defaultParallelism
-    if spread and SPLIT <= plan_bytes(df) < cores * SPLIT * 32:
-        df = df.repartition(cores)
     return without_nan(df) if nan_as_null else df
 
 

@@ -183,6 +183,50 @@ def test_comparisons(spark, found):
     assert bars[2]["reason"] == "unsupported_comparison"
 
 
+def test_candidates_come_from_the_side_that_failed(spark, found):
+    known = spark.createDataFrame(
+        [("old", "a.csv", "current"), ("new", "b.csv", "current"), ("bare", "c.csv", "reference")],
+        "dataset_id string, display_name string, role string",
+    )
+    sides = [("previous", "current"), ("current", "reference"), ("reference", "current"), ("nowhere", "current")]
+    asked = [(i, "file_value_comparison", "amount", "sum", None, *s) for i, s in enumerate(sides)] + [(4, "dance", None, None, None, "current", "current")]
+    df = spark.createDataFrame(
+        asked,
+        "request_id int, intent string, column_hint string, metric string, period_hint string, from_file_hint string, to_file_hint string",
+    )
+    got = by(comparison.compare_datasets(df, known, found), "request_id")
+    told = {i: (r["reason"], sorted(r["extra"]["candidates"] or [])) for i, r in got.items()}
+    both = ["new", "old"]
+    assert told == {
+        0: ("role_not_assigned", []), 1: ("duplicate_role", both), 2: ("duplicate_role", both), 3: ("file_not_found", []), 4: ("unsupported_comparison", []),
+    }
+
+
+def test_similarity_runs_where_the_package_is_not_installed(tmp_path):
+    """Worker functions travel by value; the script below starts in another folder, its workers find no `sumwise`."""
+    import os
+    import subprocess
+    import sys
+
+    script = tmp_path / "job.py"
+    script.write_text(
+        f"""
+import sys
+sys.path.insert(0, {os.path.dirname(os.path.dirname(os.path.abspath(__file__)))!r})
+from sumwise.session import local_session
+from sumwise.operators.resolve import resolve_column
+spark = local_session(2, 2)
+asked = spark.createDataFrame([(1, "d", "Revenu")], "id int, dataset_id string, column_hint string")
+names = spark.createDataFrame([("d", 0, "Revenue"), ("d", 1, "Cost")], "dataset_id string, position int, name string")
+assert resolve_column(asked, names).first()["column"] == "Revenue"
+print("resolved")
+"""
+    )
+    env = {k: v for k, v in os.environ.items() if k not in ("PYTHONPATH", "PYSPARK_GATEWAY_PORT", "PYSPARK_GATEWAY_SECRET")}
+    done = subprocess.run([sys.executable, str(script)], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=200)
+    assert "resolved" in done.stdout, done.stderr[-2000:]
+
+
 def test_charts(spark, found):
     asked = [
         ("old", "trend_chart", None, None, None, None, None),

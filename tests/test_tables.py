@@ -53,12 +53,16 @@ def test_medians_of_large_groups(spark):
     rows += [("one", 1.5), ("two", 1.0), ("two", 4.0), ("same", 2.0), ("same", 2.0), (None, 8.0), ("none", None)]
     df = spark.createDataFrame(rows, "k string, value double")
     expected = {k: statistics.median([v for q, v in rows if q == k and v is not None]) for k in {q for q, _ in rows} - {"none"}}
-    for small_group in (0, 50, 100_000):
-        got = {r["k"]: r["median"] for r in exact_medians(df, ["k"], small_input=0, small_group=small_group).collect()}
-        assert got == expected, small_group
     assert {r["k"]: r["median"] for r in exact_medians(df, ["k"]).collect()} == expected
 
 
+def test_median_of_more_rows_than_the_sketch_holds(spark):
+    rng = random.Random(5)
+    values = [float(rng.randint(0, 30_000)) for _ in range(61_000)] + [rng.expovariate(1e-3) for _ in range(40_001)]
+    df = spark.createDataFrame([(v,) for v in values], "value double").repartition(7)
+    assert exact_medians(df, []).first()["median"] == statistics.median(values)
+
+
 def test_date_summary(mixed):
     r = summary.date_summary(mixed).first()
     assert (r["count"], r["missing_count"], r["min"], r["duration_days"]) == (3, 1, "2024-01-01T00:00:00", 31)
@@ -164,7 +168,15 @@ def test_load_table(spark, tmp_path, mixed):
         tables.load_table(spark, str(other))
     csv = tmp_path / "t.csv"
     csv.write_text("a,b\n1,x\n2,\n")
-    assert tables.load_table(spark, str(csv)).dtypes == [("a", "int"), ("b", "string")]
+    assert tables.load_table(spark, str(csv)).dtypes == [("a", "string"), ("b", "string")]
+    assert tables.load_table(spark, str(csv), schema="a int, b string").dtypes == [("a", "int"), ("b", "string")]
+    folder = str(tmp_path / "parts")
+    mixed.drop("at").write.partitionBy("grp").parquet(folder)
+    assert tables.load_table(spark, folder, format="parquet").count() == 4
+    with pytest.raises(ValueError):
+        tables.load_table(spark, folder)
+    with pytest.raises(ValueError):
+        tables.load_table(spark, folder, format="xlsx")
 
 
 def test_filters_reach_the_scan(spark, tmp_path, mixed):

@@ -97,18 +97,18 @@ def q_cleaning_examples_by_group(spark, folder):
 
 
 def q_numeric_summary(spark, folder):
-    df = summary.numeric_summary(table(spark, folder, "lineitem", spread=True), ["l_returnflag", "l_linestatus"])
+    df = summary.numeric_summary(table(spark, folder, "lineitem"), ["l_returnflag", "l_linestatus"])
     return rounded(rounded(df, 2, *MONEY), 3, "median")
 
 
 def q_numeric_summary_all(spark, folder):
-    df = summary.numeric_summary(table(spark, folder, "lineitem", spread=True))
+    df = summary.numeric_summary(table(spark, folder, "lineitem"))
     return rounded(rounded(df, 2, *MONEY), 3, "median")
 
 
 def q_numeric_summary_narrowed(spark, folder):
-    """The same figures by the way for groups too large for one task."""
-    df = summary.numeric_summary(table(spark, folder, "lineitem", spread=True), ["l_returnflag"], small_input=0)
+    """Groups of a third of all rows."""
+    df = summary.numeric_summary(table(spark, folder, "lineitem"), ["l_returnflag"])
     return rounded(rounded(df, 2, *MONEY), 3, "median")
 
 
@@ -118,7 +118,7 @@ def q_numeric_summary_cleaned(spark, folder):
 
 
 def q_numeric_summary_approx(spark, folder):
-    df = summary.numeric_summary(table(spark, folder, "lineitem", spread=True), ["l_returnflag"], approx=True)
+    df = summary.numeric_summary(table(spark, folder, "lineitem"), ["l_returnflag"], approx=True)
     return rounded(rounded(df, 2, *MONEY), 3, "median")
 
 
@@ -153,7 +153,7 @@ def q_duplicate_column_names(spark, folder):
 
 
 def q_column_profile(spark, folder):
-    df = profile.column_profile(table(spark, folder, "lineitem", spread=True))
+    df = profile.column_profile(table(spark, folder, "lineitem"))
     return df.drop("dtype")
 
 
