@@ -138,15 +138,10 @@ def cleaning_report(
     if not order_by or not texts:
         return report
     order = {c: f"__o{j}" for j, c in enumerate(order_by)}
-    parts = []
-    for i, name in texts:
-        cells = read_cells(
-            df.select(*keys, *[F.col(c).alias(o) for c, o in order.items()], F.col(name).alias("raw")),
-            {"raw": "found"},
-        )
-        unresolved = cells.where(F.col("found.is_ambiguous"))
-        parts.append((i, unresolved.select(*keys, *order.values(), "raw", "found.warning")))
-    examples = first_values(parts, keys, list(order.values()), MAX_EXAMPLES, ["raw", "warning"])
+    ordered = df.withColumns({o: F.col(c) for c, o in order.items()})
+    unresolved = text_cells(ordered, [*keys, *order.values()], [name for _, name in texts]).where("found.is_ambiguous")
+    unresolved = unresolved.select(*keys, "position", *order.values(), "raw", "found.warning")
+    examples = first_values(unresolved, keys, list(order.values()), MAX_EXAMPLES, ["raw", "warning"])
     return join_on(report, examples.withColumnRenamed("values", "__e"), [*keys, "position"]).select(
         *report.columns, F.coalesce("__e", F.array()).alias("unresolved_examples")
     )

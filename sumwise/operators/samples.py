@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,24 +27,16 @@ def cell_text(df: DataFrame, name: str) -> Column:
 
 
 def first_values(
-    parts: Sequence[tuple[int, DataFrame]], keys: Sequence[str], order_by: Sequence[str], limit: int, fields: Sequence[str]
+    cells: DataFrame, keys: Sequence[str], order_by: Sequence[str], limit: int, fields: Sequence[str]
 ) -> DataFrame:
-    """`keys, position, values`: the first `limit` rows of each part as a list of structs.
+    """`keys, position, values`: the first `limit` cells of each column as a list of structs.
 
-    `parts` holds one frame per column position with `keys`, `order_by` and `fields`.
-    Without keys each part is a top-n, for which every task keeps `limit` rows.  With keys
-    the rank filter is applied before the shuffle as well as after it, so a hot key sends
-    at most `limit` rows per task.
+    `cells` has `keys, position, order_by, fields`, all columns below each other, so the table
+    is read once whatever its width.  The rank filter is applied before the shuffle as well as
+    after it: a task sends at most `limit` rows per key and column.
     """
-    tagged = []
-    for position, part in parts:
-        if not keys:
-            part = part.orderBy(*order_by).limit(limit)
-        tagged.append(part.select(F.lit(position).alias("position"), *keys, *order_by, *fields))
-    rows = reduce(DataFrame.unionAll, tagged)
-    if keys:
-        rank = F.row_number().over(by_keys([*keys, "position"], *order_by))
-        rows = rows.withColumn("__rank", rank).where(F.col("__rank") <= limit).drop("__rank")
+    rank = F.row_number().over(by_keys([*keys, "position"], *order_by))
+    rows = cells.withColumn("__rank", rank).where(F.col("__rank") <= limit).drop("__rank")
     ordered = F.array_sort(F.collect_list(F.struct(*order_by, *fields)))
     return rows.groupBy(*keys, "position").agg(
         F.transform(

@@ -52,13 +52,14 @@ def column_schema(
     facts = column_facts(df, keys, columns)
     if order_by:
         names = [c for c in df.columns if c not in keys]
-        parts = [
-            (i, df.select(*keys, *[F.col(o).alias(f"__o{j}") for j, o in enumerate(order_by)], cell_text(df, c).alias("text")).where(F.col("text").isNotNull()))
+        texts = [
+            F.struct(F.lit(i).alias("position"), cell_text(df, c).alias("text"))
             for i, c in enumerate(names)
             if columns is None or c in columns
         ]
-        order = [f"__o{j}" for j in range(len(order_by))]
-        samples = first_values(parts, keys, order, MAX_SAMPLES, ["text"])
+        order = {o: f"__o{j}" for j, o in enumerate(order_by)}
+        cells = df.select(*keys, *[F.col(o).alias(a) for o, a in order.items()], F.inline(F.array(*texts)))
+        samples = first_values(cells.where(F.col("text").isNotNull()), keys, list(order.values()), MAX_SAMPLES, ["text"])
         facts = join_on(facts, samples.withColumnRenamed("values", "__samples"), [*keys, "position"])
         facts = facts.withColumn(
             "sample_values", F.coalesce("__samples", F.array().cast("array<string>"))

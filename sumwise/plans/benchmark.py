@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sumwise.functions.basics import computed_once
+from sumwise.functions.basics import computed_once, stored
 from sumwise.functions.jsontext import parsed_json
 from sumwise.operators.audit import audit_insights
 from sumwise.operators.evidence import claims_cause
@@ -204,9 +204,11 @@ def summary_lines(summary: DataFrame) -> DataFrame:
 
 
 def failure_lines(results: DataFrame) -> DataFrame:
-    """`case_id, line` for every case that did not pass."""
+    """`case_id, line` for every case that did not pass; one line without an id if all did."""
     line = F.concat(
         F.col("case_id"), F.lit(" ("), F.col("category"), F.lit("): expected "), F.col("expected"),
         F.lit(", got "), F.col("actual"), F.lit(" ["), F.col("reason"), F.lit("]"),
     )
-    return results.where(~F.col("passed")).select("case_id", line.alias("line"))
+    failed = stored(results.where(~F.col("passed")).select("case_id", line.alias("line")))
+    none = failed.agg(F.count("*").alias("n")).where("n = 0")
+    return failed.unionByName(none.select(F.lit(None).cast("string").alias("case_id"), F.lit("No failed cases.").alias("line")))

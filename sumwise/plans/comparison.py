@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sumwise.functions.basics import computed_once, join_on, stored_together
 from sumwise.functions.change import change
 from sumwise.functions.text import strip
+from sumwise.operators.intents import validate_intents
 from sumwise.operators.resolve import file_lookup
 from sumwise.operators.summary import STATS
 from sumwise.plans.analysis import Analysis
@@ -244,3 +245,19 @@ def with_comparison_answers(comparisons: DataFrame) -> DataFrame:
     text = F.coalesce(*[F.when(kind == name, s) for name, s in sentences.items()], F.lit(UNKNOWN_FAILURE))
     answer = F.when(F.col("found"), text).otherwise(failure_text(F.col("reason"), F.col("extra.candidates")))
     return comparisons.withColumns(numbers).select(*comparisons.columns, answer.alias("answer"))
+
+
+def compare_responses(
+    responses: DataFrame,
+    datasets: DataFrame,
+    analysis: Analysis,
+    ids: Sequence[str] = ("request_id",),
+    scope: Sequence[str] = (),
+    response: str = "response",
+) -> DataFrame:
+    """As `questions.answer_responses`, for comparisons between two datasets."""
+    said = [c for c in (response, "provider_error") if c in responses.columns]
+    read = validate_intents(responses.select(*ids, *scope, *said), "comparison", response)
+    compared = compare_datasets(read.where("is_valid").drop("is_valid", "reason"), datasets, analysis, ids, scope)
+    failed = read.where(~F.col("is_valid")).select(*ids, *scope, F.lit(False).alias("found"), "reason")
+    return with_comparison_answers(compared.unionByName(failed, allowMissingColumns=True))

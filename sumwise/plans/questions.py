@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sumwise.functions.basics import computed_once
 from sumwise.functions.text import double_text
+from sumwise.operators.intents import validate_intents
 from sumwise.operators.series import year_totals
 from sumwise.plans.analysis import Analysis
 from sumwise.plans.grounding import (
@@ -278,3 +279,24 @@ def with_answers(results: DataFrame) -> DataFrame:
     text = F.coalesce(*[F.when(intent == name, s) for name, s in sentences.items()], F.lit(UNKNOWN_FAILURE))
     answer = F.when(F.col("found"), text).otherwise(failure_text(F.col("reason"), extra["candidates"]))
     return results.withColumns(numbers).select(*results.columns, answer.alias("answer"))
+
+
+def answer_responses(
+    responses: DataFrame, analysis: Analysis, ids: Sequence[str] = ("request_id",), response: str = "response"
+) -> DataFrame:
+    """From the text a model wrote about a question to the answer, in one plan.
+
+    `responses` has `ids`, the keys of the analysis, the response and, if there is one, a
+    `provider_error`.  A response that is no valid intent still gets a row and its sentence.
+    """
+    keys = [k for k in analysis.keys if k not in ids]
+    own = [*ids, *keys]
+    read = validate_intents(responses.select(*own, *_said(responses, response)), "question", response)
+    answered = answer_questions(read.where("is_valid").drop("is_valid", "reason"), analysis, ids)
+    failed = read.where(~F.col("is_valid")).select(*own, F.lit(False).alias("found"), "reason")
+    failed = failed.select(*[c for c in failed.columns if c in answered.columns])
+    return with_answers(answered.unionByName(failed, allowMissingColumns=True))
+
+
+def _said(responses: DataFrame, response: str) -> list[str]:
+    return [c for c in (response, "provider_error") if c in responses.columns]

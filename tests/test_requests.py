@@ -260,3 +260,39 @@ def test_payload(spark, found):
     p = analysis.analytics_payload(found, with_profile=True).first()["payload"]
     assert '"profile":[{"name":"day"' in p and "date_summary" not in p
     assert {r["name"] for r in analysis.known_columns(found).collect()} == {"amount", "units"}
+
+
+def test_from_response_to_answer(spark, found):
+    import json
+
+    def intent(**fields):
+        keys = ["intent", "metric", "column_hint", "period_hint", "from_period_hint", "to_period_hint"]
+        return json.dumps({**dict.fromkeys(keys), **fields})
+
+    value = intent(intent="column_stat", metric="sum", column_hint="amount")
+    said = [(0, "old", value, None), (1, "old", value + " thanks", None), (2, "old", '{"intent": "column_stat"}', None), (3, "old", value, "provider_error"), (4, "old", None, None)]
+    df = spark.createDataFrame(said, "request_id int, dataset_id string, response string, provider_error string")
+    got = by(questions.answer_responses(df, found), "request_id")
+    assert got[0]["answer"] == "The sum of amount is 682.0." and got[0]["found"]
+    assert [got[i]["reason"] for i in (1, 2, 3, 4)] == ["invalid_json", "invalid_schema", "provider_error", "invalid_json"]
+    assert got[1]["answer"] == "The question couldn't be interpreted (the AI response wasn't valid JSON)."
+    known = spark.createDataFrame(
+        [("old", "2023.csv", "previous"), ("new", "2024.csv", "current")], "dataset_id string, display_name string, role string"
+    )
+    keys = ["intent", "metric", "column_hint", "period_hint", "from_file_hint", "to_file_hint"]
+    pair = json.dumps(dict(zip(keys, ["file_value_comparison", "sum", "amount", None, "previous", "current"])))
+    df = spark.createDataFrame([(0, pair), (1, pair + "x")], "request_id int, response string")
+    both = by(comparison.compare_responses(df, known, found), "request_id")
+    assert both[0]["found"] and both[0]["absolute_change"] == 110.0
+    assert (both[1]["reason"], both[1]["answer"]) == ("invalid_json", got[1]["answer"])
+
+
+def test_the_question_may_be_cited(spark, found):
+    import json
+
+    asked = spark.createDataFrame([(0, "old", "column_stat", "sum", "amount", None, None, None)], "request_id int, " + QUESTION.split(", ", 1)[1])
+    answers = questions.with_answers(questions.answer_questions(asked, found))
+    text = json.dumps({"summary": "You asked about Plan_777123.", "key_insights": [], "trend_interpretation": None, "warnings": [], "recommendations": [], "evidence_ids_used": []})
+    written = spark.createDataFrame([(0, text, "Plan_777123")], "request_id int, response string, question string")
+    reasons = [explained.explain_answers(answers, written, question=q).first()["explanation"]["reason"] for q in (None, "question")]
+    assert reasons == ["hallucinated_numeric_value", None]

@@ -213,6 +213,28 @@ def q_answer_questions(spark, folder):
     )
 
 
+def _question_responses(spark, folder):
+    """What a model wrote for every question: mostly the intent, sometimes with words after it, cut off or no answer."""
+    fields = ["intent", "metric", "column_hint", "period_hint", "from_period_hint", "to_period_hint"]
+    asked = _questions(spark, folder)
+    k, whole = F.col("request_id") % 11, F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
+    said = (
+        F.when(k == 1, F.concat(whole, F.lit(" Hope this helps!")))
+        .when(k == 2, F.concat(whole, whole))
+        .when(k == 3, F.expr("left({0}, 20)".format("__whole")))
+        .when(k == 4, F.replace(F.col("__whole"), F.lit('"intent"'), F.lit('"intents"')))
+        .otherwise(F.col("__whole"))
+    )
+    rows = asked.withColumn("__whole", whole).withColumn("response", said)
+    error = F.when(k == 5, "provider_error").alias("provider_error")
+    return rows.select("request_id", "dataset_id", "response", error)
+
+
+def q_answer_responses(spark, folder):
+    found = questions.answer_responses(_question_responses(spark, folder), shipment_analysis(spark, folder))
+    return found.select("request_id", "found", "reason", "answer")
+
+
 def q_evidence_of_answers(spark, folder):
     facts = with_evidence_text(evidence_of_answers(_answers(spark, folder), ["request_id"], "dataset_id"))
     return facts.select(
@@ -621,6 +643,13 @@ SQL = {
       FROM h JOIN c ON c.o_orderkey = h.o_orderkey""",
     "known_labels": """SELECT DISTINCT c_nationkey AS desk, unnest([c_name, CASE c_custkey % 60 WHEN 0 THEN 'previous' WHEN 1 THEN 'current'
         WHEN 2 THEN 'reference' ELSE c_name END]) AS label FROM customer""",
+    "answer_responses": f"""WITH {_QUESTIONS}, said AS (SELECT *, CASE WHEN request_id % 11 IN (1, 2, 3) THEN 'invalid_json'
+          WHEN request_id % 11 = 4 OR request_id % 11 <> 5 AND (i IN (4, 7) AND j = 6) THEN 'invalid_schema'
+          WHEN request_id % 11 = 5 THEN 'provider_error' END AS failure FROM answered JOIN (SELECT request_id, i, j FROM req) USING (request_id))
+      SELECT request_id, failure IS NULL AND found AS found, coalesce(failure, reason) AS reason, CASE failure
+        WHEN 'invalid_json' THEN 'The question couldn''t be interpreted (the AI response wasn''t valid JSON).'
+        WHEN 'invalid_schema' THEN 'The question couldn''t be interpreted (the AI response didn''t match the expected format).'
+        WHEN 'provider_error' THEN 'The question couldn''t be interpreted because the AI provider returned an error.' ELSE answer END AS answer FROM said""",
     "answer_questions": f"""WITH {_QUESTIONS} SELECT request_id, intent, found, reason, col AS "column", period, value, candidates, answer
       FROM answered""",
     "evidence_of_answers": f"""WITH {_QUESTIONS} SELECT request_id, 'ev_001' AS evidence_id,
