@@ -24,6 +24,7 @@ CATEGORIES = [
     "grounding",
     "safety",
 ]
+LOOKUPS = CATEGORIES[:3]
 RESPONSE_CHECKS = ["unsupported_question", "malformed_response", "provider_failure"]
 
 CASE = ["case_id", "category", "expected"]
@@ -74,42 +75,57 @@ def _semantic_cases(cases: DataFrame) -> DataFrame:
     return found.select(*CASE, _as_json(**fields, candidates=candidates))
 
 
-def _intent_cases(cases: DataFrame, vocabulary: str) -> DataFrame:
-    asked = cases.select(
-        *CASE,
-        _input("question").alias("question"),
-        _input("llm_response").alias("response"),
-        _input("provider_error").alias("provider_error"),
+def _kind() -> Column:
+    """What is to be done with a case that needs nothing but itself."""
+    category, check = F.col("category"), _input("check")
+    safety = (
+        F.when(check.isin(RESPONSE_CHECKS), "question")
+        .when(check.isin("causal_claim", "evidence_reference"), check)
+        .otherwise("unknown_check")
     )
-    checked = validate_intents(asked, vocabulary)
-    intent = F.to_json(F.struct(*VOCABULARIES[vocabulary].fields), {"ignoreNullFields": "false"})
-    whole = F.when(F.col("is_valid"), F.try_parse_json(intent))
-    actual = _as_json(is_valid=F.col("is_valid"), reason=F.col("reason"), intent=whole)
-    return checked.select(*CASE, F.when(F.col("question").isNotNull(), actual).alias("actual"))
-
-
-def _grounding_cases(cases: DataFrame) -> DataFrame:
-    pairs = cases.select(
-        *CASE,
-        F.coalesce(_input("analytics_payload"), F.lit("{}")).alias("payload"),
-        _input("llm_response").alias("response"),
-        _input("provider_error").alias("provider_error"),
+    return (
+        F.when(category == "intent_classification", "question")
+        .when(category == "chart_intent_classification", "chart")
+        .when(category == "grounding", "grounding")
+        .when(category == "safety", safety)
+        .otherwise("unknown_category")
     )
-    fields = {c: F.col(c) for c in ("is_valid", "reason", "insight")}
-    return audit_insights(pairs).select(*CASE, _as_json(**fields))
 
 
-def _safety_cases(cases: DataFrame) -> DataFrame:
-    check = _input("check")
-    responses = _intent_cases(cases.where(check.isin(RESPONSE_CHECKS)), "question")
-    texts = cases.where(check == "causal_claim").select(*CASE, _as_json(flagged=claims_cause(_input("text"))))
+def _only(kind: str, **fields: Column) -> dict[str, Column]:
+    """The fields for the cases of one kind, NULL for all others."""
+    return {name: F.when(F.col("__kind") == kind, c) for name, c in fields.items()}
+
+
+def _own_cases(cases: DataFrame) -> DataFrame:
+    """Cases that need no lookup: intents, charts, grounding, safety, and unknown categories, in one pass."""
+    kept = [*CASE, "input", "__kind"]
+    done = computed_once(cases, [*CASE, "input"], __kind=_kind())
+    written = {"response": _input("llm_response"), "provider_error": _input("provider_error")}
+    actual = {}
+    for name in ("question", "chart"):
+        checked = validate_intents(done.withColumns(_only(name, **written)), name)
+        intent = F.to_json(F.struct(*VOCABULARIES[name].fields), {"ignoreNullFields": "false"})
+        whole = F.when(F.col("is_valid"), F.try_parse_json(intent))
+        said = _as_json(is_valid=F.col("is_valid"), reason=F.col("reason"), intent=whole)
+        done = checked.select(*kept, *actual.values(), F.when(_input("question").isNotNull(), said).alias(f"__{name}"))
+        actual[name] = f"__{name}"
+    payload = F.coalesce(_input("analytics_payload"), F.lit("{}"))
+    audited = audit_insights(done.withColumns(_only("grounding", payload=payload, **written)))
+    fields = {c: F.col(c) for c in ("is_valid", "reason", "insight")}
+    done = audited.select(*kept, *actual.values(), _as_json(**fields).alias("__grounding"))
+    actual["grounding"] = "__grounding"
+
     none = F.array().cast("array<string>")
     known = F.from_json(_input("evidence_list"), "array<struct<evidence_id: string>>")["evidence_id"]
     unsupported = F.array_except(F.coalesce(_names("referenced_ids"), none), F.coalesce(known, none))
-    cited = cases.where(check == "evidence_reference").select(*CASE, _as_json(valid=F.size(unsupported) == 0))
-    named = F.coalesce(check.isin([*RESPONSE_CHECKS, "causal_claim", "evidence_reference"]), F.lit(False))
-    other = cases.where(~named).select(*CASE, _as_json(reason=F.lit("unknown_check")))
-    return reduce(DataFrame.unionByName, [responses, texts, cited, other])
+    made = {name: F.col(c) for name, c in actual.items()} | {
+        "causal_claim": _as_json(flagged=claims_cause(_input("text"))),
+        "evidence_reference": _as_json(valid=F.size(unsupported) == 0),
+        "unknown_check": _as_json(reason=F.lit("unknown_check")),
+    }
+    chosen = F.coalesce(*[F.when(F.col("__kind") == kind, c) for kind, c in made.items()])
+    return done.select(*CASE, chosen.alias("actual"))
 
 
 def matches_expected(actual: Column | str, expected: Column | str) -> Column:
@@ -135,7 +151,7 @@ def matches_expected(actual: Column | str, expected: Column | str) -> Column:
 def evaluate_cases(cases: DataFrame) -> DataFrame:
     """`case_id, category, passed, actual, expected, reason` for `sources.cases.load_cases`.
 
-    Every category is one plan over its own cases.  A case that lacks what its evaluator
+    The three categories that look something up are a plan each; all others are one pass.  A case that lacks what its evaluator
     needs fails with `evaluator_error`, one of an unknown category with `unknown_category`.
     """
     cases = cases.select(
@@ -150,13 +166,7 @@ def evaluate_cases(cases: DataFrame) -> DataFrame:
         _column_cases(of("column_resolution")),
         _period_cases(of("period_resolution")),
         _semantic_cases(of("semantic_resolution")),
-        _intent_cases(of("intent_classification"), "question"),
-        _intent_cases(of("chart_intent_classification"), "chart"),
-        _grounding_cases(of("grounding")),
-        _safety_cases(of("safety")),
-        cases.where(~F.coalesce(F.col("category").isin(CATEGORIES), F.lit(False))).select(
-            *CASE, F.lit(None).cast("string").alias("actual")
-        ),
+        _own_cases(cases.where(~F.coalesce(F.col("category").isin(LOOKUPS), F.lit(False)))),
     ]
     known = F.coalesce(F.col("category").isin(CATEGORIES), F.lit(False))
     passed = known & F.col("actual").isNotNull() & F.coalesce(matches_expected("actual", "expected"), F.lit(False))
