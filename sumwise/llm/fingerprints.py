@@ -17,7 +17,7 @@ removed.  A document with fewer than FEW terms in the lexicon uses all its disti
 
 Edge cases: a null text counts as empty; an empty text has an empty fingerprint, which is like
 another empty one (1.0) and unlike all others (0.0).  Rows with the same id stand in the order of
-their texts; null ids come last.  A single document is its own next one.  An empty table
+the hashes of their texts; null ids come last.  A single document is its own next one.  An empty table
 gives an empty result, further columns are ignored.  Texts are read whole; a task holds two
 documents besides its batch.
 """
@@ -171,11 +171,12 @@ def edited_fingerprints(docs: DataFrame, id: str = "doc_id", text: str = "text",
             yield pa.RecordBatch.from_pylist([row(last, first)], schema=schema)
 
     rows = docs.select(F.col(id).alias("id"), F.col(text).cast("string").alias("text"))
-    order = [F.col("id").desc_nulls_last(), F.col("text").asc_nulls_first()]
+    # Ranges are found from a sample on the driver: of ids and hashes, not of texts.
+    order = [F.col("id").desc_nulls_last(), F.xxhash64("text").asc()]
     parts = max(1, math.ceil(rows.count() / 5000))
-    dealt = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    dealt = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order, "text")
     found = stored(dealt.mapInArrow(in_task, f"id {kind}, {OUT}, text string, edge int"))
-    edges = found.where("edge is not null").select("id", "text", "edge").coalesce(1).sortWithinPartitions(*order, "edge")
+    edges = found.where("edge is not null").select("id", "text", "edge").coalesce(1).sortWithinPartitions(*order, "text", "edge")
     whole = found.where("edge is null").drop("text", "edge").union(edges.mapInArrow(at_edges, f"id {kind}, {OUT}"))
     return whole.withColumnRenamed("id", id)
 

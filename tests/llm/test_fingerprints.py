@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import xxhash
 
 from sumwise.llm import fingerprints as fp
 
@@ -16,7 +17,11 @@ def docs_of(n):
 
 
 def expected(rows):
-    order = sorted(rows, key=lambda r: ((r[0] is None), -(r[0] or 0), r[1] is not None, r[1] or ""))
+    def place(text):
+        h = 42 if text is None else xxhash.xxh64_intdigest(text.encode(), 42)
+        return h - (1 << 64) if h >> 63 else h
+
+    order = sorted(rows, key=lambda r: ((r[0] is None), -(r[0] or 0), place(r[1])))
     out = []
     for k, (i, t) in enumerate(order):
         t, after = t or "", order[(k + 1) % len(order)][1] or ""
