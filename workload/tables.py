@@ -122,6 +122,17 @@ def q_numeric_summary_approx(spark, folder):
     return rounded(rounded(df, 2, *MONEY), 3, "median")
 
 
+def q_approximate_median_rank(spark, folder):
+    """Whether the rank of every approximate median is within the bound of its sketch."""
+    lines, keys = table(spark, folder, "lineitem"), ["l_returnflag"]
+    names = [name for _, name in summary.numeric_columns(lines, keys)]
+    about = summary.numeric_summary(lines, keys, approx=True).select(*keys, "name", "median")
+    cells = lines.select(*keys, *[F.col(n).cast("double").alias(n) for n in names]).unpivot(keys, names, "name", "value")
+    n, off = F.count("value"), F.count("value") / 10_000 + 1
+    within = (F.count_if(F.col("value") < F.col("median")) <= n / 2 + off) & (F.count_if(F.col("value") <= F.col("median")) >= n / 2 - off)
+    return cells.join(about, [*keys, "name"]).groupBy(*keys, "name").agg(n.alias("n"), within.alias("within_bound"))
+
+
 def q_known_columns(spark, folder):
     df = summary.numeric_summary(messy_orders(spark, folder), clean_text=True)
     return df.select("name").distinct()
@@ -298,6 +309,11 @@ _WITH_DATE = "dated AS (SELECT messy.*, o_orderdate FROM messy JOIN orders ON id
 _ALL = ["id", "grp", *_TEXTS]
 
 SQL = {
+    "approximate_median_rank": """SELECT l_returnflag, name, count(value) AS n, true AS within_bound FROM (UNPIVOT
+        (SELECT l_returnflag, l_orderkey::DOUBLE AS l_orderkey, l_partkey::DOUBLE AS l_partkey, l_suppkey::DOUBLE AS l_suppkey,
+          l_linenumber::DOUBLE AS l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax FROM lineitem)
+        ON l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax INTO NAME name VALUE value)
+      GROUP BY 1, 2""",
     "load_table": "SELECT * FROM customer",
     "stack_datasets": """SELECT 'customer' AS dataset_id, count(*) AS n, count(*) AS customers, 0 AS suppliers,
         round(sum(c_acctbal), 2) AS balance FROM customer
