@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from sumwise.functions.basics import stored
 from sumwise.llm.common import slices
 from sumwise.llm.components import components
-from sumwise.llm.shingles import hashes_of, mix, shingle_set, shingles_of, words_of
+from sumwise.llm.shingles import mix, shingle_set
 
 BANDS, ROWS = 48, 5
 COORDINATES = BANDS * ROWS
