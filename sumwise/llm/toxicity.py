@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sumwise.functions.basics import stored
-from sumwise.llm.common import slices
+from sumwise.llm.common import slices, smallest
 
 MOST_ROWS = 20_000
 FOLDS = 3
@@ -149,7 +149,7 @@ def labelled(docs: DataFrame, labels: DataFrame, id: str, text: str, label: str)
     """(text, toxic, fold) of at most MOST_ROWS rows that may be learned from, a table in the shared folder."""
     said = labels.select(F.col(id).alias("id"), F.col(label).cast("double").alias("toxic")).where("id is not null and toxic is not null")
     said = said.where(~held_out(F.col("id"))).groupBy("id").agg(F.max("toxic").alias("toxic"))
-    chosen = said.orderBy(F.xxhash64("id"), "id").limit(MOST_ROWS)  # so the broadcast below is bounded
+    chosen = smallest(said, F.xxhash64("id"), MOST_ROWS)  # so the broadcast below is bounded
     texts = docs.select(F.col(id).alias("id"), F.col(text).cast("string").alias("text"))
     fold = F.pmod(F.xxhash64("id", F.lit("fold")), F.lit(FOLDS)).cast("int").alias("fold")
     return stored(texts.join(F.broadcast(chosen), "id").select("text", "toxic", fold))
