@@ -17,12 +17,16 @@ other leaves are never removed by themselves, so passages that many pages share
 The text of a page are its remaining blocks in order, character references decoded, white
 space made one space, joined by two line feeds.
 
-Counts are combined before each shuffle; a hot host gives one row per distinct value.  The
+Counts are combined before each shuffle; a hot host gives one row per distinct page and node,
+dealt by page.  The
 branches to remove are broadcast up to BROADCAST_BYTES, and joined by host beyond.
 
+Pages of a host whose blocks and places are all equal (mirrors, repeated rows, pages that differ
+in scripts only) count once in the entropies, so copies never make a branch look constant.
+
 Edge cases: a null or empty page has an empty text.  Pages cut off anywhere are read to their
-end; an unfinished tag ends the page.  A null URL, or one without `://`, has the host "".
-Repeated rows count as pages of their own.  An empty table gives an empty result, further
+end; an unfinished tag ends the page.  A null URL, or one without `://`, has no host: such pages
+are no site, and no tree is made of them.  An empty table gives an empty result, further
 columns are ignored.  Pages are read whole.
 """
 
@@ -183,9 +187,10 @@ def weigh(root: Node) -> None:
         open_nodes += parent.children
 
 
-def style_rows(page: str) -> list[tuple[int, float, int, int]]:
-    """(path, prior, kind, value) of the containers for which the tree decides: presentation 0, content 1."""
+def style_rows(page: str) -> list[tuple[int, int, float, int, int]]:
+    """(page, path, prior, presentation, content) of the containers for which the tree decides."""
     root, blocks = tree(page)
+    whole = hash64("\n".join(f"{node.path} {text}" for node, text in blocks))
     texts: dict[Node, list[str]] = {}
     for node, text in blocks:
         while node:
@@ -197,11 +202,11 @@ def style_rows(page: str) -> list[tuple[int, float, int, int]]:
     while open_nodes:
         node = open_nodes.pop()
         open_nodes += node.children
-        if node.parent and node.prior >= THRESHOLD and node in texts:
+        if node.parent and THRESHOLD <= node.prior < CONTENT and node in texts:
             key = (node.path, node.prior)
             shapes.setdefault(key, []).append(f"{len(texts[node])}:{','.join(str(c.path) for c in node.children)}")
             contents.setdefault(key, []).extend(texts[node])
-    return [(*k, 0, hash64(";".join(v))) for k, v in shapes.items()] + [(*k, 1, hash64("\n".join(v))) for k, v in contents.items()]
+    return [(whole, *k, hash64(";".join(v)), hash64("\n".join(contents[k]))) for k, v in shapes.items()]
 
 
 def main_text(page: str | None, low: frozenset[int]) -> str:
@@ -229,14 +234,17 @@ def low_branches(pages: DataFrame) -> DataFrame:
                 rows = style_rows(page or "")
                 hosts += [host] * len(rows)
                 found += rows
-            columns = list(zip(*found)) or [[], [], [], []]
-            kinds = [pa.int64(), pa.float64(), pa.int32(), pa.int64()]
+            columns = list(zip(*found)) or [[], [], [], [], []]
+            kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(hosts, pa.string()), *[pa.array(c, k) for c, k in zip(columns, kinds)]],
-                names=["host", "path", "prior", "kind", "value"],
+                names=["host", "page", "path", "prior", "shape", "content"],
             )
 
-    values = pages.mapInArrow(styled, "host string, path long, prior double, kind int, value long")
+    sites = pages.where(F.col("host") != "")
+    rows = sites.mapInArrow(styled, "host string, page long, path long, prior double, shape long, content long").distinct()
+    both = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).alias("value")) for k, c in enumerate(("shape", "content"))])
+    values = rows.select("host", "path", "prior", F.inline(both))
     n = F.col("n")
     nodes = (
         values.groupBy("host", "path", "prior", "kind", "value")

@@ -57,6 +57,17 @@ def test_copies_of_a_whole_page_keep_their_article(spark):
     assert {r.text for r in got} == {"T\n\nsame"} and len(got) == 30
 
 
+def test_copies_of_pages_without_article_keep_their_text(spark):
+    def page(k, script=""):
+        return f"<script>{script}</script><div class='x1'>Always the same words.</div><div class='y'><p>Words of page {k}.</p></div>"
+
+    rows = [(i, "http://one.org/", page(0, i)) for i in range(30)] + [(100 + i, None, page(0)) for i in range(30)]
+    rows += [(200 + i, f"http://many.org/{i}", page(max(0, i - 79))) for i in range(100)]  # four fifths are copies
+    got = {r.page_id: r.text for r in ht.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    expected = {i: "Always the same words.\n\nWords of page 0." for i in [*range(30), *range(100, 130)]}
+    assert got == expected | {200 + i: f"Words of page {max(0, i - 79)}." for i in range(100)}
+
+
 def test_join_beyond_the_broadcast(spark, monkeypatch):
     monkeypatch.setattr(ht, "BROADCAST_BYTES", 0)
     test_style_tree_finds_what_a_site_repeats(spark)
