@@ -7,12 +7,21 @@ divided by the logarithm of the number of pages.  A branch matters if either var
 
     importance = prior * (1 - (1 - presentation) * (1 - content))
 
-The prior is what tags, classes and ids say themselves: menus, headers, footers, sidebars,
-notices, adverts, forms and comments have one so low that no entropy lifts them over the
-threshold (on pages whose menus differ from page to page, entropy alone would keep them); an
-`article` or `main` is never removed, and what stands beside it is.  Everything else depends on
-the tree.  A node on fewer than FEW_PAGES pages counts as varying.  Paragraphs, headings and
-other leaves are never removed by themselves, so passages that many pages share stay.
+The prior is what tags, classes, ids and roles say themselves.  Tags of menus, headers, footers,
+sidebars and forms, and names that are as a whole one of OWN (adverts, readers' comments), have
+one so low that no entropy lifts them over the threshold: their text varies like that of an
+article.  An `article` or `main` is never removed, and what stands beside it is.  A name that
+holds a word of NOISE_NAMES or HEADERS only lowers the prior, and the tree decides:
+
+- inside an `article` such a container stays unless the host repeats it; a `section`, whose id
+  is its heading, is not lowered at all, unless it holds articles of its own (comments);
+- elsewhere it stays if the host shows that it varies, and goes where the tree cannot tell;
+- the container with more than half of the page's text (a wrapper, also a `form`) is not lowered
+  on a page without `article` and `main`.
+
+Everything else depends on the tree.  A node on fewer than FEW_PAGES pages counts as varying.
+Paragraphs, headings and other leaves are never removed by themselves, so passages that many
+pages share stay.
 
 The text of a page are its remaining blocks in order, character references decoded, white
 space made one space, joined by two line feeds.
@@ -38,7 +47,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sumwise.functions.basics import stored
@@ -47,7 +56,9 @@ from sumwise.llm.url_filter import host_and_path
 
 THRESHOLD = 0.3
 FEW_PAGES = 5
-NOISE, BESIDE, PLAIN, INSIDE, CONTENT = 0.2, 0.25, 0.6, 0.9, 1.0
+NOISE, BESIDE, NAMED, MARKED, PLAIN, INSIDE, CONTENT = 0.2, 0.25, 0.4, 0.5, 0.6, 0.9, 1.0
+#: What the tree decides about; a node's place in the lists of a host is its path with these bits.
+CODES = {NAMED: 1, MARKED: 2, PLAIN: 4, INSIDE: 8}
 BROADCAST_BYTES = 4 << 20
 
 TAG = re.compile(
@@ -74,6 +85,8 @@ NOISE_NAMES = frozenset(
     popup promo related reply replies respond search share sharing sidebar signup social sponsor sponsored subscribe
     toolbar widget widgets complementary""".split()
 )
+#: Noise as a whole class, id or role, whatever varies.
+OWN = frozenset("ad ads advert adverts advertisement advertising comments sponsored".split())
 HEADERS = frozenset("header masthead topbar".split())
 MAIN = frozenset(("article", "main"))
 
@@ -83,21 +96,22 @@ def hash64(text: str) -> int:
 
 
 class Node:
-    __slots__ = ("tag", "names", "path", "prior", "parent", "children", "content")
+    __slots__ = ("tag", "names", "tokens", "path", "prior", "parent", "children", "content", "size")
 
-    def __init__(self, tag: str, names: set[str], shown: str, parent: Node | None):
-        self.tag, self.names, self.parent = tag, names, parent
+    def __init__(self, tag: str, names: set[str], tokens: set[str], shown: str, parent: Node | None):
+        self.tag, self.names, self.tokens, self.parent = tag, names, tokens, parent
         self.path = hash64(f"{parent.path}/{shown}" if parent else shown)
         self.children: list[Node] = []
         self.prior = PLAIN
         self.content = False  # is or holds the page's own article
+        self.size = 0  # characters in it and below, without noise by tag
         if parent:
             parent.children.append(self)
 
 
 def tree(page: str) -> tuple[Node, list[tuple[Node, str]]]:
     """The containers of a page and its blocks of text, each with the container it stands in."""
-    root = Node("html", set(), "html", None)
+    root = Node("html", set(), set(), "html", None)
     open_nodes, leaf_tags = [root], [[]]
     blocks: list[tuple[Node, str]] = []
     parts: list[str] = []
@@ -150,17 +164,31 @@ def tree(page: str) -> tuple[Node, list[tuple[Node, str]]]:
         said = [m.strip("\"'").lower() for m in NAMES.findall(rest)]
         names = {n for s in said for n in re.split(r"[^a-z0-9]+", s)}
         shown = re.sub(r"\d+", "0", ".".join([tag, *said]))
-        node = Node(tag, names, shown, open_nodes[-1])
+        node = Node(tag, names, {n for s in said for n in s.split()}, shown, open_nodes[-1])
         if not rest.endswith("/"):
             open_nodes.append(node)
             leaf_tags.append([])
     flush()
+    for node, text in blocks:
+        node.size += len(text)
     weigh(root)
     return root, blocks
 
 
+def below(root: Node) -> list[Node]:
+    """The nodes of a tree, parents first."""
+    nodes = [root]
+    for node in nodes:
+        nodes += node.children
+    return nodes
+
+
 def weigh(root: Node) -> None:
     """Sets the priors: what holds an article is no noise by name; what stands beside one is."""
+    nodes = below(root)
+    for node in reversed(nodes):
+        if node.parent and (node.tag == "form" or node.tag not in NOISE_TAGS):
+            node.parent.size += node.size
     open_nodes = [root]
     while open_nodes:
         node = open_nodes.pop()
@@ -169,22 +197,41 @@ def weigh(root: Node) -> None:
                 node.content, node = True, node.parent
         elif node.tag == "form" or node.tag not in NOISE_TAGS:
             open_nodes += node.children
-    open_nodes = [root]
-    while open_nodes:
-        parent = open_nodes.pop()
-        inside = parent.prior in (CONTENT, INSIDE)
+    nested = set()  # holds an article
+    for node in reversed(nodes):
+        if node.parent and (node.tag == "article" or node in nested):
+            nested.add(node.parent)
+    articles = set()  # is or stands in an article
+    for parent in nodes:
+        if parent.tag == "article" or parent.parent in articles:
+            articles.add(parent)
+        inside = parent.prior in (CONTENT, INSIDE, MARKED)
+        beside = not inside and (parent.content or parent.prior == BESIDE)
         for node in parent.children:
+            wrapper = 2 * node.size > root.size and not root.content
+            named = bool(node.names & NOISE_NAMES)
             if node.content:
                 node.prior = CONTENT if node.tag in MAIN else PLAIN
-            elif parent.prior == NOISE or node.tag in NOISE_TAGS or node.names & NOISE_NAMES:
+            elif parent.prior == NOISE or node.tag in NOISE_TAGS and not (node.tag == "form" and wrapper):
                 node.prior = NOISE
+            elif parent in articles:
+                section = node.tag == "section" or "section" in node.tokens
+                if named and node in nested or node.tokens & OWN and not section:
+                    node.prior = NOISE
+                else:
+                    node.prior = MARKED if named and not section else INSIDE
+            elif wrapper:
+                node.prior = PLAIN
+            elif beside:
+                node.prior = NOISE if named else BESIDE
+            elif node.tokens & OWN:
+                node.prior = NOISE
+            elif named or not inside and node.names & HEADERS:
+                node.prior = NAMED
             elif inside:
                 node.prior = INSIDE
-            elif parent.content or parent.prior == BESIDE:
-                node.prior = BESIDE
-            elif node.tag in HEADERS or node.names & HEADERS:
+            elif node.tag in HEADERS:
                 node.prior = NOISE
-        open_nodes += parent.children
 
 
 def style_rows(page: str) -> list[tuple[int, int, float, int, int]]:
@@ -209,15 +256,22 @@ def style_rows(page: str) -> list[tuple[int, int, float, int, int]]:
     return [(whole, *k, hash64(";".join(v)), hash64("\n".join(contents[k]))) for k, v in shapes.items()]
 
 
+def stays(node: Node, low: frozenset[int]) -> bool:
+    if node.prior < THRESHOLD or node.prior == CONTENT:
+        return node.prior == CONTENT
+    return (node.path ^ CODES[node.prior] in low) == (node.prior == NAMED)
+
+
 def main_text(page: str | None, low: frozenset[int]) -> str:
-    """The blocks that stand in no noise; `low` are the paths of low importance of the host."""
+    """The blocks that stand in no noise; `low` are the nodes of the host that the tree finds to be
+    other than their prior says: repeated, or varying where it is NAMED."""
     _, blocks = tree(page or "")
     kept = []
     for node, text in blocks:
         if node.content and node.prior < CONTENT:
             continue  # beside the article
         above = node
-        while above and above.prior >= THRESHOLD and above.path not in low:
+        while above and stays(above, low):
             above = above.parent
         if above is None:
             kept.append(text)
@@ -225,7 +279,8 @@ def main_text(page: str | None, low: frozenset[int]) -> str:
 
 
 def low_branches(pages: DataFrame) -> DataFrame:
-    """(host, low): the paths whose importance stays below the threshold, for hosts that have some."""
+    """(host, low): the nodes whose importance stays below the threshold or, where NAMED, is known
+    to reach it; for hosts that have some."""
 
     def styled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "html", 4 << 20):
@@ -246,16 +301,25 @@ def low_branches(pages: DataFrame) -> DataFrame:
     both = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).alias("value")) for k, c in enumerate(("shape", "content"))])
     values = rows.select("host", "path", "prior", F.inline(both))
     n = F.col("n")
+    code = F.coalesce(*[F.when(F.col("prior") == p, F.lit(k)) for p, k in CODES.items()])
     nodes = (
-        values.groupBy("host", "path", "prior", "kind", "value")
-        .agg(F.count("*").alias("n"))
-        .groupBy("host", "path", "prior", "kind")
-        .agg(F.sum("n").alias("m"), F.sum(n * F.ln(n)).alias("s"))
+        values.groupBy("host", "path", "kind", "value")
+        .agg(F.count("*").alias("n"), F.bit_or(code).alias("codes"))
+        .groupBy("host", "path", "kind")
+        .agg(F.sum("n").alias("m"), F.sum(n * F.ln(n)).alias("s"), F.bit_or("codes").alias("codes"))
         .withColumn("varies", F.when(F.col("m") < FEW_PAGES, 1.0).otherwise(1 - F.col("s") / F.col("m") / F.ln("m")))
     )
-    branch = nodes.groupBy("host", "path", "prior").agg(F.min(F.when(F.col("kind") == 0, F.col("varies"))).alias("shape"), F.min(F.when(F.col("kind") == 1, F.col("varies"))).alias("content"))
-    importance = F.col("prior") * (1 - (1 - F.col("shape")) * (1 - F.col("content")))
-    low = branch.where((F.col("prior") < CONTENT) & (importance < THRESHOLD))
+    branch = nodes.groupBy("host", "path").agg(
+        F.min(F.when(F.col("kind") == 0, F.col("varies"))).alias("shape"), F.min(F.when(F.col("kind") == 1, F.col("varies"))).alias("content"),
+        F.max("m").alias("m"), F.bit_or("codes").alias("codes"),
+    )
+    either = 1 - (1 - F.col("shape")) * (1 - F.col("content"))
+
+    def told(prior: float, code: int) -> Column:
+        tells = (F.col("m") >= FEW_PAGES) & (prior * either >= THRESHOLD) if prior == NAMED else prior * either < THRESHOLD
+        return F.when((F.col("codes").bitwiseAND(code) != 0) & tells, F.col("path").bitwiseXOR(F.lit(code).cast("long")))
+
+    low = branch.select("host", F.explode(F.array(*[told(p, k) for p, k in CODES.items()])).alias("path")).where("path IS NOT NULL")
     return low.groupBy("host").agg(F.collect_set("path").alias("low"))
 
 

@@ -68,6 +68,41 @@ def test_copies_of_pages_without_article_keep_their_text(spark):
     assert got == expected | {200 + i: f"Words of page {max(0, i - 79)}." for i in range(100)}
 
 
+@pytest.mark.parametrize(
+    "page, expected",
+    [
+        ("<article><p>a</p><section id='discussion'><p>b</p></section></article>", "a\n\nb"),
+        ("<article><p>a</p><div class='notice'><p>b</p></div></article>", "a\n\nb"),
+        ("<article><p>a</p><section id='banner-design'><p>b</p></section></article>", "a\n\nb"),
+        ("<article><p>a</p><section id='comments'><p>b</p></section></article>", "a\n\nb"),
+        ("<article><p>a</p><div class='comments'><p>reader</p></div></article>", "a"),
+        ("<div class='page has-sidebar'><p>a b c</p><div class='sidebar'>x</div></div>", "a b c"),
+        ("<div class='with-nav'><nav>menu menu menu menu</nav><p>a</p></div>", "a"),
+        ("<div class='with-header'><p>a</p></div>", "a"), ("<div>t</div><div class='menu'>m</div><p>more</p>", "t\n\nmore"),
+        ("<form id='aspnetForm'><div><p>a b c</p></div><form><p>d</p></form></form>", "a b c"),
+        ("<main><p>a</p><div class='sidebar'>much more than the text</div></main>", "a"),
+    ],
+)
+def test_names_alone_take_no_text_of_the_page(page, expected):
+    assert text(page) == expected
+
+
+def test_tree_decides_about_names(spark):
+    rows, expected = [], {}
+    for i in range(40):
+        body = f"<p>Words of page {i}.</p>"
+        notice = f"<div class='notice'><p>Note {i}.</p></div>"
+        rows.append((i, f"http://a.org/{i}", f"<article>{body}{notice}<div class='share'>Share this.</div></article>"))
+        expected[i] = f"Words of page {i}.\n\nNote {i}."
+        rows.append((100 + i, f"http://b.org/{i}", f"<div class='y'>{body}</div>{notice}<div class='menu'>Always the same menu.</div>"))
+        expected[100 + i] = f"Words of page {i}.\n\nNote {i}."
+        wrapped = f"<div class='has-sidebar'>{body}</div>" if i % 4 else "<div class='has-sidebar'>Short.</div><p>A longer rest.</p>"
+        rows.append((200 + i, f"http://c.org/{i}", wrapped))
+        expected[200 + i] = f"Words of page {i}." if i % 4 else "Short.\n\nA longer rest."
+    got = ht.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in got} == expected
+
+
 def test_join_beyond_the_broadcast(spark, monkeypatch):
     monkeypatch.setattr(ht, "BROADCAST_BYTES", 0)
     test_style_tree_finds_what_a_site_repeats(spark)
