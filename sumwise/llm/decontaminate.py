@@ -10,11 +10,15 @@ document where that is shorter):
 3. Fingerprints of the items of that size are cut into RADIUS + 1 blocks.  Two fingerprints
    within RADIUS bits agree in at least one block, so looking up the blocks finds every item
    within the radius.
+   A SimHash adds up counts, so a repeated shingle can turn it far from one that is similar by
+   step 4.  Where the item or the window repeats a shingle, fingerprints do not decide: every
+   window left by step 1 is a candidate for each item of which the document has enough shingles.
 4. The candidates' shingles, weighted by how often they occur, are compared exactly:
    sum of smaller counts / sum of larger counts >= 0.75.
 
 At the lowest similarity two fingerprints differ in 22 of 128 bits on average, with a deviation
-of 4.3; RADIUS loses about one in 50,000 of such borderline windows and next to none above.
+of 4.3 if neither repeats a shingle; RADIUS loses about one in 50,000 of such borderline windows
+and next to none above.  Where one repeats a shingle, nothing is lost.
 
 Edge cases: words and shingles as in `shingles`; fewer than five words are one shingle, so a
 short item is found only in a document that consists of it.  Null or empty items and documents
@@ -74,6 +78,24 @@ def blocks_of(print_: int) -> Iterator[tuple[int, int]]:
         yield k, print_ >> EDGES[k] & (1 << EDGES[k + 1] - EDGES[k]) - 1
 
 
+def previous(shingles: np.ndarray) -> np.ndarray:
+    """Where each shingle stands before, -1 for the first."""
+    order = np.argsort(shingles, kind="stable")
+    same = shingles[order[1:]] == shingles[order[:-1]]
+    out = np.full(len(shingles), -1, np.int64)
+    out[order[1:][same]] = order[:-1][same]
+    return out
+
+
+def repeating(before: np.ndarray, width: int) -> np.ndarray:
+    """Whether the window of `width` shingles from each start holds one of them twice."""
+    at = np.flatnonzero(before >= 0)
+    low = np.maximum(at - width + 1, 0)
+    at, low = at[low <= before[at]], low[low <= before[at]]
+    n = len(before) + 1
+    return np.cumsum(np.bincount(low, minlength=n) - np.bincount(before[at] + 1, minlength=n)) > 0
+
+
 class Index:
     """The items, by their number of shingles and the blocks of their fingerprints."""
 
@@ -88,6 +110,13 @@ class Index:
                 for block in blocks_of(print_):
                     self.blocks[len(s)][block].append(number)
         self.all = np.unique(np.concatenate(self.shingles)) if texts else np.empty(0, np.uint64)
+        self.sizes = np.array([len(s) for s in self.shingles], np.int64)
+        self.repeats = {len(s) for s, c in zip(self.shingles, self.counts) if len(c) < len(s)}  # sizes
+        own = [np.unique(s) for s in self.shingles]
+        held = np.concatenate(own) if texts else self.all
+        order = np.argsort(held, kind="stable")
+        self.holders = np.repeat(np.arange(len(own)), [len(s) for s in own])[order]
+        self.places = np.append(np.searchsorted(held[order], self.all), len(held))
         # A bit per hash tells most foreign shingles apart before the search in `all`.
         self.mask = np.uint64((1 << max(16, int(len(self.all)).bit_length() + 4)) - 1)
         self.maybe = np.zeros(int(self.mask) + 1, bool)
@@ -101,6 +130,13 @@ class Index:
             found[at] = self.all[place] == shingles[at]
         return found
 
+    def near(self, shingles: np.ndarray, hit: np.ndarray) -> np.ndarray:
+        """Items of which the document holds as many shingles as one similar window would."""
+        at, n = np.unique(np.searchsorted(self.all, shingles[hit]), return_counts=True)
+        holders = np.concatenate([self.holders[self.places[k] : self.places[k + 1]] for k in at])
+        counts = np.bincount(holders, np.repeat(n, self.places[at + 1] - self.places[at]), len(self.sizes))
+        return np.flatnonzero((self.sizes > 0) & (100 * counts >= self.percent * self.sizes))
+
     def within_radius(self, size: int, print_: int) -> set[int]:
         blocks = self.blocks[size]
         near = {number for block in blocks_of(print_) for number in blocks.get(block, ())}
@@ -119,7 +155,7 @@ class Index:
         if not hit.any():
             return []
         sums = np.concatenate([[0], np.cumsum(hit)])
-        out = []
+        out, before, near = [], None, None
         for size in list(self.blocks):
             width = min(size, len(shingles))
             inside = sums[width:] - sums[:-width]
@@ -130,6 +166,14 @@ class Index:
             for start, print_ in zip(starts.tolist(), fingerprints(shingles, starts, width)):
                 for number in self.within_radius(size, print_):
                     windows[number].append(start)
+            before = previous(shingles) if before is None else before
+            again = starts[repeating(before, width)[starts]]
+            if len(again) or size in self.repeats:
+                near = self.near(shingles, hit) if near is None else near
+                for number in near[self.sizes[near] == size].tolist():
+                    more = starts if len(self.counts[number]) < size else again
+                    if len(more):
+                        windows[number] = np.union1d(np.array(windows.get(number, []), np.int64), more).tolist()
             for number, places in windows.items():
                 if best := self.best(number, shingles, np.array(places), width):
                     out.append((number, best[1], width + max(0, len(words_of(text)) - len(shingles)), best[0]))

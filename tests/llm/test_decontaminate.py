@@ -111,3 +111,25 @@ def test_blocks_guarantee_the_radius():
             for bit in RNG.sample(range(dc.BITS), far):
                 changed ^= 1 << bit
             assert (number in index.within_radius(size, changed)) == (far <= dc.RADIUS)
+
+
+def test_repeated_shingles_lose_no_window():
+    rng = random.Random(9)
+    for n in range(60):
+        body = [f"w{rng.randrange(10**6)}" for _ in range(104)]
+        if n % 2:  # the item ends in a run of its own
+            body[90:] = ["same"] * 14
+        passage = body[:90] + ["junk"] * 14
+        item = " ".join(body)
+        doc = " ".join(["x", "y", *passage, *(f"z{k}" for k in range(n))])
+        found = [(1, number, start, round(like, 9)) for number, start, _, like in dc.Index([item, "other " * 9], 75).found(doc)]
+        assert found == brute([(1, doc)], [(0, item)]) and found
+
+
+def test_windows_that_repeat_a_shingle():
+    rng = random.Random(10)
+    for _ in range(200):
+        have = [rng.randrange(12) for _ in range(rng.randrange(1, 30))]
+        width = rng.randrange(1, len(have) + 1)
+        got = dc.repeating(dc.previous(dc.np.array(have)), width)
+        assert got[: len(have) - width + 1].tolist() == [len(set(have[k : k + width])) < width for k in range(len(have) - width + 1)]
