@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from sumwise.functions.basics import join_on
 from sumwise.functions.text import double_text, read_cells
-from sumwise.operators.samples import first_values
+from sumwise.operators.samples import first_values, row_order
 
 MAX_EXAMPLES = 5
 
@@ -86,11 +86,13 @@ def cleaning_report(
     keys: Sequence[str] = (),
     order_by: Sequence[str] = (),
     columns: Sequence[str] | None = None,
+    most_examples: int = MAX_EXAMPLES,
 ) -> DataFrame:
     """Per column: total, changed, unresolved and missing cells, and the first unresolved ones.
 
-    Numbers and dates are never touched and report zeros.  The examples need `order_by`,
-    columns that say which row comes first; without it there are none.
+    Numbers and dates are never touched and report zeros.  `order_by` says which examples are the
+    first ones; without it the order of the files does, and a table without either has none,
+    and with `most_examples` 0 none are sought.
     """
     keys = list(keys)
     fields = [f for f in df.schema.fields if f.name not in keys]
@@ -135,13 +137,12 @@ def cleaning_report(
     else:
         report = header.join(stacked, "position", "left").na.fill(0)
     report = report.select(*keys, "position", "name", *counts)
-    if not order_by or not texts:
+    order = row_order(df, order_by) if most_examples else {}
+    if not order or not texts:
         return report
-    order = {c: f"__o{j}" for j, c in enumerate(order_by)}
-    ordered = df.withColumns({o: F.col(c) for c, o in order.items()})
-    unresolved = text_cells(ordered, [*keys, *order.values()], [name for _, name in texts]).where("found.is_ambiguous")
-    unresolved = unresolved.select(*keys, "position", *order.values(), "raw", "found.warning")
-    examples = first_values(unresolved, keys, list(order.values()), MAX_EXAMPLES, ["raw", "warning"])
+    unresolved = text_cells(df.withColumns(order), [*keys, *order], [name for _, name in texts]).where("found.is_ambiguous")
+    unresolved = unresolved.select(*keys, "position", *order, "raw", "found.warning")
+    examples = first_values(unresolved, keys, list(order), most_examples, ["raw", "warning"])
     return join_on(report, examples.withColumnRenamed("values", "__e"), [*keys, "position"]).select(
         *report.columns, F.coalesce("__e", F.array()).alias("unresolved_examples")
     )

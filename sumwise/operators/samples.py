@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from sumwise.functions.basics import FLOATS, by_keys
 from sumwise.functions.text import double_text
+from sumwise.sources.order import scan_order
 
 
 def cell_text(df: DataFrame, name: str) -> Column:
@@ -26,6 +27,11 @@ def cell_text(df: DataFrame, name: str) -> Column:
     return c.cast("string")
 
 
+def row_order(df: DataFrame, order_by: Sequence[str]) -> dict[str, Column]:
+    """Names and values of what orders the rows: `order_by`, else their place in the files they come from."""
+    return {f"__o{j}": c for j, c in enumerate([F.col(o) for o in order_by] or scan_order(df))}
+
+
 def first_values(
     cells: DataFrame, keys: Sequence[str], order_by: Sequence[str], limit: int, fields: Sequence[str]
 ) -> DataFrame:

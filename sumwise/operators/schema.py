@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sumwise.functions.basics import join_on
 from sumwise.functions.text import CURRENCY_CODES
 from sumwise.operators.profile import column_facts, inferred_type
-from sumwise.operators.samples import cell_text, first_values
+from sumwise.operators.samples import cell_text, first_values, row_order
 
 # The closed vocabularies, and the limits of the rules.
 ROLES = ["dimension", "measure", "date", "identifier", "unknown"]
@@ -45,21 +45,21 @@ def column_schema(
 ) -> DataFrame:
     """Role, semantic type, unit, time role, confidence and evidence of every column.
 
-    `order_by` says which values are the first ones; without it there are no samples and
-    a currency unit comes from the column name alone.
+    `order_by` says which values are the first ones; without it the order of the files does.  A
+    table without either has no samples, and a currency unit comes from the column name alone.
     """
     keys = list(keys)
     facts = column_facts(df, keys, columns)
-    if order_by:
+    order = row_order(df, order_by)
+    if order:
         names = [c for c in df.columns if c not in keys]
         texts = [
             F.struct(F.lit(i).alias("position"), cell_text(df, c).alias("text"))
             for i, c in enumerate(names)
             if columns is None or c in columns
         ]
-        order = {o: f"__o{j}" for j, o in enumerate(order_by)}
-        cells = df.select(*keys, *[F.col(o).alias(a) for o, a in order.items()], F.inline(F.array(*texts)))
-        samples = first_values(cells.where(F.col("text").isNotNull()), keys, list(order.values()), MAX_SAMPLES, ["text"])
+        cells = df.select(*keys, *[c.alias(o) for o, c in order.items()], F.inline(F.array(*texts)))
+        samples = first_values(cells.where(F.col("text").isNotNull()), keys, list(order), MAX_SAMPLES, ["text"])
         facts = join_on(facts, samples.withColumnRenamed("values", "__samples"), [*keys, "position"])
         facts = facts.withColumn(
             "sample_values", F.coalesce("__samples", F.array().cast("array<string>"))

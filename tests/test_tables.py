@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from sumwise.operators import clean, profile, schema, summary
 from sumwise.operators.quantile import exact_medians
 from sumwise.sources import cases, tables
+from sumwise.sources.order import scan_order
 from conftest import by
 
 
@@ -115,6 +116,40 @@ def test_examples_stop_at_five(spark):
         assert report["t"]["unresolved_examples"][0]["raw"] == "1,20"
 
 
+@pytest.mark.parametrize("format", ["parquet", "csv", "json", "orc"])
+def test_first_values_in_file_order(spark, tmp_path, format):
+    """One file and twenty files, read in many splits, give the first values of the same order."""
+    rows = [(i * 7919 % 1000, "g" if i % 3 else "h", f"1,{i}" if i % 5 == 0 else f"{i}.5") for i in range(1000)]
+    df = spark.createDataFrame(rows, "id int, grp string, cell string")
+    df.coalesce(1).write.format(format).option("header", True).save(f"{tmp_path}/one")
+    parts = spark.createDataFrame([(*r, f"{i // 50:02d}") for i, r in enumerate(rows)], "id int, grp string, cell string, part string")
+    parts.coalesce(1).write.format(format).option("header", True).partitionBy("part").save(f"{tmp_path}/many")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        for folder in ("one", "many"):
+            read = tables.load_table(spark, f"{tmp_path}/{folder}", schema=df.schema, format=format).select(df.columns)
+            wanted = {g: [r for r in rows if r[1] == g] for g in "gh"}
+            found = schema.column_schema(read, ["grp"], columns=["id", "cell"]).collect()
+            assert {(r["grp"], r["name"]): r["evidence"]["sample_values"] for r in found} == {
+                (g, name): [str(r[i]) for r in wanted[g][:3]] for g in "gh" for i, name in ((0, "id"), (2, "cell"))
+            }
+            for r in clean.cleaning_report(read.where("id >= 0"), ["grp"], columns=["cell"]).collect():
+                bad = [x[2] for x in wanted[r["grp"]] if "," in x[2] and len(x[2]) != 5]
+                assert [e["raw"] for e in r["unresolved_examples"]] == bad[:5]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_no_order_where_nothing_tells_it(spark, tmp_path):
+    df = spark.createDataFrame([(1, "1,2")], "id int, cell string")
+    assert scan_order(df) == [] and "unresolved_examples" not in clean.cleaning_report(df).columns
+    df.write.csv(f"{tmp_path}/c")
+    df.write.parquet(f"{tmp_path}/p")
+    assert scan_order(spark.read.csv(f"{tmp_path}/c").repartition(3)) == []
+    assert len(scan_order(spark.read.parquet(f"{tmp_path}/p").repartition(3))) == 2
+    assert scan_order(spark.read.parquet(f"{tmp_path}/p").groupBy("id").count()) == []
+
+
 def test_column_schema(spark):
     rows = [
         (i, f"$ {i}.00", f"{i}%", f"ID-{i}", "north" if i % 2 else "south", datetime(2024, 1, 1, i % 24), "2024-01-01", None)

@@ -72,7 +72,14 @@ def q_cleaned_table(spark, folder):
 
 
 def q_cleaning_report(spark, folder):
-    return clean.cleaning_report(messy_orders(spark, folder), GROUPS)
+    return clean.cleaning_report(messy_orders(spark, folder), GROUPS, most_examples=0)
+
+
+def q_cleaning_examples_in_file_order(spark, folder):
+    """The first unresolved cells of each group as they stand in the file."""
+    df = clean.cleaning_report(messy_orders(spark, folder), GROUPS, columns=["mixed", "price"])
+    shown = F.transform("unresolved_examples", lambda e: F.concat(e["raw"], F.lit("|"), e["warning"]))
+    return df.select("grp", "name", "unresolved_count", F.array_join(shown, ";").alias("examples"))
 
 
 def q_cleaning_examples(spark, folder):
@@ -204,6 +211,12 @@ def q_column_schema_by_key(spark, folder):
     return _meaning(schema.column_schema(messy_orders(spark, folder), GROUPS, order_by=["id"]))
 
 
+def q_column_schema_in_file_order(spark, folder):
+    """The first values of each column of each kind of event as they stand in the file."""
+    df = schema.column_schema(table(spark, folder, "events"), ["event_type"], columns=["event_id", "ts", "user_id", "props"])
+    return _meaning(df).select("event_type", "position", "name", "samples")
+
+
 def q_candidate_metadata(spark, folder):
     found = schema.column_schema(messy_orders(spark, folder), order_by=["id"])
     df = schema.candidate_metadata(found)
@@ -347,6 +360,11 @@ SQL = {
       UNION ALL SELECT grp, 4, 'day', count(*), 0, 0, 0 FROM messy GROUP BY grp
       UNION ALL SELECT grp, 5, 'code', count(*), 0, 0, 0 FROM messy GROUP BY grp
       UNION ALL SELECT grp, 6, 'status', count(*), 0, 0, 0 FROM messy GROUP BY grp""",
+    "cleaning_examples_in_file_order": f"""WITH {MESSY}, {cells_sql("messy", "mixed")}, placed AS (SELECT *, row_number() OVER () AS place FROM cells),
+        r AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY place) AS rn FROM placed WHERE warning IS NOT NULL)
+      SELECT grp, 'mixed' AS name, count(*) AS unresolved_count, string_agg(mixed || '|' || warning, ';' ORDER BY rn) FILTER (rn <= 5) AS examples
+        FROM r GROUP BY grp
+      UNION ALL SELECT DISTINCT grp, 'price', 0, '' FROM messy""",
     "cleaning_examples": f"""WITH {MESSY}, {cells_sql("messy", "mixed")},
         r AS (SELECT *, row_number() OVER (ORDER BY id) AS rn FROM cells WHERE warning IS NOT NULL)
       SELECT 0 AS position, 'id' AS name, 0 AS unresolved_count, '' AS examples
@@ -397,6 +415,17 @@ SQL = {
       SELECT {_positions([*_ALL, "o_orderdate"])}, name, {_MEANING}, samples FROM s""",
     "column_schema_by_key": f"""WITH {MESSY}, s AS ({_samples(["id", *_TEXTS], "grp")})
       SELECT grp, {_positions(["id", *_TEXTS])}, name, {_MEANING}, samples FROM s""",
+    "column_schema_in_file_order": "WITH placed AS (SELECT *, row_number() OVER () AS place FROM events) "
+    + "\nUNION ALL ".join(
+        f"SELECT event_type, {i} AS position, '{c}' AS name, string_agg(v, ';' ORDER BY rn) AS samples FROM (SELECT event_type, {v} AS v, "
+        f"row_number() OVER (PARTITION BY event_type ORDER BY place) AS rn FROM placed WHERE {c} IS NOT NULL) WHERE rn <= 3 GROUP BY event_type"
+        for i, c, v in [
+            (0, "event_id", "event_id::VARCHAR"),
+            (1, "ts", "strftime(ts, '%Y-%m-%d %H:%M:%S') || CASE WHEN microsecond(ts) % 1000000 = 0 THEN '' ELSE strftime(ts, '.%f') END"),
+            (2, "user_id", "user_id::VARCHAR"),
+            (4, "props", "props"),
+        ]
+    ),
     "candidate_metadata": f"""WITH {MESSY}, s AS ({_samples(_ALL)}), t AS (SELECT {_positions(_ALL)}, name, samples, {_MEANING} FROM s)
       SELECT position, name, samples AS sample_values, role AS candidate_role, semantic_type AS candidate_semantic_type,
         confidence AS candidate_confidence FROM t""",
