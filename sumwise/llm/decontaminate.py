@@ -3,8 +3,10 @@
 An item of n words is compared with every window of n words of every document (with the whole
 document where that is shorter):
 
-1. Only windows in which at least 75 % as many shingles as the item has are shingles of some
-   item can be similar enough; running sums of such hits find them in all window sizes.
+1. Only an item of which the document holds enough shingles can be in it, so a document goes on
+   with the sizes of such items, mostly none.  Of their windows only those can be similar enough
+   that share 75 / 175 of the shingles of window and item together with some item; running sums of
+   such hits find them.
 2. Those windows get a SimHash of BITS bits.  Each shingle has a weight per bit that its hash
    gives, so equal sums do not occur; running sums give all windows of a document.
 3. Fingerprints of the items of that size are cut into RADIUS + 1 blocks.  Two fingerprints
@@ -32,6 +34,7 @@ more passes over the documents, never a larger broadcast.
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -40,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sumwise.llm.common import slices
+from sumwise.llm.common import per_worker, slices
 from sumwise.llm.shingles import hashes_of, mix, shingles_of, words_of
 
 BITS, RADIUS = 128, 40
@@ -135,7 +138,11 @@ class Index:
         at, n = np.unique(np.searchsorted(self.all, shingles[hit]), return_counts=True)
         holders = np.concatenate([self.holders[self.places[k] : self.places[k + 1]] for k in at])
         counts = np.bincount(holders, np.repeat(n, self.places[at + 1] - self.places[at]), len(self.sizes))
-        return np.flatnonzero((self.sizes > 0) & (100 * counts >= self.percent * self.sizes))
+        return np.flatnonzero((self.sizes > 0) & self.enough(counts, self.sizes, np.minimum(self.sizes, len(shingles))))
+
+    def enough(self, shared: np.ndarray, size: np.ndarray | int, width: np.ndarray | int) -> np.ndarray:
+        """Whether so many shared shingles can make `percent` of all: shared / (size + width - shared)."""
+        return (100 + self.percent) * shared >= self.percent * (size + width)
 
     def within_radius(self, size: int, print_: int) -> set[int]:
         blocks = self.blocks[size]
@@ -154,12 +161,15 @@ class Index:
         hit = self.hits(shingles)
         if not hit.any():
             return []
+        near = self.near(shingles, hit)
+        if not len(near):
+            return []
         sums = np.concatenate([[0], np.cumsum(hit)])
-        out, before, near = [], None, None
-        for size in list(self.blocks):
+        out, before = [], None
+        for size in np.unique(self.sizes[near]).tolist():
             width = min(size, len(shingles))
             inside = sums[width:] - sums[:-width]
-            starts = np.flatnonzero(100 * inside >= self.percent * size)
+            starts = np.flatnonzero(self.enough(inside, size, width))
             if not len(starts):
                 continue
             windows = defaultdict(list)
@@ -169,7 +179,6 @@ class Index:
             before = previous(shingles) if before is None else before
             again = starts[repeating(before, width)[starts]]
             if len(again) or size in self.repeats:
-                near = self.near(shingles, hit) if near is None else near
                 for number in near[self.sizes[near] == size].tolist():
                     more = starts if len(self.counts[number]) < size else again
                     if len(more):
@@ -196,6 +205,15 @@ class Index:
         return best
 
 
+def index_of(texts: list[str], key: str, percent: int) -> Index:
+    """The index over the texts of one block, named by `key`; a Python worker keeps the last one it made."""
+    kept = per_worker("passages", dict)
+    if (key, percent) not in kept:
+        kept.clear()
+        kept[key, percent] = Index(texts, percent)
+    return kept[key, percent]
+
+
 def item_blocks(benchmark: DataFrame, id: str, text: str) -> Iterator[tuple[list, list[str]]]:
     """Ids and texts of each block of items."""
     items = benchmark.select(F.col(id).alias("id"), F.col(text).cast("string").alias("text")).where("length(text) > 0").distinct()
@@ -215,10 +233,11 @@ def benchmark_passages(
     rows = docs.select(F.col(id).alias("id"), F.col(text).cast("string").alias("text"))
 
     def pass_over(block: tuple[list, list[str]]) -> DataFrame:
-        shared = spark.sparkContext.broadcast(block)
+        key, shared = uuid.uuid4().hex, spark.sparkContext.broadcast(block)
 
         def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids, index = shared.value[0], Index(shared.value[1], percent)
+            ids, texts = shared.value
+            index = index_of(texts, key, percent)
             for batch in slices(batches, "text", 4 << 20):
                 out = []
                 for row, doc in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist()):
@@ -242,8 +261,8 @@ def without_passages(
     for _, texts in item_blocks(benchmark, item, item_text):
         shared = spark.sparkContext.broadcast(texts)
 
-        def clean(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = Index(shared.value, percent)
+        def clean(batches: Iterator[pa.RecordBatch], shared=shared, key=uuid.uuid4().hex) -> Iterator[pa.RecordBatch]:
+            index = index_of(shared.value, key, percent)
             for batch in slices(batches, text, 4 << 20):
                 yield batch.filter(pa.array([not index.found(t) for t in batch.column(text).to_pylist()], pa.bool_()))
 
