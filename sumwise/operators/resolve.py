@@ -6,20 +6,17 @@ Exactly one match resolves; several are reported with the candidates; nothing is
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
-from difflib import SequenceMatcher
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from sumwise.functions.basics import join_on
+from sumwise.functions.basics import by_keys, join_on
 from sumwise.functions.periods import STRICT_LABEL, lone_month, month_and_year, month_of_label
 from sumwise.functions.text import expand_synonyms, label_tokens, strip
+from sumwise.operators.similar import alike_pairs
 from sumwise.sources.tables import FILE_ROLES
 
-SIMILAR = 0.8
 CONFIDENT = 0.6
 PLAUSIBLE = 0.3
 NO_NAMES = "array<string>"
@@ -30,107 +27,100 @@ def _names(c: Column | None = None) -> Column:
     return empty if c is None else F.coalesce(c, empty)
 
 
-@F.pandas_udf(T.DoubleType())
-def _similarity(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """Matching-blocks ratio of name and hint; each distinct pair of a batch is compared once."""
-    for names, hints in batches:
-        known: dict[tuple[str, str], float] = {}
-        out = []
-        for pair in zip(names, hints, strict=True):
-            if pair not in known:
-                known[pair] = _ratio(*pair)
-            out.append(known[pair])
-        yield pd.Series(out, dtype="float64")
-
-
-def _ratio(name: str, hint: str) -> float:
-    matcher = SequenceMatcher(None, name, hint)
-    if matcher.real_quick_ratio() < SIMILAR or matcher.quick_ratio() < SIMILAR:
-        return 0.0
-    return matcher.ratio()
-
-
-def _shares_characters(name: str, hint: str) -> Column:
-    """A bound that the ratio cannot pass: the characters of each that occur in the other at all."""
-
-    def shared(a: Column, b: Column) -> Column:
-        return F.length(a) - F.length(F.call_function("translate", a, b, F.lit("")))
-
-    a, b = F.col(name), F.col(hint)
-    return 2 * F.least(shared(a, b), shared(b, a)) + 1e-9 >= SIMILAR * (F.length(a) + F.length(b))
-
-
 def _column_hints(requests: DataFrame, keys: Sequence[str], hint: str) -> DataFrame:
     return requests.select(*keys, strip(hint).alias("__hint")).where(F.col("__hint") != "").distinct()
 
 
-def resolve_hints(hints: DataFrame, columns: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """`keys, __hint, reason, column, candidates` for distinct `hints`.
+def hint_candidates(hints: DataFrame, columns: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """`keys, __hint, score, __lower, position, name`: a row for every column a distinct hint may mean.
 
-    An exact match ignores case.  Only hints without one are compared by similarity, and
-    only with names whose length allows a ratio of 0.8.  That length is part of the join
-    key, so a dataset with many columns spreads over as many partitions as it has lengths.
+    An exact match ignores case and has no score.  Only hints without one are compared by
+    similarity; they match a name once, at its first position.
     """
     keys = list(keys)
     names = columns.select(*keys, "position", "name", F.lower("name").alias("__lower"))
     wanted = hints.withColumn("__lower", F.lower("__hint"))
-
-    exact = (
-        join_on(wanted, names, [*keys, "__lower"], "inner")
-        .groupBy(*keys, "__hint")
-        .agg(F.array_sort(F.collect_list(F.struct("position", "name"))).alias("__c"))
-        .select(*keys, "__hint", F.col("__c.name").alias("candidates"))
+    exact = join_on(wanted, names, [*keys, "__lower"], "inner").withColumn("score", F.lit(None).cast("double"))
+
+    unmatched = join_on(wanted, exact.select(*keys, "__hint").distinct(), [*keys, "__hint"], "left_anti")
+    texts = [df.select(*keys, F.col("__lower").alias("text")).distinct() for df in (unmatched, names)]
+    alike = alike_pairs(*texts, keys).withColumnsRenamed({"a_text": "__asked", "b_text": "__lower"})
+    scored = join_on(unmatched.withColumnRenamed("__lower", "__asked"), alike, [*keys, "__asked"], "inner")
+    found = join_on(scored, names, [*keys, "__lower"], "inner")
+    fuzzy = found.groupBy(*keys, "__hint", "__lower", "name").agg(F.first("score").alias("score"), F.min("position").alias("position"))
+    columns = [*keys, "__hint", "score", "__lower", "position", "name"]
+    return exact.select(*columns).unionByName(fuzzy.select(*columns))
+
+
+def _best_first() -> list[Column]:
+    """Best first; equal scores in descending order of the name, then by position."""
+    return [F.desc("score"), F.when(F.col("score").isNotNull(), F.col("__lower")).desc(), F.asc("position")]
+
+
+def settled_hints(candidates: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """`keys, __hint, reason, column, candidate_count`: a row of fixed size for each hint, however many candidates."""
+    n = F.count(F.lit(1))
+    return candidates.groupBy(*keys, "__hint").agg(
+        F.when(n > 1, "ambiguous_column").alias("reason"),
+        F.when(n == 1, F.min("name")).alias("column"),
+        n.alias("candidate_count"),
     )
 
-    size = F.length("__lower")
-    lengths = F.sequence(F.ceil(size * 2 / 3).cast("int"), F.floor(size * 3 / 2).cast("int"))
-    unmatched = join_on(wanted, exact.select(*keys, "__hint"), [*keys, "__hint"], "left_anti")
-    near = join_on(
-        unmatched.select(*keys, "__hint", F.col("__lower").alias("__h"), F.explode(lengths).alias("__len")),
-        names.select(*keys, "__lower").distinct().withColumn("__len", size),
-        [*keys, "__len"],
-        "inner",
-    )
-    near = near.where(_shares_characters("__lower", "__h"))
-    alike = near.withColumn("__score", _similarity("__lower", "__h")).where(F.col("__score") >= SIMILAR)
-    scored = join_on(alike.select(*keys, "__hint", "__lower", "__score"), names, [*keys, "__lower"], "inner")
-    # Best first; equal scores in descending order of the name, then by position.
-    by_rank = lambda a, b: (
-        F.when(a["score"] != b["score"], F.when(a["score"] > b["score"], -1).otherwise(1))
-        .when(a["lower"] != b["lower"], F.when(a["lower"] > b["lower"], -1).otherwise(1))
+
+def column_candidates(requests: DataFrame, columns: DataFrame, keys: Sequence[str] = ("dataset_id",), hint: str = "column_hint") -> DataFrame:
+    """`keys, hint, rank, name, score`: the candidates of every distinct hint that more than one column matches.
+
+    `resolve_column` with `lists=False` gives each request the reason and their number; the two
+    join on keys and trimmed hint.
+    """
+    found = hint_candidates(_column_hints(requests, keys, hint), columns, keys)
+    same = by_keys([*keys, "__hint"])
+    rank = F.row_number().over(same.orderBy(*_best_first()))
+    ranked = found.select(*keys, F.col("__hint").alias(hint), rank.alias("rank"), "name", "score", F.count(F.lit(1)).over(same).alias("__n"))
+    return ranked.where(F.col("__n") > 1).drop("__n")
+
+
+def _by_rank(a: Column, b: Column) -> Column:
+    exact = a["score"].isNull()
+    return (
+        F.when(~exact & (a["score"] != b["score"]), F.when(a["score"] > b["score"], -1).otherwise(1))
+        .when(~exact & (a["__lower"] != b["__lower"]), F.when(a["__lower"] > b["__lower"], -1).otherwise(1))
         .otherwise(F.signum(a["position"] - b["position"]).cast("int"))
     )
-    entry = F.struct(
-        F.col("__score").alias("score"), F.col("__lower").alias("lower"), F.col("position"), F.col("name")
-    )
-    fuzzy = (
-        scored.groupBy(*keys, "__hint")
-        .agg(F.collect_list(entry).alias("__c"))
-        .select(
-            *keys,
-            "__hint",
-            F.array_distinct(F.transform(F.array_sort("__c", by_rank), lambda c: c["name"])).alias("candidates"),
-        )
+
+
+def resolve_hints(hints: DataFrame, columns: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """`keys, __hint, reason, column, candidates` for distinct `hints`; the candidates are a list."""
+    keys = list(keys)
+    n, c = F.col("__n"), F.col("__c")
+    lists = hint_candidates(hints, columns, keys).groupBy(*keys, "__hint").agg(
+        F.count(F.lit(1)).alias("__n"),
+        F.min("name").alias("column"),
+        F.array_sort(F.collect_list(F.struct("score", "__lower", "position", "name")), _by_rank).alias("__c"),
     )
-    several = F.size("candidates") > 1
-    return exact.unionByName(fuzzy).select(
+    return lists.select(
         *keys,
         "__hint",
-        F.when(several, "ambiguous_column").alias("reason"),
-        F.when(~several, F.col("candidates")[0]).alias("column"),
-        F.when(several, F.col("candidates")).otherwise(_names()).alias("candidates"),
+        F.when(n > 1, "ambiguous_column").alias("reason"),
+        F.when(n == 1, F.col("column")).alias("column"),
+        F.when(n > 1, c["name"]).otherwise(_names()).alias("candidates"),
     )
 
 
 def resolve_column(
-    requests: DataFrame, columns: DataFrame, keys: Sequence[str] = ("dataset_id",), hint: str = "column_hint"
+    requests: DataFrame, columns: DataFrame, keys: Sequence[str] = ("dataset_id",), hint: str = "column_hint", lists: bool = True
 ) -> DataFrame:
     """`requests` with `found, reason, column, candidates` for the column hint.
 
-    `columns` has `keys, position, name`, one row per column a hint may mean.
+    `columns` has `keys, position, name`, one row per column a hint may mean.  Without `lists`
+    there is a `candidate_count` instead of the candidates, so that rows keep their size where a
+    hint matches very many columns; `column_candidates` has them as rows.
     """
-    resolved = resolve_hints(_column_hints(requests, keys, hint), columns, keys)
-    joined = join_on(requests.withColumn("__hint", strip(hint)), _tag(resolved), [*keys, "__hint"])
+    hints, asked = _column_hints(requests, keys, hint), requests.withColumn("__hint", strip(hint))
+    if not lists:
+        settled = settled_hints(hint_candidates(hints, columns, keys), keys)
+        return _counted(join_on(asked, _tag(settled), [*keys, "__hint"]), "column", "column_not_found").drop("__hint")
+    joined = join_on(asked, _tag(resolve_hints(hints, columns, keys)), [*keys, "__hint"])
     return _answered(joined, "column", "column_not_found").drop("__hint")
 
 
@@ -139,6 +129,12 @@ def _tag(resolved: DataFrame) -> DataFrame:
     return resolved.withColumn("__hit", F.lit(True))
 
 
+def _counted(joined: DataFrame, value: str, nothing: str) -> DataFrame:
+    """As `_answered`, with the number of candidates of an ambiguous hint in place of their list."""
+    several = F.coalesce(F.when(F.col("reason").isNotNull(), F.col("candidate_count")), F.lit(0))
+    return _answered(joined.withColumn("candidate_count", several).withColumn("candidates", _names()), value, nothing).drop("candidates")
+
+
 def _answered(joined: DataFrame, value: str, nothing: str) -> DataFrame:
     hit = F.coalesce(F.col("__hit"), F.lit(False))
     reason = F.when(~hit, nothing).otherwise(F.col("reason"))
@@ -258,26 +254,15 @@ def resolve_trend_column(
     )
 
 
-def resolve_semantic_column(
-    requests: DataFrame, columns: DataFrame, keys: Sequence[str] = ("dataset_id",), hint: str = "term"
-) -> DataFrame:
-    """As `resolve_column`, then by shared words: `found, reason, column, confidence, candidates`.
+def _word_candidates(hints: DataFrame, columns: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """`keys, __hint, position, name, confidence, sure`: columns that share words with a hint, one row each.
 
-    Words count together with their synonyms, but only a column that shares a word as it
-    was written can be chosen.  The pairs come from a join on the words themselves.
+    Words count together with their synonyms, but only a column that shares a word as it was
+    written can be chosen.  The pairs come from a join on the words themselves.
     """
-    keys = list(keys)
-    hints = _column_hints(requests, keys, hint)
-    direct = resolve_hints(hints, columns, keys)
-    open_hints = join_on(hints, direct.select(*keys, "__hint"), [*keys, "__hint"], "left_anti").withColumn(
-        "__words", label_tokens("__hint")
-    )
-    asked = open_hints.select(
-        *keys,
-        "__hint",
-        F.size("__words").alias("__hint_size"),
-        "__words",
-        F.explode(expand_synonyms(F.col("__words"))).alias("__word"),
+    words = hints.withColumn("__words", label_tokens("__hint"))
+    asked = words.select(
+        *keys, "__hint", F.size("__words").alias("__hint_size"), "__words", F.explode(expand_synonyms(F.col("__words"))).alias("__word")
     ).withColumn("__literal", F.array_contains("__words", F.col("__word")))
     named = (
         columns.select(*keys, "position", "name", label_tokens("name").alias("__own"))
@@ -291,88 +276,129 @@ def resolve_semantic_column(
         .agg(F.count(F.lit(1)).alias("__shared"), F.bool_or("__literal").alias("__literal"))
     )
     dice = F.least(F.lit(1.0), 2 * F.col("__shared") / (F.col("__hint_size") + F.col("__name_size")))
-    scored = shared.withColumn("confidence", F.bround(dice, 4))
+    scored = shared.withColumn("confidence", F.bround(dice, 4)).where(F.col("confidence") >= PLAUSIBLE)
     sure = (F.col("confidence") >= CONFIDENT) & F.col("__literal")
-    entry = F.struct((-F.col("confidence")).alias("rank"), "position", F.col("name").alias("column"), "confidence")
-    picked = scored.groupBy(*keys, "__hint").agg(
-        F.array_sort(F.collect_list(F.when(sure, entry))).alias("__sure"),
-        F.array_sort(F.collect_list(F.when(F.col("confidence") >= PLAUSIBLE, entry))).alias("__maybe"),
-    )
-    one = F.size("__sure") == 1
-    scores = "array<struct<column: string, confidence: double>>"
-    by_words = picked.where((F.size("__sure") == 1) | (F.size("__maybe") > 0)).select(
-        *keys,
-        "__hint",
+    return scored.select(*keys, "__hint", "position", "name", "confidence", sure.alias("sure"))
+
+
+def _semantic_candidates(requests: DataFrame, columns: DataFrame, keys: Sequence[str], hint: str) -> tuple[DataFrame, DataFrame]:
+    """By name, and by words where no name matches: candidate rows and what they settle."""
+    hints = _column_hints(requests, keys, hint)
+    by_name = hint_candidates(hints, columns, keys)
+    named = settled_hints(by_name, keys)
+    rest = join_on(hints, named.select(*keys, "__hint"), [*keys, "__hint"], "left_anti")
+    by_words = _word_candidates(rest, columns, keys)
+    one, sure = F.count_if("sure") == 1, F.col("sure")
+    settled = by_words.groupBy(*keys, "__hint").agg(
         F.when(~one, "ambiguous_column").alias("reason"),
-        F.when(one, F.col("__sure")[0]["column"]).alias("column"),
-        F.when(one, F.col("__sure")[0]["confidence"]).alias("confidence"),
-        F.when(
-            ~one,
-            F.transform(
-                "__maybe",
-                lambda m: F.struct(m["column"].alias("column"), m["confidence"].alias("confidence")),
-            ),
-        )
-        .cast(scores)
-        .alias("candidates"),
+        F.when(one, F.min(F.when(sure, F.col("name")))).alias("column"),
+        F.count(F.lit(1)).alias("candidate_count"),
+        F.when(one, F.min(F.when(sure, F.col("confidence")))).alias("confidence"),
     )
-    by_name = direct.select(
-        *keys,
-        "__hint",
-        "reason",
-        "column",
-        F.when(F.col("reason").isNull(), 1.0).alias("confidence"),
-        F.transform(
-            "candidates", lambda c: F.struct(c.alias("column"), F.lit(None).cast("double").alias("confidence"))
-        )
-        .cast(scores)
-        .alias("candidates"),
+    columns = [*keys, "__hint", "position", "name", "confidence"]
+    rows = by_name.withColumn("confidence", F.lit(None).cast("double")).select(*columns, "score", "__lower").unionByName(
+        by_words.select(*columns, F.lit(None).cast("double").alias("score"), F.lit(None).cast("string").alias("__lower"))
     )
+    named = named.withColumn("confidence", F.when(F.col("reason").isNull(), 1.0))
+    return rows, named.unionByName(settled)
+
+
+def semantic_candidates(requests: DataFrame, columns: DataFrame, keys: Sequence[str] = ("dataset_id",), hint: str = "term") -> DataFrame:
+    """`keys, hint, rank, name, confidence`: the candidates of every distinct term that is ambiguous, one row each."""
+    keys = list(keys)
+    rows, settled = _semantic_candidates(requests, columns, keys, hint)
+    open_hints = settled.where(F.col("reason").isNotNull()).select(*keys, "__hint")
+    found = join_on(rows, open_hints, [*keys, "__hint"], "left_semi")
+    rank = F.row_number().over(by_keys([*keys, "__hint"]).orderBy(F.desc("confidence"), *_best_first()))
+    return found.select(*keys, F.col("__hint").alias(hint), rank.alias("rank"), "name", "confidence")
+
+
+def resolve_semantic_column(
+    requests: DataFrame, columns: DataFrame, keys: Sequence[str] = ("dataset_id",), hint: str = "term", lists: bool = True
+) -> DataFrame:
+    """As `resolve_column`, then by shared words: `found, reason, column, confidence, candidates`.
+
+    Without `lists` a `candidate_count` stands for the candidates; `semantic_candidates` has them as rows.
+    """
+    keys = list(keys)
+    rows, settled = _semantic_candidates(requests, columns, keys, hint)
     asked = requests.withColumn("__hint", strip(hint))
-    joined = join_on(asked, _tag(by_name.unionByName(by_words)), [*keys, "__hint"])
     reason = F.when(F.col("__hit").isNull(), "column_not_found").otherwise(F.col("reason"))
-    return joined.select(
-        *requests.columns,
-        reason.isNull().alias("found"),
-        reason.alias("reason"),
-        "column",
-        "confidence",
-        F.coalesce("candidates", F.array().cast(scores)).alias("candidates"),
+    found = [*requests.columns, reason.isNull().alias("found"), reason.alias("reason"), "column", "confidence"]
+    if not lists:
+        several = F.coalesce(F.when(F.col("reason").isNotNull(), F.col("candidate_count")), F.lit(0))
+        return join_on(asked, _tag(settled), [*keys, "__hint"]).select(*found, several.alias("candidate_count"))
+    entry = F.struct((-F.col("confidence")).alias("c"), "score", "__lower", "position", "name", "confidence")
+    scores = "array<struct<column: string, confidence: double>>"
+
+    def order(a: Column, b: Column) -> Column:
+        by_words = a["c"].isNotNull() & (a["c"] != b["c"])
+        return F.when(by_words, F.when(a["c"] < b["c"], -1).otherwise(1)).otherwise(_by_rank(a, b))
+
+    lists_ = rows.groupBy(*keys, "__hint").agg(F.array_sort(F.collect_list(entry), order).alias("__c"))
+    resolved = join_on(settled, lists_, [*keys, "__hint"]).withColumn(
+        "candidates",
+        F.when(
+            F.col("reason").isNotNull(), F.transform("__c", lambda c: F.struct(c["name"].alias("column"), c["confidence"].alias("confidence")))
+        ).cast(scores),
     )
+    joined = join_on(asked, _tag(resolved.drop("__c")), [*keys, "__hint"])
+    return joined.select(*found, F.coalesce("candidates", F.array().cast(scores)).alias("candidates"))
 
 
-def file_lookup(datasets: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """`keys, __kind, __hint, n, dataset_id, candidates`: datasets by role and by name."""
+def _registered(datasets: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """`keys, __kind, __hint, dataset_id`: datasets by role and by name, one row each."""
     by_role = datasets.select(*keys, F.lit("role").alias("__kind"), F.lower("role").alias("__hint"), "dataset_id")
     by_name = datasets.select(*keys, F.lit("name").alias("__kind"), F.lower("display_name").alias("__hint"), "dataset_id")
-    return (
-        by_role.unionByName(by_name)
-        .where(F.col("__hint").isNotNull())
-        .groupBy(*keys, "__kind", "__hint")
-        .agg(F.array_sort(F.collect_list("dataset_id")).alias("__ids"))
-    )
+    return by_role.unionByName(by_name).where(F.col("__hint").isNotNull())
+
 
+def file_lookup(datasets: DataFrame, keys: Sequence[str] = (), lists: bool = True) -> DataFrame:
+    """`keys, __kind, __hint, __n, dataset_id`, and with `lists` the ids as `__ids`: what each role and name stands for."""
+    ids = [F.array_sort(F.collect_list("dataset_id")).alias("__ids")] if lists else []
+    named = _registered(datasets, keys).groupBy(*keys, "__kind", "__hint")
+    return named.agg(F.count(F.lit(1)).alias("__n"), F.min("dataset_id").alias("dataset_id"), *ids)
 
-def resolve_file(requests: DataFrame, datasets: DataFrame, keys: Sequence[str] = (), hint: str = "file_hint") -> DataFrame:
+
+def _file_kind(word: Column) -> Column:
+    """A role word is only ever a role."""
+    return F.when(word.isin(FILE_ROLES), "role").otherwise("name")
+
+
+def file_candidates(requests: DataFrame, datasets: DataFrame, keys: Sequence[str] = (), hint: str = "file_hint") -> DataFrame:
+    """`keys, hint, rank, dataset_id`: the datasets of every distinct hint that fits several, one row each."""
+    keys = list(keys)
+    word = F.lower(strip(hint))
+    asked = requests.select(*keys, _file_kind(word).alias("__kind"), word.alias("__hint")).where(F.col("__hint") != "").distinct()
+    found = join_on(_registered(datasets, keys), asked, [*keys, "__kind", "__hint"], "left_semi")
+    same = by_keys([*keys, "__hint"])
+    rank, n = F.row_number().over(same.orderBy("dataset_id")), F.count(F.lit(1)).over(same)
+    return found.select(*keys, F.col("__hint").alias(hint), rank.alias("rank"), "dataset_id", n.alias("__n")).where("__n > 1").drop("__n")
+
+
+def resolve_file(
+    requests: DataFrame, datasets: DataFrame, keys: Sequence[str] = (), hint: str = "file_hint", lists: bool = True
+) -> DataFrame:
     """`requests` with `found, reason, dataset_id, candidates` for a role or an exact name.
 
-    `keys` separate registries of datasets.  A role word is only ever a role.
+    `keys` separate registries of datasets.  Without `lists` a `candidate_count` stands for the
+    candidates; `file_candidates` has them as rows.
     """
     word = F.lower(strip(hint))
-    is_role = word.isin(FILE_ROLES)
-    asked = requests.withColumn("__hint", word).withColumn("__kind", F.when(is_role, "role").otherwise("name"))
-    joined = join_on(asked, file_lookup(datasets, keys), [*keys, "__kind", "__hint"])
-    n = F.when(F.col("__hint") != "", F.size("__ids"))
+    asked = requests.withColumn("__hint", word).withColumn("__kind", _file_kind(word))
+    joined = join_on(asked.drop("dataset_id"), file_lookup(datasets, keys, lists), [*keys, "__kind", "__hint"])
+    n = F.when(F.col("__hint") != "", F.col("__n"))
     reason = (
         F.when(n > 1, "duplicate_role")
         .when(n == 1, None)
         .when(F.col("__kind") == "role", "role_not_assigned")
         .otherwise("file_not_found")
     )
+    several = F.when(n > 1, F.col("__ids")).otherwise(_names()) if lists else F.when(n > 1, n).otherwise(0)
     return joined.select(
-        *requests.columns,
+        *[c for c in requests.columns if c != "dataset_id"],
         reason.isNull().alias("found"),
         reason.alias("reason"),
-        F.when(reason.isNull(), F.col("__ids")[0]).alias("dataset_id"),
-        F.when(n > 1, F.col("__ids")).otherwise(_names()).alias("candidates"),
+        F.when(reason.isNull(), F.col("dataset_id")).alias("dataset_id"),
+        several.alias("candidates" if lists else "candidate_count"),
     )

@@ -7,7 +7,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from sumwise.operators import resolve
+from sumwise.operators import resolve, similar
 from sumwise.plans import analysis, charts, comparison, explained, questions
 from conftest import by
 
@@ -43,10 +43,74 @@ def test_similar_columns_match_brute_force(spark):
             assert got[i]["column"] is None and got[i]["candidates"] == close, h
 
 
-def test_no_pairs_beyond_the_length_window(spark):
-    hints = spark.createDataFrame([("d", "ab")], "dataset_id string, __hint string")
-    plan = resolve.resolve_hints(hints, columns(spark, "x"), ["dataset_id"])._jdf.queryExecution().optimizedPlan().toString()
-    assert "CartesianProduct" not in plan and "Join Inner, true" not in plan
+def texts(spark, values):
+    return spark.createDataFrame([("d", v) for v in dict.fromkeys(values)], "dataset_id string, text string")
+
+
+def test_alike_pairs_match_brute_force(spark):
+    """Every pair of many short and long texts, over alphabets of two to eight letters and with blanks and accents."""
+    rng = random.Random(6)
+    some = ["", "a", "ab", "axb", "ba", "xab", "aab", "é ü", "é", "éüa"]
+    for letters in ("ab", "abcd", "abcde gé", "aé "):
+        some += ["".join(rng.choice(letters) for _ in range(rng.randint(1, 24))) for _ in range(70)]
+    for t in rng.sample(some, 120):  # edits of the texts: letters that go, come and change
+        t = list(t)
+        for _ in range(rng.randint(1, 4)):
+            at = rng.randint(0, len(t))
+            t[at : at + rng.randint(0, 1)] = rng.choice(["", "b", "c", "zz"])
+        some.append("".join(t))
+    some = list(dict.fromkeys(some))
+    left, right = some[::2], some[1::2]
+    got = {(r["a_text"], r["b_text"]): r["score"] for r in similar.alike_pairs(texts(spark, left), texts(spark, right), ["dataset_id"]).collect()}
+    want = {}
+    for a in left:
+        for b in right:
+            score = difflib.SequenceMatcher(None, b, a).ratio()
+            if score >= 0.8 and a != b:
+                want[a, b] = score
+    assert len(want) > 60 and got == want
+
+
+def test_few_pairs_are_compared(spark):
+    rng = random.Random(7)
+    words = ["".join(rng.choice("abcdefghijklmnoprstuvw") for _ in range(rng.randint(4, 9))) for _ in range(60)]
+    names = [f"{rng.choice(words)} {rng.choice(words)} {rng.choice(words)}" for _ in range(400)]
+    hints = [n[:3] + n[4:] for n in rng.choices(names, k=300)] + [f"{rng.choice(words)} {rng.choice(words)}" for _ in range(300)]
+    near = sum(max(len(a), len(b)) * 2 <= min(len(a), len(b)) * 3 for a in set(hints) for b in set(names))
+    compared = similar.candidate_pairs(texts(spark, hints), texts(spark, names), ["dataset_id"]).count()
+    assert 0 < compared * 10 < near
+
+
+def test_candidates_as_rows(spark):
+    known = columns(spark, *[f"Column {i:04d}" for i in range(300)], "Units", "units", "Units", "Colour", "Colours")
+    asked = ask(spark, "column_hint", "column 01x0", "UNITS", "colou", "Colour", "nothing", None, "units ")
+    rows = resolve.column_candidates(asked, known).collect()
+    lists = by(resolve.resolve_column(asked, known))
+    counts = by(resolve.resolve_column(asked, known, lists=False))
+    for i, hint in enumerate(["column 01x0", "UNITS", "colou", "Colour", "nothing", "", "units"]):
+        found = [r["name"] for r in sorted((r for r in rows if r["column_hint"] == hint), key=lambda r: r["rank"])]
+        assert found == lists[i]["candidates"] and counts[i]["candidate_count"] == len(found), hint
+        assert (counts[i]["reason"], counts[i]["column"]) == (lists[i]["reason"], lists[i]["column"])
+    assert counts[0]["candidate_count"] > 100 and counts[1]["candidate_count"] == 3
+    plan = resolve.resolve_column(asked, known, lists=False)._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan.replace("map_from_entries(collect_list", "") and "CartesianProduct" not in plan
+
+
+def test_semantic_and_file_candidates_as_rows(spark):
+    known = columns(spark, "Sales Amount", "Net Revenue", "Units Sold", "Ship Cost", "Ship Price", "Sales", "sales")
+    asked = ask(spark, "term", "total sales", "price", "sales", "net revenue units", "the", "revenue cost")
+    lists = by(resolve.resolve_semantic_column(asked, known))
+    counts = by(resolve.resolve_semantic_column(asked, known, lists=False))
+    rows = resolve.semantic_candidates(asked, known).collect()
+    for i, hint in enumerate(["total sales", "price", "sales", "net revenue units", "the", "revenue cost"]):
+        found = [(r["name"], r["confidence"]) for r in sorted((r for r in rows if r["term"] == hint), key=lambda r: r["rank"])]
+        assert found == [tuple(c) for c in lists[i]["candidates"]] and counts[i]["candidate_count"] == len(found), hint
+        assert tuple(counts[i])[3:7] == tuple(lists[i])[3:7]
+    files = spark.createDataFrame([("2", "a", "current"), ("1", "b", "current"), ("3", "a", None)], "dataset_id string, display_name string, role string")
+    asked = ask(spark, "file_hint", "Current", "A", "b", "previous", " ").drop("dataset_id")
+    got = {(r["file_hint"], r["rank"]): r["dataset_id"] for r in resolve.file_candidates(asked, files).collect()}
+    assert got == {("current", 1): "1", ("current", 2): "2", ("a", 1): "2", ("a", 2): "3"}
+    assert [by(resolve.resolve_file(asked, files, lists=False))[i]["candidate_count"] for i in range(5)] == [2, 2, 0, 0, 0]
 
 
 def test_periods(spark):

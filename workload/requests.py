@@ -49,7 +49,7 @@ def _event_requests(spark, folder):
     )
 
 
-def q_resolve_column(spark, folder):
+def _part_hints(spark, folder):
     """Every shipment asks for its part by name, in one spelling or another."""
     lines = table(spark, folder, "lineitem")
     named = lines.join(table(spark, folder, "part"), F.col("l_partkey") == F.col("p_partkey"))
@@ -58,11 +58,24 @@ def q_resolve_column(spark, folder):
         F.col("l_linenumber"), F.lit("zzz"), name, F.upper(name), F.concat(F.lit("  "), name, F.lit("\t")), F.initcap(name),
         F.lit(" "), F.lit(None).cast("string"), F.concat(F.lit("zzz "), F.reverse(name)),
     )
-    asked = named.select("l_orderkey", F.col("p_brand").alias("dataset_id"), hint.alias("column_hint"))
-    df = resolve.resolve_column(asked, parts_catalog(spark, folder))
+    return named.select("l_orderkey", F.col("p_brand").alias("dataset_id"), hint.alias("column_hint"))
+
+
+def q_resolve_column(spark, folder):
+    df = resolve.resolve_column(_part_hints(spark, folder), parts_catalog(spark, folder))
     return df.withColumn("candidates", F.array_join("candidates", ";"))
 
 
+def q_resolve_column_counted(spark, folder):
+    """As `resolve_column`, rows of fixed size: the candidates are counted."""
+    return resolve.resolve_column(_part_hints(spark, folder), parts_catalog(spark, folder), lists=False)
+
+
+def q_column_candidates(spark, folder):
+    """The candidates of every ambiguous hint as rows."""
+    return resolve.column_candidates(_part_hints(spark, folder), parts_catalog(spark, folder)).drop("score")
+
+
 def q_resolve_column_typos(spark, folder):
     """Misspelled hints: the similarity of two texts has no SQL twin."""
     r = _event_requests(spark, folder)
@@ -76,7 +89,8 @@ def q_resolve_column_typos(spark, folder):
     return df.withColumn("candidates", F.array_join("candidates", ";"))
 
 
-def q_resolve_semantic_column(spark, folder):
+def _terms(spark, folder):
+    """Terms of the events, and the catalog of columns they are looked up in."""
     p = table(spark, folder, "part")
     suffix = pick(F.col("p_size") % 4, F.lit(" sales"), F.lit(" cost"), F.lit(" units"), F.lit(""))
     catalog = p.select(
@@ -88,8 +102,16 @@ def q_resolve_semantic_column(spark, folder):
     end = pick(
         F.col("event_id") % 4, F.lit(" revenue"), F.lit(" price"), F.lit(" qty"), F.concat(F.lit(" of the "), F.col("adjective"))
     )
-    asked = r.select("event_id", "dataset_id", F.concat("noun", end).alias("term"))
-    df = resolve.resolve_semantic_column(asked, catalog)
+    return r.select("event_id", "dataset_id", F.concat("noun", end).alias("term")), catalog
+
+
+def q_semantic_candidates(spark, folder):
+    """The candidates of every ambiguous term as rows."""
+    return resolve.semantic_candidates(*_terms(spark, folder))
+
+
+def q_resolve_semantic_column(spark, folder):
+    df = resolve.resolve_semantic_column(*_terms(spark, folder))
     best = F.array_max(F.transform("candidates", lambda c: c["confidence"]))
     return df.withColumns({"candidates": F.size("candidates"), "best": best})
 
@@ -154,14 +176,22 @@ def _customer_registry(spark, folder):
     )
 
 
-def q_resolve_file(spark, folder):
+def _file_hints(spark, folder):
     o = table(spark, folder, "orders")
     k, c = F.col("o_orderkey"), F.col("o_custkey")
     name = F.concat(F.lit("customer#"), F.lpad(c.cast("string"), 9, "0"))
     hint = pick(k % 6, F.lit(" Previous"), F.lit("current"), F.lit("reference"), F.lit("comparison"), name, F.lit(""))
-    asked = o.select("o_orderkey", (c % 25).alias("desk"), hint.alias("file_hint"))
-    df = resolve.resolve_file(asked, _customer_registry(spark, folder), ["desk"])
-    return df.withColumn("candidates", F.size("candidates"))
+    return o.select("o_orderkey", (c % 25).alias("desk"), hint.alias("file_hint"))
+
+
+def q_file_candidates(spark, folder):
+    """The datasets of every ambiguous hint as rows."""
+    return resolve.file_candidates(_file_hints(spark, folder), _customer_registry(spark, folder), ["desk"])
+
+
+def q_resolve_file(spark, folder):
+    df = resolve.resolve_file(_file_hints(spark, folder), _customer_registry(spark, folder), ["desk"])
+    return df.withColumn("candidates", F.array_join("candidates", ";"))
 
 
 def q_known_labels(spark, folder):
@@ -433,6 +463,35 @@ _EVENTS = f"""ev AS (SELECT event_id, 'Brand#' || (user_id % 25 + 1) AS dataset_
 _ORDERS = f"""req AS (SELECT o_orderkey AS request_id, {_list(DATASETS, "o_orderkey % 6")} AS dataset_id, o_orderdate AS day,
     o_orderkey % 8 AS i, o_orderkey // 8 % 7 AS j FROM orders)"""
 
+_PART_HINTS = """n AS (SELECT p_brand, p_name, count(*) AS n, string_agg(p_name, ';') AS names FROM part GROUP BY 1, 2),
+        a AS (SELECT l_orderkey, p.p_brand AS dataset_id, CASE l_linenumber WHEN 1 THEN p.p_name WHEN 2 THEN upper(p.p_name)
+            WHEN 3 THEN '  ' || p.p_name || chr(9) WHEN 4 THEN list_aggregate(list_transform(string_split(p.p_name, ' '),
+              lambda x: upper(x[1]) || x[2:]), 'string_agg', ' ') WHEN 5 THEN ' ' WHEN 6 THEN NULL ELSE 'zzz ' || reverse(p.p_name) END AS column_hint,
+          CASE WHEN l_linenumber < 5 THEN n.n ELSE 0 END AS n, p.p_name, names
+          FROM lineitem JOIN part p ON l_partkey = p_partkey JOIN n ON n.p_brand = p.p_brand AND n.p_name = p.p_name)"""
+
+_TERMS = f"""{_EVENTS}, cat AS (SELECT p_brand AS dataset_id, p_partkey AS position,
+          p_name || CASE p_size % 4 WHEN 0 THEN ' sales' WHEN 1 THEN ' cost' WHEN 2 THEN ' units' ELSE '' END AS name FROM part),
+        asked AS (SELECT event_id, dataset_id, noun || CASE event_id % 4 WHEN 0 THEN ' revenue' WHEN 1 THEN ' price' WHEN 2 THEN ' qty'
+          ELSE ' of the ' || adjective END AS term, noun, adjective FROM ev),
+        words AS (SELECT event_id, dataset_id, unnest(CASE event_id % 4 WHEN 0 THEN ['revenue', 'sales'] WHEN 1 THEN ['price', 'cost']
+            WHEN 2 THEN ['qty', 'units', 'quantity', 'count'] ELSE [adjective] END || [noun]) AS word, noun, adjective FROM asked),
+        names AS (SELECT dataset_id, position, name, len(string_split(name, ' ')) AS size, unnest(string_split(name, ' ')) AS word FROM cat),
+        s AS (SELECT w.event_id, n.position, n.name, round_even(least(1.0, 2 * count(*) / (2 + any_value(size))), 4) AS score,
+            bool_or(n.word IN (w.noun, 'revenue', 'price', 'qty') OR (w.event_id % 4 = 3 AND n.word = w.adjective)) AS literal
+          FROM words w JOIN names n ON n.dataset_id = w.dataset_id AND n.word = w.word GROUP BY 1, 2, 3),
+        g AS (SELECT event_id, count(*) FILTER (score >= 0.6 AND literal) AS sure, count(*) FILTER (score >= 0.3) AS maybe,
+            min(name) FILTER (score >= 0.6 AND literal) AS name, max(score) FILTER (score >= 0.6 AND literal) AS top,
+            max(score) FILTER (score >= 0.3) AS best FROM s GROUP BY 1)"""
+
+_FILE_HINTS = """reg AS (SELECT c_nationkey AS desk, CAST(c_custkey AS VARCHAR) AS id, lower(c_name) AS name,
+          CASE c_custkey % 60 WHEN 0 THEN 'previous' WHEN 1 THEN 'current' WHEN 2 THEN 'reference' END AS role FROM customer),
+        h AS (SELECT o_orderkey, o_custkey % 25 AS desk, CASE o_orderkey % 6 WHEN 0 THEN ' Previous' WHEN 1 THEN 'current' WHEN 2 THEN 'reference'
+          WHEN 3 THEN 'comparison' WHEN 4 THEN 'customer#' || lpad(CAST(o_custkey AS VARCHAR), 9, '0') ELSE '' END AS file_hint,
+          o_orderkey % 6 AS i FROM orders),
+        c AS (SELECT o_orderkey, count(id) AS n, min(id) AS id, string_agg(id, ';' ORDER BY id) AS ids FROM h LEFT JOIN reg ON reg.desk = h.desk AND
+          CASE WHEN i < 4 THEN role = lower(trim(file_hint)) ELSE name = file_hint END GROUP BY 1)"""
+
 _MONTHS = f"""{SHIPMENTS},
 m AS (SELECT dataset_id AS k, strftime(shipped, '%Y-%m') AS period, coalesce(sum(quantity), 0.0) AS value FROM ships GROUP BY 1, 2)"""
 
@@ -581,28 +640,19 @@ _COMPARISON_TEXT = """CASE reason
 _IDENTITY = """CASE WHEN file_reason IS NULL THEN '{"display_name":"' || desk || '-%s.csv","role":"%s"}' END AS %s"""
 
 SQL = {
-    "resolve_column": """WITH n AS (SELECT p_brand, p_name, count(*) AS n, string_agg(p_name, ';') AS names FROM part GROUP BY 1, 2),
-        a AS (SELECT l_orderkey, p.p_brand AS dataset_id, CASE l_linenumber WHEN 1 THEN p.p_name WHEN 2 THEN upper(p.p_name)
-            WHEN 3 THEN '  ' || p.p_name || chr(9) WHEN 4 THEN list_aggregate(list_transform(string_split(p.p_name, ' '),
-              lambda x: upper(x[1]) || x[2:]), 'string_agg', ' ') WHEN 5 THEN ' ' WHEN 6 THEN NULL ELSE 'zzz ' || reverse(p.p_name) END AS column_hint,
-          CASE WHEN l_linenumber < 5 THEN n.n ELSE 0 END AS n, p.p_name, names
-          FROM lineitem JOIN part p ON l_partkey = p_partkey JOIN n ON n.p_brand = p.p_brand AND n.p_name = p.p_name)
-      SELECT l_orderkey, dataset_id, column_hint, n = 1 AS found,
+    "resolve_column": f"""WITH {_PART_HINTS} SELECT l_orderkey, dataset_id, column_hint, n = 1 AS found,
         CASE WHEN n > 1 THEN 'ambiguous_column' WHEN n = 0 THEN 'column_not_found' END AS reason,
         CASE WHEN n = 1 THEN p_name END AS "column", CASE WHEN n > 1 THEN names ELSE '' END AS candidates FROM a""",
-    "resolve_semantic_column": f"""WITH {_EVENTS}, cat AS (SELECT p_brand AS dataset_id, p_partkey AS position,
-          p_name || CASE p_size % 4 WHEN 0 THEN ' sales' WHEN 1 THEN ' cost' WHEN 2 THEN ' units' ELSE '' END AS name FROM part),
-        asked AS (SELECT event_id, dataset_id, noun || CASE event_id % 4 WHEN 0 THEN ' revenue' WHEN 1 THEN ' price' WHEN 2 THEN ' qty'
-          ELSE ' of the ' || adjective END AS term, noun, adjective FROM ev),
-        words AS (SELECT event_id, dataset_id, unnest(CASE event_id % 4 WHEN 0 THEN ['revenue', 'sales'] WHEN 1 THEN ['price', 'cost']
-            WHEN 2 THEN ['qty', 'units', 'quantity', 'count'] ELSE [adjective] END || [noun]) AS word, noun, adjective FROM asked),
-        names AS (SELECT dataset_id, position, name, len(string_split(name, ' ')) AS size, unnest(string_split(name, ' ')) AS word FROM cat),
-        s AS (SELECT w.event_id, n.position, n.name, round_even(least(1.0, 2 * count(*) / (2 + any_value(size))), 4) AS score,
-            bool_or(n.word IN (w.noun, 'revenue', 'price', 'qty') OR (w.event_id % 4 = 3 AND n.word = w.adjective)) AS literal
-          FROM words w JOIN names n ON n.dataset_id = w.dataset_id AND n.word = w.word GROUP BY 1, 2, 3),
-        g AS (SELECT event_id, count(*) FILTER (score >= 0.6 AND literal) AS sure, count(*) FILTER (score >= 0.3) AS maybe,
-            min(name) FILTER (score >= 0.6 AND literal) AS name, max(score) FILTER (score >= 0.6 AND literal) AS top,
-            max(score) FILTER (score >= 0.3) AS best FROM s GROUP BY 1)
+    "resolve_column_counted": f"""WITH {_PART_HINTS} SELECT l_orderkey, dataset_id, column_hint, n = 1 AS found,
+        CASE WHEN n > 1 THEN 'ambiguous_column' WHEN n = 0 THEN 'column_not_found' END AS reason,
+        CASE WHEN n = 1 THEN p_name END AS "column", CASE WHEN n > 1 THEN n ELSE 0 END AS candidate_count FROM a""",
+    "column_candidates": f"""WITH {_PART_HINTS}, h AS (SELECT DISTINCT dataset_id, trim(column_hint, ' ' || chr(9)) AS column_hint FROM a WHERE n > 1)
+      SELECT dataset_id, column_hint, row_number() OVER (PARTITION BY dataset_id, column_hint ORDER BY p_partkey) AS rank, p.p_name AS name
+      FROM h JOIN part p ON p.p_brand = dataset_id AND lower(p.p_name) = lower(column_hint)""",
+    "semantic_candidates": f"""WITH {_TERMS}, one AS (SELECT dataset_id, term, min(event_id) AS event_id FROM asked GROUP BY 1, 2)
+      SELECT dataset_id, term, row_number() OVER (PARTITION BY dataset_id, term ORDER BY score DESC, s.position) AS rank, s.name, score AS confidence
+      FROM one JOIN g ON g.event_id = one.event_id AND sure <> 1 JOIN s ON s.event_id = one.event_id AND score >= 0.3""",
+    "resolve_semantic_column": f"""WITH {_TERMS}
       SELECT a.event_id, dataset_id, term, coalesce(sure = 1, false) AS found,
         CASE WHEN coalesce(sure, 0) = 1 THEN NULL WHEN coalesce(maybe, 0) > 0 THEN 'ambiguous_column' ELSE 'column_not_found' END AS reason,
         CASE WHEN sure = 1 THEN name END AS "column", CASE WHEN sure = 1 THEN top END AS confidence,
@@ -630,16 +680,14 @@ SQL = {
       SELECT request_id, dataset_id, column_hint, coalesce(column_hint NOT IN ('line_number', 'profit'), true) AS found,
         CASE column_hint WHEN 'line_number' THEN 'column_series_mismatch' WHEN 'profit' THEN 'column_not_found' END AS reason,
         CASE WHEN coalesce(column_hint NOT IN ('line_number', 'profit'), true) THEN 'quantity' END AS "column" FROM h""",
-    "resolve_file": """WITH reg AS (SELECT c_nationkey AS desk, CAST(c_custkey AS VARCHAR) AS id, lower(c_name) AS name,
-          CASE c_custkey % 60 WHEN 0 THEN 'previous' WHEN 1 THEN 'current' WHEN 2 THEN 'reference' END AS role FROM customer),
-        h AS (SELECT o_orderkey, o_custkey % 25 AS desk, CASE o_orderkey % 6 WHEN 0 THEN ' Previous' WHEN 1 THEN 'current' WHEN 2 THEN 'reference'
-          WHEN 3 THEN 'comparison' WHEN 4 THEN 'customer#' || lpad(CAST(o_custkey AS VARCHAR), 9, '0') ELSE '' END AS file_hint,
-          o_orderkey % 6 AS i FROM orders),
-        c AS (SELECT o_orderkey, count(id) AS n, min(id) AS id FROM h LEFT JOIN reg ON reg.desk = h.desk AND
-          CASE WHEN i < 4 THEN role = lower(trim(file_hint)) ELSE name = file_hint END GROUP BY 1)
+    "file_candidates": f"""WITH {_FILE_HINTS}, one AS (SELECT DISTINCT desk, lower(trim(file_hint)) AS file_hint, i < 4 AS by_role FROM h WHERE trim(file_hint) <> ''),
+        found AS (SELECT one.desk, file_hint, id, count(*) OVER (PARTITION BY one.desk, file_hint) AS n
+          FROM one JOIN reg ON reg.desk = one.desk AND CASE WHEN by_role THEN role ELSE name END = file_hint)
+      SELECT desk, file_hint, row_number() OVER (PARTITION BY desk, file_hint ORDER BY id) AS rank, id AS dataset_id FROM found WHERE n > 1""",
+    "resolve_file": f"""WITH {_FILE_HINTS}
       SELECT h.o_orderkey, desk, file_hint, n = 1 AS found, CASE WHEN n > 1 THEN 'duplicate_role' WHEN n = 1 THEN NULL
           WHEN i < 4 THEN 'role_not_assigned' ELSE 'file_not_found' END AS reason,
-        CASE WHEN n = 1 THEN id END AS dataset_id, CASE WHEN n > 1 THEN n ELSE 0 END AS candidates
+        CASE WHEN n = 1 THEN id END AS dataset_id, CASE WHEN n > 1 THEN ids ELSE '' END AS candidates
       FROM h JOIN c ON c.o_orderkey = h.o_orderkey""",
     "known_labels": """SELECT DISTINCT c_nationkey AS desk, unnest([c_name, CASE c_custkey % 60 WHEN 0 THEN 'previous' WHEN 1 THEN 'current'
         WHEN 2 THEN 'reference' ELSE c_name END]) AS label FROM customer""",
