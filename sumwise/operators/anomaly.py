@@ -7,30 +7,41 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sumwise.functions.basics import as_number, by_keys, join_on
+from sumwise.functions.basics import as_number, by_keys, join_on, stored
+from sumwise.operators.quantile import exact_quantiles
+from sumwise.operators.scan import placed
 from sumwise.operators.series import with_changes
 
 MIN_OBSERVATIONS = 4
 IQR_FACTOR = 1.5
 
 
-def iqr_scores(series: DataFrame, keys: Sequence[str] = (), order: str = "period") -> DataFrame:
+def iqr_scores(series: DataFrame, keys: Sequence[str] = (), order: str = "period", long: bool = False) -> DataFrame:
     """Every point with its 0-based position, the bounds of its series and its direction.
 
-    Quartiles interpolate linearly.  With fewer than four values there are no bounds.
-    One shuffle by `keys` serves the quartiles and the positions.
+    Quartiles interpolate linearly.  With fewer than four values there are no bounds.  One
+    shuffle by `keys` serves the quartiles and the positions of short series; `long` ones get
+    their positions and quartiles by ranges, so that no task holds a whole series.
     """
-    w = by_keys(keys)
     value = as_number("value")
-    quartiles = F.percentile(value, F.array(F.lit(0.25), F.lit(0.75))).over(w)
-    scored = series.select(
-        *keys,
-        F.col(order).alias("period"),
-        value.alias("value"),
-        (F.row_number().over(by_keys(keys, order)) - 1).alias("position"),
-        F.count(value).over(w).alias("sample_size"),
-        quartiles.alias("__q"),
-    )
+    if long:
+        points = series.select(*keys, F.col(order).alias("period"), value.alias("value"))
+        found = placed(points, keys, "period")
+        quartiles = stored(exact_quantiles(found, keys, [0.25, 0.75], long=True))
+        # Without keys the quartiles are a single row.
+        scored = join_on(found, quartiles, keys) if keys else found.join(F.broadcast(quartiles), how="left")
+        size, q = F.coalesce("count", F.lit(0)).alias("sample_size"), F.col("quantiles").alias("__q")
+        scored = scored.select(*keys, "period", "value", F.col("__at").alias("position"), size, q)
+    else:
+        w = by_keys(keys)
+        scored = series.select(
+            *keys,
+            F.col(order).alias("period"),
+            value.alias("value"),
+            (F.row_number().over(by_keys(keys, order)) - 1).alias("position"),
+            F.count(value).over(w).alias("sample_size"),
+            F.percentile(value, F.array(F.lit(0.25), F.lit(0.75))).over(w).alias("__q"),
+        )
     enough = F.col("sample_size") >= MIN_OBSERVATIONS
     q1, q3 = F.col("__q")[0], F.col("__q")[1]
     scored = scored.select(
@@ -45,19 +56,22 @@ def iqr_scores(series: DataFrame, keys: Sequence[str] = (), order: str = "period
     return scored.withColumn("direction", direction)
 
 
-def iqr_anomalies(series: DataFrame, keys: Sequence[str] = (), order: str = "period") -> DataFrame:
+def iqr_anomalies(series: DataFrame, keys: Sequence[str] = (), order: str = "period", long: bool = False) -> DataFrame:
     """The points outside the bounds."""
     return (
-        iqr_scores(series, keys, order)
+        iqr_scores(series, keys, order, long)
         .where(F.col("direction").isNotNull())
         .select(*keys, "position", "period", "value", "direction")
     )
 
 
 def iqr_summary(
-    series: DataFrame, keys: Sequence[str] = (), order: str = "period", with_points: bool = False
+    series: DataFrame, keys: Sequence[str] = (), order: str = "period", with_points: bool = False, long: bool = False
 ) -> DataFrame:
-    """Per series: sample size, bounds and number of anomalies, on request with the points."""
+    """Per series: sample size, bounds and number of anomalies, on request with the points.
+
+    The points of `long` series are better read from `iqr_anomalies`, as rows.
+    """
     point = F.struct("position", "period", "value", "direction")
     extra = (
         [F.array_sort(F.collect_list(F.when(F.col("direction").isNotNull(), point))).alias("anomalies")]
@@ -65,7 +79,7 @@ def iqr_summary(
         else []
     )
     return (
-        iqr_scores(series, keys, order)
+        iqr_scores(series, keys, order, long)
         .groupBy(*keys)
         .agg(
             F.lit("iqr").alias("method"),

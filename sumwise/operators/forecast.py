@@ -7,8 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sumwise.functions.basics import as_number, by_keys
+from sumwise.functions.basics import as_number
 from sumwise.functions.periods import next_label
+from sumwise.operators.scan import steps
 
 METHODS = ("naive", "seasonal_naive")
 SEASON = 12
@@ -17,18 +18,20 @@ MIN_RESIDUALS = 2
 CONFIDENCE_Z = 1.96
 
 
-def _history(series: DataFrame, keys: Sequence[str], lag: int) -> DataFrame:
+def _history(series: DataFrame, keys: Sequence[str], lag: int, long: bool) -> DataFrame:
     """Points with their position, series length and the residual at `lag`."""
-    w = by_keys(keys, "period")
+    s = steps(series.select(*keys, "period", "value"), keys, "period", lag, long)
     value = as_number("value")
-    return series.select(
+    points = s.rows.select(
         *keys,
         "period",
         value.alias("value"),
-        F.row_number().over(w).alias("__pos"),
-        F.count(F.lit(1)).over(by_keys(keys)).alias("__n"),
-        (value - F.lag(value, lag).over(w)).alias("__residual"),
+        s.position.alias("__pos"),
+        s.length.alias("__n"),
+        (value - F.lag(value, lag).over(s.window)).alias("__residual"),
+        *s.marks,
     )
+    return s.own(points)
 
 
 def _entries(facts: DataFrame, keys: Sequence[str], method: str, steps: Column) -> DataFrame:
@@ -50,10 +53,10 @@ def _entries(facts: DataFrame, keys: Sequence[str], method: str, steps: Column)
     )
 
 
-def naive_forecast(series: DataFrame, keys: Sequence[str] = (), periods_ahead: int = 1) -> DataFrame:
+def naive_forecast(series: DataFrame, keys: Sequence[str] = (), periods_ahead: int = 1, long: bool = False) -> DataFrame:
     """Repeat the last value; nothing if the last value is missing."""
     facts = (
-        _history(series, keys, 1)
+        _history(series, keys, 1, long)
         .groupBy(*keys)
         .agg(
             F.max("period").alias("__last"),
@@ -71,7 +74,7 @@ def naive_forecast(series: DataFrame, keys: Sequence[str] = (), periods_ahead: i
 
 
 def seasonal_naive_forecast(
-    series: DataFrame, keys: Sequence[str] = (), periods_ahead: int = 1, season_length: int = SEASON
+    series: DataFrame, keys: Sequence[str] = (), periods_ahead: int = 1, season_length: int = SEASON, long: bool = False
 ) -> DataFrame:
     """Repeat the value of one season ago, for at most one season.
 
@@ -82,7 +85,7 @@ def seasonal_naive_forecast(
         (F.col("__n") >= season_length) & (step >= 1) & (step <= periods_ahead) & F.col("value").isNotNull()
     )
     facts = (
-        _history(series, keys, season_length)
+        _history(series, keys, season_length, long)
         .groupBy(*keys)
         .agg(
             F.max("period").alias("__last"),
@@ -102,6 +105,7 @@ def backtest_forecast(
     method: str = "naive",
     holdout: int = HOLDOUT,
     season_length: int = SEASON,
+    long: bool = False,
 ) -> DataFrame:
     """Forecast the last `holdout` points from the rest: MAE, RMSE and MAPE, or a reason.
 
@@ -109,22 +113,25 @@ def backtest_forecast(
     actual values only.
     """
     n, pos = F.col("__n"), F.col("__pos")
-    w = by_keys(keys, "period")
+    s = steps(series.select(*keys, "period", "value"), keys, "period", max(season_length, holdout), long)
     value = as_number("value")
-    points = series.select(
+    # The value before the first held point is one step back from it, two from the next one.
+    back = [F.when(s.position == s.length - holdout + k, F.lag(value, k).over(s.window)) for k in range(1, holdout + 1)]
+    points = s.rows.select(
         *keys,
         value.alias("value"),
-        F.row_number().over(w).alias("__pos"),
-        F.count(F.lit(1)).over(by_keys(keys)).alias("__n"),
-        F.lag(value, season_length).over(w).alias("__season_ago"),
+        s.position.alias("__pos"),
+        s.length.alias("__n"),
+        F.lag(value, season_length).over(s.window).alias("__season_ago"),
+        F.coalesce(*back, F.lit(None).cast("double")).alias("__last_train"),
+        *s.marks,
     )
+    points = s.own(points)
     held = pos > n - holdout
     if method == "seasonal_naive":
         predicted = F.col("__season_ago")
         too_short = (n - holdout < season_length) | F.lit(holdout > season_length)
     else:
-        last = F.max(F.when(pos == n - holdout, F.col("value"))).over(by_keys(keys))
-        points = points.withColumn("__last_train", last)
         predicted = F.col("__last_train")
         too_short = F.lit(False)
     error = F.when(held, F.col("value") - predicted)

@@ -1,4 +1,4 @@
-"""Exact medians of columns of any size, by one way at every size.
+"""Exact medians and quantiles of columns of any size, by one way at every size.
 
 1. A sketch per group, made in an aggregation that combines before the shuffle, brackets the
    wanted rank: of all values at most a `BRACKET` part lies between its two values.
@@ -7,6 +7,8 @@
 3. The rank is read off the counts of the group, in the order of the values.
 
 One task sees one sketch, or the distinct values inside one bracket: 0.1 % of a group at most.
+Several quantiles share both scans, each with a bracket of its own; for one `long` group the
+ranks are read off by a running total over ranges of values, so no task sees a whole bracket.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sumwise.functions.basics import by_keys, join_on
+from sumwise.operators.scan import running_total
 
 ACCURACY = 10_000
 MARGIN = 4.0 / ACCURACY  # four times what the sketch may be off
@@ -59,3 +62,45 @@ def exact_medians(values: DataFrame, keys: Sequence[str], near: DataFrame | None
         return F.max(F.when(holds, F.col("value")))
 
     return ranked.groupBy(*keys).agg(((at("__r1") + at("__r2")) / 2).alias("median"))
+
+
+def exact_quantiles(values: DataFrame, keys: Sequence[str], parts: Sequence[float], long: bool = False) -> DataFrame:
+    """`keys, count, quantiles` over the non-null `value` column of `values`, interpolated linearly."""
+    keys = list(keys)
+    present = values.where(F.col("value").isNotNull()).select(*keys, "value")
+    edges = [p for part in parts for p in (max(0.0, part - MARGIN), min(1.0, part + MARGIN))]
+    near = present.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), F.percentile_approx("value", edges, ACCURACY).alias("__near"))
+    near = near.where(F.col("__n") > 0)
+    # Without keys `near` is a single row.
+    placed = join_on(present, near, keys, "inner") if keys else present.crossJoin(F.broadcast(near))
+    value = F.col("value")
+    brackets = [(F.col("__near")[2 * k], F.col("__near")[2 * k + 1]) for k in range(len(parts))]
+    inside = F.lit(False)
+    for low, high in brackets:
+        inside = inside | ((value >= low) & (value <= high))
+    passed = F.array_max(F.array(*[F.when(value > high, high) for _, high in brackets]))
+    # A value outside all brackets only counts, as an entry right after the last bracket below it.
+    entry = [F.when(inside, value).otherwise(passed).alias("value"), (~inside).alias("__gap")]
+    counted = placed.select(*keys, "__n", *entry).groupBy(*keys, "__n", "value", "__gap").agg(F.count(F.lit(1)).alias("__rows"))
+    order = [F.col("value").asc_nulls_first(), F.col("__gap").asc()]
+    if long:
+        ranked = running_total(counted, keys, order, "__rows")
+    else:
+        ranked = counted.withColumn("__total", F.sum("__rows").over(by_keys(keys, *order)))
+    last = F.col("__total") - 1
+    first = F.col("__total") - F.col("__rows")
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when(~F.col("__gap") & (first <= rank) & (rank <= last), value))
+
+    found = []
+    for part in parts:
+        place = (F.col("__n") - 1) * F.lit(part)
+        found += [at(F.floor(place)), at(F.ceil(place))]
+    wide = ranked.groupBy(*keys, "__n").agg(*[f.alias(f"__q{k}") for k, f in enumerate(found)])
+    quantiles = []
+    for k, part in enumerate(parts):
+        place = (F.col("__n") - 1) * F.lit(part)
+        low, high, off = F.col(f"__q{2 * k}"), F.col(f"__q{2 * k + 1}"), place - F.floor(place)
+        quantiles.append(F.when(off == 0, low).otherwise((1 - off) * low + off * high))
+    return wide.select(*keys, F.col("__n").alias("count"), F.array(*quantiles).alias("quantiles"))

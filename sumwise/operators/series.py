@@ -3,7 +3,8 @@
 A series table has the key columns, `period` (`YYYY-MM`) and `value`, one row per
 observed month.  The month aggregation is the only step that sees raw rows and it
 combines before the shuffle; every window after it runs on the months of one series, so
-its partitions are bounded by the length of the calendar, not by the data.
+its partitions are bounded by the length of the calendar, not by the data.  Series that are
+not made of months can be of any length: `long` cuts them to ranges.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from sumwise.functions.basics import NUMBERS, by_keys, number_of
 from sumwise.functions.change import change
 from sumwise.functions.periods import STRICT_LABEL, month_label, month_of_label
 from sumwise.functions.text import parse_timestamp, read_cells
+from sumwise.operators.scan import steps
 
 ROLLING_WINDOW = 3
 MIN_GROWTH_RATES = 2
@@ -104,36 +106,38 @@ def _month_sums(df: DataFrame, period: str, names: Sequence[str], keys: Sequence
     return sums.select(*keys, "__month", made).select(*keys, "m.column", "__month", "m.value", "m.unread")
 
 
-def with_changes(series: DataFrame, keys: Sequence[str] = (), order: str = "period") -> DataFrame:
+def with_changes(series: DataFrame, keys: Sequence[str] = (), order: str = "period", long: bool = False) -> DataFrame:
     """Every point with its change against the observed point before it.
 
     `from_period` is NULL on the first point of a series, `is_first` marks it, `n` is the
-    length of the series.
+    length of the series.  `long` series are cut to ranges instead of one task for each.
     """
-    w = by_keys(keys, order)
-    previous = series.select(
+    points = series.select(*keys, order, "value")
+    s = steps(points, keys, order, 1, long)
+    previous = s.rows.select(
         *keys,
-        F.lag(order).over(w).alias("from_period"),
+        F.lag(order).over(s.window).alias("from_period"),
         F.col(order).alias("to_period"),
-        F.lag("value").over(w).alias("__previous"),
+        F.lag("value").over(s.window).alias("__previous"),
         F.col("value").alias("__current"),
-        (F.row_number().over(w) == 1).alias("is_first"),
-        F.count(F.lit(1)).over(by_keys(keys)).alias("n"),
+        (s.position == 1).alias("is_first"),
+        s.length.alias("n"),
+        *s.marks,
     )
-    c = previous.withColumn("__c", change("__previous", "__current"))
+    c = s.own(previous).withColumn("__c", change("__previous", "__current"))
     return c.select(*keys, "from_period", "to_period", "is_first", "n", "__c.*")
 
 
-def compare_periods(series: DataFrame, keys: Sequence[str] = (), order: str = "period") -> DataFrame:
+def compare_periods(series: DataFrame, keys: Sequence[str] = (), order: str = "period", long: bool = False) -> DataFrame:
     """One row per consecutive pair of observed periods."""
-    return with_changes(series, keys, order).where(~F.col("is_first")).drop("is_first", "n")
+    return with_changes(series, keys, order, long).where(~F.col("is_first")).drop("is_first", "n")
 
 
-def comparison_counts(series: DataFrame, keys: Sequence[str] = (), order: str = "period") -> DataFrame:
+def comparison_counts(series: DataFrame, keys: Sequence[str] = (), order: str = "period", long: bool = False) -> DataFrame:
     """Per series: how many pairs are valid, invalid, and whether there are any."""
     pair = ~F.col("is_first")
     return (
-        with_changes(series, keys, order)
+        with_changes(series, keys, order, long)
         .groupBy(*keys)
         .agg(
             F.count(F.lit(1)).alias("period_count"),
@@ -144,7 +148,7 @@ def comparison_counts(series: DataFrame, keys: Sequence[str] = (), order: str =
     )
 
 
-def detect_trend(series: DataFrame, keys: Sequence[str] = (), order: str = "period") -> DataFrame:
+def detect_trend(series: DataFrame, keys: Sequence[str] = (), order: str = "period", long: bool = False) -> DataFrame:
     """Per series: increasing, decreasing, stable, volatile or insufficient_data.
 
     Pairs from a zero base have a direction although they have no percentage.
@@ -152,7 +156,7 @@ def detect_trend(series: DataFrame, keys: Sequence[str] = (), order: str = "peri
     pair = ~F.col("is_first")
     diff = F.when(pair, F.col("absolute_change"))
     counts = (
-        with_changes(series, keys, order)
+        with_changes(series, keys, order, long)
         .groupBy(*keys)
         .agg(
             F.count_if(pair & F.col("is_valid")).alias("valid_comparison_count"),
@@ -174,19 +178,19 @@ def detect_trend(series: DataFrame, keys: Sequence[str] = (), order: str = "peri
     return counts.select(*keys, trend.alias("trend"), *[c for c in counts.columns if c not in keys])
 
 
-def growth_rate(series: DataFrame, keys: Sequence[str] = (), order: str = "period") -> DataFrame:
+def growth_rate(series: DataFrame, keys: Sequence[str] = (), order: str = "period", long: bool = False) -> DataFrame:
     """Percentage change into each period; NULL where the base is zero or missing."""
-    return compare_periods(series, keys, order).select(
+    return compare_periods(series, keys, order, long).select(
         *keys, F.col("to_period").alias("period"), F.col("percentage_change").alias("rate")
     )
 
 
-def volatility(series: DataFrame, keys: Sequence[str] = (), order: str = "period") -> DataFrame:
+def volatility(series: DataFrame, keys: Sequence[str] = (), order: str = "period", long: bool = False) -> DataFrame:
     """Sample standard deviation of the growth rates; needs two of them."""
     rate = F.when(~F.col("is_first"), F.col("percentage_change"))
     enough = F.count(rate) >= MIN_GROWTH_RATES
     return (
-        with_changes(series, keys, order)
+        with_changes(series, keys, order, long)
         .groupBy(*keys)
         .agg(
             F.when(enough, F.stddev_samp(rate)).alias("value"),
@@ -195,20 +199,21 @@ def volatility(series: DataFrame, keys: Sequence[str] = (), order: str = "period
     )
 
 
-def _rolling(series: DataFrame, keys: Sequence[str], window: int, order: str, how) -> DataFrame:
-    w = by_keys(keys, order)
-    frame = w.rowsBetween(1 - window, 0)
-    rolled = series.select(
+def _rolling(series: DataFrame, keys: Sequence[str], window: int, order: str, how, long: bool) -> DataFrame:
+    s = steps(series.select(*keys, order, "value"), keys, order, window - 1, long)
+    frame = s.window.rowsBetween(1 - window, 0)
+    rolled = s.rows.select(
         *keys,
         F.col(order).alias("period"),
         F.count("value").over(frame).alias("__seen"),
         how("value").over(frame).alias("value"),
-        F.row_number().over(w).alias("__row"),
-        F.count(F.lit(1)).over(by_keys(keys)).alias("__n"),
+        s.position.alias("__row"),
+        s.length.alias("__n"),
+        *s.marks,
     )
     short = F.col("__n") < window
     full = ~short & (F.col("__seen") == window)
-    return rolled.where(full | (short & (F.col("__row") == 1))).select(
+    return s.own(rolled).where(full | (short & (F.col("__row") == 1))).select(
         *keys,
         F.when(~short, F.col("period")).alias("period"),
         F.when(~short, F.col("value")).alias("value"),
@@ -217,20 +222,20 @@ def _rolling(series: DataFrame, keys: Sequence[str], window: int, order: str, ho
 
 
 def rolling_mean(
-    series: DataFrame, keys: Sequence[str] = (), window: int = ROLLING_WINDOW, order: str = "period"
+    series: DataFrame, keys: Sequence[str] = (), window: int = ROLLING_WINDOW, order: str = "period", long: bool = False
 ) -> DataFrame:
     """Mean over the last `window` observed points; incomplete windows are left out.
 
     A series shorter than the window has one row with `insufficient_data`.
     """
-    return _rolling(series, keys, window, order, F.avg)
+    return _rolling(series, keys, window, order, F.avg, long)
 
 
 def rolling_std(
-    series: DataFrame, keys: Sequence[str] = (), window: int = ROLLING_WINDOW, order: str = "period"
+    series: DataFrame, keys: Sequence[str] = (), window: int = ROLLING_WINDOW, order: str = "period", long: bool = False
 ) -> DataFrame:
     """As `rolling_mean`, with the sample standard deviation."""
-    return _rolling(series, keys, window, order, F.stddev_samp)
+    return _rolling(series, keys, window, order, F.stddev_samp, long)
 
 
 def seasonality_signal(series: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

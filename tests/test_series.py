@@ -1,13 +1,16 @@
 from __future__ import annotations
 
 import math
+import random
 import statistics
 from datetime import datetime
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sumwise.operators import anomaly, forecast, series as S
+from sumwise.operators import anomaly, forecast, scan, series as S
+from sumwise.operators.quantile import exact_quantiles
 from conftest import by
 
 K = ["id"]
@@ -187,3 +190,80 @@ def test_backtest(series):
     assert forecast.backtest_forecast(df, K, "magic").first()["reason"] == "unsupported_method"
     assert forecast.backtest_forecast(df, K, holdout=0).first()["reason"] == "invalid_holdout"
     assert by(forecast.backtest_forecast(df, K, "seasonal_naive"))["a"]["reason"] == "insufficient_history"
+
+
+def long_series(spark, seed=1):
+    """Two thirds of the rows in one key, ties in value, missing values, zeros, and keys of one to five rows."""
+    rng = random.Random(seed)
+    rows = []
+    for i in range(900):
+        key = "hot" if i % 3 else rng.choice(["a", "b", "c", None]) if i % 30 else f"k{i}"
+        rows.append((key, f"{i:05d}", None if rng.random() < 0.05 else float(rng.choice([0, 1, rng.randint(-50, 50)]))))
+    rng.shuffle(rows)
+    return spark.createDataFrame(rows, "id string, period string, value double").repartition(5)
+
+
+def same(a, b):
+    assert a.columns == b.columns
+    rows = [sorted(([None if v != v else round(v, 9) if isinstance(v, float) else v for v in r] for r in df.collect()), key=str) for df in (a, b)]
+    assert rows[0] == rows[1]
+
+
+def test_long_series_give_the_same_as_short_ones(spark, monkeypatch):
+    monkeypatch.setattr(scan, "BLOCK", 7)
+    df = long_series(spark)
+    for keys in ([], ["id"]):
+        for f in (
+            S.with_changes, S.comparison_counts, S.detect_trend, S.growth_rate, S.volatility,
+            S.rolling_mean, S.rolling_std, anomaly.iqr_scores, anomaly.iqr_summary,
+        ):
+            same(f(df, keys), f(df, keys, long=True))
+    same(S.rolling_mean(df, ["id"], 4), S.rolling_mean(df, ["id"], 4, long=True))
+    months = spark.range(150).selectExpr("'h' as id", "date_format(add_months(date'1990-01-01', cast(id as int)), 'yyyy-MM') as period", "double(id * 7 % 40) as value")
+    for keys in ([], ["id"]):
+        same(forecast.naive_forecast(months, keys, 3), forecast.naive_forecast(months, keys, 3, long=True))
+        same(forecast.seasonal_naive_forecast(months, keys, 5), forecast.seasonal_naive_forecast(months, keys, 5, long=True))
+        for method in forecast.METHODS:
+            same(forecast.backtest_forecast(months, keys, method), forecast.backtest_forecast(months, keys, method, long=True))
+
+
+def test_long_series_of_nothing(spark):
+    empty = spark.createDataFrame([], "id string, period string, value double")
+    for keys in ([], ["id"]):
+        assert S.rolling_mean(empty, keys, long=True).count() == 0
+        same(anomaly.iqr_summary(empty, keys), anomaly.iqr_summary(empty, keys, long=True))
+        same(S.detect_trend(empty, keys), S.detect_trend(empty, keys, long=True))
+
+
+def test_no_task_holds_a_long_series(spark):
+    """Windows run over ranges and blocks, never over all rows."""
+    df = spark.range(5000).selectExpr("id as period", "double(id % 17) as value")
+    plan = S.rolling_mean(df, long=True)._jdf.queryExecution().executedPlan().toString()
+    windows = [line for line in plan.splitlines() if "Window [" in line]
+    assert windows and all("__block" in line for line in windows)
+    at = scan.placed(df.repartition(6), [], "period")
+    assert at.where("__at <> period or __n <> 5000").count() == 0
+    totals = scan.running_total(df, [], ["period"], "value").collect()
+    run, want = 0.0, {}
+    for i in range(5000):
+        run += i % 17
+        want[i] = run
+    assert {r["period"]: r["__total"] for r in totals} == want
+
+
+@pytest.mark.parametrize("long", [False, True])
+def test_exact_quantiles(spark, long):
+    rng = random.Random(4)
+    values = [float(rng.randint(0, 500)) for _ in range(20_000)] + [rng.gauss(0, 1) * 10 ** rng.randint(-4, 6) for _ in range(20_001)] + [3.0] * 9000
+    rows = [("hot", v) for v in values] + [("one", 1.5), ("two", 1.0), ("two", 4.0), ("none", None), (None, 2.0), ("same", 2.0), ("same", 2.0)]
+    df = spark.createDataFrame(rows, "k string, value double").repartition(6)
+    parts = [0.0, 0.01, 0.25, 0.5, 0.75, 0.999, 1.0]
+    got = {r["k"]: r for r in exact_quantiles(df, ["k"], parts, long).collect()}
+    assert set(got) == {"hot", "one", "two", None, "same"}
+    for k, r in got.items():
+        mine = [v for q, v in rows if q == k and v is not None]
+        assert r["count"] == len(mine)
+        assert r["quantiles"] == pytest.approx(np.percentile(mine, [100 * p for p in parts]).tolist(), rel=1e-12), k
+    whole = exact_quantiles(df, [], [0.25, 0.75], long).first()
+    everything = [v for _, v in rows if v is not None]
+    assert whole["quantiles"] == pytest.approx(np.percentile(everything, [25, 75]).tolist(), rel=1e-12)

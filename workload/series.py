@@ -140,6 +140,41 @@ def q_iqr_summary(spark, folder):
     return rounded(df, 6, "lower_bound", "upper_bound")
 
 
+LINE = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
+
+
+def _lines(spark, folder, value):
+    """All shipments as one long series, in the order of their orders."""
+    lines = table(spark, folder, "lineitem")
+    return lines.select(F.struct(*LINE).alias("period"), F.col(value).alias("value"))
+
+
+def q_rolling_mean_long(spark, folder):
+    df = series.rolling_mean(_lines(spark, folder, "l_quantity"), window=5, long=True)
+    return rounded(df.select("period.l_orderkey", "period.l_linenumber", "value", "insufficient_data"), 6, "value")
+
+
+def q_compare_periods_long(spark, folder):
+    df = series.compare_periods(_lines(spark, folder, "l_quantity"), long=True)
+    own = ["from_period.l_orderkey as from_order", "to_period.l_orderkey as to_order", "absolute_change", "percentage_change", "is_valid"]
+    return rounded(df.selectExpr(*own), 6, "percentage_change")
+
+
+def q_detect_trend_long(spark, folder):
+    return series.detect_trend(_lines(spark, folder, "l_quantity"), long=True)
+
+
+def q_iqr_scores_long(spark, folder):
+    df = anomaly.iqr_scores(_lines(spark, folder, "l_extendedprice"), long=True)
+    return rounded(df.drop("period"), 4, "lower_bound", "upper_bound")
+
+
+def q_iqr_summary_long(spark, folder):
+    """Quantities of every return flag, three groups that hold all rows."""
+    points = table(spark, folder, "lineitem").select("l_returnflag", F.struct(*LINE).alias("period"), F.col("l_extendedprice").alias("value"))
+    return rounded(anomaly.iqr_summary(points, ["l_returnflag"], long=True), 4, "lower_bound", "upper_bound")
+
+
 def q_investigate_anomalies(spark, folder):
     points = by_flag(spark, folder)
     found = anomaly.iqr_anomalies(points, ["l_returnflag", "column"])
@@ -211,7 +246,30 @@ SELECT k AS {key}, '{method}' AS method, n < {need} AS insufficient_data,
 
 _P, _C = monthly("o_orderpriority"), monthly("o_custkey")
 
+_LINE = "l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice"
+_IQR = "quantile_cont(l_extendedprice, 0.25) AS q1, quantile_cont(l_extendedprice, 0.75) AS q3"
+
 SQL = {
+    "rolling_mean_long": f"""SELECT l_orderkey, l_linenumber, round(value, 6) AS value, false AS insufficient_data FROM (
+        SELECT l_orderkey, l_linenumber, avg(l_quantity) OVER (ORDER BY {_LINE} ROWS 4 PRECEDING) AS value, row_number() OVER (ORDER BY {_LINE}) AS rn
+        FROM lineitem) WHERE rn >= 5""",
+    "compare_periods_long": f"""WITH p AS (SELECT lag(l_orderkey) OVER w AS from_order, l_orderkey AS to_order, lag(l_quantity) OVER w AS a, l_quantity AS b
+        FROM lineitem WINDOW w AS (ORDER BY {_LINE}))
+      SELECT from_order, to_order, b - a AS absolute_change, round((b - a) / a * 100, 6) AS percentage_change, true AS is_valid
+      FROM p WHERE from_order IS NOT NULL""",
+    "detect_trend_long": f"""WITH p AS (SELECT l_quantity - lag(l_quantity) OVER (ORDER BY {_LINE}) AS d FROM lineitem)
+      SELECT 'volatile' AS trend, count(d) AS valid_comparison_count, 0 AS invalid_comparison_count, count(d) AS direction_comparison_count,
+        count(*) FILTER (d > 0) AS increase_count, count(*) FILTER (d < 0) AS decrease_count, count(*) FILTER (d = 0) AS no_change_count FROM p""",
+    "iqr_scores_long": f"""WITH q AS (SELECT {_IQR}, count(*) AS n FROM lineitem)
+      SELECT l_extendedprice AS value, row_number() OVER (ORDER BY {_LINE}) - 1 AS position, n AS sample_size, false AS insufficient_data,
+        round(q1 - 1.5 * (q3 - q1), 4) AS lower_bound, round(q3 + 1.5 * (q3 - q1), 4) AS upper_bound,
+        CASE WHEN l_extendedprice > q3 + 1.5 * (q3 - q1) THEN 'high' WHEN l_extendedprice < q1 - 1.5 * (q3 - q1) THEN 'low' END AS direction
+      FROM lineitem, q""",
+    "iqr_summary_long": f"""WITH q AS (SELECT l_returnflag, {_IQR}, count(*) AS n FROM lineitem GROUP BY 1)
+      SELECT l_returnflag, 'iqr' AS method, false AS insufficient_data, any_value(n) AS sample_size,
+        round(any_value(q1 - 1.5 * (q3 - q1)), 4) AS lower_bound, round(any_value(q3 + 1.5 * (q3 - q1)), 4) AS upper_bound,
+        count(*) FILTER (l_extendedprice > q3 + 1.5 * (q3 - q1) OR l_extendedprice < q1 - 1.5 * (q3 - q1)) AS anomaly_count
+      FROM lineitem JOIN q USING (l_returnflag) GROUP BY 1""",
     "period_series": "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS period, o_totalprice AS value FROM orders",
     "monthly_series": f"WITH {_P} SELECT k AS o_orderpriority, 'o_totalprice' AS \"column\", period, round(value, 2) AS value FROM m",
     "monthly_series_all": "SELECT 'value' AS \"column\", strftime(ts, '%Y-%m') AS period, round(sum(value), 2) AS value FROM events GROUP BY 2",
