@@ -238,7 +238,7 @@ def benchmark_passages(
         def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, texts = shared.value
             index = index_of(texts, key, percent)
-            for batch in slices(batches, "text", 4 << 20):
+            for batch in slices(batches, "text", 1 << 20):
                 out = []
                 for row, doc in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist()):
                     out += [(row, ids[number], start, words, like) for number, start, words, like in index.found(doc)]
@@ -263,7 +263,7 @@ def without_passages(
 
         def clean(batches: Iterator[pa.RecordBatch], shared=shared, key=uuid.uuid4().hex) -> Iterator[pa.RecordBatch]:
             index = index_of(shared.value, key, percent)
-            for batch in slices(batches, text, 4 << 20):
+            for batch in slices(batches, text, 1 << 20):
                 yield batch.filter(pa.array([not index.found(t) for t in batch.column(text).to_pylist()], pa.bool_()))
 
         kept = kept.mapInArrow(clean, docs.schema)

@@ -40,7 +40,7 @@ from sumwise.llm.shingles import mix, shingle_set
 
 BANDS, ROWS = 48, 5
 COORDINATES = BANDS * ROWS
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 

@@ -47,7 +47,7 @@ NEAR = 4
 LIMIT = 0.7
 TREES, DEPTH = 12, 3
 MOST_WORDS = 400_000  # words a worker remembers; a cache
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 
 SECOND_PERSON = frozenset(
     """you your yours yourself u ur du dich dir dein deine deinen ihr euch euer sie ihnen tu te toi ton ta tes vous votre
