@@ -110,13 +110,19 @@ def column_facts(df: DataFrame, keys: Sequence[str] = (), columns: Sequence[str]
                 timed.alias("has_time"),
             )
         )
-    facts = reduce(DataFrame.unionByName, parts)
+    return with_header(reduce(DataFrame.unionByName, parts), facts_header(df, picked), keys)
 
-    # One row per column of the table: its size is the width of the schema.
-    header = df.sparkSession.createDataFrame(
-        [(i, f.name, f.dataType.simpleString(), _kind(f.dataType)) for i, f in picked],
+
+def facts_header(df: DataFrame, fields: Sequence[tuple[int, T.StructField]]) -> DataFrame:
+    """One row per column of the table: its size is the width of the schema."""
+    return df.sparkSession.createDataFrame(
+        [(i, f.name, f.dataType.simpleString(), _kind(f.dataType)) for i, f in fields],
         "position int, name string, dtype string, kind string",
     )
+
+
+def with_header(facts: DataFrame, header: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """`facts` of columns with what `header` says; without keys also of columns that have no rows."""
     if keys:
         return facts.join(F.broadcast(header), "position")
     return header.join(facts, "position", "left").na.fill(0).na.fill(False)
@@ -149,7 +155,11 @@ def column_profile(
     `approx` replaces the exact distinct counts, whose shuffle grows with the number of
     distinct values, by sketches.
     """
-    facts = _approx_facts(df, keys, columns) if approx else column_facts(df, keys, columns)
+    return profile_of(_approx_facts(df, keys, columns) if approx else column_facts(df, keys, columns), keys)
+
+
+def profile_of(facts: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """The profile that follows from the facts of the columns."""
     rows = F.col("row_count")
     return facts.select(
         *keys,

@@ -142,13 +142,19 @@ def date_summary(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
             for i, name in dates
         ]
     )
-    first, last = F.col("c.s.min"), F.col("c.s.max")
-    return wide.select(*keys, "__rows", F.explode(per_column).alias("c")).select(
+    each = wide.select(*keys, "__rows", F.explode(per_column).alias("c"))
+    return date_facts(each.select(*keys, "__rows", "c.position", "c.name", "c.s.*"), keys)
+
+
+def date_facts(facts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The summary from rows, present values, first and last moment of each column."""
+    first, last = F.col("min"), F.col("max")
+    return facts.select(
         *keys,
-        "c.position",
-        "c.name",
-        "c.s.count",
-        (F.col("__rows") - F.col("c.s.count")).alias("missing_count"),
+        "position",
+        "name",
+        "count",
+        (F.col("__rows") - F.col("count")).alias("missing_count"),
         iso_text(first).alias("min"),
         iso_text(last).alias("max"),
         F.floor(F.timestamp_diff("MICROSECOND", first, last) / F.lit(86_400_000_000))

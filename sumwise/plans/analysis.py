@@ -11,13 +11,19 @@ from pyspark.sql import functions as F
 from sumwise.functions.basics import join_on, stored_together
 from sumwise.operators.anomaly import iqr_summary
 from sumwise.operators.clean import normalize_table
-from sumwise.operators.profile import column_profile, missing_columns, table_profile
-from sumwise.operators.series import compare_periods, comparison_counts, detect_trend, monthly_series
+from sumwise.operators.profile import column_profile, missing_columns, profile_of, table_profile
+from sumwise.operators.series import SERIES_TYPES, compare_periods, comparison_counts, detect_trend, monthly_series
 from sumwise.operators.summary import date_summary, nothing, numeric_summary
+from sumwise.operators.values import (
+    ValueCounts,
+    column_facts_of,
+    date_summary_of,
+    monthly_series_of,
+    numeric_summary_of,
+    value_counts,
+)
 from sumwise.sources.tables import as_json
 
-SERIES_TYPES = {"column": "string", "period": "string", "value": "double"}
-
 
 @dataclass(frozen=True)
 class Analysis:
@@ -38,9 +44,16 @@ class Analysis:
     changes: DataFrame
     change_counts: DataFrame
     anomalies: DataFrame
+    asked: tuple[DataFrame, str | None, str | None] | None = None  # table, measure, period
 
     def kept(self) -> Analysis:
-        """The results later plans look things up in, written once to the shared folder."""
+        """The results later plans look things up in, written once to the shared folder.
+
+        Of one table they follow from its value counts, for which it is read once.
+        """
+        if self.asked:
+            df, value, period = self.asked
+            return from_counts(self, value_counts(df, self.keys, value, period)).kept()
         profile, numbers, series = stored_together(self.profile, self.numeric_summary, self.series)
         return replace(
             self,
@@ -63,10 +76,22 @@ def analyze(
     series with its trend, changes and anomalies."""
     keys = tuple(keys)
     if value is not None and period is not None:
-        series = monthly_series(df, period, value, keys)
-    else:
-        series = nothing(df, keys, SERIES_TYPES)
-    return analysis_of(df, keys, series)
+        return replace(analysis_of(df, keys, monthly_series(df, period, value, keys)), asked=(df, value, period))
+    return replace(analysis_of(df, keys, nothing(df, keys, SERIES_TYPES)), asked=(df, None, None))
+
+
+def from_counts(analysis: Analysis, counts: ValueCounts) -> Analysis:
+    """The same results, all but shape and cleaned table from one table of value counts."""
+    series = monthly_series_of(counts)
+    return replace(
+        analysis,
+        profile=profile_of(column_facts_of(counts), counts.keys),
+        numeric_summary=numeric_summary_of(counts),
+        date_summary=date_summary_of(counts),
+        series=series,
+        asked=None,
+        **from_series(series, analysis.keys),
+    )
 
 
 def analysis_of(df: DataFrame, keys: Sequence[str], series: DataFrame) -> Analysis:

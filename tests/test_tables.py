@@ -4,12 +4,14 @@ import json
 import random
 import statistics
 from datetime import datetime
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
 
-from sumwise.operators import clean, profile, schema, summary
+from sumwise.operators import clean, profile, schema, series, summary, values
 from sumwise.operators.quantile import exact_medians
+from sumwise.plans import analysis
 from sumwise.sources import cases, tables
 from sumwise.sources.order import scan_order
 from conftest import by
@@ -246,3 +248,51 @@ def test_load_cases(spark, tmp_path):
     path.write_text(json.dumps([{"case_id": "c1", "category": "x", "input": {"a": [1, "b"]}}, {"case_id": "c2", "category": "y"}]))
     got = by(cases.load_cases(spark, str(path)), "case_id")
     assert json.loads(got["c1"]["input"]) == {"a": [1, "b"]} and got["c2"]["expected"] == "{}"
+
+
+def alike(a, b):
+    assert sorted(a.columns) == sorted(b.columns)
+    rows = []
+    for df in (a, b):
+        at = sorted(df.columns)
+        rows.append(sorted(([float(f"{r[c]:.9e}") if isinstance(r[c], float) else r[c] for c in at] for r in df.collect()), key=str))
+    assert rows[0] == rows[1]
+
+
+def test_results_from_value_counts(spark):
+    """Everything that follows from the counts equals what the operators make of the raw table."""
+    rng = random.Random(8)
+    texts = ["$1,000", "$2,000.50", "10%", "", " 7 ", "1.234", "03/04/2024", "March 5, 2024", "x", None, "$5"]
+    rows = []
+    for i in range(900):
+        key = "hot" if i % 3 == 0 else rng.choice(["a", "b", None])
+        at = None if i % 50 == 0 else datetime(2023 + i % 2, 1 + i % 12, 1 + i % 28, i % 5)
+        rows.append(
+            (
+                key, rng.choice(texts), f"${rng.randint(1, 40)}.5" if key != "b" or i % 7 else "soon", rng.choice([1, 2, 2**60 + 1, 2**60, None]),
+                rng.choice([0.5, float("nan"), rng.gauss(0, 1), None]), rng.random() < 0.5, at, Decimal(rng.randint(0, 9)) / 4, None, rng.choice(["2024-01-05", "Jan 2024", "soon"]),
+            )
+        )
+    kind = "k string, mixed string, price string, whole long, number double, flag boolean, at timestamp_ntz, exact decimal(9,2), nothing string, day string"
+    df = spark.createDataFrame(rows, kind).repartition(4)
+    for frame in (df, df.where("false")):
+        for keys in (["k"], []):
+            for measure, period in (("number", "at"), ("price", "at"), ("whole", "day")):
+                counts = values.value_counts(frame, keys, measure, period)
+                alike(values.monthly_series_of(counts), series.monthly_series(frame, period, measure, keys))
+            alike(profile.profile_of(values.column_facts_of(counts), keys), profile.column_profile(frame, keys))
+            alike(values.column_facts_of(counts), profile.column_facts(frame, keys))
+            alike(values.cleaning_counts_of(counts), clean.cleaning_report(frame, keys, most_examples=0))
+            alike(values.numeric_summary_of(counts), summary.numeric_summary(frame, keys, clean_text=True))
+            alike(values.date_summary_of(counts), summary.date_summary(frame, keys))
+    assert values.monthly_series_of(values.value_counts(df)).count() == 0
+
+
+def test_kept_analysis_reads_the_table_once(spark, tmp_path):
+    df = spark.createDataFrame([("a", 1.5, datetime(2024, 1, 1)), ("a", 2.5, datetime(2024, 2, 1))], "k string, v double, at timestamp_ntz")
+    df.write.parquet(f"{tmp_path}/t")
+    lazy = analysis.analyze(tables.load_table(spark, f"{tmp_path}/t", format="parquet"), ["k"], "v", "at")
+    kept = lazy.kept()
+    for name in ("profile", "numeric_summary", "date_summary", "series", "trend", "changes", "anomalies"):
+        alike(getattr(kept, name), getattr(lazy, name))
+        assert str(tmp_path) not in getattr(kept, name)._jdf.queryExecution().optimizedPlan().toString()
