@@ -7,8 +7,10 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sumwise.functions.basics import new_folder
 from sumwise.operators import audit, evidence, intents
 from sumwise.plans import benchmark
+from sumwise.sources.cases import load_cases
 from workload.inputs import pick, table
 
 PHRASES = [
@@ -298,9 +300,25 @@ def q_summary_lines(spark, folder):
 
 
 def q_failure_lines(spark, folder):
-    """The line of a failure up to what it expected."""
-    df = benchmark.failure_lines(benchmark.evaluate_cases(_cases(spark, folder)))
-    return df.select("case_id", F.regexp_extract("line", "^(.*?), got ", 1).alias("line"))
+    return benchmark.failure_lines(benchmark.evaluate_cases(_cases(spark, folder)))
+
+
+def q_load_cases(spark, folder):
+    """Cases written as files of JSON arrays, 500 a file, and read again; every third has no metadata."""
+    e = table(spark, folder, "events").select(
+        text("e", F.col("event_id")).alias("case_id"),
+        F.concat(F.lit("kind_"), "event_type").alias("category"),
+        F.struct(F.col("value").alias("seen"), F.array("event_id", "user_id").alias("ids")).alias("input"),
+        F.struct((F.col("event_id") % 2 == 0).alias("found")).alias("expected"),
+        F.when(F.col("event_id") % 3 > 0, F.struct("user_id")).alias("metadata"),
+        F.floor(F.col("event_id") / 500).alias("part"),
+    )
+    fields = ["case_id", "category", "input", "expected", "metadata"]
+    arrays = e.groupBy("part").agg(F.concat(F.lit("["), F.array_join(F.collect_list(F.to_json(F.struct(*fields))), ","), F.lit("]")).alias("value"))
+    path = new_folder(spark)
+    arrays.write.partitionBy("part").text(path)
+    df = load_cases(spark, path)
+    return df.select("case_id", "category", F.get_json_object("input", "$.ids[1]").alias("user"), "expected", "metadata")
 
 
 QUERIES = {name[2:]: f for name, f in list(globals().items()) if name.startswith("q_")}
@@ -360,17 +378,25 @@ ids AS (SELECT user_id, list_sort(list(DISTINCT 'ev_' || event_type)) AS ids, li
 _CASES = f"""{_intents_sql("question")}, {_PROSE_SQL}, {_EVENTS},
 results AS (
   SELECT 'p' || o_orderkey AS case_id, 'period_resolution' AS category, o_orderkey % 10 <> 0 AS passed,
-    CASE WHEN o_orderkey % 10 = 0 THEN '{{"found": false}}' ELSE '{{"found": true, "period": "' || strftime(o_orderdate, '%Y-%m') || '"}}' END AS expected
+    CASE WHEN o_orderkey % 10 = 0 THEN '{{"found": false}}' ELSE '{{"found": true, "period": "' || strftime(o_orderdate, '%Y-%m') || '"}}' END AS expected,
+    '{{"found":true,"period":"' || strftime(o_orderdate, '%Y-%m') || '","candidates":[]}}' AS actual
   FROM orders
   UNION ALL SELECT 'c' || p_partkey, 'column_resolution', p_partkey % 10 <> 0,
-    CASE WHEN p_partkey % 10 = 0 THEN '{{"found": true, "column": "zzzzzz"}}' ELSE '{{"found": true, "reason": null, "column": "' || p_name || '"}}' END FROM part
+    CASE WHEN p_partkey % 10 = 0 THEN '{{"found": true, "column": "zzzzzz"}}' ELSE '{{"found": true, "reason": null, "column": "' || p_name || '"}}' END,
+    '{{"found":true,"column":"' || p_name || '","candidates":[]}}' FROM part
   UNION ALL SELECT 's' || p_partkey, 'semantic_resolution', p_partkey % 10 <> 0,
-    CASE WHEN p_partkey % 10 = 0 THEN '{{"confidence": 0.5}}' ELSE '{{"found": true, "column": "Sales Amount", "confidence": 1}}' END FROM part
-  UNION ALL SELECT 'g' || event_id, 'grounding', ({_AUDIT} IS NULL) = (event_id % 9 = 0),
-    CASE WHEN event_id % 9 = 0 THEN '{{"is_valid": true}}' ELSE '{{"is_valid": false}}' END FROM evs
+    CASE WHEN p_partkey % 10 = 0 THEN '{{"confidence": 0.5}}' ELSE '{{"found": true, "column": "Sales Amount", "confidence": 1}}' END,
+    '{{"found":true,"column":"Sales Amount","confidence":1.0,"candidates":[]}}' FROM part
+  UNION ALL SELECT 'g' || event_id, 'grounding', (judged IS NULL) = (event_id % 9 = 0),
+    CASE WHEN event_id % 9 = 0 THEN '{{"is_valid": true}}' ELSE '{{"is_valid": false}}' END,
+    CASE WHEN judged IS NOT NULL THEN '{{"is_valid":false,"reason":"' || judged || '"}}' ELSE '{{"is_valid":true,"insight":{{"summary":"' ||
+      CASE event_id % 9 WHEN 1 THEN 'The total is ' || (event_id + 2000) || '.' ELSE 'Value ' || value || ', 3 flags.' END ||
+      '","key_insights":["fine"],"warnings":[],"recommendations":[]}}}}' END
+  FROM (SELECT *, {_AUDIT} AS judged FROM evs)
   UNION ALL SELECT 'i' || event_id, CASE event_id % 3 WHEN 0 THEN 'intent_classification' WHEN 1 THEN 'chart_intent_classification' ELSE 'guessing' END,
-    event_id % 3 = 0 AND reason IS NULL, '{{"is_valid": true}}' FROM c
-  UNION ALL SELECT 'd' || doc_id, 'safety', {_FLAGGED}, '{{"flagged": true}}' FROM prose)"""
+    event_id % 3 = 0 AND reason IS NULL, '{{"is_valid": true}}', CASE WHEN event_id % 3 = 2 THEN '{{}}' ELSE '{{"is_valid":false,"reason":"' ||
+      CASE WHEN event_id % 3 = 0 OR reason IN ('provider_error', 'invalid_json') THEN reason ELSE 'invalid_schema' END || '"}}' END FROM c
+  UNION ALL SELECT 'd' || doc_id, 'safety', {_FLAGGED}, '{{"flagged": true}}', '{{"flagged":false}}' FROM prose)"""
 
 _SUMMARY = """s AS (SELECT category, count(*) AS total, count(*) FILTER (passed) AS passed FROM results GROUP BY 1
   UNION ALL SELECT NULL, count(*), count(*) FILTER (passed) FROM results)"""
@@ -414,5 +440,9 @@ SQL = {
     "summarize": f"WITH {_CASES}, {_SUMMARY} SELECT category, total, passed, round(passed / total, 6) AS accuracy FROM s",
     "summary_lines": f"""WITH {_CASES}, {_SUMMARY} SELECT category, CASE WHEN category IS NULL THEN 'Overall: ' ELSE '  ' || category || ': ' END
         || passed || '/' || total || ' (' || format('{{:.1f}}', round_even(passed / total * 100, 1)) || '%)' AS line FROM s""",
-    "failure_lines": f"WITH {_CASES} SELECT case_id, case_id || ' (' || category || '): expected ' || expected AS line FROM results WHERE NOT passed",
+    "failure_lines": f"""WITH {_CASES} SELECT case_id, case_id || ' (' || category || '): expected ' || expected || ', got ' || actual || ' [' ||
+        CASE WHEN category = 'guessing' THEN 'unknown_category' ELSE 'mismatch' END || ']' AS line FROM results WHERE NOT passed""",
+    "load_cases": """SELECT 'e' || event_id AS case_id, 'kind_' || event_type AS category, user_id::VARCHAR AS "user",
+        CASE WHEN event_id % 2 = 0 THEN '{"found":true}' ELSE '{"found":false}' END AS expected,
+        CASE WHEN event_id % 3 > 0 THEN '{"user_id":' || user_id || '}' ELSE '{}' END AS metadata FROM events""",
 }

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sumwise.operators import resolve
@@ -13,7 +16,7 @@ from sumwise.operators.evidence import (
     with_evidence_text,
 )
 from sumwise.plans import analysis, charts, comparison, explained, questions
-from workload.inputs import SHIPMENTS, pick, shipments, table
+from workload.inputs import SHIPMENTS, pick, rounded, shipments, table
 
 FLAGS = ["A", "N", "R"]
 DATASETS = ["A-F", "A-O", "N-F", "N-O", "R-F", "R-O"]
@@ -282,7 +285,7 @@ def q_validate_evidence(spark, folder):
 
 def q_explain_answers(spark, folder):
     """Every answer explained by a text that is right, cites too much or invents."""
-    answers = _answers(spark, folder).where("found")
+    answers = _answers(spark, folder)
     k = F.col("request_id")
     prose = F.concat(
         pick(k % 5, F.col("answer"), F.lit("It rose, which led to more."), F.lit("About 123456789 units."), F.lit("As shown."), F.lit("As shown.")),
@@ -301,6 +304,27 @@ def q_explain_answers(spark, folder):
     return df.select("request_id", "evidence_id", "explanation.is_valid", F.col("explanation.reason").alias("why"), "answer")
 
 
+def _told(prose, cited):
+    """What a model writes about a result."""
+    empty = F.array().cast("array<string>")
+    return F.to_json(
+        F.struct(
+            prose.alias("summary"), empty.alias("key_insights"), F.lit("None.").alias("trend_interpretation"),
+            empty.alias("warnings"), empty.alias("recommendations"), cited.alias("evidence_ids_used"),
+        )
+    )
+
+
+def q_explain_comparisons(spark, folder):
+    """Every comparison, found or not, explained by a text that is right, claims a cause, invents or cites what is not there."""
+    compared = _comparisons(spark, folder)
+    k = F.col("request_id") % 4
+    prose = pick(k, F.lit("As shown."), F.lit("It rose, which led to more."), F.lit("About 123456789 units."), F.lit("As shown."))
+    written = compared.select("request_id", _told(prose, F.when(k == 3, F.array(F.lit("ev_002"))).otherwise(F.array(F.lit("ev_001")))).alias("response"))
+    df = explained.explain_comparisons(compared, written)
+    return df.select("request_id", "evidence_id", "explanation.is_valid", F.col("explanation.reason").alias("why"), "answer")
+
+
 def _shipment_registry(spark, folder):
     d = shipments(spark, folder).select("dataset_id").distinct()
     return d.select(
@@ -436,6 +460,53 @@ def q_analytics_payload(spark, folder):
     )
 
 
+def q_payload_summaries(spark, folder):
+    """Every entry of the summaries in the payload of a dataset."""
+    kind = "array<struct<name: string, count: long, missing_count: long, sum: double, mean: double, median: double, min: double, max: double, std: double>>"
+    df = analysis.analytics_payload(shipment_analysis(spark, folder))
+    entries = df.select("dataset_id", F.inline(F.from_json(F.get_json_object("payload", "$.numeric_summary"), kind)))
+    return rounded(entries, 4, "mean", "std")
+
+
+def q_payload_changes(spark, folder):
+    """Every change in the payload of a dataset."""
+    kind = "array<struct<from_period: string, to_period: string, previous: double, current: double, absolute_change: double, percentage_change: double, is_valid: boolean>>"
+    df = analysis.analytics_payload(shipment_analysis(spark, folder))
+    entries = df.select("dataset_id", F.inline(F.from_json(F.get_json_object("payload", "$.period_comparison"), kind)))
+    return rounded(entries, 4, "percentage_change")
+
+
+def q_analysis_results(spark, folder):
+    """All results of the analysis of messy text, number by number."""
+    o = table(spark, folder, "orders").select(
+        F.col("o_orderstatus").alias("grp"),
+        F.concat(F.lit("$"), F.format_number("o_totalprice", 2)).alias("price"),
+        F.date_format("o_orderdate", "MMMM d, yyyy").alias("day"),
+        F.when(F.col("o_orderkey") % 7 > 0, F.col("o_orderdate")).alias("at"),
+    )
+    a = analysis.analyze(o, ["grp"], "price", "day").kept()
+    total = a.cleaned.groupBy("grp").agg(F.sum("price__num").alias("price"), F.count("day__text").alias("day"))
+
+    def numbers(result, df, item, *fields):
+        each = [F.struct(F.lit(f).alias("field"), F.round(F.col(f).cast("double"), 2).alias("number")) for f in fields]
+        return df.select("grp", F.lit(result).alias("result"), item.alias("item"), F.inline(F.array(*each)))
+
+    whole = F.lit("")
+    parts = [
+        numbers("shape", a.shape, whole, "row_count", "column_count", "duplicate_row_count"),
+        numbers("profile", a.profile, F.col("name"), "unique_count", "missing_count"),
+        numbers("cleaned", total, whole, "price", "day"),
+        numbers("numeric_summary", a.numeric_summary, F.col("name"), "count", "sum", "median", "min", "max", "std"),
+        numbers("date_summary", a.date_summary, F.col("name"), "count", "missing_count", "duration_days"),
+        numbers("series", a.series, F.col("period"), "value"),
+        numbers("trend", a.trend, F.col("trend"), "increase_count", "decrease_count"),
+        numbers("changes", a.changes, F.col("to_period"), "absolute_change"),
+        numbers("change_counts", a.change_counts, whole, "period_count", "valid_comparison_count"),
+        numbers("anomalies", a.anomalies, F.col("method"), "sample_size", "anomaly_count", "lower_bound"),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def q_analyze_orders(spark, folder):
     """The whole analysis of one table with messy text, one line of it per customer group."""
     o = table(spark, folder, "orders").select(
@@ -710,9 +781,46 @@ SQL = {
     "validate_evidence": f"""WITH {_QUESTIONS} SELECT dataset_id, count(*) < 2 AS valid,
         CASE WHEN count(*) > 1 THEN 'duplicate_evidence_id' END AS reason, CASE WHEN count(*) > 1 THEN 'ev_001' END AS evidence_id
       FROM answered WHERE found GROUP BY 1""",
+    "payload_summaries": f"WITH {SHIPMENTS} "
+    + "\nUNION ALL ".join(
+        f"SELECT dataset_id, '{c}' AS name, count({c}) AS count, count(*) - count({c}) AS missing_count, sum({c})::DOUBLE AS sum, round(avg({c}), 4) AS mean, "
+        f"quantile_cont({c}::DOUBLE, 0.5) AS median, min({c})::DOUBLE AS min, max({c})::DOUBLE AS max, round(stddev_samp({c}), 4) AS std FROM ships GROUP BY 1"
+        for c in ("quantity", "line_number")
+    ),
+    "payload_changes": f"""WITH {_MONTHS}, {_PAIRS} SELECT k AS dataset_id, from_period, to_period, previous, current, diff AS absolute_change,
+        round(pct, 4) AS percentage_change, pct IS NOT NULL AS is_valid FROM d WHERE from_period IS NOT NULL""",
+    "analysis_results": """WITH o AS (SELECT o_orderstatus AS grp, round(o_totalprice, 2) AS price, '$' || format('{:,.2f}', o_totalprice) AS price_text,
+          strftime(o_orderdate, '%B %-d, %Y') AS day, CASE WHEN o_orderkey % 7 > 0 THEN o_orderdate END AS "at", strftime(o_orderdate, '%Y-%m') AS period FROM orders),
+        m AS (SELECT grp, period, sum(price) AS value FROM o GROUP BY 1, 2),
+        d AS (SELECT grp, period, value, value - lag(value) OVER (PARTITION BY grp ORDER BY period) AS diff FROM m),
+        c AS (SELECT grp, count(*) AS months, count(diff) AS pairs, count(*) FILTER (diff > 0) AS ups, count(*) FILTER (diff < 0) AS downs,
+          quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM d GROUP BY 1),
+        n AS (SELECT d.grp, count(*) FILTER (value > q3 + 1.5 * (q3 - q1) OR value < q1 - 1.5 * (q3 - q1)) AS n FROM d JOIN c ON c.grp = d.grp GROUP BY 1),
+        g AS (SELECT grp, count(*) AS n, count(DISTINCT price_text) AS prices, count(DISTINCT day) AS days, count(DISTINCT "at") AS moments, count("at") AS dated,
+          count(DISTINCT (price_text, day, "at")) AS different,
+          sum(price) AS sum, quantile_cont(price, 0.5) AS median, min(price) AS min, max(price) AS max, stddev_samp(price) AS std,
+          floor(date_diff('microsecond', min("at"), max("at")) / 86400000000) AS span FROM o GROUP BY 1)
+      SELECT grp, result, item, field, round(number::DOUBLE, 2) AS number FROM (
+        SELECT grp, 'shape' AS result, '' AS item, unnest(['row_count', 'column_count', 'duplicate_row_count']) AS field, unnest([n, 3, n - different]::DOUBLE[]) AS number FROM g
+        UNION ALL SELECT grp, 'profile', 'price', unnest(['unique_count', 'missing_count']), unnest([prices, 0]::DOUBLE[]) FROM g
+        UNION ALL SELECT grp, 'profile', 'day', unnest(['unique_count', 'missing_count']), unnest([days, 0]::DOUBLE[]) FROM g
+        UNION ALL SELECT grp, 'profile', 'at', unnest(['unique_count', 'missing_count']), unnest([moments, n - dated]::DOUBLE[]) FROM g
+        UNION ALL SELECT grp, 'cleaned', '', unnest(['price', 'day']), unnest([sum, n]::DOUBLE[]) FROM g
+        UNION ALL SELECT grp, 'numeric_summary', 'price', unnest(['count', 'sum', 'median', 'min', 'max', 'std']), unnest([n, sum, median, min, max, std]::DOUBLE[]) FROM g
+        UNION ALL SELECT grp, 'date_summary', 'at', unnest(['count', 'missing_count', 'duration_days']), unnest([dated, n - dated, span]::DOUBLE[]) FROM g
+        UNION ALL SELECT grp, 'series', period, 'value', value FROM m
+        UNION ALL SELECT grp, 'trend', 'volatile', unnest(['increase_count', 'decrease_count']), unnest([ups, downs]::DOUBLE[]) FROM c
+        UNION ALL SELECT grp, 'changes', period, 'absolute_change', diff FROM d WHERE diff IS NOT NULL
+        UNION ALL SELECT grp, 'change_counts', '', unnest(['period_count', 'valid_comparison_count']), unnest([months, pairs]::DOUBLE[]) FROM c
+        UNION ALL SELECT c.grp, 'anomalies', 'iqr', unnest(['sample_size', 'anomaly_count', 'lower_bound']), unnest([months, n.n, q1 - 1.5 * (q3 - q1)]::DOUBLE[])
+          FROM c JOIN n ON n.grp = c.grp)""",
     "explain_answers": f"""WITH {_QUESTIONS} SELECT request_id, 'ev_001' AS evidence_id, request_id % 5 IN (0, 3) AS is_valid,
         CASE request_id % 5 WHEN 1 THEN 'unsupported_causal_claim' WHEN 2 THEN 'hallucinated_numeric_value'
-          WHEN 4 THEN 'unsupported_evidence' END AS why, answer FROM answered WHERE found""",
+          WHEN 4 THEN 'unsupported_evidence' END AS why, answer FROM answered WHERE found
+      UNION ALL SELECT request_id, NULL, NULL, NULL, answer FROM answered WHERE NOT found""",
+    "explain_comparisons": f"""WITH {_COMPARED} SELECT request_id, CASE WHEN found THEN 'ev_001' END AS evidence_id,
+        CASE WHEN found THEN request_id % 4 = 0 END AS is_valid, CASE WHEN found THEN CASE request_id % 4 WHEN 1 THEN 'unsupported_causal_claim'
+          WHEN 2 THEN 'hallucinated_numeric_value' WHEN 3 THEN 'unsupported_evidence' END END AS why, {_COMPARISON_TEXT} AS answer FROM compared""",
     "compare_datasets": f"""WITH {_COMPARED} SELECT request_id, found, reason, comparison_type, metric,
         CASE WHEN found THEN col END AS "column", period, CASE WHEN numeric THEN va END AS previous_num, CASE WHEN numeric THEN vb END AS current_num,
         CASE WHEN found AND i = 3 THEN ta END AS previous_label, CASE WHEN found AND i = 3 THEN tb END AS current_label,

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sumwise.functions.text import read_cells
-from sumwise.operators import clean, profile, schema, summary
+from sumwise.operators import clean, profile, schema, summary, values
 from sumwise.sources import tables
 from workload.inputs import MESSY, cells_sql, messy_orders, rounded, table
 
@@ -140,6 +143,47 @@ def q_approximate_median_rank(spark, folder):
     return cells.join(about, [*keys, "name"]).groupBy(*keys, "name").agg(n.alias("n"), within.alias("within_bound"))
 
 
+def q_approximate_distinct_bound(spark, folder):
+    """Whether every approximate distinct count is within three deviations of its sketch."""
+    lines, keys = table(spark, folder, "lineitem"), ["l_returnflag"]
+    about = profile.column_profile(lines, keys, approx=True).select(*keys, "name", F.col("unique_count").alias("about"))
+    exact = profile.column_profile(lines, keys).select(*keys, "name", "unique_count")
+    within = F.abs(F.col("about") - F.col("unique_count")) <= 3 * 0.05 * F.col("unique_count") + 1
+    return exact.join(about, [*keys, "name"]).select(*keys, "name", "unique_count", within.alias("within_bound"))
+
+
+def q_register_dataset(spark, folder):
+    """Catalog rows of four tables, each with a fresh id, and what is loaded from their paths."""
+    wanted = [("customer", "previous"), ("supplier", "current"), ("part", None), ("nation", "reference")]
+    rows = [tables.register_dataset(spark, f"{folder}/{name}.parquet", name.title() if role else None, role) for name, role in wanted]
+    catalog = reduce(DataFrame.unionByName, rows)
+    loaded = [table(spark, folder, name).agg(F.count("*").alias("n"), F.lit(f"{folder}/{name}.parquet").alias("path")) for name, _ in wanted]
+    fresh = F.col("dataset_id").rlike("^[0-9a-f]{32}$") & (F.count("*").over(Window.partitionBy("dataset_id")) == 1)
+    return catalog.withColumn("fresh", fresh).join(reduce(DataFrame.unionByName, loaded), "path").select("display_name", "role", "fresh", "n")
+
+
+def _counts(spark, folder):
+    return values.value_counts(messy_orders(spark, folder), GROUPS)
+
+
+def q_numeric_summary_from_counts(spark, folder):
+    df = values.numeric_summary_of(_counts(spark, folder))
+    return rounded(rounded(df, 2, *MONEY), 3, "median")
+
+
+def q_column_profile_from_counts(spark, folder):
+    df = profile.profile_of(values.column_facts_of(_counts(spark, folder)), GROUPS).drop("dtype")
+    return rounded(df, 4, "missing_percentage")
+
+
+def q_cleaning_report_from_counts(spark, folder):
+    return values.cleaning_counts_of(_counts(spark, folder))
+
+
+def q_date_summary_from_counts(spark, folder):
+    return values.date_summary_of(values.value_counts(table(spark, folder, "events"), ["event_type"]))
+
+
 def q_known_columns(spark, folder):
     df = summary.numeric_summary(messy_orders(spark, folder), clean_text=True)
     return df.select("name").distinct()
@@ -376,6 +420,13 @@ SQL = {
     "numeric_summary": _summary_sql("lineitem", _NUMBERS, "l_returnflag, l_linestatus"),
     "numeric_summary_all": _summary_sql("lineitem", _NUMBERS),
     "numeric_summary_narrowed": _summary_sql("lineitem", _NUMBERS, "l_returnflag"),
+    "approximate_distinct_bound": "\nUNION ALL ".join(
+        f"SELECT l_returnflag, '{c}' AS name, count(DISTINCT {c}) AS unique_count, true AS within_bound FROM lineitem GROUP BY 1"
+        for c in [*_LINES, "l_linestatus", "l_shipdate"]
+    ),
+    "register_dataset": """SELECT 'Customer' AS display_name, 'previous' AS role, true AS fresh, count(*) AS n FROM customer
+      UNION ALL SELECT 'Supplier', 'current', true, count(*) FROM supplier UNION ALL SELECT 'part.parquet', NULL, true, count(*) FROM part
+      UNION ALL SELECT 'Nation', 'reference', true, count(*) FROM nation""",
     "numeric_summary_cleaned": f"WITH {MESSY} "
     + _summary_sql("messy", [(0, "id", "CAST(id AS DOUBLE)"), (2, "price", _PRICE), (3, "share", _SHARE)], "grp"),
     "known_columns": f"""WITH {MESSY}, {cells_sql("messy", "mixed")}, n AS (
@@ -444,3 +495,12 @@ SQL = {
           CASE WHEN name = 'status' THEN 'time_role=invalid_value' ELSE 'time_role=none' END) END AS decisions
       FROM p""",
 }
+
+# The same results from one table of value counts.
+SQL |= {
+    f"{name}_from_counts": SQL[twin]
+    for name, twin in [
+        ("numeric_summary", "numeric_summary_cleaned"), ("column_profile", "column_profile_by_key"),
+        ("cleaning_report", "cleaning_report"), ("date_summary", "date_summary"),
+    ]
+}
