@@ -61,9 +61,9 @@ NOISE, BESIDE, NAMED, MARKED, PLAIN, INSIDE, CONTENT = 0.2, 0.25, 0.4, 0.5, 0.6,
 CODES = {NAMED: 1, MARKED: 2, PLAIN: 4, INSIDE: 8}
 BROADCAST_BYTES = 4 << 20
 
+#: A quote counts only right after the sign of its attribute; elsewhere it is a letter like others.
 TAG = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*)*)(?:>|\Z)"""
-    r"""|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)""",
+    r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')|=)*+)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)""",
     re.S,
 )
 NAMES = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
@@ -119,25 +119,29 @@ def tree(page: str) -> tuple[Node, list[tuple[Node, str]]]:
 
     def flush() -> None:
         if parts:
-            text = " ".join(html_module.unescape("".join(parts)).split())
+            text = " ".join("".join(parts).split())
             parts.clear()
             if text:
                 blocks.append((open_nodes[-1], text))
 
     while True:
         found = TAG.search(page, at)
-        parts.append(page[at : found.start()] if found else page[at:])
+        # A character reference does not reach over a tag.
+        parts.append(html_module.unescape(page[at : found.start()] if found else page[at:]))
         if not found:
             break
         at = found.end()
-        closing, tag, rest = (found[1], found[2], found[3]) if found[2] else (found[4], found[5], found[6])
+        closing, tag, rest = found[1], found[2], found[3]
         if tag is None:
             continue
         tag = tag.lower()
-        if tag in INLINE:
+        if tag in INLINE or tag in VOID and tag != "hr":
             if tag == "br":
                 parts.append(" ")
             continue
+        # A slash at the end of a start tag closes foreign elements only.
+        if tag in ("svg", "math") and rest.endswith("/"):
+            continue
         flush()
         if closing:
             if tag in leaf_tags[-1]:
@@ -148,7 +152,7 @@ def tree(page: str) -> tuple[Node, list[tuple[Node, str]]]:
                         del open_nodes[k:], leaf_tags[k:]
                         break
             continue
-        if tag in RAW and not rest.endswith("/"):
+        if tag in RAW:
             end = re.compile(f"</{tag}(?=[\\s/>])", re.I).search(page, at)
             at = end.start() if end else len(page)
             continue
@@ -165,9 +169,8 @@ def tree(page: str) -> tuple[Node, list[tuple[Node, str]]]:
         names = {n for s in said for n in re.split(r"[^a-z0-9]+", s)}
         shown = re.sub(r"\d+", "0", ".".join([tag, *said]))
         node = Node(tag, names, {n for s in said for n in s.split()}, shown, open_nodes[-1])
-        if not rest.endswith("/"):
-            open_nodes.append(node)
-            leaf_tags.append([])
+        open_nodes.append(node)
+        leaf_tags.append([])
     flush()
     for node, text in blocks:
         node.size += len(text)

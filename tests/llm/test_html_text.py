@@ -21,6 +21,10 @@ def text(page, low=()):
         ("<div class='page has-sidebar'><article>a</article><div>beside</div></div>", "a"),
         ("<article>a<aside>b</aside><div class='ad'>c</div><form>d<button>e</button></form><script>if (a<b) '</p>'</script>f</article>", "a\n\nf"),
         ("<article><p>a</p><section id=comments><article><p>reader</p></article></section></article>", "a"),
+        ("<article><p>One</p><a title=it's>Link text</a><p>Middle text</p><p>They don't know</p><p>Last</p></article>", "One\n\nLink text\n\nMiddle text\n\nThey don't know\n\nLast"),
+        ("<article><script src=/js/>var x=1;</script><p>a</p><iframe src=x />y</iframe><div/>b</div></article>", "a\n\nb"),
+        ("<article><p>a&am<b>p;</b>lt; b &amp<i>lt;</i></article>", "a&amp;lt; b &lt;"), ("<article><p>a <input name=x> b<meta c> d<hr>e</article>", "a b d\n\ne"),
+        ("<article><p class = 'x>y' data-a=\"b'c>d\" e='>'>a' \"b</p><p x=\"y>c</article>", "a' \"b\n\nc"), ("<article>a<svg x/>b<math/>c</article>", "abc"),
         ("<article><p>a &am</article", "a &am"), ("<article><p title='x>y'>a</p><!-- <p>no --><p>b", "a\n\nb"),
         ("<article><ul><li>a<li>b</ul><table><tr><td>c<td>d</table></article>", "a\n\nb\n\nc\n\nd"),
         ("<ARTICLE><P>é&nbsp;&#x6f22;&lt;p&gt;</P>", "é 漢<p>"), ("<article>a < b <3 &</article>", "a < b <3 &"),
