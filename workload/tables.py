@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sumwise.functions.text import read_cells
-from sumwise.operators import clean, profile, schema, summary, values
+from sumwise.operators import clean, profile, schema, sketches, summary, values
 from sumwise.sources import tables
 from workload.inputs import MESSY, cells_sql, messy_orders, rounded, table
 
@@ -152,6 +152,29 @@ def q_approximate_distinct_bound(spark, folder):
     return exact.join(about, [*keys, "name"]).select(*keys, "name", "unique_count", within.alias("within_bound"))
 
 
+def q_sketched_profile_bound(spark, folder):
+    """Sketches of every month of orders, merged to priorities: what is exact, and whether the rest is within its bounds."""
+    o = table(spark, folder, "orders").select("o_orderpriority", F.trunc("o_orderdate", "MM").alias("month"), "o_custkey", "o_totalprice", "o_orderstatus")
+    keys, names = ["o_orderpriority"], ["o_custkey", "o_totalprice", "o_orderstatus"]
+    monthly = sketches.column_sketches(o, [*keys, "month"]).drop("month")
+    about = sketches.sketched_profile(sketches.merged_sketches(monthly, keys), keys)
+    cells = o.select(*keys, *[F.col(n).cast("string").alias(n) for n in names]).unpivot(keys, names, "name", "value").join(about, [*keys, "name"])
+    number, n = F.col("value").try_cast("double"), F.count("value")
+    off = sketches.RANK_ERROR * n + 1
+    ranked = F.lit(True)
+    for q, name in zip(sketches.QUARTILES, ("lower_quartile", "median", "upper_quartile")):
+        ranked = ranked & (F.count_if(number < F.col(name)) <= q * n + off) & (F.count_if(number >= F.col(name)) >= (1 - q) * n - off)
+    distinct = F.count_distinct("value")
+    counted = F.abs(F.first("unique_count") - distinct) <= sketches.DISTINCT_ERROR * distinct + 1
+    return cells.groupBy(*keys, "name").agg(
+        F.first("row_count").alias("row_count"),
+        F.round(F.first("sum"), 2).alias("total"),
+        F.first("max").alias("most"),
+        counted.alias("distinct_within"),
+        (ranked | F.first("median").isNull()).alias("ranks_within"),
+    )
+
+
 def q_register_dataset(spark, folder):
     """Catalog rows of four tables, each with a fresh id, and what is loaded from their paths."""
     wanted = [("customer", "previous"), ("supplier", "current"), ("part", None), ("nation", "reference")]
@@ -424,6 +447,15 @@ SQL = {
         f"SELECT l_returnflag, '{c}' AS name, count(DISTINCT {c}) AS unique_count, true AS within_bound FROM lineitem GROUP BY 1"
         for c in [*_LINES, "l_linestatus", "l_shipdate"]
     ),
+    "sketched_profile_bound": "\nUNION ALL ".join(
+        f"SELECT o_orderpriority, '{c}' AS name, count(*) AS row_count, {total} AS total, {most} AS most, true AS distinct_within, true AS ranks_within "
+        "FROM orders GROUP BY 1"
+        for c, total, most in [
+            ("o_custkey", "sum(o_custkey)::DOUBLE", "max(o_custkey)::DOUBLE"),
+            ("o_totalprice", "round(sum(o_totalprice), 2)", "max(o_totalprice)"),
+            ("o_orderstatus", "NULL", "NULL"),
+        ]
+    ),
     "register_dataset": """SELECT 'Customer' AS display_name, 'previous' AS role, true AS fresh, count(*) AS n FROM customer
       UNION ALL SELECT 'Supplier', 'current', true, count(*) FROM supplier UNION ALL SELECT 'part.parquet', NULL, true, count(*) FROM part
       UNION ALL SELECT 'Nation', 'reference', true, count(*) FROM nation""",
