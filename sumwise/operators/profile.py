@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sumwise.functions.basics import FLOATS, NUMBERS, TIMES
-from sumwise.functions.text import parse_timestamp, read_cells
+from sumwise.functions.text import read_cells
+from sumwise.operators.dates import date_readings
 
 DATE_SHARE = 0.8
 
@@ -91,7 +92,8 @@ def column_facts(df: DataFrame, keys: Sequence[str] = (), columns: Sequence[str]
         timed = F.lit(False)
         if family == "string":
             counted = read_cells(counted, {"value": "found"})
-            dates = rows_where(parse_timestamp("value").isNotNull())
+            counted = counted.withColumn("read", date_readings("value"))
+            dates = date_cells(F.col("read"), rows_where)
             currency = rows_where(F.col("found.type") == "currency")
             percentage = rows_where(F.col("found.type") == "percentage")
         elif family == "timestamp_ntz":
@@ -113,6 +115,13 @@ def column_facts(df: DataFrame, keys: Sequence[str] = (), columns: Sequence[str]
     return with_header(reduce(DataFrame.unionByName, parts), facts_header(df, picked), keys)
 
 
+def date_cells(read: Column, rows_where: Callable[[Column], Column]) -> Column:
+    """Aggregate: the cells that are dates, in the order of day and month that the column itself tells."""
+    day, month = rows_where(read["day_first"].isNotNull()), rows_where(read["month_first"].isNotNull())
+    either = F.when(day == month, rows_where(read["day_first"] == read["month_first"])).otherwise(F.greatest(day, month))
+    return rows_where(read["sure"].isNotNull()) + either
+
+
 def facts_header(df: DataFrame, fields: Sequence[tuple[int, T.StructField]]) -> DataFrame:
     """One row per column of the table: its size is the width of the schema."""
     return df.sparkSession.createDataFrame(
@@ -184,7 +193,7 @@ def _approx_facts(df: DataFrame, keys: Sequence[str], columns: Sequence[str] | N
         c = F.col(f.name)
         if isinstance(f.dataType, FLOATS):
             c = F.when(~F.isnan(c), c)
-        is_date = F.count_if(parse_timestamp(c).isNotNull()) if isinstance(f.dataType, T.StringType) else F.lit(0)
+        is_date = date_cells(date_readings(c), F.count_if) if isinstance(f.dataType, T.StringType) else F.lit(0)
         exprs.append(
             F.struct(
                 F.lit(i).alias("position"),

@@ -18,8 +18,9 @@ from pyspark.sql import types as T
 
 from sumwise.functions.basics import FLOATS, NUMBERS, TIMES, join_on, number_of, stored
 from sumwise.functions.periods import month_label
-from sumwise.functions.text import parse_timestamp, read_cells
-from sumwise.operators.profile import facts_header, with_header
+from sumwise.functions.text import read_cells
+from sumwise.operators.dates import date_readings
+from sumwise.operators.profile import date_cells, facts_header, with_header
 from sumwise.operators.scan import running_total
 from sumwise.operators.series import SERIES_TYPES, period_date
 from sumwise.operators.summary import DATE_TYPES, STATS, SUMMARY_TYPES, date_facts, nothing
@@ -87,7 +88,7 @@ def value_counts(df: DataFrame, keys: Sequence[str] = (), measure: str | None =
         F.col("found.type").alias("type"),
         F.col("found.was_changed").alias("was_changed"),
         F.col("found.is_ambiguous").alias("is_ambiguous"),
-        parse_timestamp("text").isNotNull().alias("is_date"),
+        date_readings("text").alias("read"),
     )
     return ValueCounts(stored(read.withColumn("found", found)), df, keys, measure if period is not None else None)
 
@@ -114,7 +115,7 @@ def column_facts_of(counts: ValueCounts) -> DataFrame:
         _rows().alias("row_count"),
         F.count_if(~_missing()).alias("unique_count"),
         _rows(_missing()).alias("missing_count"),
-        _rows(F.col("found.is_date")).alias("date_count"),
+        date_cells(F.col("found.read"), _rows).alias("date_count"),
         _rows(F.col("found.type") == "currency").alias("currency_count"),
         _rows(F.col("found.type") == "percentage").alias("percentage_count"),
         F.coalesce(timed, F.lit(False)).alias("has_time"),

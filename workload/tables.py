@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sumwise.functions.text import read_cells
-from sumwise.operators import clean, profile, schema, sketches, summary, values
+from sumwise.operators import clean, dates, profile, schema, sketches, summary, values
 from sumwise.sources import tables
-from workload.inputs import MESSY, cells_sql, messy_orders, rounded, table
+from workload.inputs import MESSY, cells_sql, messy_orders, pick, rounded, table
 
 MONEY = ["sum", "mean", "min", "max", "std"]
 GROUPS = ["grp"]
@@ -152,6 +152,31 @@ def q_approximate_distinct_bound(spark, folder):
     return exact.join(about, [*keys, "name"]).select(*keys, "name", "unique_count", within.alias("within_bound"))
 
 
+def _spelled(spark, folder):
+    """Order dates, in each priority spelled in another way."""
+    o, day = table(spark, folder, "orders"), F.col("o_orderdate")
+    spelling = pick(
+        F.substring("o_orderpriority", 1, 1).cast("int"), F.lit(None).cast("string"), F.date_format(day, "dd/MM/yyyy"), F.date_format(day, "d.M.yy"),
+        F.date_format(day, "MM/dd/yyyy"), F.date_format(day, "dd-MMM-yy"), F.date_format(day, "yyyyMMdd"),
+    )
+    return o.select("o_orderkey", "o_orderpriority", "o_totalprice", spelling.alias("written"))
+
+
+def q_date_orders(spark, folder):
+    return dates.date_orders(_spelled(spark, folder), "written", ["o_orderpriority"])
+
+
+def q_dates_of_a_column(spark, folder):
+    """Every spelled date read back in the order its column tells."""
+    read = dates.with_dates(_spelled(spark, folder), "written", "moment", ["o_orderpriority"])
+    return read.select("o_orderkey", "written", F.date_format("moment", "yyyy-MM-dd").alias("day"))
+
+
+def q_mined_date_columns(spark, folder):
+    found = profile.column_profile(_spelled(spark, folder), ["o_orderpriority"], columns=["written"])
+    return found.select("o_orderpriority", "inferred_type", "unique_count")
+
+
 def q_sketched_profile_bound(spark, folder):
     """Sketches of every month of orders, merged to priorities: what is exact, and whether the rest is within its bounds."""
     o = table(spark, folder, "orders").select("o_orderpriority", F.trunc("o_orderdate", "MM").alias("month"), "o_custkey", "o_totalprice", "o_orderstatus")
@@ -447,6 +472,12 @@ SQL = {
         f"SELECT l_returnflag, '{c}' AS name, count(DISTINCT {c}) AS unique_count, true AS within_bound FROM lineitem GROUP BY 1"
         for c in [*_LINES, "l_linestatus", "l_shipdate"]
     ),
+    "date_orders": """SELECT o_orderpriority, CASE o_orderpriority[1] WHEN '1' THEN 'day_first' WHEN '2' THEN 'day_first' WHEN '3' THEN 'month_first' END AS "order",
+        count(*) AS cells, count(*) AS dates FROM orders GROUP BY 1""",
+    "dates_of_a_column": """SELECT o_orderkey, CASE o_orderpriority[1] WHEN '1' THEN strftime(o_orderdate, '%d/%m/%Y') WHEN '2' THEN strftime(o_orderdate, '%-d.%-m.%y')
+        WHEN '3' THEN strftime(o_orderdate, '%m/%d/%Y') WHEN '4' THEN strftime(o_orderdate, '%d-%b-%y') ELSE strftime(o_orderdate, '%Y%m%d') END AS written,
+        strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders""",
+    "mined_date_columns": """SELECT o_orderpriority, 'date-like' AS inferred_type, count(DISTINCT o_orderdate::DATE) AS unique_count FROM orders GROUP BY 1""",
     "sketched_profile_bound": "\nUNION ALL ".join(
         f"SELECT o_orderpriority, '{c}' AS name, count(*) AS row_count, {total} AS total, {most} AS most, true AS distinct_within, true AS ranks_within "
         "FROM orders GROUP BY 1"
