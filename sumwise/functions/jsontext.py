@@ -32,7 +32,7 @@ def parsed_json(c: Column | str) -> Column:
     t = col(c)
     listed = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), t, F.lit("]"))), "$", "array<variant>")
     named = F.try_parse_json(F.concat(F.lit('{"v":'), t, F.lit("}")))
-    return F.when((F.size(listed) == 1) & named.isNotNull(), F.try_parse_json(t))
+    return F.when((F.size(listed) == 1) & named.isNotNull(), listed[0])
 
 
 def truncate(c: Column) -> Column:
