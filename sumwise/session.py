@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -16,7 +14,10 @@ SETTINGS = {
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **extra: str) -> SparkSession:
-    """A session for tests and benchmarks; on a cluster the caller brings its own."""
+    """A session for tests and benchmarks; on a cluster the caller brings its own.
+
+    Plans that store results need `spark.checkpoint.dir`, here too: name it in `extra`.
+    """
     builder = SparkSession.builder.master(f"local[{cores}]").appName("sumwise")
     settings = {
         **SETTINGS,
@@ -25,7 +26,6 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **extra:
         "spark.driver.memory": "12g",
         **extra,
     }
-    settings.setdefault("spark.checkpoint.dir", f"{tempfile.gettempdir()}/sumwise-shared")
     for name, value in settings.items():
         builder = builder.config(name, value)
     return builder.getOrCreate()

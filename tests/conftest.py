@@ -11,8 +11,8 @@ from sumwise.session import local_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = local_session(8, 4)
+def spark(tmp_path_factory):
+    session = local_session(8, 4, **{"spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared"))})
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()

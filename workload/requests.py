@@ -488,7 +488,8 @@ def q_analysis_results(spark, folder):
     total = a.cleaned.groupBy("grp").agg(F.sum("price__num").alias("price"), F.count("day__text").alias("day"))
 
     def numbers(result, df, item, *fields):
-        each = [F.struct(F.lit(f).alias("field"), F.round(F.col(f).cast("double"), 2).alias("number")) for f in fields]
+        # Bounds have five decimals; sums are compared to the cent.
+        each = [F.struct(F.lit(f).alias("field"), F.round(F.col(f).cast("double"), 6 if f == "lower_bound" else 2).alias("number")) for f in fields]
         return df.select("grp", F.lit(result).alias("result"), item.alias("item"), F.inline(F.array(*each)))
 
     whole = F.lit("")
@@ -800,7 +801,7 @@ SQL = {
           count(DISTINCT (price_text, day, "at")) AS different,
           sum(price) AS sum, quantile_cont(price, 0.5) AS median, min(price) AS min, max(price) AS max, stddev_samp(price) AS std,
           floor(date_diff('microsecond', min("at"), max("at")) / 86400000000) AS span FROM o GROUP BY 1)
-      SELECT grp, result, item, field, round(number::DOUBLE, 2) AS number FROM (
+      SELECT grp, result, item, field, CASE WHEN field = 'lower_bound' THEN round(number::DOUBLE, 6) ELSE round(number::DOUBLE, 2) END AS number FROM (
         SELECT grp, 'shape' AS result, '' AS item, unnest(['row_count', 'column_count', 'duplicate_row_count']) AS field, unnest([n, 3, n - different]::DOUBLE[]) AS number FROM g
         UNION ALL SELECT grp, 'profile', 'price', unnest(['unique_count', 'missing_count']), unnest([prices, 0]::DOUBLE[]) FROM g
         UNION ALL SELECT grp, 'profile', 'day', unnest(['unique_count', 'missing_count']), unnest([days, 0]::DOUBLE[]) FROM g
