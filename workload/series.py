@@ -166,13 +166,13 @@ def q_detect_trend_long(spark, folder):
 
 def q_iqr_scores_long(spark, folder):
     df = anomaly.iqr_scores(_lines(spark, folder, "l_extendedprice"), long=True)
-    return rounded(df.drop("period"), 4, "lower_bound", "upper_bound")
+    return rounded(df.drop("period"), 6, "lower_bound", "upper_bound")
 
 
 def q_iqr_summary_long(spark, folder):
     """Quantities of every return flag, three groups that hold all rows."""
     points = table(spark, folder, "lineitem").select("l_returnflag", F.struct(*LINE).alias("period"), F.col("l_extendedprice").alias("value"))
-    return rounded(anomaly.iqr_summary(points, ["l_returnflag"], long=True), 4, "lower_bound", "upper_bound")
+    return rounded(anomaly.iqr_summary(points, ["l_returnflag"], long=True), 6, "lower_bound", "upper_bound")
 
 
 def q_investigate_anomalies(spark, folder):
@@ -262,12 +262,12 @@ SQL = {
         count(*) FILTER (d > 0) AS increase_count, count(*) FILTER (d < 0) AS decrease_count, count(*) FILTER (d = 0) AS no_change_count FROM p""",
     "iqr_scores_long": f"""WITH q AS (SELECT {_IQR}, count(*) AS n FROM lineitem)
       SELECT l_extendedprice AS value, row_number() OVER (ORDER BY {_LINE}) - 1 AS position, n AS sample_size, false AS insufficient_data,
-        round(q1 - 1.5 * (q3 - q1), 4) AS lower_bound, round(q3 + 1.5 * (q3 - q1), 4) AS upper_bound,
+        round(q1 - 1.5 * (q3 - q1), 6) AS lower_bound, round(q3 + 1.5 * (q3 - q1), 6) AS upper_bound,
         CASE WHEN l_extendedprice > q3 + 1.5 * (q3 - q1) THEN 'high' WHEN l_extendedprice < q1 - 1.5 * (q3 - q1) THEN 'low' END AS direction
       FROM lineitem, q""",
     "iqr_summary_long": f"""WITH q AS (SELECT l_returnflag, {_IQR}, count(*) AS n FROM lineitem GROUP BY 1)
       SELECT l_returnflag, 'iqr' AS method, false AS insufficient_data, any_value(n) AS sample_size,
-        round(any_value(q1 - 1.5 * (q3 - q1)), 4) AS lower_bound, round(any_value(q3 + 1.5 * (q3 - q1)), 4) AS upper_bound,
+        round(any_value(q1 - 1.5 * (q3 - q1)), 6) AS lower_bound, round(any_value(q3 + 1.5 * (q3 - q1)), 6) AS upper_bound,
         count(*) FILTER (l_extendedprice > q3 + 1.5 * (q3 - q1) OR l_extendedprice < q1 - 1.5 * (q3 - q1)) AS anomaly_count
       FROM lineitem JOIN q USING (l_returnflag) GROUP BY 1""",
     "period_series": "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS period, o_totalprice AS value FROM orders",
