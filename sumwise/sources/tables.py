@@ -14,8 +14,10 @@ from pyspark.sql import types as T
 
 from sumwise.functions.basics import FLOATS
 from sumwise.operators.summary import iso_text
+from sumwise.sources.workbooks import KEYS, load_workbooks
 
 READERS = {".parquet": "parquet", ".csv": "csv", ".json": "json", ".orc": "orc"}
+WORKBOOK = "xlsx"
 FILE_ROLES = ["previous", "current", "reference", "comparison"]
 DATASET_TYPE = "dataset_id string, path string, display_name string, role string"
 
@@ -23,23 +25,27 @@ DATASET_TYPE = "dataset_id string, path string, display_name string, role string
 def load_table(
     spark: SparkSession, path: str, nan_as_null: bool = True, schema=None, format: str | None = None
 ) -> DataFrame:
-    """A table from parquet, CSV, JSON or ORC: a file, or a folder of files.
+    """A table from parquet, CSV, JSON, ORC or workbooks (`.xlsx`): a file, or a folder of files.
 
     `format` names the format of a folder, whose name mostly has no extension; else the
     extension decides.  Raises FileNotFoundError for a path that does not exist and ValueError
     for another extension or format.  Without a `schema` all columns of a CSV are text, so
     the data is read once, and the cleaning decides what they hold.  NaN becomes NULL in
-    floating point columns only, so filters on all other columns still reach the scan.
+    floating point columns only, so filters on all other columns still reach the scan.  Of a
+    workbook the first sheet is read; `load_workbooks` has the others.
     """
     location = spark._jvm.org.apache.hadoop.fs.Path(path)
     if not location.getFileSystem(spark._jsc.hadoopConfiguration()).exists(location):
         raise FileNotFoundError(f"table not found: {path}")
     suffix = PurePosixPath(path).suffix.lower()
-    if format is None and suffix not in READERS:
+    kinds = {**READERS, f".{WORKBOOK}": WORKBOOK}
+    if format is None and suffix not in kinds:
         raise ValueError(f"unsupported file extension: {suffix}")
-    kind = format or READERS[suffix]
-    if kind not in READERS.values():
+    kind = format or kinds[suffix]
+    if kind not in kinds.values():
         raise ValueError(f"unsupported format: {kind}")
+    if kind == WORKBOOK:
+        return load_workbooks(spark, path, 0, schema).drop(*KEYS)
     reader = spark.read.format(kind)
     if kind == "csv":
         reader = reader.option("header", True)

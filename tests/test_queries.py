@@ -15,8 +15,8 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 QUICK = [
     "monthly_series", "detect_trend", "iqr_summary", "numeric_summary", "table_profile", "claims_cause", "payload_facts",
     "analysis_results", "cleaning_examples_in_file_order", "column_candidates", "column_schema_in_file_order", "compare_periods_long",
-    "dates_of_a_column", "explain_comparisons", "file_candidates", "iqr_summary_long", "load_cases", "numeric_summary_from_counts",
-    "register_dataset", "rolling_mean_long", "semantic_candidates", "sketched_profile_bound",
+    "dates_of_a_column", "explain_comparisons", "file_candidates", "iqr_summary_long", "load_cases", "load_workbooks", "numeric_summary_from_counts",
+    "register_dataset", "rolling_mean_long", "semantic_candidates", "sketched_profile_bound", "workbook_columns",
 ]
 SQL = spark_entry.oracle_sql()
 NAMES = sorted(SQL) if os.environ.get("ALL_QUERIES") else QUICK

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sumwise.functions.basics import stored
 from sumwise.sources.tables import load_table
+from sumwise.sources.workbooks import workbook_bytes
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -174,3 +177,21 @@ SHIPMENTS = """ships AS (
   SELECT l_returnflag || '-' || l_linestatus AS dataset_id,
          CASE WHEN l_orderkey % 11 <> 0 THEN l_quantity END AS quantity,
          l_linenumber AS line_number, l_shipdate AS shipped FROM lineitem)"""
+
+
+BOOK_ROWS = 5000
+BOOK_COLUMNS = ["o_orderkey", "o_custkey", "o_totalprice", "o_orderdate", "o_orderpriority"]
+
+
+def order_books(spark, folder):
+    """`path, content`: a workbook for every BOOK_ROWS order keys, with a sheet for each order status in it."""
+
+    def book(key, rows):
+        sheets = {
+            status: (BOOK_COLUMNS, part.sort_values("o_orderkey")[BOOK_COLUMNS].astype(object).values.tolist())
+            for status, part in rows.groupby("o_orderstatus")
+        }
+        return pd.DataFrame({"path": [f"orders_{key[0]}.xlsx"], "content": [workbook_bytes(sheets)]})
+
+    orders = table(spark, folder, "orders").withColumn("book", F.floor(F.col("o_orderkey") / BOOK_ROWS))
+    return stored(orders.groupBy("book").applyInPandas(book, "path string, content binary"))

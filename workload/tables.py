@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from sumwise.functions.text import read_cells
 from sumwise.operators import clean, dates, profile, schema, sketches, summary, values
 from sumwise.sources import tables
-from workload.inputs import MESSY, cells_sql, messy_orders, pick, rounded, table
+from sumwise.sources.workbooks import read_workbooks, workbook_columns
+from workload.inputs import BOOK_ROWS, MESSY, cells_sql, messy_orders, order_books, pick, rounded, table
 
 MONEY = ["sum", "mean", "min", "max", "std"]
 GROUPS = ["grp"]
@@ -343,6 +344,16 @@ def q_merge_schema_proposals(spark, folder):
     )
 
 
+def q_load_workbooks(spark, folder):
+    """All sheets of all workbooks as one table, names and types found in the files."""
+    books = read_workbooks(order_books(spark, folder))
+    return books.withColumn("o_orderdate", F.col("o_orderdate").cast("date"))
+
+
+def q_workbook_columns(spark, folder):
+    return workbook_columns(order_books(spark, folder)).select("file", "sheet", "position", "name", "type")
+
+
 QUERIES = {name[2:]: f for name, f in list(globals().items()) if name.startswith("q_")}
 
 
@@ -414,6 +425,15 @@ _WITH_DATE = "dated AS (SELECT messy.*, o_orderdate FROM messy JOIN orders ON id
 _ALL = ["id", "grp", *_TEXTS]
 
 SQL = {
+    "load_workbooks": f"""SELECT 'orders_' || (o_orderkey // {BOOK_ROWS}) || '.xlsx' AS file, o_orderstatus AS sheet,
+        (1 + row_number() OVER (PARTITION BY o_orderkey // {BOOK_ROWS}, o_orderstatus ORDER BY o_orderkey))::INTEGER AS row,
+        o_orderkey, o_custkey, o_totalprice, o_orderdate::DATE AS o_orderdate, o_orderpriority FROM orders""",
+    "workbook_columns": f"""WITH kinds AS (
+        SELECT 'orders_' || (o_orderkey // {BOOK_ROWS}) || '.xlsx' AS file, o_orderstatus AS sheet,
+          CASE WHEN bool_and(o_totalprice = floor(o_totalprice)) THEN 'bigint' ELSE 'double' END AS price FROM orders GROUP BY 1, 2
+      ) SELECT file, sheet, position::INTEGER AS position, name, CASE position WHEN 2 THEN price ELSE type END AS type FROM kinds,
+        (VALUES (0, 'o_orderkey', 'bigint'), (1, 'o_custkey', 'bigint'), (2, 'o_totalprice', ''), (3, 'o_orderdate', 'timestamp_ntz'),
+          (4, 'o_orderpriority', 'string')) AS c(position, name, type)""",
     "approximate_median_rank": """SELECT l_returnflag, name, count(value) AS n, true AS within_bound FROM (UNPIVOT
         (SELECT l_returnflag, l_orderkey::DOUBLE AS l_orderkey, l_partkey::DOUBLE AS l_partkey, l_suppkey::DOUBLE AS l_suppkey,
           l_linenumber::DOUBLE AS l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax FROM lineitem)
