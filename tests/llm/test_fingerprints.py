@@ -57,6 +57,22 @@ def test_many_tasks_meet_at_their_edges(spark):
     assert sorted(((r.doc_id, r.n_chars, r.edited_sha256) for r in got), key=str) == expected(rows)
 
 
+def test_a_lexicon_beyond_the_broadcast_gives_the_same(spark, monkeypatch):
+    rows = docs_of(300) + [(5000, None), (5001, "a"), (5001, "a"), (None, "no id"), (5003, "word " * 2000)]
+    expected = sorted(run(spark, rows, least=0.002, most=0.5), key=str)
+    monkeypatch.setattr(fp, "MOST_TERMS", 0)
+    assert sorted(run(spark, rows, least=0.002, most=0.5), key=str) == expected
+    assert run(spark, []) == [] and len(run(spark, [(1, "one two")])) == 1
+
+
+def test_likeness_to_the_next_one_across_tasks(spark):
+    rows = [(i, f"text number {i // 2} of {i % 7}") for i in range(11_000)]
+    lexicon = np.empty(0, np.uint64)
+    prints = [fp.fingerprint(fp.term_hashes(t), lexicon) for _, t in rows]
+    got = {r.doc_id: r for r in run(spark, rows, least=1.0)}
+    assert all(got[i].fingerprint == p and got[i].near_next == fp.likeness(p, prints[i - 1]) for i, p in enumerate(prints))
+
+
 def test_one_row_and_none(spark):
     (one,) = run(spark, [(1, "abcd ef")])
     assert one.edited_sha256 == hashlib.sha256(b"abcdabc").hexdigest() and one.near_next == 1.0
