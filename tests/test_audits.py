@@ -159,6 +159,17 @@ def test_benchmark(spark):
     assert nothing.first()["accuracy"] is None
 
 
+def test_no_case_is_broadcast(spark):
+    """Sides with a row for each case would meet on the driver, however small Spark guesses them to be."""
+    rows = [(c, k, json.dumps(i), json.dumps(e)) for c, k, i, e in CASES]
+    df = spark.createDataFrame(rows, "case_id string, category string, input string, expected string")
+    parts = [benchmark._column_cases, benchmark._period_cases, benchmark._semantic_cases]
+    plans = [part(df)._jdf.queryExecution().executedPlan().toString() for part in parts]
+    assert all("SortMergeJoin" in p and "BroadcastHashJoin" not in p for p in plans)
+    whole = benchmark.evaluate_cases(df)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in whole and whole.count("Exchange") == 0
+
+
 def test_a_response_is_one_json_value(spark):
     from sumwise.functions.jsontext import parsed_json
 
