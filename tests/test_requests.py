@@ -113,6 +113,22 @@ def test_semantic_and_file_candidates_as_rows(spark):
     assert [by(resolve.resolve_file(asked, files, lists=False))[i]["candidate_count"] for i in range(5)] == [2, 2, 0, 0, 0]
 
 
+def test_equal_names_are_compared_once(spark):
+    """Columns of one name are counted for what a term settles, and listed only where candidates are rows."""
+    known = columns(spark, *["Ship Cost"] * 40, *["ship price"] * 2, "Units")
+    asked = ask(spark, "term", "price", "cost of units", "ship cost", "shipcost")
+    counts = by(resolve.resolve_semantic_column(asked, known, lists=False))
+    assert [counts[i]["candidate_count"] for i in range(4)] == [42, 0, 40, 0]
+    lists = by(resolve.resolve_semantic_column(asked, known))
+    for i in range(4):
+        best = [c["confidence"] for c in lists[i]["candidates"] if c["confidence"] is not None]
+        assert len(lists[i]["candidates"]) == counts[i]["candidate_count"] and counts[i]["best"] == max(best, default=None)
+    hints = asked.select("dataset_id", F.col("term").alias("__hint"))
+    assert resolve._word_names(hints, known, ["dataset_id"]).groupBy("__hint").count().agg(F.max("count")).first()[0] <= 3
+    names = resolve.hint_names(hints, known, ["dataset_id"]).where("__hint = 'ship cost'").collect()
+    assert [(r["name"], r["copies"], r["position"]) for r in names] == [("Ship Cost", 40, 0)]
+
+
 def test_periods(spark):
     labels = spark.createDataFrame([("d", p) for p in ("2023-03", "2024-03", "2024-05")], "dataset_id string, period string")
     hints = ["2024-03", "March 2023", "mar", "May", "5 2024", "June 2024", "2024", None]
