@@ -3,21 +3,25 @@
 Paragraphs are the lines of a text.  A multinomial logistic regression over sparse word
 n-grams (single words and pairs) tells licence families and an unknown class apart.  It is
 trained here, on variants of TEMPLATES (words dropped, ends cut, foreign words around) and, as
-unknown, on at most MOST_NEGATIVES paragraphs that look like no template and hold none, those with
-the smallest hash in a seeded sample of about twice as many documents (their first 4,000
-characters).  A part that training does not see sets the temperature of the
-probabilities and the least probability of a family, so that at most FALSE_RATE of the unknown
-paragraphs reach it.
-
-A predicted family is confirmed by pairs of words, weighted by how rare they are in the unknown
-sample: either the pairs of the paragraph that stand in one template of that family have at least
-SIMILAR of the paragraph's weight (a short or partial notice), or a window of about the template's
-length within the paragraph holds at least SIMILAR of the template's weight (a notice within a long
-line or a document of one line).  Pairs that all paragraphs have weigh next to nothing in both.  If
-the whole paragraph is not confirmed, its windows that are like a template are classified by
-themselves, the most similar first.  A paragraph without any pair of a template cannot be
-confirmed, so it is not scored.
-
+unknown, on every different paragraph of the corpus that looks like no template and holds none.
+To the model a paragraph is the n-grams of the templates that it has, so equal ones are one row with
+the number of paragraphs as its weight; all of them together weigh as much as MOST_NEGATIVES rows, that
+the notices stay as heavy whatever the corpus.  Of ten paragraphs three, by their hash, are not trained
+on: all of these set the temperature of the probabilities and the least probability of a family, so
+that at most FALSE_RATE of the unknown paragraphs reach it.  Only the foreign words that are put
+around variants come from a few paragraphs, those with the smallest hash.
+
+A predicted family is confirmed by pairs of words; those of the templates are weighted by how rare they
+are in all unknown paragraphs, any other pair weighs 1.  Either the pairs of the paragraph that stand in
+one template of that family have at least SIMILAR of the paragraph's weight (a short or partial notice),
+or a window of about the template's length within the paragraph holds at least SIMILAR of the template's
+weight (a notice within a long line or a document of one line).  Pairs of a template that all paragraphs
+have weigh next to nothing in both.  If the whole paragraph is not confirmed, its windows that are like a
+template are classified by themselves, the most similar first.  A paragraph without any pair of a template
+cannot be confirmed, so it is not scored.
+
+Training takes one scan with a shuffle of a hash and a few numbers for each paragraph; the driver
+receives one number for each template pair, temperature and step of the probability.
 Scoring is row by row without a shuffle; the model is broadcast, its size is that of the
 templates.  Edge cases: null and empty texts have no paragraphs; a null id is kept, repeated
 rows are reported each; empty tables give an empty result, and a model is trained even then;
@@ -26,6 +30,7 @@ further columns are ignored.  Texts are read whole.
 
 from __future__ import annotations
 
+import hashlib
 import random
 import re
 from collections import Counter
@@ -39,12 +44,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sumwise.functions.basics import stored
 from sumwise.llm.common import slices
 
-MOST_NEGATIVES = 2000
+MOST_NEGATIVES = 2000  # rows the unknown paragraphs weigh as much as, and the most whose words variants may get
 VARIANTS = 24
 FALSE_RATE = 0.001
-LEAST_PROBABILITY = 0.5
+HELD_OUT = 0.3
+TEMPERATURES = np.geomspace(0.2, 5, 40)
+STEP = 1e-4  # of the least probability
+LEAST_PROBABILITY, MOST_PROBABILITY = 0.5, 0.9
 SIMILAR = 0.4
 LEAST_WEIGHT = 1.0  # that of one pair which no unknown paragraph has
 UNKNOWN = "unknown"
@@ -157,44 +166,108 @@ class LicenseModel:
                 for p in t:
                     self.holders.setdefault(p, []).append((f, k))
         self.seen: Counter[str] = Counter()
-        # Drawn by the hash of the paragraph, each once: the same whatever the files and the copies, and about
-        # two paragraphs per wanted one reach the driver whatever the corpus.
+        vocabulary = sorted({g for texts in TEMPLATES.values() for t in texts for g in grams(words_of(t))})
+        self.vocabulary = {g: i for i, g in enumerate(vocabulary)}
+        unknown = self.unknown(docs, text)
+        total = unknown.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        share = min(1.0, MOST_NEGATIVES / max(1, total))
+        held = unknown.select(F.explode("features").alias("i"), "n").groupBy("i").agg(F.sum("n").alias("n"))
+        self.seen = Counter({vocabulary[r.i]: r.n * share for r in held.collect() if vocabulary[r.i] in self.holders})
+        foreign = self.drawn(docs, text, seed)
+        made = [(k, v) for k, f in enumerate(TEMPLATES) for t in TEMPLATES[f] for v in variants(words_of(t), foreign, rng)]
+        rng.shuffle(made)
+        cut = int(len(made) * (1 - HELD_OUT))
+        width = len(vocabulary)
+        kind = T.StructType([T.StructField("label", T.DoubleType()), T.StructField("features", VectorUDT()), T.StructField("weight", T.DoubleType())])
+        rows = [(float(k), SparseVector(width, {i: 1.0 for i in self.features(w)}), 1.0) for k, w in made[:cut]]
+        vector = F.udf(lambda held: SparseVector(width, held, [1.0] * len(held)), VectorUDT())
+        trained = unknown.where(~F.col("held_out")).select(
+            F.lit(float(len(TEMPLATES))).alias("label"), vector("features").alias("features"), (F.col("n") * share).alias("weight")
+        )
+        frame = spark.createDataFrame(rows, kind).coalesce(1).union(trained)
+        fitted = LogisticRegression(family="multinomial", weightCol="weight", regParam=0.0003, maxIter=80).fit(frame)
+        weights, intercepts = fitted.coefficientMatrix.toArray(), fitted.interceptVector.toArray()
+        # Without any unknown paragraph the model has no class for it.
+        lacking = len(self.families) - len(intercepts)
+        self.weights = np.vstack([weights, np.zeros((lacking, width))])
+        self.intercepts = np.append(intercepts, [-np.inf] * lacking)
+        self.calibrate(made[cut:], unknown.where("held_out"), share)
+
+    def unknown(self, docs: DataFrame, text: str) -> DataFrame:
+        """`features, held_out, n`: how many different paragraphs that are like no template have these n-grams of templates."""
+
+        def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in slices(batches, "text", BATCH_BYTES):
+                found: dict[int, list[int]] = {}
+                for line in {line for t in batch.column("text").to_pylist() if t for line in t.split("\n")}:
+                    words = words_of(line)
+                    if words and (self.holders.keys().isdisjoint(pairs(words)) or self.overlap(words) < 0.3 and not self.windows(words)):
+                        digest = hashlib.blake2b(line.encode("utf-8", "surrogatepass"), digest_size=8).digest()
+                        found[int.from_bytes(digest, "big", signed=True)] = self.features(words)
+                columns = [pa.array(found.keys(), pa.int64()), pa.array(found.values(), pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["h", "features"])
+
+        each = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(read, "h long, features array<int>").distinct()
+        held_out = F.pmod("h", F.lit(1000)) < int(1000 * HELD_OUT)
+        counted = each.groupBy("features", held_out.alias("held_out")).agg(F.count(F.lit(1)).alias("n"))
+        return stored(counted.sortWithinPartitions("features", "held_out"))
+
+    def drawn(self, docs: DataFrame, text: str, seed: int) -> list[list[str]]:
+        """Words of a few unknown paragraphs, the same whatever the files and the copies."""
+        # About two paragraphs per wanted one reach the driver whatever the corpus.
         lines = docs.select(F.explode(F.split(F.col(text).cast("string"), "\n")).alias("line")).where("length(line) > 0")
         drawn = F.xxhash64(F.lit(seed), "line")
         share = min(1.0, 2 * MOST_NEGATIVES / max(1, lines.agg(F.approx_count_distinct(drawn)).first()[0]))
         some = lines.where(drawn <= min((1 << 63) - 1, int(share * (1 << 64)) - (1 << 63))).groupBy("line").agg(F.first(drawn).alias("h"))
         sample = some.orderBy("h", "line").select(F.substring("line", 1, 4000)).limit(MOST_NEGATIVES).collect()
-        foreign = [w for r in sample if (w := words_of(r[0])) and self.overlap(w) < 0.3 and not self.windows(w)]
-        self.seen = Counter(g for w in foreign for g in set(pairs(w)))
-        vocabulary = sorted({g for texts in TEMPLATES.values() for t in texts for g in grams(words_of(t))})
-        self.vocabulary = {g: i for i, g in enumerate(vocabulary)}
-        made = [(k, v) for k, f in enumerate(TEMPLATES) for t in TEMPLATES[f] for v in variants(words_of(t), foreign, rng)]
-        made += [(len(TEMPLATES), w) for w in foreign]
-        rng.shuffle(made)
-        cut = len(made) * 7 // 10
-        rows = [(float(k), SparseVector(len(vocabulary), {i: 1.0 for i in self.features(w)})) for k, w in made[:cut]]
-        frame = spark.createDataFrame(rows, T.StructType([T.StructField("label", T.DoubleType()), T.StructField("features", VectorUDT())]))
-        fitted = LogisticRegression(family="multinomial", regParam=0.0003, maxIter=80).fit(frame)
-        self.weights = np.asarray(fitted.coefficientMatrix.toArray())
-        self.intercepts = np.asarray(fitted.interceptVector.toArray())
-        self.calibrate(made[cut:])
-
-    def calibrate(self, rows: list[tuple[int, list[str]]]) -> None:
-        truth = np.array([k for k, _ in rows])
-        scores = np.array([self.scores(w) for _, w in rows])
-
-        def chances(temperature):
+        return [w for r in sample if (w := words_of(r[0])) and self.overlap(w) < 0.3 and not self.windows(w)]
+
+    def calibrate(self, notices: list[tuple[int, list[str]]], unknown: DataFrame, share: float) -> None:
+        """Temperature and least probability, from held-out variants and all held-out unknown paragraphs."""
+        last = len(TEMPLATES)
+
+        def chances(scores: np.ndarray, temperature: float) -> np.ndarray:
             e = np.exp((scores - scores.max(axis=1, keepdims=True)) / temperature)
             return e / e.sum(axis=1, keepdims=True)
 
-        def loss(temperature):
-            return -np.log(chances(temperature)[np.arange(len(rows)), truth] + 1e-12).mean()
-
-        self.temperature = min(np.geomspace(0.2, 5, 40), key=loss)
-        foreign = np.sort(chances(self.temperature)[truth == len(TEMPLATES), :-1].max(axis=1, initial=0))
-        allowed = int(len(foreign) * FALSE_RATE)
-        self.least = max(LEAST_PROBABILITY, float(foreign[-1 - allowed]) if len(foreign) else 0.0)
-        self.least = min(self.least, 0.9)
+        def losses(scores: np.ndarray, truth: np.ndarray, weight: np.ndarray) -> list[float]:
+            at = np.arange(len(truth))
+            return [float((weight * -np.log(chances(scores, t)[at, truth] + 1e-12)).sum()) for t in TEMPERATURES]
+
+        def scored(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+            held = batch.column("features").to_pylist()
+            scores = [self.intercepts + self.weights[:, h].sum(axis=1) for h in held]
+            return np.array(scores), batch.column("n").to_numpy().astype(float)
+
+        def lost(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    scores, n = scored(batch)
+                    sums = losses(scores, np.full(len(n), last), n)
+                    yield pa.RecordBatch.from_arrays([pa.array(range(len(sums))), pa.array(sums)], names=["k", "loss"])
+
+        scores, truth = np.array([self.scores(w) for _, w in notices]), np.array([k for k, _ in notices])
+        total = np.array(losses(scores, truth, np.ones(len(truth))))
+        for r in unknown.mapInArrow(lost, "k long, loss double").groupBy("k").agg(F.sum("loss").alias("loss")).collect():
+            total[r.k] += share * r.loss
+        self.temperature = float(TEMPERATURES[total.round(9).argmin()])
+
+        def reached(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    scores, n = scored(batch)
+                    best = chances(scores, self.temperature)[:, :-1].max(axis=1)
+                    steps = np.floor(np.clip(best, 0, MOST_PROBABILITY) / STEP).astype(int)
+                    yield pa.RecordBatch.from_arrays([pa.array(steps), pa.array(n.astype(int))], names=["step", "n"])
+
+        steps = unknown.mapInArrow(reached, "step long, n long").groupBy("step").agg(F.sum("n").alias("n")).collect()
+        left = sum(r.n for r in steps) * FALSE_RATE
+        self.least = LEAST_PROBABILITY
+        for r in sorted(steps, key=lambda r: -r.step):
+            left -= r.n
+            if left < 0:
+                self.least = min(max(LEAST_PROBABILITY, (r.step + 1) * STEP), MOST_PROBABILITY)
+                break
 
     def overlap(self, words: list[str]) -> float:
         own = set(pairs(words))

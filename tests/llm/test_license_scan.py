@@ -92,3 +92,14 @@ def test_sample_is_the_same_for_every_layout(spark, monkeypatch):
     one, many, copied = (ls.LicenseModel(d) for d in (docs.coalesce(1), docs.repartition(20), docs.union(docs).repartition(3)))
     assert one.seen and one.seen == many.seen == copied.seen
     assert (one.weights.round(6) == many.weights.round(6)).all()
+
+
+def test_every_paragraph_counts(spark, monkeypatch):
+    """Rarity, model and threshold come from all paragraphs, not from as many as MOST_NEGATIVES."""
+    monkeypatch.setattr(ls, "MOST_NEGATIVES", 40)
+    rows = [(i, f"word{i} stays under the roof of house{i} all day long with friend{i} and friend{i + 1} of old") for i in range(400)]
+    model = ls.LicenseModel(spark.createDataFrame(rows[:399] + [(400, "this file license is a plain paragraph about some other things to be told")], "doc_id long, text string"))
+    patterns = model.unknown(spark.createDataFrame(rows, "doc_id long, text string"), "text")
+    assert patterns.agg({"n": "sum"}).first()[0] == 400
+    assert model.seen["under the"] == pytest.approx(399 * 40 / 400)
+    assert 0 < model.seen["this file"] < 1
