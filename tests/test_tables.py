@@ -250,6 +250,17 @@ def test_load_cases(spark, tmp_path):
     assert json.loads(got["c1"]["input"]) == {"a": [1, "b"]} and got["c2"]["expected"] == "{}"
 
 
+def test_load_cases_goes_to_the_file_once(spark, tmp_path):
+    """Parts stay as they are written, over lines and with all digits, and no part is fetched by itself."""
+    text = '{"a": [1.50,\n  "\u00e9 \\u0000"],  "b": 0.10000000000000000001}'
+    (tmp_path / "a.json").write_text('[{"case_id": "c1", "input": %s},\n {"case_id": "c2", "category": "y"}]' % text, encoding="utf-8")
+    (tmp_path / "b.json").write_text('{"case_id": "c3", "expected": null}', encoding="utf-8")
+    read = cases.load_cases(spark, str(tmp_path))
+    got = by(read, "case_id")
+    assert set(got) == {"c1", "c2", "c3"} and got["c1"]["input"] == text and got["c3"]["expected"] == "{}"
+    assert "multiLine" not in read._jdf.queryExecution().optimizedPlan().collectLeaves().head().relation().options().toString()
+
+
 def alike(a, b):
     assert sorted(a.columns) == sorted(b.columns)
     rows = []
