@@ -24,6 +24,7 @@ from sumwise.operators.scan import running_total
 ACCURACY = 10_000
 MARGIN = 4.0 / ACCURACY  # four times what the sketch may be off
 BRACKET = 2 * MARGIN + 2.0 / ACCURACY
+SALTS = 64
 
 
 def near_median(value: Column | str) -> Column:
@@ -31,18 +32,33 @@ def near_median(value: Column | str) -> Column:
     return F.percentile_approx(value, [0.5 - MARGIN, 0.5 + MARGIN], ACCURACY)
 
 
-def exact_medians(values: DataFrame, keys: Sequence[str], near: DataFrame | None = None) -> DataFrame:
+def _beside(present: DataFrame, near: DataFrame, keys: Sequence[str], few: bool = False) -> DataFrame:
+    """`present` values with the brackets of their group.
+
+    `few` says that `near` has one row for each column of a schema at most, so it is broadcast.  Else a
+    group is dealt to SALTS tasks, as a single one would sort all of its values for the join.
+    """
+    if not keys:
+        return present.crossJoin(F.broadcast(near))
+    if few:
+        return join_on(present, F.broadcast(near), keys, "inner")
+    dealt = present.withColumn("__salt", (F.monotonically_increasing_id() % SALTS).cast("int"))
+    copies = near.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return join_on(dealt, copies, [*keys, "__salt"], "inner").drop("__salt")
+
+
+def exact_medians(values: DataFrame, keys: Sequence[str], near: DataFrame | None = None, few: bool = False) -> DataFrame:
     """`keys, median` over the non-null `value` column of `values`.
 
     `near` has `keys, count, near` (`near_median`) where an aggregation over the same values
-    has made them already.
+    has made them already; `few` where the groups are the columns of one table.
     """
     keys = list(keys)
     present = values.where(F.col("value").isNotNull()).select(*keys, "value")
     if near is None:
         near = present.groupBy(*keys).agg(F.count(F.lit(1)).alias("count"), near_median("value").alias("near"))
     near = near.where(F.col("count") > 0).select(*keys, F.col("count").alias("__n"), F.col("near").alias("__near"))
-    placed = join_on(present, near, keys, "inner") if keys else present.crossJoin(F.broadcast(near))
+    placed = _beside(present, near, keys, few)
     inside = placed.where(F.col("value") <= F.col("__near")[1])
     # Everything below the bracket is one entry without a value, which comes first.
     entry = F.when(F.col("value") >= F.col("__near")[0], F.col("value")).alias("value")
@@ -71,8 +87,7 @@ def exact_quantiles(values: DataFrame, keys: Sequence[str], parts: Sequence[floa
     edges = [p for part in parts for p in (max(0.0, part - MARGIN), min(1.0, part + MARGIN))]
     near = present.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), F.percentile_approx("value", edges, ACCURACY).alias("__near"))
     near = near.where(F.col("__n") > 0)
-    # Without keys `near` is a single row.
-    placed = join_on(present, near, keys, "inner") if keys else present.crossJoin(F.broadcast(near))
+    placed = _beside(present, near, keys)
     value = F.col("value")
     brackets = [(F.col("__near")[2 * k], F.col("__near")[2 * k + 1]) for k in range(len(parts))]
     inside = F.lit(False)

@@ -112,7 +112,7 @@ def numeric_summary(
     summary = reduce(DataFrame.unionByName, parts).join(F.broadcast(header), "position")
     if not approx:
         near = summary.select(*keys, "position", "count", "near")
-        medians = exact_medians(reduce(DataFrame.unionByName, values), [*keys, "position"], near)
+        medians = exact_medians(reduce(DataFrame.unionByName, values), [*keys, "position"], near, few=not keys)
         summary = join_on(summary.drop("median"), medians, [*keys, "position"])
     return summary.select(*keys, "position", "name", *STATS)
 

@@ -307,3 +307,20 @@ def test_kept_analysis_reads_the_table_once(spark, tmp_path):
     for name in ("profile", "numeric_summary", "date_summary", "series", "trend", "changes", "anomalies"):
         alike(getattr(kept, name), getattr(lazy, name))
         assert str(tmp_path) not in getattr(kept, name)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_medians_leave_no_group_in_one_task(spark):
+    """The values of a column or group are not sorted in one task to meet their bracket."""
+    df = spark.range(100_000).selectExpr("id % 2 as k", "double(id) as v")
+    whole = summary.numeric_summary(df)
+    # One join is left, that of the finished summary with its medians.
+    assert whole._jdf.queryExecution().executedPlan().toString().count("SortMergeJoin") == 1
+    assert {r["name"]: r["median"] for r in whole.collect()} == {"k": 0.5, "v": 49999.5}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        keyed = summary.numeric_summary(df, ["k"])
+        joins = [line for line in keyed._jdf.queryExecution().executedPlan().toString().splitlines() if "hashpartitioning(" in line]
+        assert any("__salt" in line for line in joins)
+        assert {r["k"]: r["median"] for r in keyed.collect()} == {0: 49999.0, 1: 50000.0}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
