@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sumwise.functions.basics import stored
 from sumwise.functions.text import read_cells
 from sumwise.operators import clean, dates, profile, schema, sketches, summary, values
 from sumwise.sources import tables
@@ -183,7 +184,7 @@ def q_sketched_profile_bound(spark, folder):
     o = table(spark, folder, "orders").select("o_orderpriority", F.trunc("o_orderdate", "MM").alias("month"), "o_custkey", "o_totalprice", "o_orderstatus")
     keys, names = ["o_orderpriority"], ["o_custkey", "o_totalprice", "o_orderstatus"]
     monthly = sketches.column_sketches(o, [*keys, "month"]).drop("month")
-    about = sketches.sketched_profile(sketches.merged_sketches(monthly, keys), keys)
+    about = stored(sketches.sketched_profile(sketches.merged_sketches(monthly, keys), keys))
     cells = o.select(*keys, *[F.col(n).cast("string").alias(n) for n in names]).unpivot(keys, names, "name", "value").join(about, [*keys, "name"])
     number, n = F.col("value").try_cast("double"), F.count("value")
     off = sketches.RANK_ERROR * n + 1
