@@ -258,7 +258,7 @@ def test_load_cases_goes_to_the_file_once(spark, tmp_path):
     read = cases.load_cases(spark, str(tmp_path))
     got = by(read, "case_id")
     assert set(got) == {"c1", "c2", "c3"} and got["c1"]["input"] == text and got["c3"]["expected"] == "{}"
-    assert "multiLine" not in read._jdf.queryExecution().optimizedPlan().collectLeaves().head().relation().options().toString()
+    assert "multiline" not in read._jdf.queryExecution().optimizedPlan().collectLeaves().head().relation().options().toString().lower()
 
 
 def alike(a, b):
