@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sumwise.functions.basics import computed_once
+from sumwise.functions.basics import ASKED, computed_once, once_each
 from sumwise.operators.anomaly import iqr_scores
 from sumwise.plans.analysis import Analysis
 from sumwise.plans.comparison import file_label
@@ -24,6 +24,7 @@ from sumwise.plans.grounding import (
     trend_reason,
     year_of,
 )
+from sumwise.plans.questions import QUESTION
 
 # What can be charted.
 CHARTS = {
@@ -70,8 +71,13 @@ def chart_specs(intents: DataFrame, analysis: Analysis, ids: Sequence[str] = ("r
     """One chart per request: `found, reason, chart_type, column, metric, periods, points`.
 
     `intents` has `ids`, the keys of the analysis, `intent, column_hint, metric,
-    period_hint, from_period_hint, to_period_hint`.
+    period_hint, from_period_hint, to_period_hint`.  Every different chart of a dataset is
+    made once, however many intents ask for it.
     """
+    return once_each(intents, ids, [*analysis.keys, *QUESTION], lambda asked: _chart_specs(asked, analysis, [ASKED]))
+
+
+def _chart_specs(intents: DataFrame, analysis: Analysis, ids: Sequence[str]) -> DataFrame:
     keys = list(analysis.keys)
     own = {k: k for k in keys}
     q = ground(intents, analysis, ["from_period_hint", "to_period_hint"])

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sumwise.functions.basics import computed_once, join_on, stored_together
+from sumwise.functions.basics import ASKED, computed_once, join_on, once_each, stored, stored_together
 from sumwise.functions.change import change
 from sumwise.functions.text import strip
 from sumwise.operators.intents import validate_intents
@@ -33,6 +33,7 @@ COMPARISONS = [
     "file_trend_comparison",
     "file_anomaly_comparison",
 ]
+COMPARED = ["intent", "column_hint", "metric", "period_hint", "from_file_hint", "to_file_hint"]
 SIDES = ("a", "b")
 SUFFIXED = ["column_not_found", "ambiguous_column", "period_not_found", "ambiguous_period"]
 
@@ -73,15 +74,22 @@ def compare_datasets(
     analysis: Analysis,
     ids: Sequence[str] = ("request_id",),
     scope: Sequence[str] = (),
+    then: Callable[[DataFrame], DataFrame] = lambda results: results,
 ) -> DataFrame:
     """One comparison per request between exactly two datasets.
 
     `requests` has `ids`, `scope`, `intent, column_hint, metric, period_hint,
     from_file_hint, to_file_hint`; the first dataset is the previous one.  `scope`
-    separates registries of datasets.  `analysis` is keyed by `dataset_id`.
+    separates registries of datasets.  `analysis` is keyed by `dataset_id`.  Every different
+    comparison of a scope is made once, however many requests repeat it; `then` (such as
+    `with_comparison_answers`) adds columns to it, row by row, before the requests get it.
     """
     if list(analysis.keys) != ["dataset_id"]:
         raise ValueError("the analysis must be keyed by dataset_id")
+    return once_each(requests, ids, [*scope, *COMPARED], lambda asked: then(_compared(asked, datasets, analysis, [ASKED], scope)))
+
+
+def _compared(requests: DataFrame, datasets: DataFrame, analysis: Analysis, ids: Sequence[str], scope: Sequence[str]) -> DataFrame:
     q = _with_datasets(requests, datasets, scope)
     pair = F.array(F.col("fa.dataset_id"), F.col("fb.dataset_id"))
     asked = q.select(F.explode(pair).alias("dataset_id"), "column_hint", "period_hint").where(
@@ -257,7 +265,11 @@ def compare_responses(
 ) -> DataFrame:
     """As `questions.answer_responses`, for comparisons between two datasets."""
     said = [c for c in (response, "provider_error") if c in responses.columns]
-    read = validate_intents(responses.select(*ids, *scope, *said), "comparison", response)
-    compared = compare_datasets(read.where("is_valid").drop("is_valid", "reason"), datasets, analysis, ids, scope)
-    failed = read.where(~F.col("is_valid")).select(*ids, *scope, F.lit(False).alias("found"), "reason")
-    return with_comparison_answers(compared.unionByName(failed, allowMissingColumns=True))
+
+    def made(asked: DataFrame) -> DataFrame:
+        read = stored(validate_intents(asked, "comparison", response))
+        compared = _compared(read.where("is_valid").drop("is_valid", "reason"), datasets, analysis, [ASKED], scope)
+        failed = read.where(~F.col("is_valid")).select(ASKED, *scope, F.lit(False).alias("found"), "reason")
+        return with_comparison_answers(compared.unionByName(failed, allowMissingColumns=True))
+
+    return once_each(responses, ids, [*scope, *said], made)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sumwise.functions.basics import join_on
+from sumwise.functions.basics import ASKED, join_on, once_each
 from sumwise.operators.audit import audit_cited
 from sumwise.operators.evidence import answer_facts, comparison_facts, with_evidence_text
 
@@ -34,14 +34,21 @@ def _explained(
     written = explanations.select(
         *ids, F.col("response").alias("__response"), asked.alias("__question"), F.lit(True).alias("__written")
     )
-    audited = audit_cited(join_on(told, written, ids), "__response", "__payload_json", "__ids", "__question")
-    explanation = F.struct("is_valid", "reason", "insight", "evidence_ids_used")
-    return audited.select(
+    pairs = join_on(told, written, ids)
+    audited_by = ["__response", "__payload_json", "__ids", "__question"]
+    explanation = F.struct("is_valid", "reason", "insight", "evidence_ids_used").alias("__audit")
+
+    def audited(different: DataFrame) -> DataFrame:
+        return audit_cited(different, *audited_by).select(ASKED, explanation)
+
+    # Equal texts about equal evidence are audited once.
+    kept = [ROW, "evidence_id", "evidence_text", "evidence_json", "__payload_json", "__written"]
+    return once_each(pairs, kept, audited_by, audited).select(
         *[F.col(f"{ROW}.{c}") for c in columns],
         "evidence_id",
         "evidence_text",
         "evidence_json",
-        F.when(found & F.col("__written"), explanation).alias("explanation"),
+        F.when(found & F.col("__written"), F.col("__audit")).alias("explanation"),
     )
 
 

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sumwise.functions.basics import computed_once
+from sumwise.functions.basics import ASKED, computed_once, once_each, stored
 from sumwise.functions.text import double_text
 from sumwise.operators.intents import validate_intents
 from sumwise.operators.series import year_totals
@@ -35,6 +35,7 @@ INTENTS = [
     "missing_values",
     "unsupported",
 ]
+QUESTION = ["intent", "metric", "column_hint", "period_hint", "from_period_hint", "to_period_hint"]
 STAT_METRICS = ["sum", "mean", "median", "min", "max", "count"]
 
 # The sentence for every failure.
@@ -69,13 +70,25 @@ FAILURES = {
 UNKNOWN_FAILURE = "That question couldn't be answered."
 
 
-def answer_questions(intents: DataFrame, analysis: Analysis, ids: Sequence[str] = ("request_id",)) -> DataFrame:
+def answer_questions(
+    intents: DataFrame,
+    analysis: Analysis,
+    ids: Sequence[str] = ("request_id",),
+    then: Callable[[DataFrame], DataFrame] = lambda results: results,
+) -> DataFrame:
     """One grounded result per intent: `found, reason, intent, column, period, value, extra`.
 
     `intents` has `ids`, the keys of the analysis, `intent, metric, column_hint,
-    period_hint, from_period_hint, to_period_hint`.  All intents share one plan: lookups
-    keyed by dataset and hint are joined to the requests, then one rule per intent picks.
+    period_hint, from_period_hint, to_period_hint`.  Every different question of a dataset is
+    answered once, however many intents repeat it; `then` (such as `with_answers`) adds
+    columns to these answers, row by row, before the intents get them.
     """
+    fields = [*analysis.keys, *QUESTION]
+    return once_each(intents, ids, fields, lambda asked: then(_answered(asked, analysis, [ASKED])))
+
+
+def _answered(intents: DataFrame, analysis: Analysis, ids: Sequence[str]) -> DataFrame:
+    """All intents share one plan: lookups keyed by dataset and hint are joined to the requests, then one rule per intent picks."""
     keys = list(analysis.keys)
     own = {k: k for k in keys}
     q = ground(intents, analysis, ["period_hint", "from_period_hint", "to_period_hint"])
@@ -288,14 +301,17 @@ def answer_responses(
 
     `responses` has `ids`, the keys of the analysis, the response and, if there is one, a
     `provider_error`.  A response that is no valid intent still gets a row and its sentence.
+    Equal responses about a dataset are read and answered once.
     """
-    keys = [k for k in analysis.keys if k not in ids]
-    own = [*ids, *keys]
-    read = validate_intents(responses.select(*own, *_said(responses, response)), "question", response)
-    answered = answer_questions(read.where("is_valid").drop("is_valid", "reason"), analysis, ids)
-    failed = read.where(~F.col("is_valid")).select(*own, F.lit(False).alias("found"), "reason")
-    failed = failed.select(*[c for c in failed.columns if c in answered.columns])
-    return with_answers(answered.unionByName(failed, allowMissingColumns=True))
+    keys, said = list(analysis.keys), _said(responses, response)
+
+    def made(asked: DataFrame) -> DataFrame:
+        read = stored(validate_intents(asked, "question", response))
+        answered = _answered(read.where("is_valid").drop("is_valid", "reason"), analysis, [ASKED])
+        failed = read.where(~F.col("is_valid")).select(ASKED, *keys, F.lit(False).alias("found"), "reason")
+        return with_answers(answered.unionByName(failed, allowMissingColumns=True))
+
+    return once_each(responses, ids, [*keys, *said], made)
 
 
 def _said(responses: DataFrame, response: str) -> list[str]:

@@ -336,6 +336,68 @@ def test_one_hot_hint_is_resolved_once(spark):
     assert df.groupBy("column").count().collect() == [("Revenue", 5000)]
 
 
+def _repeated(spark, *fields):
+    """1,000 requests, half of them with one content and half with another; NULL and the empty text differ."""
+    return spark.range(1000).select(F.col("id").cast("int").alias("request_id"), *[F.when(F.col("id") % 2 == 0, a).otherwise(b).cast("string").alias(n) for n, a, b in fields])
+
+
+def test_equal_questions_are_answered_and_audited_once(spark, found, monkeypatch):
+    none = F.lit(None)
+    asked = _repeated(
+        spark, ("dataset_id", F.lit("old"), F.lit("old")), ("intent", F.lit("anomaly_check"), F.lit("anomaly_check")), ("metric", none, none), ("column_hint", none, F.lit("")),
+        ("period_hint", none, none), ("from_period_hint", none, none), ("to_period_hint", none, none),
+    )
+    seen = []
+
+    def then(results):
+        seen.append(results.count())
+        return questions.with_answers(results)
+
+    answers = questions.answer_questions(asked, found, then=then)
+    assert seen == [2] and answers.columns[0] == "request_id"
+    told = answers.groupBy("answer").count().collect()
+    assert [(r["answer"], r["count"]) for r in told] == [("1 anomaly detected for amount.", 1000)]
+    audit = explained.audit_cited
+    monkeypatch.setattr(explained, "audit_cited", lambda pairs, *rest: seen.append(pairs.count()) or audit(pairs, *rest))
+    written = asked.select("request_id", F.lit("no JSON").alias("response"))
+    rows = explained.explain_answers(answers, written).groupBy("explanation.reason").count().collect()
+    assert seen == [2, 1] and [tuple(r) for r in rows] == [("malformed_output", 1000)]
+
+
+def test_equal_charts_and_responses_are_made_once(spark, found, monkeypatch):
+    none = F.lit(None)
+    asked = _repeated(
+        spark, ("dataset_id", F.lit("old"), F.lit("gone")), ("intent", F.lit("trend_chart"), F.lit("trend_chart")), ("metric", none, none), ("column_hint", none, none),
+        ("period_hint", none, none), ("from_period_hint", none, none), ("to_period_hint", none, none),
+    )
+    seen = []
+    ground, validate = charts.ground, questions.validate_intents
+    monkeypatch.setattr(charts, "ground", lambda q, *rest: seen.append(q.count()) or ground(q, *rest))
+    monkeypatch.setattr(questions, "validate_intents", lambda q, *rest: seen.append(q.count()) or validate(q, *rest))
+    drawn = charts.chart_specs(asked, found).groupBy(F.size("points"), "reason").count().collect()
+    assert sorted(map(tuple, drawn), key=str) == [(0, "trend_not_computed", 500), (12, None, 500)]
+    said = asked.select("request_id", "dataset_id", F.lit("no JSON").alias("response"))
+    rows = questions.answer_responses(said, found).groupBy("dataset_id", "reason").count().collect()
+    assert sorted(map(tuple, rows)) == [("gone", "invalid_json", 500), ("old", "invalid_json", 500)] and seen == [2, 2]
+
+
+def test_equal_comparisons_are_made_once(spark, found):
+    known = spark.createDataFrame([("old", "a.csv", "previous"), ("new", "b.csv", "current")], "dataset_id string, display_name string, role string")
+    none = F.lit(None)
+    asked = _repeated(
+        spark, ("intent", F.lit("file_value_comparison"), F.lit("dance")), ("column_hint", F.lit("amount"), none), ("metric", F.lit("sum"), none), ("period_hint", none, none),
+        ("from_file_hint", F.lit("previous"), none), ("to_file_hint", F.lit("current"), none),
+    )
+    seen = []
+
+    def then(results):
+        seen.append(results.count())
+        return comparison.with_comparison_answers(results)
+
+    rows = comparison.compare_datasets(asked, known, found, then=then).groupBy("reason", "absolute_change").count().collect()
+    assert seen == [2] and sorted(map(tuple, rows), key=str) == [("unsupported_comparison", None, 500), (None, 110.0, 500)]
+
+
 def test_payload(spark, found):
     p = analysis.analytics_payload(found, with_profile=True).first()["payload"]
     assert '"profile":[{"name":"day"' in p and "date_summary" not in p
