@@ -336,6 +336,17 @@ def test_one_hot_hint_is_resolved_once(spark):
     assert df.groupBy("column").count().collect() == [("Revenue", 5000)]
 
 
+def test_candidates_as_one_text_are_joined_before_the_requests_get_them(spark):
+    asked = spark.range(100).select("id", F.lit("d").alias("dataset_id"), F.element_at(F.array(F.lit("cost"), F.lit("total"), F.lit("zzz")), (F.col("id") % 3 + 1).cast("int")).alias("column_hint"))
+    names = columns(spark, "Cost", "Total", "COST")
+    df = resolve.resolve_column(asked, names, separator=";")
+    lists = resolve.resolve_column(asked, names).withColumn("candidates", F.array_join("candidates", ";"))
+    assert df.columns == lists.columns and sorted(map(str, df.collect())) == sorted(map(str, lists.collect()))
+    assert {r["candidates"] for r in df.collect()} == {"Cost;COST", ""}
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join LeftOuter") < plan.index("array_join(")
+
+
 def _repeated(spark, *fields):
     """1,000 requests, half of them with one content and half with another; NULL and the empty text differ."""
     return spark.range(1000).select(F.col("id").cast("int").alias("request_id"), *[F.when(F.col("id") % 2 == 0, a).otherwise(b).cast("string").alias(n) for n, a, b in fields])
