@@ -14,8 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sumwise.functions.basics import join_on
-from sumwise.functions.text import ascii_digits, parse_timestamp, strip
+from sumwise.functions.basics import computed_once, join_on
+from sumwise.functions.text import ascii_digits, moment_of, strip
 
 # Names of months, and the year from which two digits mean the last century.
 MONTHS = "january february march april may june july august september october november december".split()
@@ -52,7 +52,17 @@ def _moment(s: Column, pattern: str, year: Column, month: Column, day: Column) -
 
 def date_readings(c: Column | str) -> Column:
     """`struct<sure, day_first, month_first>`: what a text means as a date, whatever the column says and if it says so."""
-    s = ascii_digits(strip(c))
+    return readings_of(ascii_digits(strip(c)))
+
+
+def with_readings(df: DataFrame, column: str, name: str) -> DataFrame:
+    """`df` with `date_readings` of a column as `name`; each text is trimmed once."""
+    bare = computed_once(df, df.columns, __bare=ascii_digits(strip(column)))
+    return bare.withColumn(name, readings_of(F.col("__bare"))).drop("__bare")
+
+
+def readings_of(s: Column) -> Column:
+    """As `date_readings`, for a column already trimmed and in ASCII digits."""
 
     def part(pattern: str, group: int) -> Column:
         return F.regexp_extract(s, pattern, group)
@@ -60,7 +70,7 @@ def date_readings(c: Column | str) -> Column:
     def named(name: Column) -> Column:
         return F.try_element_at(_month_numbers(), F.lower(name)).cast("string")
 
-    known = parse_timestamp(c)
+    known = moment_of(s)
     more = F.coalesce(
         _moment(s, YEAR_FIRST, part(YEAR_FIRST, 1), part(YEAR_FIRST, 3), part(YEAR_FIRST, 4)),
         _moment(s, NAMED, part(NAMED, 4), named(part(NAMED, 3)), part(NAMED, 1)),
@@ -97,7 +107,7 @@ def date_orders(df: DataFrame, column: str, keys: Sequence[str] = ()) -> DataFra
     Equal cells are counted before the shuffle and read once.
     """
     counted = df.where(F.col(column).isNotNull()).groupBy(*keys, F.col(column).alias("__t")).agg(F.count(F.lit(1)).alias("__n"))
-    read = counted.withColumn("__r", date_readings("__t"))
+    read = with_readings(counted, "__t", "__r")
     n = F.col("__n")
 
     def cells(test: Column) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from sumwise.functions.basics import FLOATS, NUMBERS, TIMES
 from sumwise.functions.text import read_cells
-from sumwise.operators.dates import date_readings
+from sumwise.operators.dates import date_readings, with_readings
 
 DATE_SHARE = 0.8
 
@@ -91,8 +91,7 @@ def column_facts(df: DataFrame, keys: Sequence[str] = (), columns: Sequence[str]
         dates = currency = percentage = none
         timed = F.lit(False)
         if family == "string":
-            counted = read_cells(counted, {"value": "found"})
-            counted = counted.withColumn("read", date_readings("value"))
+            counted = with_readings(read_cells(counted, {"value": "found"}), "value", "read")
             dates = date_cells(F.col("read"), rows_where)
             currency = rows_where(F.col("found.type") == "currency")
             percentage = rows_where(F.col("found.type") == "percentage")

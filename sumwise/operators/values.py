@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from sumwise.functions.basics import FLOATS, NUMBERS, TIMES, join_on, number_of, stored
 from sumwise.functions.periods import month_label
 from sumwise.functions.text import read_cells
-from sumwise.operators.dates import date_readings
+from sumwise.operators.dates import with_readings
 from sumwise.operators.profile import date_cells, facts_header, with_header
 from sumwise.operators.scan import running_total
 from sumwise.operators.series import SERIES_TYPES, period_date
@@ -81,16 +81,16 @@ def value_counts(df: DataFrame, keys: Sequence[str] = (), measure: str | None =
             cells.append(_cell(SERIES, month=month, amount=number_of(df, measure)))
     long = df.select(*keys, F.inline(F.array(*cells)))
     counted = long.groupBy(*keys, "position", *CELL).agg(F.count(F.lit(1)).alias("n"), F.sum("amount").alias("amount"))
-    read = read_cells(counted, {"text": "found"})
+    read = with_readings(read_cells(counted, {"text": "found"}), "text", "__read")
     found = F.struct(
         F.col("found.num").alias("num"),
         F.col("found.text").isNotNull().alias("stays_text"),
         F.col("found.type").alias("type"),
         F.col("found.was_changed").alias("was_changed"),
         F.col("found.is_ambiguous").alias("is_ambiguous"),
-        date_readings("text").alias("read"),
+        F.col("__read").alias("read"),
     )
-    return ValueCounts(stored(read.withColumn("found", found)), df, keys, measure if period is not None else None)
+    return ValueCounts(stored(read.withColumn("found", found).drop("__read")), df, keys, measure if period is not None else None)
 
 
 def _rows(test: Column | None = None) -> Column:
