@@ -1,13 +1,14 @@
 """Workbooks: what cells mean, several files and sheets as one table, damage."""
 
 import io
+import sys
 import zipfile
 from datetime import date, datetime
 
 import pytest
 
 from sumwise.sources.tables import load_table
-from sumwise.sources.workbooks import load_workbooks, moment, shows_date, workbook_bytes, workbook_columns, workbook_files
+from sumwise.sources.workbooks import READ_BYTES, Workbook, load_workbooks, moment, shows_date, workbook_bytes, workbook_columns, workbook_files
 
 DAY = datetime(2024, 2, 29, 13, 30, 15)
 MAIN = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
@@ -138,3 +139,51 @@ def test_other_files_are_refused(spark, tmp_path):
         load_table(spark, str(tmp_path / "a.xls"))
     with pytest.raises(FileNotFoundError):
         load_table(spark, str(tmp_path / "none.xlsx"))
+
+
+def test_rows_longer_than_one_reading():
+    rows = [(k, k / 8, f"t{k} & <é>", DAY, None, k % 2 == 0, "x" * (k % 97)) for k in range(6000)]
+    rows[3000] = (*rows[3000][:-1], "y" * 3 * READ_BYTES)
+    book = Workbook(workbook_bytes({"s": (list("abcdefg"), rows)}))
+    assert len(book.zip.read("xl/worksheets/sheet1.xml")) > 10 * READ_BYTES
+    got = {number: cells for number, cells in book.rows(book.sheets[0][1])}
+    assert list(got) == list(range(1, 6002)) and got[1] == [(i, "text", c) for i, c in enumerate("abcdefg")]
+    at = ("moment", DAY.isoformat(" "))
+    for k, row in enumerate(rows):
+        number = ("whole", str(k // 8)) if k % 8 == 0 else ("number", repr(k / 8))
+        cells = [(0, "whole", str(k)), (1, *number), (2, "text", row[2]), (3, *at), (5, "boolean", str(row[5]).lower())]
+        assert got[k + 2] == cells + [(6, "text", row[6])] * (row[6] != "")
+
+
+def test_a_long_row_inside_the_sheet_and_cells_of_another_namespace(spark, tmp_path):
+    cells = '<c t="inlineStr"><is><t>%s</t></is></c>' % ("z" * 3 * READ_BYTES)
+    sheet = f'<worksheet xmlns="{MAIN}"><sheetData><row r="3"><c><v>1</v></c></row><row r="9">{cells}<c><y:v xmlns:y="y">7</y:v></c></row></sheetData>'
+    sheet += "<rowBreaks/></worksheet>"
+    content = changed(workbook_bytes({"s": (["v"], [])}), "xl/worksheets/sheet1.xml", lambda _: sheet)
+    book = Workbook(content)
+    assert list(book.rows(book.sheets[0][1])) == [(3, [(0, "whole", "1")]), (9, [(0, "text", "z" * 3 * READ_BYTES), (1, "whole", "7")])]
+
+
+def test_a_cell_costs_few_calls():
+    """What Python does for each cell is most of the time of a large folder."""
+    book = Workbook(workbook_bytes({"s": (list("abcde"), [(k, k / 8, f"t{k % 5}", DAY, True) for k in range(2000)])}))
+    calls = 0
+
+    def counted(frame, event, arg):
+        nonlocal calls
+        calls += event == "call"
+
+    sys.setprofile(counted)
+    try:
+        rows = sum(1 for _ in book.rows(book.sheets[0][1]))
+    finally:
+        sys.setprofile(None)
+    assert rows == 2001 and calls < 2.5 * 5 * rows
+
+
+def test_many_small_files_are_several_tasks_a_core(spark, tmp_path):
+    for k in range(3):
+        put(tmp_path, f"b{k}.xlsx", {"s": (["x"], [(k,)])})
+    cores = spark.sparkContext.defaultParallelism
+    df = load_workbooks(spark, str(tmp_path))
+    assert df.rdd.getNumPartitions() >= 2 * cores and sorted(r.x for r in df.collect()) == [0, 1, 2]
