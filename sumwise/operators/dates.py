@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sumwise.functions.basics import computed_once, join_on
-from sumwise.functions.text import ascii_digits, moment_of, strip
+from sumwise.functions.text import MAY_BE_MOMENT, ascii_digits, moment_of, strip
 
 # Names of months, and the year from which two digits mean the last century.
 MONTHS = "january february march april may june july august september october november december".split()
@@ -56,13 +56,13 @@ def date_readings(c: Column | str) -> Column:
 
 
 def with_readings(df: DataFrame, column: str, name: str) -> DataFrame:
-    """`df` with `date_readings` of a column as `name`; each text is trimmed once."""
+    """`df` with `date_readings` of a column as `name`; each text is trimmed and read once."""
     bare = computed_once(df, df.columns, __bare=ascii_digits(strip(column)))
-    return bare.withColumn(name, readings_of(F.col("__bare"))).drop("__bare")
+    return computed_once(bare, df.columns, **{name: readings_of(F.col("__bare"))})
 
 
 def readings_of(s: Column) -> Column:
-    """As `date_readings`, for a column already trimmed and in ASCII digits."""
+    """As `date_readings`, for a column already trimmed and in ASCII digits; NULL for most text that is no date."""
 
     def part(pattern: str, group: int) -> Column:
         return F.regexp_extract(s, pattern, group)
@@ -77,13 +77,12 @@ def readings_of(s: Column) -> Column:
         _moment(s, NAME_FIRST, part(NAME_FIRST, 4), named(part(NAME_FIRST, 1)), part(NAME_FIRST, 3)),
     )
     a, b, year = part(NUMBERS, 1), part(NUMBERS, 3), part(NUMBERS, 4)
-    # Most text that is no date ends at this test.
-    shaped = s.rlike(MAY_BE)
-    return F.struct(
-        F.coalesce(known, F.when(shaped, more)).alias("sure"),
-        F.when(shaped, _moment(s, NUMBERS, year, b, a)).alias("day_first"),
-        F.when(shaped, _moment(s, NUMBERS, year, a, b)).alias("month_first"),
+    found = F.struct(
+        F.coalesce(known, more).alias("sure"),
+        _moment(s, NUMBERS, year, b, a).alias("day_first"),
+        _moment(s, NUMBERS, year, a, b).alias("month_first"),
     )
+    return F.when(s.rlike(f"{MAY_BE}|{MAY_BE_MOMENT}"), found)
 
 
 def read_as(readings: Column, order: Column) -> Column:

@@ -2,7 +2,7 @@
 
 `value_counts` reads the table once: all columns below each other, equal cells of a column counted
 before the shuffle, spread by value, and text parsed once for each distinct value.  It is written
-to the shared folder.  What else is wanted of the table weighs the values by how often they occur,
+to the shared folder, unless one result alone is wanted of it.  What else is wanted of the table weighs the values by how often they occur,
 so no result reads or parses the raw cells again, and a value that fills half of the table is one row.
 """
 
@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sumwise.functions.basics import FLOATS, NUMBERS, TIMES, join_on, number_of, stored
+from sumwise.functions.basics import FLOATS, NUMBERS, TIMES, join_on, number_of, spread, stored
 from sumwise.functions.periods import month_label
 from sumwise.functions.text import read_cells
 from sumwise.operators.dates import with_readings
@@ -29,23 +29,32 @@ CELL = {"text": "string", "whole": "bigint", "number": "double", "moment": "time
 SERIES = -1  # the position of rows that pair a month with a measure
 
 
-def _cell(position: int, **values: Column) -> Column:
-    made = [values.get(name, F.lit(None)).cast(kind).alias(name) for name, kind in CELL.items()]
-    return F.struct(F.lit(position).alias("position"), *made, values.get("amount", F.lit(None)).cast("double").alias("amount"))
-
-
-def _column_cell(df: DataFrame, position: int, field: T.StructField) -> Column:
+def _column_cell(df: DataFrame, field: T.StructField) -> dict[str, Column]:
     """The cell in the column of its family; numbers of other types are told apart by their text."""
     c, kind = F.col(field.name), field.dataType
     if isinstance(kind, T.StringType):
-        return _cell(position, text=c)
+        return {"text": c}
     if isinstance(kind, (T.BooleanType, T.IntegralType)):
-        return _cell(position, whole=c)
+        return {"whole": c}
     if isinstance(kind, FLOATS):
-        return _cell(position, number=number_of(df, field.name))
+        return {"number": number_of(df, field.name)}
     if isinstance(kind, TIMES):
-        return _cell(position, moment=c)
-    return _cell(position, other=c, **({"number": c.cast("double")} if isinstance(kind, NUMBERS) else {}))
+        return {"moment": c}
+    return {"other": c, **({"number": c.cast("double")} if isinstance(kind, NUMBERS) else {})}
+
+
+def _counted(df: DataFrame, keys: list[str], cells: list[tuple[int, dict[str, Column]]]) -> DataFrame:
+    """`keys, position`, CELL, `n, amount`: equal cells, by the families that occur; the others are NULL."""
+    kinds = {**CELL, "amount": "double"}
+    met = [name for name in kinds if any(name in cell for _, cell in cells)]
+    absent = F.lit(None)
+    made = [F.struct(F.lit(p).alias("position"), *[cell.get(m, absent).cast(kinds[m]).alias(m) for m in met]) for p, cell in cells]
+    long = df.select(*keys, F.inline(F.array(*made)))
+    by = [*keys, "position", *[m for m in met if m != "amount"]]
+    amount = F.sum("amount") if "amount" in met else absent.cast("double")
+    counted = spread(long.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), amount.alias("amount")), *by)
+    families = [F.col(name) if name in met else absent.cast(kind).alias(name) for name, kind in CELL.items()]
+    return counted.select(*keys, "position", *families, "n", "amount")
 
 
 @dataclass(frozen=True)
@@ -56,6 +65,7 @@ class ValueCounts:
     source: DataFrame
     keys: list[str]
     measure: str | None = None
+    kept: bool = True
 
     @property
     def fields(self) -> list[tuple[int, T.StructField]]:
@@ -69,28 +79,32 @@ class ValueCounts:
         return self.rows.where(F.col("position") >= 0)
 
 
-def value_counts(df: DataFrame, keys: Sequence[str] = (), measure: str | None = None, period: str | None = None) -> ValueCounts:
-    """The counts of a table; with `measure` and `period` also what its monthly series needs."""
+def value_counts(
+    df: DataFrame, keys: Sequence[str] = (), measure: str | None = None, period: str | None = None, kept: bool = True
+) -> ValueCounts:
+    """The counts of a table; with `measure` and `period` also what its monthly series needs.
+
+    Counts that are not `kept` are for one result: they are not written, texts are read as dates only
+    for facts, and every result counts again.
+    """
     keys = list(keys)
-    cells = [_column_cell(df, i, f) for i, f in enumerate(f for f in df.schema.fields if f.name not in keys)]
+    cells = [(i, _column_cell(df, f)) for i, f in enumerate(f for f in df.schema.fields if f.name not in keys)]
     if measure is not None and period is not None:
         month = F.trunc(period_date(df, period), "MM")
         if isinstance(df.schema[measure].dataType, T.StringType):
-            cells.append(_cell(SERIES, month=month, text=F.col(measure)))
+            cells.append((SERIES, {"month": month, "text": F.col(measure)}))
         else:
-            cells.append(_cell(SERIES, month=month, amount=number_of(df, measure)))
-    long = df.select(*keys, F.inline(F.array(*cells)))
-    counted = long.groupBy(*keys, "position", *CELL).agg(F.count(F.lit(1)).alias("n"), F.sum("amount").alias("amount"))
-    read = with_readings(read_cells(counted, {"text": "found"}), "text", "__read")
+            cells.append((SERIES, {"month": month, "amount": number_of(df, measure)}))
+    read = read_cells(_counted(df, keys, cells), {"text": "found"})
     found = F.struct(
         F.col("found.num").alias("num"),
         F.col("found.text").isNotNull().alias("stays_text"),
         F.col("found.type").alias("type"),
         F.col("found.was_changed").alias("was_changed"),
         F.col("found.is_ambiguous").alias("is_ambiguous"),
-        F.col("__read").alias("read"),
     )
-    return ValueCounts(stored(read.withColumn("found", found).drop("__read")), df, keys, measure if period is not None else None)
+    rows = read.withColumn("found", found)
+    return ValueCounts(stored(with_readings(rows, "text", "read")) if kept else rows, df, keys, measure if period is not None else None, kept)
 
 
 def _rows(test: Column | None = None) -> Column:
@@ -110,12 +124,13 @@ def _value() -> Column:
 def column_facts_of(counts: ValueCounts) -> DataFrame:
     """As `profile.column_facts`."""
     moment = F.col("moment")
+    cells = counts.cells if counts.kept else with_readings(counts.cells, "text", "read")
     timed = F.bool_or((F.hour(moment) != 0) | (F.minute(moment) != 0) | (F.floor(F.second(moment)) != 0))
-    facts = counts.cells.groupBy(*counts.keys, "position").agg(
+    facts = cells.groupBy(*counts.keys, "position").agg(
         _rows().alias("row_count"),
         F.count_if(~_missing()).alias("unique_count"),
         _rows(_missing()).alias("missing_count"),
-        date_cells(F.col("found.read"), _rows).alias("date_count"),
+        date_cells(F.col("read"), _rows).alias("date_count"),
         _rows(F.col("found.type") == "currency").alias("currency_count"),
         _rows(F.col("found.type") == "percentage").alias("percentage_count"),
         F.coalesce(timed, F.lit(False)).alias("has_time"),

@@ -180,3 +180,12 @@ def test_a_text_is_trimmed_once(spark):
     plan = column_facts(cells)._jdf.queryExecution().optimizedPlan().toString()
     # For its rules and its readings, and without the marks around a number; written out in full it was 290 times.
     assert 0 < plan.count("trim(") <= 8
+
+
+def test_texts_that_start_like_a_date_reach_the_date_parser(spark):
+    """The cheap test before the four shapes leaves none of their texts out."""
+    good = ["2024-1-5", "2024/01/05", "January 5, 2024", "January\t\t5,  2024", "5 January 2024", "05\n January 2024"]
+    bad = ["O-123", "x", "", "January", "5 January", "1234.56", "03/04/2024", "20240105", "2024-1-5 x", "-2024-1-5"]
+    df = spark.createDataFrame([(t,) for t in good + bad], "t string")
+    got = {r.t: str(r.d) for r in df.select("t", text.parse_date("t").alias("d")).collect()}
+    assert got == {**dict.fromkeys(good, "2024-01-05"), **dict.fromkeys(bad, "None")}

@@ -9,12 +9,16 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
+from sumwise.functions import basics
 from sumwise.operators import clean, profile, schema, series, summary, values
 from sumwise.operators.quantile import exact_medians
 from sumwise.plans import analysis
 from sumwise.sources import cases, tables
 from sumwise.sources.order import scan_order
 from conftest import by
+from workload import tables as workload_tables
+
+FOLDER = "/root/testdata/sf0.001"
 
 
 @pytest.fixture
@@ -299,6 +303,25 @@ def test_results_from_value_counts(spark):
     assert values.monthly_series_of(values.value_counts(df)).count() == 0
 
 
+def test_counts_for_one_result_are_not_written(spark):
+    """The query wants one result of its counts."""
+    store = list(basics._STORED)
+    found = workload_tables.QUERIES["column_profile_from_counts"](spark, FOLDER)
+    assert basics._STORED == store
+    alike(found, workload_tables.QUERIES["column_profile_by_key"](spark, FOLDER))
+
+
+def test_cells_are_counted_by_the_families_that_occur_and_dealt_to_all_cores(spark):
+    df = spark.createDataFrame([("a", "x", 1), ("a", "x", None), ("b", None, 1)], "k string, t string, n long")
+    counts = values.value_counts(df, ["k"], kept=False)
+    assert counts.rows.rdd.getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism
+    plan = counts.rows.select("n")._jdf.queryExecution().optimizedPlan().toString()
+    (grouped,) = [line for line in plan.splitlines() if "Aggregate [" in line]
+    assert grouped.split("Aggregate ")[1].split("]")[0].count("#") == 4  # k, position, text, whole
+    got = sorted((r.k, r.position, str(r.text), str(r.whole), r.n) for r in counts.rows.collect())
+    assert got == [("a", 0, "x", "None", 2), ("a", 1, "None", "1", 1), ("a", 1, "None", "None", 1), ("b", 0, "None", "None", 1), ("b", 1, "None", "1", 1)]
+
+
 def test_kept_analysis_reads_the_table_once(spark, tmp_path):
     df = spark.createDataFrame([("a", 1.5, datetime(2024, 1, 1)), ("a", 2.5, datetime(2024, 2, 1))], "k string, v double, at timestamp_ntz")
     df.write.parquet(f"{tmp_path}/t")

@@ -212,8 +212,8 @@ def q_register_dataset(spark, folder):
     return catalog.withColumn("fresh", fresh).join(reduce(DataFrame.unionByName, loaded), "path").select("display_name", "role", "fresh", "n")
 
 
-def _counts(spark, folder):
-    return values.value_counts(messy_orders(spark, folder), GROUPS)
+def _counts(spark, folder, kept=True):
+    return values.value_counts(messy_orders(spark, folder), GROUPS, kept=kept)
 
 
 def q_numeric_summary_from_counts(spark, folder):
@@ -222,7 +222,7 @@ def q_numeric_summary_from_counts(spark, folder):
 
 
 def q_column_profile_from_counts(spark, folder):
-    df = profile.profile_of(values.column_facts_of(_counts(spark, folder)), GROUPS).drop("dtype")
+    df = profile.profile_of(values.column_facts_of(_counts(spark, folder, kept=False)), GROUPS).drop("dtype")
     return rounded(df, 4, "missing_percentage")
 
 
