@@ -17,6 +17,7 @@ from sumwise.sources import cases, tables
 from sumwise.sources.order import scan_order
 from conftest import by
 from workload import tables as workload_tables
+from workload.inputs import messy_orders
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -304,13 +305,22 @@ def test_results_from_value_counts(spark):
 
 
 def test_counts_for_one_result_are_not_written(spark):
-    """The query wants one result of its counts."""
+    """Each of the two queries wants one result of its counts."""
     store = list(basics._STORED)
     found = workload_tables.QUERIES["column_profile_from_counts"](spark, FOLDER)
     assert basics._STORED == store
     alike(found, workload_tables.QUERIES["column_profile_by_key"](spark, FOLDER))
 
 
+def test_a_cleaning_report_from_counts_reads_no_dates_of_columns(spark):
+    store = list(basics._STORED)
+    found = workload_tables.QUERIES["cleaning_report_from_counts"](spark, FOLDER)
+    assert basics._STORED == store
+    assert "september" not in found._jdf.queryExecution().optimizedPlan().toString()
+    raw = clean.cleaning_report(messy_orders(spark, FOLDER), ["grp"], most_examples=0)
+    alike(found, raw)
+
+
 def test_cells_are_counted_by_the_families_that_occur_and_dealt_to_all_cores(spark):
     df = spark.createDataFrame([("a", "x", 1), ("a", "x", None), ("b", None, 1)], "k string, t string, n long")
     counts = values.value_counts(df, ["k"], kept=False)

@@ -227,7 +227,7 @@ def q_column_profile_from_counts(spark, folder):
 
 
 def q_cleaning_report_from_counts(spark, folder):
-    return values.cleaning_counts_of(_counts(spark, folder))
+    return values.cleaning_counts_of(_counts(spark, folder, kept=False))
 
 
 def q_date_summary_from_counts(spark, folder):
