@@ -205,3 +205,51 @@ def test_expected_keys_with_quotes(spark):
     rows = [('{"it\'s": 1, "a.b": "x"}', '{"it\'s": 1.0, "a.b": "x"}', True), ("{}", '{"x\'y]": 1}', False), ("{}", '{"q": null}', True)]
     df = spark.createDataFrame(rows, "a string, e string, ok boolean")
     assert df.where(matches_expected("a", "e") != F.col("ok")).collect() == []
+
+
+def _one_lookup(spark, kind, rows):
+    """`actual` of the lookup for every case, by itself and by joins."""
+    inputs = [(f"x{i}", kind, json.dumps(r) if isinstance(r, dict) else r, "{}") for i, r in enumerate(rows)]
+    cases = spark.createDataFrame(inputs, "case_id string, category string, input string, expected string")
+    joined = {"column_resolution": benchmark._column_cases, "period_resolution": benchmark._period_cases, "semantic_resolution": benchmark._semantic_cases}
+    own = benchmark.evaluate_cases(cases)
+    return [{r["case_id"]: r["actual"] for r in df.collect()} for df in (own, joined[kind](cases))]
+
+
+COLUMN_LISTS = [
+    ["Rev", "Cost"], ["rev", "REV", "Rev", "rev"], [], ["Revenue", "Revenues", "revenue s", "x"], [None, "Revenues", None, "REVENUES", "Revenues"], ["ab", "abc", "b"],
+    ["Sales Amount", "Unit Price", "Total Sales Net"], ["net", "gross net", "the"], ["quantity sold", "Qty Sold", "count", "Qty Sold"], [""], [" "], ["İstanbul", "ß"], None,
+]
+HINTS = ["rev", " Revenue ", "revenues", "", "  ", None, "ac", "ab", "total sales", "units", "units sold", "net", "price of units", "the", "istanbul", "SS"]
+
+
+@pytest.mark.parametrize("kind, hint, names", [("column_resolution", "column_hint", "column_names"), ("semantic_resolution", "term", "schema_columns")])
+def test_a_case_by_itself_finds_what_joins_find(spark, kind, hint, names):
+    def listed(columns):
+        return columns if columns is None or kind == "column_resolution" else [{"name": c} for c in columns]
+
+    rows = [{hint: h, names: listed(c)} for h in HINTS for c in COLUMN_LISTS] + [{hint: "rev"}, {names: listed(["Rev"])}, {hint: "rev", names: "Rev"}, "{", "[]"]
+    own, joined = _one_lookup(spark, kind, rows)
+    assert own == joined and len(own) == len(rows)
+    assert {json.loads(a).get("reason") for a in own.values()} == {None, "ambiguous_column", "column_not_found"}
+
+
+def test_a_period_by_itself_is_what_joins_find(spark):
+    labels = [["2023-05", "2024-05", "2024-06"], ["2024-05", "2024-05"], ["May", "2024-05", None], ["5", "Q1", "2023-12"], [], None]
+    hints = ["May", " may 2024 ", "05 2024", "5", "2024-05", "Q1", "dec", "December 2023", "june", "13", "", None, "٥", "May 24", "0000"]
+    rows = [{"period_hint": h, "period_labels": p} for h in hints for p in labels] + [{"period_hint": "May"}, {"period_hint": "May", "period_labels": "2024-05"}, "{"]
+    own, joined = _one_lookup(spark, "period_resolution", rows)
+    assert own == joined and len(own) == len(rows)
+    assert {json.loads(a).get("reason") for a in own.values()} == {None, "ambiguous_period", "period_not_found"}
+
+
+def test_only_cases_that_share_an_id_are_joined(spark, monkeypatch):
+    """Their lists are one, as before; an id that is null is an id."""
+    said = json.dumps({"column_hint": "rev", "column_names": ["Rev"]})
+    ids = ["a", "b", "b", None, None, "c"]
+    cases = spark.createDataFrame([(i, "column_resolution", said, '{"found": true}') for i in ids], "case_id string, category string, input string, expected string")
+    seen, joined = [], benchmark._column_cases
+    monkeypatch.setattr(benchmark, "_column_cases", lambda c: seen.extend(r["case_id"] for r in c.collect()) or joined(c))
+    got = [(r["case_id"], r["passed"]) for r in benchmark.evaluate_cases(cases).collect()]
+    assert sorted(got, key=str) == sorted([("a", True), ("b", False), ("b", False), (None, False), (None, False), ("c", True)], key=str)
+    assert sorted(seen, key=str) == sorted(["b", "b", None, None], key=str)
