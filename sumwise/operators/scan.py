@@ -43,8 +43,10 @@ def placed(rows: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     keys = list(keys)
     kept = _ranged(rows, keys, [order])
     parts = kept.groupBy(*keys, "__range").agg(F.min("__in").alias("__low"), F.count(F.lit(1)).alias("__here"))
-    parts = parts.select(
-        *keys, "__range", "__low", _before(parts, keys, "__here").alias("__before"), F.sum("__here").over(by_keys(keys)).alias("__n")
+    parts = stored(
+        parts.select(
+            *keys, "__range", "__low", _before(parts, keys, "__here").alias("__before"), F.sum("__here").over(by_keys(keys)).alias("__n")
+        )
     )
     at = F.col("__before") + F.col("__in") - F.col("__low")
     return join_on(kept, parts, [*keys, "__range"]).select(*rows.columns, at.alias("__at"), "__n")
